@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import stage
+from .storage import stage, with_row_key
 from .textkit import U64, batches_of, shingle_sets, texts_of
 
 WORDS = 5
@@ -328,5 +328,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows whose document is not its component's representative; columns stay as they are."""
-    gone = stage(near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(_bounded(gone), docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    name = with_row_key(docs, "_gone")
+    gone = stage(near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias(name)).distinct(), "gone")
+    return docs.join(_bounded(gone), F.col("doc_id").cast("long") == F.col(name), "left_anti")

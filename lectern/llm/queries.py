@@ -6,20 +6,60 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import archives, decontaminate, language, minhash, packing, pieces, pii, toxicity, url_filter, weak_quality
+
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op3_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"))
+
+
 def op4_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .minhash import near_duplicates
+    return minhash.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
+def op5_language_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(_read(spark, sf_dir, "documents"))
+
+
+def op6_sentencepiece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(_read(spark, sf_dir, "documents"))
+
+
+def op7_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(_read(spark, sf_dir, "documents"))
+
+
+def op8_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.archive_pages(_read(spark, sf_dir, "pages"))
+
+
+def op9_weak_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_quality.quality(_read(spark, sf_dir, "documents"))
+
 
-    return near_duplicates(_read(spark, sf_dir, "documents"))
+def op10_url_digest_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(_read(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_minhash_near_duplicates,)}
+    registered = (
+        op1_toxicity_grammar, op2_benchmark_decontamination, op3_token_packing, op4_minhash_near_duplicates, op5_language_kernel,
+        op6_sentencepiece_scan, op7_pii_disclosure, op8_arc_to_warc, op9_weak_quality_rules, op10_url_digest_filter,
+    )
+    return {f.__name__: f for f in registered}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_arc_to_warc": archives.SQL, "op10_url_digest_filter": url_filter.SQL}
