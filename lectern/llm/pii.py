@@ -142,7 +142,10 @@ def disclosing_terms(docs: DataFrame, measured: DataFrame) -> DataFrame:
     near = stage(_context_terms(measured), "contexts")
     total = measured.count()
     pairs = near.groupBy("entity", "term", "context").count().groupBy("entity", "term").agg(F.count("*").alias("together"))
-    pairs = stage(pairs.where(F.col("together") >= SUPPORT), "pairs")
+    # a term occurs in at least the documents whose contexts hold it, so this rules out only what the corpus count would
+    context_docs = near.groupBy("term", "doc_id", "h").count().groupBy("term").agg(F.count("*").alias("context_docs"))
+    pairs = pairs.where(F.col("together") >= SUPPORT).join(context_docs, "term").where(F.col("together") >= PRECISION * F.col("context_docs"))
+    pairs = stage(pairs.drop("context_docs"), "pairs")
     candidates = stage(pairs.select("term").distinct(), "candidates")
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(_TERM), F.lit(0)))).alias("term"))
     seen = words.join(_bounded(candidates), "term", "left_semi").groupBy("term").agg(F.count("*").alias("term_docs"))
