@@ -7,12 +7,13 @@ lines by the field names of their own version block and synthesises the WARC rec
 from the 14-digit archive date, the type from the payload groups, block and payload digests from the bytes.
 
 Files are written with Spark's own writers, so any file system that Spark reaches will do. A row is a whole archive of
-bounded size (``ARCHIVE_BYTES``, or one record where that is larger), and one file holds one row.
+bounded size (``ARCHIVE_BYTES``, or one record where that is larger), and one gzip file holds one row.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import new_folder, stage
+from .storage import bounded, new_folder, stage
 from .textkit import batches_of, texts_of
 
 ARCHIVE_BYTES = 8 << 20
@@ -40,6 +41,10 @@ def _word(url: str | None, page_id) -> str:
     return "".join(c if c > " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in text)
 
 
+def unzipped(data: bytes) -> bytes:
+    return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+
+
 def arc_head(version: int, name: str) -> bytes:
     """The version block."""
     body = f"{version} 0 lectern\n{FIELDS_1 if version == 1 else FIELDS_2}\n".encode()
@@ -166,7 +171,7 @@ def write_arc(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -
         yield from batches_of(files(), pa.schema([("value", pa.string())]), 1)
 
     columns = (F.col("page_id").cast("string"), F.col("url").cast("string"), F.col("html").cast("string"))
-    pages.select(*columns).mapInArrow(archives, "value string").write.option("maxRecordsPerFile", 1).text(path)
+    pages.select(*columns).mapInArrow(archives, "value string").write.option("maxRecordsPerFile", 1).option("compression", "gzip").text(path)
 
 
 def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
@@ -179,7 +184,7 @@ def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str, archive_byte
         def rows():
             for batch in batches:
                 for data in batch.column(0).to_pylist():
-                    for fields, block in read_arc(data):
+                    for fields, block in read_arc(unzipped(data)):
                         head, payload = split_http(block)
                         page = header_value(head, "X-Page-Id")
                         yield page and int(page), fields["URL"], warc_date(fields["Archive-date"]), sha1_digest(payload), len(payload), block
@@ -187,15 +192,15 @@ def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str, archive_byte
         yield from batches_of(rows(), schema, 64)
 
     files = spark.read.format("binaryFile").load(arc_path).select("content")
-    records = stage(files.mapInArrow(parse, "page long, url string, date string, digest string, size long, block binary"), "arc-records")
-    large = records.where(F.col("size") >= REVISIT_FROM)
+    records = files.mapInArrow(parse, "page long, url string, date string, digest string, size long, block binary")
+    large = stage(records.where(F.col("size") >= REVISIT_FROM).select("page", "url", "digest"), "payloads")
     groups = stage(
         large.groupBy("digest").agg(F.max("page").alias("first_page"), F.max_by("url", "page").alias("first_url"), F.count("*").alias("n"))
         .where("n > 1 AND first_page IS NOT NULL").drop("n"),
         "payload-groups",
     )
     keys = large.select("page", "digest").join(groups, "digest").where("page <> first_page OR page IS NULL")
-    revisits = stage(keys.select(F.col("page").alias("own"), "digest", "first_page", "first_url"), "revisits")
+    revisits = keys.select(F.col("page").alias("own"), "digest", "first_page", "first_url")
 
     def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def files():
@@ -232,9 +237,10 @@ def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str, archive_byte
 
         yield from batches_of(files(), pa.schema([("value", pa.string())]), 1)
 
-    placed = records.join(revisits.dropDuplicates(["own", "digest"]), records.page.eqNullSafe(revisits.own) & (records.digest == revisits.digest), "left")
+    firsts = bounded(stage(revisits.dropDuplicates(["own", "digest"]), "firsts"))
+    placed = records.join(firsts, records.page.eqNullSafe(firsts.own) & (records.digest == firsts.digest), "left")
     placed = placed.select("page", "url", "date", records.digest, "block", "first_page", "first_url")
-    placed.mapInArrow(compose, "value string").write.option("maxRecordsPerFile", 1).option("lineSep", "\r\n\r\n").text(warc_path)
+    placed.mapInArrow(compose, "value string").write.option("maxRecordsPerFile", 1).option("compression", "gzip").option("lineSep", "\r\n\r\n").text(warc_path)
 
 
 def read_warcs(spark: SparkSession, path: str) -> DataFrame:
@@ -248,7 +254,7 @@ def read_warcs(spark: SparkSession, path: str) -> DataFrame:
         def rows():
             for batch in batches:
                 for data in batch.column(0).to_pylist():
-                    for h, block in read_warc(data):
+                    for h, block in read_warc(unzipped(data)):
                         head, payload = split_http(block)
                         if h["warc-block-digest"] != sha1_digest(block):
                             raise ValueError(f"block digest of {h['warc-record-id']} differs")

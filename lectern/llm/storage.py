@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -28,6 +29,11 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """A staged table, broadcast only while its counted rows are within the bound; beyond it the join shuffles."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def with_row_key(df: DataFrame, name: str) -> str:
     """A column name that does not clash with those of the table (compared as Spark does, ignoring case)."""
     taken = {c.lower() for c in df.columns}
