@@ -186,12 +186,17 @@ def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the rows that hold an item; columns stay as they are."""
     column, out = with_row_key(docs, "_leaks"), docs
     for index in _indexes(items):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        @F.arrow_udf("boolean")
-        def holds(text: pa.Array, shared=shared) -> pa.Array:
-            hit = {t for t, *_ in leaks_in(texts_of(text), shared.value)}
-            return pa.array([i in hit for i in range(len(text))], pa.bool_())
-
+        holds = _holder(docs.sparkSession.sparkContext.broadcast(index))
         out = out.withColumn(column, holds(F.col("text").cast("string"))).where(~F.col(column)).select(*docs.columns)
     return out
+
+
+def _holder(shared):
+    """UDF that tells which texts hold an item of a broadcast index."""
+
+    @F.arrow_udf("boolean")
+    def holds(text: pa.Array) -> pa.Array:
+        hit = {t for t, *_ in leaks_in(texts_of(text), shared.value)}
+        return pa.array([i in hit for i in range(len(text))], pa.bool_())
+
+    return holds
