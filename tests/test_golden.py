@@ -202,11 +202,11 @@ def test_transcripts_and_writers(spark, tmp_path):
 
 
 def test_agenda_priority(spark):
-    paths = ["/a/transcription-x.txt", "/a/x.rtf", "/a/transcription-x.docx", "/b/transcription-y.txt", "/b/plan.doc", "/b/._y.rtf", "/c/transcription-z.txt"]
+    paths = ["/a/transcription-x.txt", "/a/x.rtf", "/a/transcription-x.docx", "/b/transcription-y.srt", "/b/plan.doc", "/b/._y.rtf", "/c/transcription-z.txt"]
     files = C.with_parts(spark.createDataFrame([(p, False, 1) for p in paths], "path string, is_dir boolean, length long"))
-    sessions = files.where("startswith(name, 'transcription-') AND ext = 'txt'")
+    sessions = files.where("startswith(name, 'transcription-') AND ext IN ('txt', 'srt')")
     found = {r.path: r.agenda for r in C.match_agenda(files, sessions).collect()}
-    assert found == {"/a/transcription-x.txt": "/a/x.rtf", "/b/transcription-y.txt": "/b/plan.doc", "/c/transcription-z.txt": "/c/transcription-z.txt"}
+    assert found == {"/a/transcription-x.txt": "/a/x.rtf", "/b/transcription-y.srt": "/b/plan.doc", "/c/transcription-z.txt": "/c/transcription-z.txt"}
 
 
 def test_stream_accepts_like_batch(spark, tmp_path):
