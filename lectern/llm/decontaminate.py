@@ -73,7 +73,7 @@ class Index:
         words = [hashes_of(t) for _, t in items]
         self.longest = max((len(w) for w in words), default=0)
         self.terms = np.unique(np.concatenate(words)) if words else np.zeros(0, U64)
-        width = -(-len(items) // BLOCK) * BLOCK
+        width = max(1, -(-len(items) // BLOCK)) * BLOCK
         self.impact = np.zeros((len(self.terms), width), np.float32)
         for k, w in enumerate(words):
             own, tf = np.unique(w, return_counts=True)
@@ -81,7 +81,7 @@ class Index:
             score = weight * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(w) / mean_length))
             if score.sum() > 0:
                 self.impact[np.searchsorted(self.terms, own), k] = score / score.sum()
-        self.block_max = self.impact.reshape(len(self.terms), -1, BLOCK).max(axis=2)
+        self.block_max = self.impact.reshape(len(self.terms), width // BLOCK, BLOCK).max(axis=2)
         self.term_max = self.block_max.max(axis=1, initial=0)
         self.run = [min(RUN, len(w)) for w in words]
         self.parts = [tuple(runs(p, n) for p in parts_of(t)) for (_, t), n in zip(items, self.run)]

@@ -256,7 +256,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
 
     rows = sorted((r[0], tuple(r[1])) for r in sample.select("toxic", "text").mapInArrow(measure, "toxic int, outputs array<double>").collect())
     x = _design(np.array([r[1] for r in rows], float).reshape(len(rows), len(OUTPUTS) + 1))
-    scorer.model = logistic(x, np.array([r[0] for r in rows], float))
+    scorer.model = logistic(x, np.array([r[0] for r in rows], float)) if len(picked) else logistic(x[:0], np.zeros(0))
     return scorer
 
 
