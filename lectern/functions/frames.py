@@ -18,7 +18,7 @@ def dct_basis(n: int = 8) -> list[float]:
     return [round(math.sqrt((1 if u == 0 else 2) / n) * math.cos(math.pi * (2 * x + 1) * u / (2 * n)), 12) for u in range(n) for x in range(n)]
 
 
-def _let(value: Column, body) -> Column:
+def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once, however often the body uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
@@ -46,7 +46,7 @@ def dct8(grid: Column) -> Column:
     def whole(h: Column) -> Column:
         return F.transform(_index(64), lambda i: F.round(F.aggregate(_index(8), F.lit(0.0), lambda acc, k: acc + F.get(h, row(i) + k) * F.get(basis, (i % 8) * 8 + k)), 9))
 
-    return _let(_let(grid, half), whole)
+    return let(let(grid, half), whole)
 
 
 def dct_bits(coefficients: Column) -> Column:
@@ -54,9 +54,9 @@ def dct_bits(coefficients: Column) -> Column:
 
     def bits(c: Column) -> Column:
         inner = F.round(_sum(_pick(c, [u * 8 + v for u in range(1, 8) for v in range(1, 8)])) / 49, 9)
-        return _let(inner, lambda mean: F.array_join(F.transform(c, lambda x: F.when(x > mean, "1").otherwise("0")), ""))
+        return let(inner, lambda mean: F.array_join(F.transform(c, lambda x: F.when(x > mean, "1").otherwise("0")), ""))
 
-    return _let(coefficients, bits)
+    return let(coefficients, bits)
 
 
 def phash_bits(grid: Column) -> Column:
@@ -70,7 +70,7 @@ def bits_to_long(bits: Column) -> Column:
         digits = F.transform(_index(64), lambda i: F.substring(text, i + 1, F.lit(1)).cast("long"))
         return F.aggregate(digits, F.lit(0).cast("long"), lambda acc, b: F.shiftleft(acc, 1).bitwiseOR(b))
 
-    return _let(bits, value)
+    return let(bits, value)
 
 
 def phash8(grid: Column) -> Column:
@@ -78,6 +78,38 @@ def phash8(grid: Column) -> Column:
     return bits_to_long(phash_bits(grid))
 
 
+def phash32_bits(grid: Column) -> Column:
+    """'0'/'1' text of the 8x8 lowest frequencies of a 32x32 grid: above the mean of all but the first."""
+    basis = F.array(*map(F.lit, dct_basis(32)[: 8 * 32]))
+
+    def half(g: Column) -> Column:  # 8 rows of 32
+        return F.transform(_index(256), lambda i: F.aggregate(_index(32), F.lit(0.0), lambda acc, k: acc + F.get(basis, F.floor(i / 32).cast("int") * 32 + k) * F.get(g, k * 32 + i % 32)))
+
+    def low(h: Column) -> Column:
+        return F.transform(_index(64), lambda i: F.round(F.aggregate(_index(32), F.lit(0.0), lambda acc, k: acc + F.get(h, F.floor(i / 8).cast("int") * 32 + k) * F.get(basis, (i % 8) * 32 + k)), 9))
+
+    def bits(c: Column) -> Column:
+        mean = F.round((_sum(c) - F.get(c, F.lit(0))) / 63, 9)
+        return let(mean, lambda m: F.array_join(F.transform(c, lambda x: F.when(x > m, "1").otherwise("0")), ""))
+
+    return let(let(let(grid, half), low), bits)
+
+
+def resize_area(grid: Column, width: Column, height: Column, out_width: int, out_height: int) -> Column:
+    """Area-mean grid of a smaller size; the source is cut at the floors of equal parts."""
+    w, h = width.cast("int"), height.cast("int")
+    edge = lambda k, n, size: F.floor(k * size / n).cast("int")
+
+    def cell(g: Column, i: Column) -> Column:
+        row, column = F.floor(i / out_width).cast("int"), (i % out_width).cast("int")
+        top, bottom = edge(row, out_height, h), F.greatest(edge(row + 1, out_height, h), edge(row, out_height, h) + 1)
+        left, right = edge(column, out_width, w), F.greatest(edge(column + 1, out_width, w), edge(column, out_width, w) + 1)
+        total = F.aggregate(F.sequence(top, bottom - 1), F.lit(0.0), lambda acc, y: acc + F.aggregate(F.slice(g, y * w + left + 1, right - left), F.lit(0.0), lambda s, x: s + x))
+        return total / ((bottom - top) * (right - left))
+
+    return let(grid, lambda g: F.transform(_index(out_width * out_height), lambda i: cell(g, i)))
+
+
 def dhash_bits(grid: Column, width: int = 8, height: int = 8) -> Column:
     """Row-major bits: right neighbour brighter; ``(width - 1) * height`` of them."""
     left = [r * width + c for r in range(height) for c in range(width - 1)]

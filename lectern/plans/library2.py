@@ -6,6 +6,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
+from ..functions import frames as M
 from ..functions import paths as P
 from ..operators import catalog as C
 from ..operators import groups as G
@@ -14,6 +15,8 @@ from ..operators import sequence as S
 from ..operators import transcripts as T
 from ..streaming import progress as Z
 from . import fixtures as X
+from . import metric_sql as Q
+from .capture import capture_pipeline
 from .fixtures import sql_with
 from .library import ORACLES, QUERIES, query
 
@@ -526,3 +529,83 @@ def x2_stream_gap_groups(spark, sf_dir):
     events = _stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     out = _finished(spark, Z.stream_gap_groups(events, "user_id", "ts", "6 hours", "1 day"), "x2")
     return out.select("user_id", F.unix_micros("start").alias("start_us"), "n")
+
+
+def _x4_state(spark):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+@query(
+    sql_with("series")
+    + """, o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY t, event_id) AS k FROM series)
+    SELECT key, unnest(list_transform(list_filter(kept, lambda r: r.k > 0), lambda r: r.e)) AS order_id FROM (
+      SELECT key, list_reduce(list_concat([[{k: 0::BIGINT, e: 0::BIGINT, t: 0::DOUBLE, v: 0::DOUBLE}]], items),
+        lambda acc, x: CASE WHEN acc[-1].k = 0 OR (abs(x[1].v - acc[-1].v) > 20 AND x[1].t - acc[-1].t > 36000) THEN list_concat(acc, x) ELSE acc END) AS kept
+      FROM (SELECT key, list([{k: k, e: event_id, t: t, v: v}] ORDER BY k) AS items FROM o GROUP BY key))"""
+)
+def x4_stream_accept_changes(spark, sf_dir):
+    _x4_state(spark)
+    t = (F.unix_micros(F.col("ts").cast("timestamp")) - 1704067200000000) / 1e6
+    events = _stream(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("order_id"), t.alias("t"), F.col("value").alias("v"))
+    return _finished(spark, Z.stream_accept_changes(events, 20.0, 36000.0), "x4").select("key", "order_id")
+
+
+def _wide(spark, sf_dir):
+    """32x32 grids: each value of an 8x8 frame four times in both directions, with a ramp over it."""
+    g = X.frames(spark, sf_dir)
+    place = lambda i: F.floor(i / 128).cast("int") * 8 + F.floor((i % 32) / 4).cast("int")
+    grown = lambda luma: F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: F.get(luma, place(i)) + i / 64.0)
+    return g.select("frame_idx", M.let(F.col("luma"), grown).alias("wide"))
+
+
+_WIDE = "wide AS (SELECT frame_idx, list_transform(range(0, 1024), lambda i: luma[(i // 128) * 8 + (i % 32) // 4 + 1] + i / 64.0::DOUBLE) AS g FROM frames)"
+_D32 = "[" + ", ".join(repr(x) for x in M.dct_basis(32)[: 8 * 32]) + "]"
+
+
+@query(
+    sql_with("frames")
+    + f""", {_WIDE}, h AS (SELECT frame_idx, list_transform(range(0, 256), lambda i: list_sum(list_transform(range(0, 32), lambda k: {_D32}[(i // 32) * 32 + k + 1] * g[k * 32 + i % 32 + 1]))) AS h FROM wide),
+    c AS (SELECT frame_idx, list_transform(range(0, 64), lambda i: round(list_sum(list_transform(range(0, 32), lambda k: h[(i // 8) * 32 + k + 1] * {_D32}[(i % 8) * 32 + k + 1])), 9)) AS c FROM h)
+    SELECT frame_idx, array_to_string(list_transform(c, lambda x: CASE WHEN x > round((list_sum(c) - c[1]) / 63, 9) THEN '1' ELSE '0' END), '') AS bits FROM c"""
+)
+def f2_phash32(spark, sf_dir):
+    return _wide(spark, sf_dir).select("frame_idx", M.phash32_bits(F.col("wide")).alias("bits"))
+
+
+@query(
+    sql_with("frames")
+    + f""", {_WIDE} SELECT frame_idx, array_to_string(list_transform(range(0, 64), lambda i: round(list_sum(list_transform(range(0, 16), lambda k: g[((i // 8) * 4 + k // 4) * 32 + (i % 8) * 4 + k % 4 + 1])) / 16, 4)::VARCHAR), ',') AS grid FROM wide"""
+)
+def s6_resize_area(spark, sf_dir):
+    small = M.resize_area(F.col("wide"), F.lit(32), F.lit(32), 8, 8)
+    return _wide(spark, sf_dir).select("frame_idx", F.array_join(F.transform(small, lambda x: F.round(x, 4).cast("string")), ",").alias("grid"))
+
+
+def _capture_sql() -> str:
+    """The advanced pipeline, put together from the texts of its steps."""
+    near = f"""near AS (SELECT DISTINCT video_id, idx AS frame_idx FROM (SELECT video_id, unnest(list_transform(range(-15, 16, 5), lambda o: frame_idx + o)) AS idx FROM pairs WHERE {Q.histogram_corr('luma', 'prev_luma')} < 0.1)),
+    cand AS (SELECT h.* FROM hashed h JOIN near USING (video_id, frame_idx))"""
+    accept = f"(L.luma IS NULL OR coalesce({Q.ssim('L.luma', 'X.luma')} < 0.2, false)) AND X.frame_idx - L.frame_idx > 0.5"
+    taken = f"taken AS (SELECT h.* FROM hashed h JOIN {Q.fold('cand', 'video_id', 'frame_idx', {'luma': 'DOUBLE[]'}, accept)} USING (video_id, frame_idx))"
+    like = lambda k: f"(1 - {Q.hamming(f'{k}.bits', 'x[1].bits')} / 64.0)"
+    fit = f"list_filter(acc, lambda k: k.sub = 1 AND {like('k')} >= 0.6)"
+    group = f"coalesce(list_filter({fit}, lambda k: {like('k')} = list_max(list_transform({fit}, lambda k: {like('k')})))[1].g, len(list_filter(acc, lambda k: k.sub = 1)) + 1)"
+    new = f"[{{frame_idx: x[1].frame_idx, bits: x[1].bits, g: ({group})::BIGINT, sub: (len(list_filter(acc, lambda k: k.sub > 0 AND k.g = ({group}))) + 1)::BIGINT}}]"
+    return (
+        sql_with("frames", "pairs", "hashed")
+        + f""", {near}, {taken} SELECT video_id, m.frame_idx AS frame_idx, m.g::INTEGER AS group_id, m.sub::INTEGER AS subgroup_idx FROM (
+      SELECT video_id, unnest(list_reduce(list_concat([[{{frame_idx: (-1)::BIGINT, bits: repeat('0', 64), g: (-1)::BIGINT, sub: 0::BIGINT}}]], items),
+        lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: k.sub > 0 AND {like('k')} > 0.98)) = 0 THEN list_concat(acc, {new}) ELSE acc END)) AS m
+      FROM (SELECT video_id, list([{{frame_idx: frame_idx, bits: bits, g: 0::BIGINT, sub: 0::BIGINT}}] ORDER BY frame_idx) AS items FROM taken GROUP BY video_id)) WHERE m.frame_idx >= 0"""
+    )
+
+
+@query(_capture_sql())
+def w21_capture_advanced(spark, sf_dir):
+    out = capture_pipeline(X.hashed(spark, sf_dir), X.videos(spark, sf_dir), "advanced", change=0.1, threshold=0.2, group=0.6)
+    return out.drop("filename")
+
+
+@query(None)
+def w21_capture_improved(spark, sf_dir):
+    return capture_pipeline(X.hashed(spark, sf_dir), X.videos(spark, sf_dir), "improved", change=0.1, group=0.6)
