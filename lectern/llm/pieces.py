@@ -32,6 +32,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 GIANT = 32_768
 CHUNK = 4096
 BLOCK = 256
+#: Texts handed to the library at once.
+LISTS = 64
 SPACE = "▁"
 NEVER = -np.inf
 
@@ -352,17 +354,21 @@ def encode(docs: DataFrame, path: str = MODEL, giant: int = GIANT, chunk: int =
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     kind = "struct<ids:array<int>,round_trip:boolean>"
 
-    def result(encoded: list, same: list[bool]) -> pa.Array:
+    def result(encoded: list[np.ndarray], same: list[bool]) -> pa.Array:
         sizes = np.cumsum([0, *map(len, encoded)])
-        flat = np.concatenate([np.asarray(e, np.int32) for e in encoded]) if encoded else np.zeros(0, np.int32)
+        flat = np.concatenate([e.astype(np.int32) for e in encoded]) if encoded else np.zeros(0, np.int32)
         ids = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat, pa.int32()))
         return pa.StructArray.from_arrays([ids, pa.array(same, pa.bool_())], names=["ids", "round_trip"])
 
     @F.arrow_udf(kind)
     def plain(text: pa.Array) -> pa.Array:
-        model, values = pieces(path), text.to_pylist()
-        encoded = model.library.encode(values, num_threads=1) if values else []
-        return result(encoded, [model.decode(e) == v.encode() for e, v in zip(encoded, values)])
+        model, encoded, same = pieces(path), [], []
+        for at in range(0, len(text), LISTS):  # lists of Python numbers are large; few are held at a time
+            values = text.slice(at, LISTS).to_pylist()
+            for value, ids in zip(values, model.library.encode(values, num_threads=1)):
+                encoded.append(np.asarray(ids, np.int32))
+                same.append(model.decode(encoded[-1]) == value.encode())
+        return result(encoded, same)
 
     @F.arrow_udf(kind)
     def joined(parts: pa.Array, sha: pa.Array) -> pa.Array:
