@@ -118,8 +118,12 @@ def held_out(parts: int, part: int):
 
 def fit(docs: DataFrame) -> Kernel:
     rows = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").where(~held_out(4, 2))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = rows.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= PER_LANGUAGE).select("doc_id").distinct()
+    order = F.xxhash64("doc_id")
+    # hashes are even, so those under this share of their range hold the first PER_LANGUAGE of each language
+    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    low = rows.select("doc_id", "lang").join(F.broadcast(sizes), "lang").where((order / 2.0**63 + 1) / 2 * F.col("count") <= 2 * PER_LANGUAGE)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id"))
+    chosen = low.withColumn("rank", rank).where(F.col("rank") <= PER_LANGUAGE).select("doc_id").distinct()
     chosen = F.broadcast(chosen.limit(PER_LANGUAGE * LANGUAGES))
     sample = rows.where(F.length("text") <= SAMPLE_CHARS).join(chosen, "doc_id", "left_semi").select("lang", "text")
     found = sorted(map(tuple, sample.distinct().collect()))  # bounded by PER_LANGUAGE * LANGUAGES short texts
