@@ -29,6 +29,7 @@ OVERLAP = 0.6
 RUN = 3
 BLOCK = 16
 MIN_WINDOW = 64
+SLOT_BITS = 18
 #: Items of one shard; a larger benchmark is walked shard by shard.
 SHARD_ITEMS = 2000
 _SENTENCE = re.compile(rb"(?<=[.!?])\s+|\n+")
@@ -36,10 +37,10 @@ _SENTENCE = re.compile(rb"(?<=[.!?])\s+|\n+")
 
 def normal(text: bytes) -> bytes:
     """Lower-cased text without punctuation at word ends, so that formatting does not hide a copy."""
-    return _EDGES.sub(b" ", text.decode("utf-8", "replace").lower().encode())
+    return text.decode("utf-8", "replace").lower().encode().translate(_PLAIN)
 
 
-_EDGES = re.compile(rb"[^\w\x80-\xff]+")
+_PLAIN = bytes(c if c > 127 or chr(c).isalnum() or c == 95 else 32 for c in range(256))
 
 
 def parts_of(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -83,9 +84,21 @@ class Index:
                 self.impact[np.searchsorted(self.terms, own), k] = score / score.sum()
         self.block_max = self.impact.reshape(len(self.terms), width // BLOCK, BLOCK).max(axis=2)
         self.term_max = self.block_max.max(axis=1, initial=0)
+        slots = (self.terms >> U64(64 - SLOT_BITS)).astype(np.int64)
+        self.slot_term = np.zeros(1 << SLOT_BITS, np.int32)
+        self.slot_term[slots] = np.arange(len(slots))
+        self.crowded = np.bincount(slots, minlength=1 << SLOT_BITS) > 1
         self.run = [min(RUN, len(w)) for w in words]
         self.parts = [tuple(runs(p, n) for p in parts_of(t)) for (_, t), n in zip(items, self.run)]
 
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """Term number of every word hash, -1 for words that no item has."""
+        slots = (hashes >> U64(64 - SLOT_BITS)).astype(np.int64)
+        out = self.slot_term[slots]
+        shared = np.flatnonzero(self.crowded[slots])
+        out[shared] = np.minimum(np.searchsorted(self.terms, hashes[shared]), len(self.terms) - 1)
+        return np.where(self.terms[out] == hashes, out, -1)
+
     def search(self, window: np.ndarray, term: np.ndarray) -> Iterator[tuple[int, int, float]]:
         """(window, item, score) for all scores from the threshold on; (window, term) are sorted and distinct."""
         if not len(window):
@@ -116,8 +129,8 @@ def leaks_in(texts: list[bytes], index: Index) -> Iterator[tuple[int, int, float
         cells = np.diff(first) // step + 1
         cell_at = np.cumsum(cells) - cells
         cell = cell_at[text] + (np.arange(len(hashes)) - first[text]) // step
-        term = np.minimum(np.searchsorted(index.terms, hashes), len(index.terms) - 1)
-        known = index.terms[term] == hashes
+        term = index.numbers(hashes)
+        known = term >= 0
         # a window is a cell and the next one of the same text
         n = len(index.terms)
         key = np.unique(cell[known] * n + term[known])
