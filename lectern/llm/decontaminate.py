@@ -150,7 +150,7 @@ def leaks_in(texts: list[bytes], index: Index) -> Iterator[tuple[int, int, float
             yield lo + t, int(index.ids[k]), *found
 
 
-def contaminated(docs: DataFrame, items: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap) of every document that holds an item.
 
     Null and empty texts hold nothing; items without words or with a null id are never held. A pair is returned once per

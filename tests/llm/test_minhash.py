@@ -1,7 +1,6 @@
 import random
 import re
 
-from pyspark.sql import functions as F
 
 from lectern.llm import minhash, textkit
 from lectern.llm.components import components

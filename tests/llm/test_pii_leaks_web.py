@@ -4,7 +4,6 @@ import re
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 
 from lectern.llm import archives, decontaminate, pii, url_filter
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm import packing, pieces
 
-from .conftest import frame, prose
+from .conftest import prose
 
 
 def naive_fit(lengths, size):
