@@ -11,14 +11,13 @@ from ..functions import paths as P
 from ..operators import catalog as C
 from ..operators import groups as G
 from ..operators import reports as R
-from ..operators import sequence as S
 from ..operators import transcripts as T
 from ..streaming import progress as Z
 from . import fixtures as X
 from . import metric_sql as Q
 from .capture import capture_pipeline
 from .fixtures import sql_with
-from .library import ORACLES, QUERIES, query
+from .library import query
 
 _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
