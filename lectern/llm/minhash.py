@@ -261,17 +261,18 @@ def _rest_links(rest: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFram
     )
     sizes = placed.groupBy("tree", "prefix", "comp").count().groupBy("tree", "prefix")
     open_regions = stage(
-        sizes.agg(F.max_by("comp", "count").alias("major"), F.sum("count").alias("members"), F.count("*").alias("comps"))
+        sizes.agg(F.max_by("comp", "count").alias("major"), F.max("count").alias("majors"), F.sum("count").alias("members"), F.count("*").alias("comps"))
         .where("comps > 1").drop("comps"),
         "regions",
     )
     members = stage(placed.join(open_regions, ["tree", "prefix"]), "members")
+    # members of the largest component are packed apart (negative numbers), so few packs meet all others
+    number = lambda n: F.pmod(F.xxhash64("id"), F.ceil(n / PACK))
+    part = F.when(F.col("comp") != F.col("major"), number(F.col("members") - F.col("majors"))).otherwise(-1 - number(F.col("majors")))
     packs = stage(
-        members.join(sets, "id")
-        .withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / PACK)))
-        .groupBy("tree", "prefix", "part")
-        .agg(F.collect_list(F.struct("id", "comp", "sig", "shingles")).alias("pack"), F.max(F.col("comp") != F.col("major")).alias("minor"))
-        .select("tree", "prefix", "part", "minor", "pack"),
+        members.join(sets, "id").withColumn("part", part).groupBy("tree", "prefix", "part")
+        .agg(F.collect_list(F.struct("id", "comp", "sig", "shingles")).alias("pack"))
+        .select("tree", "prefix", "part", (F.col("part") >= 0).alias("minor"), "pack"),
         "packs",
     )
     left = packs.select("tree", "prefix", F.col("part").alias("p"), F.col("minor").alias("minor_p"), F.col("pack").alias("left"))
