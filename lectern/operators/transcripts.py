@@ -151,6 +151,16 @@ def reuse_or_compute(segments: DataFrame, stored_cues: DataFrame, stored_texts:
     return out.select("doc_id", "seg_no", status.alias("status"), F.coalesce("_c", "_t").alias("text"))
 
 
+def may_loop(codes: np.ndarray, least: int, longest: int = 80) -> bool:
+    """Whether some run of ``least`` characters comes again within ``longest``; a loop's phrase always does."""
+    n = len(codes) - least + 1
+    hashes = np.zeros(max(n, 0), np.uint64)
+    for k in range(least if n > 1 else 0):
+        hashes = hashes * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + n]
+    order = np.argsort(hashes, kind="stable")
+    return bool(((hashes[order[1:]] == hashes[order[:-1]]) & (order[1:] - order[:-1] <= longest)).any())
+
+
 def find_loop(text: str, min_len: int = 15, max_repeat: int = 3) -> tuple[int, int, int] | None:
     """(start, phrase length, count) of the loop that counts, or None.
 
@@ -161,6 +171,8 @@ def find_loop(text: str, min_len: int = 15, max_repeat: int = 3) -> tuple[int, i
     if n < 3 * min_len:
         return None
     codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    if not may_loop(codes, min_len):
+        return None
     for size in range(min(80, n // 3), min_len - 1, -1):
         same = codes[size:] == codes[:-size]
         edges = np.flatnonzero(np.diff(np.concatenate(([0], same.view(np.int8), [0]))))
@@ -183,8 +195,8 @@ LOOP = T.StructType([
 
 
 def repetition_loops(docs: DataFrame, text: str = "text", min_len: int = 15, max_repeat: int = 3) -> DataFrame:
-    """Adds loop: has_repetition, clean_text, ratio, phrase (100 characters) and count. Texts that the pattern
-    prefilter rules out never leave the JVM."""
+    """Adds loop: has_repetition, clean_text, ratio, phrase (100 characters) and count. Texts that are too short never
+    leave the JVM; of the others only those in which a run comes again nearby are searched."""
 
     @F.pandas_udf(LOOP)
     def loops(values: pd.Series) -> pd.DataFrame:
@@ -198,7 +210,7 @@ def repetition_loops(docs: DataFrame, text: str = "text", min_len: int = 15, max
                 rows.append((True, value[: start + size].rstrip(), count * size / len(value), value[start : start + size][:100], count))
         return pd.DataFrame(rows, columns=LOOP.names)
 
-    likely = F.col(text).rlike(rf"(?s)(.{{{min_len},80}})\1{{{max_repeat - 1},}}")
+    likely = F.length(text) >= 3 * min_len
     hits = docs.where(likely).withColumn("loop", loops(F.col(text)))
     none = F.struct(F.lit(False).alias("has_repetition"), F.col(text).alias("clean_text"), F.lit(0.0).alias("ratio"), F.lit(None).cast("string").alias("phrase"), F.lit(0).alias("count"))
     return hits.unionByName(docs.where(~F.coalesce(likely, F.lit(False))).withColumn("loop", none.cast(LOOP)))
