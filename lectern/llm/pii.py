@@ -1,9 +1,9 @@
 """Personal data by information-theoretic sanitisation, in DataFrame functions only.
 
 Base spans are protected entities: email and ip addresses, card and phone numbers. Words near an entity can give it away
-too. From all documents it is counted how often a term stands in the context of an entity value and how often it occurs
-at all; pointwise mutual information over the information content of the entity says how much of the entity the term
-discloses. Terms over the threshold become spans where they stand near that entity, and the sanitiser generalises base
+too. From all documents it is counted in how many texts a term stands in the context of an entity value and in how many
+it occurs at all; copies of a text count once. Pointwise mutual information over the information content of the entity
+says how much of the entity the term discloses. Terms over the threshold become spans where they stand near that entity, and the sanitiser generalises base
 spans to their kind and removes disclosing terms.
 
 Positions come from the lengths of the matches and of the gaps between them. The patterns run on texts in which single
@@ -20,7 +20,7 @@ from .storage import stage, with_row_key
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Code points on each side of an entity that are its context.
 WINDOW = 60
-#: Distinct contexts that must hold a term, and the share of the entity's information it must give away.
+#: Distinct texts that must hold a term in a context, and the share of the entity's information it must give away.
 SUPPORT, DISCLOSURE, PRECISION = 3, 0.8, 0.5
 BROADCAST_ROWS = 200_000
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
@@ -137,25 +137,33 @@ def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _distinct_texts(docs: DataFrame, measured: DataFrame) -> DataFrame:
+    """(h, text), each text once. Only texts that have copies are shuffled."""
+    copied = _bounded(stage(measured.groupBy("h").count().where("count > 1").select("h"), "copied"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    texts = docs.select(F.xxhash64(text).alias("h"), text.alias("text"))
+    return texts.join(copied, "h", "left_anti").unionByName(texts.join(copied, "h", "left_semi").dropDuplicates(["h"]))
+
+
 def disclosing_terms(docs: DataFrame, measured: DataFrame) -> DataFrame:
-    """(doc_id, h, extra): spans of disclosing terms near the entities that they give away."""
+    """(doc_id, h, extra): spans of disclosing terms near the entities that they give away. All counts are of distinct texts."""
     near = stage(_context_terms(measured), "contexts")
-    total = measured.count()
-    pairs = near.groupBy("entity", "term", "context").count().groupBy("entity", "term").agg(F.count("*").alias("together"))
-    # a term occurs in at least the documents whose contexts hold it, so this rules out only what the corpus count would
-    context_docs = near.groupBy("term", "doc_id", "h").count().groupBy("term").agg(F.count("*").alias("context_docs"))
-    pairs = pairs.where(F.col("together") >= SUPPORT).join(context_docs, "term").where(F.col("together") >= PRECISION * F.col("context_docs"))
-    pairs = stage(pairs.drop("context_docs"), "pairs")
+    total = measured.select("h").distinct().count()
+    pairs = near.select("entity", "term", "h").distinct().groupBy("entity", "term").agg(F.count("*").alias("together"))
+    # a term occurs in at least the texts whose contexts hold it, so this rules out only what the corpus count would
+    context_texts = near.select("term", "h").distinct().groupBy("term").agg(F.count("*").alias("context_texts"))
+    pairs = pairs.where(F.col("together") >= SUPPORT).join(context_texts, "term").where(F.col("together") >= PRECISION * F.col("context_texts"))
+    pairs = stage(pairs.drop("context_texts"), "pairs")
     candidates = stage(pairs.select("term").distinct(), "candidates")
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(_TERM), F.lit(0)))).alias("term"))
-    seen = words.join(_bounded(candidates), "term", "left_semi").groupBy("term").agg(F.count("*").alias("term_docs"))
-    entities = measured.where(F.size("spans") > 0).select("doc_id", "h", F.explode(F.array_distinct(F.transform("contexts", lambda c: c["entity"]))).alias("entity"))
-    entities = entities.groupBy("entity").agg(F.count("*").alias("entity_docs"))
+    words = _distinct_texts(docs, measured).select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)))).alias("term"))
+    seen = words.join(_bounded(candidates), "term", "left_semi").groupBy("term").agg(F.count("*").alias("term_texts"))
+    entities = measured.where(F.size("spans") > 0).select("h", F.explode(F.array_distinct(F.transform("contexts", lambda c: c["entity"]))).alias("entity"))
+    entities = entities.distinct().groupBy("entity").agg(F.count("*").alias("entity_texts"))
     n = F.lit(float(max(total, 1)))
-    content = F.log(n / F.col("entity_docs"))
-    shared = F.log(F.col("together") * n / (F.col("term_docs") * F.col("entity_docs")))
+    content = F.log(n / F.col("entity_texts"))
+    shared = F.log(F.col("together") * n / (F.col("term_texts") * F.col("entity_texts")))
     told = pairs.join(seen, "term").join(entities, "entity").where(content > 0)
-    told = told.where((shared / content >= DISCLOSURE) & (F.col("together") >= PRECISION * F.col("term_docs")))
+    told = told.where((shared / content >= DISCLOSURE) & (F.col("together") >= PRECISION * F.col("term_texts")))
     told = stage(told.select("entity", "term"), "disclosing")
     extra = near.join(_bounded(told), ["entity", "term"]).select("doc_id", "h", F.struct("start", F.lit(KINDS.index("term")).alias("rank"), "end").alias("s"))
     return stage(extra.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("s")).alias("extra")), "extra")

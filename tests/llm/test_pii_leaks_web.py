@@ -73,6 +73,17 @@ def test_disclosing_terms_and_sanitising(spark, awkward, empty):
     assert pii.personal_data(empty).count() == 0 and pii.sanitize(empty).count() == 0
 
 
+def test_copies_do_not_hide_disclosing_terms(spark):
+    rng = random.Random(6)
+    rows = [(i, f"{prose(rng, 30)} Zanzibarov wrote from secret@host.org {prose(rng, 30)} {i}", "en") for i in range(5)]
+    rows = [(100 * k + i, t, x) for i, t, x in rows for k in range(10)]
+    rows += [(i, f"{prose(rng, 50)} other{i}@host.org", "en") for i in range(10, 40)]
+    docs = frame(spark, rows)
+    found = {r.doc_id: r.n_term for r in pii.personal_data(docs).collect()}
+    assert all((found[i] >= 1) == (i % 100 < 5) for i in found)
+    assert not any("Zanzibarov" in r.text for r in pii.sanitize(docs).collect())
+
+
 def test_overlapping_spans_are_replaced_once(spark):
     docs = frame(spark, [(1, "card 4111111111111111@x.com end", "en")])
     assert pii.sanitize(docs).first().text == "card <EMAIL> end"
