@@ -1,10 +1,11 @@
 """Personal data by information-theoretic sanitisation, in DataFrame functions only.
 
-Base spans are protected entities: email and ip addresses, card and phone numbers. Words near an entity can give it away
-too. From all documents it is counted in how many texts a term stands in the context of an entity value and in how many
-it occurs at all; copies of a text count once. Pointwise mutual information over the information content of the entity
-says how much of the entity the term discloses. Terms over the threshold become spans where they stand near that entity, and the sanitiser generalises base
-spans to their kind and removes disclosing terms.
+Base spans are protected entities: email and ip addresses, card and phone numbers. Other words of the documents that hold
+an entity can give it away too. From all documents it is counted in how many texts a term stands together with an entity
+value and in how many it occurs at all; copies of a text count once. Pointwise mutual information over the information
+content of the entity says how much of the entity the term discloses. Terms over the threshold become spans wherever they
+stand in a document that holds that entity, and the sanitiser generalises base spans to their kind and removes disclosing
+terms. A term is a maximal run of letters of any length; scripts without spaces give runs as long as their clauses.
 
 Positions come from the lengths of the matches and of the gaps between them. The patterns run on texts in which single
 characters were replaced so that no repeated group is needed; such groups would overflow the stack on long runs.
@@ -18,14 +19,13 @@ from pyspark.sql import functions as F
 from .storage import stage, with_row_key
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Code points on each side of an entity that are its context.
-WINDOW = 60
-#: Distinct texts that must hold a term in a context, and the share of the entity's information it must give away.
+#: Distinct texts that must hold a term and the entity, and the share of the entity's information it must give away.
 SUPPORT, DISCLOSURE, PRECISION = 3, 0.8, 0.5
 BROADCAST_ROWS = 200_000
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-_TERM = r"\p{L}{4,}"
+_TERM = r"\p{L}[\p{L}\p{M}]*+"
 _SPAN = "array<struct<start:int,end:int>>"
+_RANKED = "array<struct<start:int,rank:int,end:int>>"
 
 
 def _found(text: Column, pattern: str) -> Column:
@@ -57,7 +57,7 @@ def _kind(text: Column, applies: Column, prepared: Column, pattern: str, kind: s
     spans = F.transform(
         F.filter(_found(prepared, pattern), lambda s: keep(cut(s))), lambda s: F.struct(s["start"].alias("start"), rank.alias("rank"), s["end"].alias("end"))
     )
-    return F.when(applies, spans).otherwise(F.array().cast("array<struct<start:int,rank:int,end:int>>"))
+    return F.when(applies, spans).otherwise(F.array().cast(_RANKED))
 
 
 def _digits(value: Column) -> Column:
@@ -95,42 +95,23 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["rank"] + 1), s["start"], s["end"])), ",")
 
 
-def _entity_contexts(text: Column, spans: Column) -> Column:
-    """For each base span: its value's hash, the text on both sides, and where each side begins."""
+def _entities(text: Column, spans: Column) -> Column:
+    """Hashes of the distinct values of the base spans."""
+    return F.array_distinct(F.transform(spans, lambda s: F.xxhash64(s["rank"], F.lower(F.substring(text, s["start"] + 1, s["end"] - s["start"])))))
 
-    def one(s: Column) -> Column:
-        left = F.greatest(F.lit(0), s["start"] - WINDOW)
-        return F.struct(
-            F.xxhash64(s["rank"], F.lower(F.substring(text, s["start"] + 1, s["end"] - s["start"]))).alias("entity"),
-            F.substring(text, left + 1, s["start"] - left).alias("before"),
-            left.alias("before_at"),
-            F.substring(text, s["end"] + 1, F.lit(WINDOW)).alias("after"),
-            s["end"].alias("after_at"),
-        )
 
-    return F.transform(spans, one)
+def _text(name: str = "text") -> Column:
+    return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def _measured(docs: DataFrame) -> DataFrame:
-    """doc_id, a hash of the text, its base spans and their contexts; written once."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    spans = docs.select("doc_id", text.alias("text")).withColumn("spans", base_spans(F.col("text")))
-    return stage(
-        spans.select("doc_id", F.xxhash64("text").alias("h"), "spans", _entity_contexts(F.col("text"), F.col("spans")).alias("contexts")), "entities"
-    )
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0)))
 
 
-def _context_terms(measured: DataFrame) -> DataFrame:
-    """(doc_id, h, entity, context, term, start, end) of every whole word in a context, outside base spans."""
-    each = measured.where(F.size("spans") > 0).select("doc_id", "h", "spans", F.explode("contexts").alias("c"))
-    side = lambda name: F.struct(F.col(f"c.{name}").alias("text"), F.col(f"c.{name}_at").alias("at"), F.lit(name == "before").alias("left"))
-    sides = each.select("doc_id", "h", "spans", F.col("c.entity").alias("entity"), F.xxhash64("c.before", "c.after").alias("context"), F.explode(F.array(side("before"), side("after"))).alias("s"))
-    words = sides.select("*", F.explode(_found(F.col("s.text"), _TERM)).alias("w"))
-    cut_off = F.when(F.col("s.left"), (F.col("w.start") == 0) & (F.col("s.at") > 0)).otherwise(F.col("w.end") == WINDOW)
-    start, end = F.col("s.at") + F.col("w.start"), F.col("s.at") + F.col("w.end")
-    term = F.lower(F.substring("s.text", F.col("w.start") + 1, F.col("w.end") - F.col("w.start")))
-    out = words.where(~cut_off).select("doc_id", "h", "spans", "entity", "context", term.alias("term"), start.alias("start"), end.alias("end"))
-    return out.where(~F.exists("spans", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"]))).drop("spans")
+def _measured(docs: DataFrame) -> DataFrame:
+    """A hash of every row's text and the entities it holds; written once."""
+    spans = docs.select(_text().alias("text")).withColumn("spans", base_spans(F.col("text")))
+    return stage(spans.select(F.xxhash64("text").alias("h"), _entities(F.col("text"), F.col("spans")).alias("entities")), "entities")
 
 
 def _bounded(df: DataFrame) -> DataFrame:
@@ -140,48 +121,64 @@ def _bounded(df: DataFrame) -> DataFrame:
 def _distinct_texts(docs: DataFrame, measured: DataFrame) -> DataFrame:
     """(h, text), each text once. Only texts that have copies are shuffled."""
     copied = _bounded(stage(measured.groupBy("h").count().where("count > 1").select("h"), "copied"))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    texts = docs.select(F.xxhash64(text).alias("h"), text.alias("text"))
+    texts = docs.select(F.xxhash64(_text()).alias("h"), _text().alias("text"))
     return texts.join(copied, "h", "left_anti").unionByName(texts.join(copied, "h", "left_semi").dropDuplicates(["h"]))
 
 
-def disclosing_terms(docs: DataFrame, measured: DataFrame) -> DataFrame:
-    """(doc_id, h, extra): spans of disclosing terms near the entities that they give away. All counts are of distinct texts."""
-    near = stage(_context_terms(measured), "contexts")
-    total = measured.select("h").distinct().count()
-    pairs = near.select("entity", "term", "h").distinct().groupBy("entity", "term").agg(F.count("*").alias("together"))
-    # a term occurs in at least the texts whose contexts hold it, so this rules out only what the corpus count would
-    context_texts = near.select("term", "h").distinct().groupBy("term").agg(F.count("*").alias("context_texts"))
-    pairs = pairs.where(F.col("together") >= SUPPORT).join(context_texts, "term").where(F.col("together") >= PRECISION * F.col("context_texts"))
-    pairs = stage(pairs.drop("context_texts"), "pairs")
-    candidates = stage(pairs.select("term").distinct(), "candidates")
-    words = _distinct_texts(docs, measured).select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)))).alias("term"))
-    seen = words.join(_bounded(candidates), "term", "left_semi").groupBy("term").agg(F.count("*").alias("term_texts"))
-    entities = measured.where(F.size("spans") > 0).select("h", F.explode(F.array_distinct(F.transform("contexts", lambda c: c["entity"]))).alias("entity"))
-    entities = entities.distinct().groupBy("entity").agg(F.count("*").alias("entity_texts"))
-    n = F.lit(float(max(total, 1)))
+def disclosing_terms(docs: DataFrame) -> DataFrame:
+    """(h, terms): the terms of a text that give away an entity it holds. All counts are of distinct texts."""
+    measured = _measured(docs)
+    n = F.lit(float(max(measured.select("h").distinct().count(), 1)))
+    held = stage(measured.select("h", F.explode("entities").alias("entity")).distinct(), "held")
+    # an entity in fewer texts, or in all of them, and a term in more texts than any entity allows cannot pass below
+    entities = held.groupBy("entity").agg(F.count("*").alias("entity_texts")).where((F.col("entity_texts") >= SUPPORT) & (F.col("entity_texts") < n))
+    held = stage(held.join(_bounded(stage(entities, "shared")), "entity"), "holders")
+    most = held.agg(F.coalesce(F.max("entity_texts"), F.lit(0))).first()[0]
+    texts = _distinct_texts(docs, measured)
+    seen = texts.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("term_texts"))
+    seen = stage(seen.where((F.col("term_texts") >= SUPPORT) & (PRECISION * F.col("term_texts") <= most)), "terms")
+    words = texts.join(_bounded(held.select("h").distinct()), "h", "left_semi").select("h", F.explode(_words(F.col("text"))).alias("term"))
+    possible = PRECISION * F.col("term_texts") <= F.col("entity_texts")
+    near = stage(words.join(_bounded(seen), "term").join(_bounded(held), "h").where(possible), "together")
+    told = near.groupBy("entity", "term", "entity_texts", "term_texts").agg(F.count("*").alias("together"))
     content = F.log(n / F.col("entity_texts"))
     shared = F.log(F.col("together") * n / (F.col("term_texts") * F.col("entity_texts")))
-    told = pairs.join(seen, "term").join(entities, "entity").where(content > 0)
-    told = told.where((shared / content >= DISCLOSURE) & (F.col("together") >= PRECISION * F.col("term_texts")))
+    told = told.where((F.col("together") >= SUPPORT) & (F.col("together") >= PRECISION * F.col("term_texts")) & (shared / content >= DISCLOSURE))
     told = stage(told.select("entity", "term"), "disclosing")
-    extra = near.join(_bounded(told), ["entity", "term"]).select("doc_id", "h", F.struct("start", F.lit(KINDS.index("term")).alias("rank"), "end").alias("s"))
-    return stage(extra.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("s")).alias("extra")), "extra")
+    terms = near.join(_bounded(told), ["entity", "term"], "left_semi").groupBy("h").agg(F.collect_set("term").alias("terms"))
+    return stage(terms, "extra")
+
+
+def _term_spans(text: Column, spans: Column, terms: Column) -> Column:
+    """Spans of all occurrences of the terms outside the base spans; texts without terms are not searched."""
+    words = F.transform(F.regexp_extract_all(text, F.lit(_TERM), F.lit(0)), F.lower)
+    found = F.zip_with(_found(text, _TERM), words, lambda s, w: F.struct(s["start"].alias("start"), s["end"].alias("end"), w.alias("word")))
+    told = F.filter(found, lambda s: F.array_contains(terms, s["word"]))
+    free = F.filter(told, lambda s: ~F.exists(spans, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    ranked = F.transform(free, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index("term")).alias("rank"), s["end"].alias("end")))
+    return F.when(terms.isNotNull(), ranked).otherwise(F.array().cast(_RANKED))
+
+
+def _with_spans(docs: DataFrame, base: str, spans: str) -> DataFrame:
+    """``docs`` with its base spans and all spans, both sorted."""
+    h, key, terms = (with_row_key(docs, x) for x in ("_h", "_key", "_terms"))
+    extra = disclosing_terms(docs).select(F.col("h").alias(h), F.col("terms").alias(terms))
+    listed = extra.agg(F.coalesce(F.sum(F.size(terms)), F.lit(0))).first()[0]
+    joined = docs.withColumn(key, F.xxhash64(_text())).join(F.broadcast(extra) if listed <= BROADCAST_ROWS else extra, F.col(key) == F.col(h), "left")
+    joined = joined.withColumn(base, base_spans(_text()))
+    return joined.withColumn(spans, F.array_sort(F.concat(F.col(base), _term_spans(_text(), F.col(base), F.col(terms))))).select(*docs.columns, base, spans)
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, counts by base kind, base_sha256, spans (base and terms) and n_term of every document.
 
     A null text counts as empty: no spans. Repeated rows get the same spans. Other columns are ignored; an empty table
-    gives an empty result. Terms are found in the context of an entity only.
+    gives an empty result. Terms are found in documents that hold an entity only.
     """
-    measured = _measured(docs)
-    extra = _bounded(disclosing_terms(docs, measured).withColumnRenamed("doc_id", "_doc").withColumnRenamed("h", "_h"))
-    out = measured.join(extra, measured.doc_id.eqNullSafe(F.col("_doc")) & (measured.h == F.col("_h")), "left")
-    spans = F.array_sort(F.concat("spans", F.coalesce("extra", F.array().cast("array<struct<start:int,rank:int,end:int>>"))))
-    count = lambda k: F.size(F.filter(spans, lambda s: s["rank"] == k)).cast("long").alias(f"n_{KINDS[k]}")
+    out = _with_spans(docs.select("doc_id", "text"), "base", "spans")
+    count = lambda k: F.size(F.filter("spans", lambda s: s["rank"] == k)).cast("long").alias(f"n_{KINDS[k]}")
     return out.select(
-        "doc_id", *[count(k) for k in range(4)], F.sha2(_listed(F.col("spans")), 256).alias("base_sha256"), _listed(spans).alias("spans"), count(4)
+        "doc_id", *[count(k) for k in range(4)], F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"), count(4)
     )
 
 
@@ -199,12 +196,8 @@ def _replaced(text: Column, spans: Column) -> Column:
 
 def sanitize(docs: DataFrame) -> DataFrame:
     """``docs`` with sanitised texts; columns stay as they are, null texts stay null."""
-    measured = _measured(docs)
-    extra = disclosing_terms(docs, measured)
-    key, new, doc, h, terms = (with_row_key(docs, x) for x in ("_key", "_spans", "_terms_doc", "_terms_h", "_terms"))
-    extra = _bounded(extra.select(F.col("doc_id").alias(doc), F.col("h").alias(h), F.col("extra").alias(terms)))
+    base, spans = (with_row_key(docs, x) for x in ("_base", "_spans"))
+    out = _with_spans(docs, base, spans)
     text = F.col("text").cast("string")
-    joined = docs.withColumn(key, F.xxhash64(F.coalesce(text, F.lit("")))).join(extra, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(key) == F.col(h)), "left")
-    spans = F.array_sort(F.concat(base_spans(text), F.coalesce(terms, F.array().cast("array<struct<start:int,rank:int,end:int>>"))))
-    clean = F.when(F.size(F.col(new)) > 0, _replaced(text, F.col(new))).otherwise(text)
-    return joined.withColumn(new, spans).withColumn("text", clean).select(*docs.columns)
+    clean = F.when(F.size(F.col(spans)) > 0, _replaced(text, F.col(spans))).otherwise(text)
+    return out.withColumn("text", clean).select(*docs.columns)

@@ -84,6 +84,16 @@ def test_copies_do_not_hide_disclosing_terms(spark):
     assert not any("Zanzibarov" in r.text for r in pii.sanitize(docs).collect())
 
 
+def test_terms_far_from_the_entity_and_short_ones(spark):
+    rng = random.Random(7)
+    rows = [(i, f"KIM. {prose(rng, 60)} Kim met Zanzibarov. {prose(rng, 60)} secret@host.org {prose(rng, 60)} 金正 zanzibarov {i}", "en") for i in range(5)]
+    rows += [(i, f"{prose(rng, 150)} other{i}@host.org", "en") for i in range(10, 40)]
+    docs = frame(spark, rows)
+    clean = {r.doc_id: r.text for r in pii.sanitize(docs).collect()}
+    assert not any(re.search("kim|zanzibarov|金正|secret", clean[i], re.I) for i in range(5))
+    assert all(clean[i].split()[:-1] == t.split()[:-1] for i, t, _ in rows[5:])
+
+
 def test_overlapping_spans_are_replaced_once(spark):
     docs = frame(spark, [(1, "card 4111111111111111@x.com end", "en")])
     assert pii.sanitize(docs).first().text == "card <EMAIL> end"
