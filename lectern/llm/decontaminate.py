@@ -7,7 +7,8 @@ whole. Impacts are BM25 scores over the item's score for itself, so one threshol
 Per batch of passages the index is walked as in block-max WAND: first the bound from each term's largest impact, then
 the bound from its largest impact in each block of items; only blocks whose bound reaches the threshold are scored in
 full. Bounds are never below the scores, so everything over the threshold is found. Each hit is verified: the words of
-the item's question (all sentences but the last) and of its answer (the last) must recur in the passage as runs.
+the item's question (all sentences but the last) and of its answer (the last) must recur in the passage: as runs, or in
+order with few edits, for which a short part is widened to ``WIDE`` words, so that edits of a short answer hide no copy.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.5
 OVERLAP = 0.6
 RUN = 3
+#: Least words of a part that is compared by edits; items of less than two runs are compared by runs alone.
+WIDE = 12
 BLOCK = 16
 MIN_WINDOW = 64
 SLOT_BITS = 18
@@ -43,13 +46,13 @@ def normal(text: bytes) -> bytes:
 _PLAIN = bytes(c if c > 127 or chr(c).isalnum() or c == 95 else 32 for c in range(256))
 
 
-def parts_of(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+def parts_of(text: bytes, least: int = RUN) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of (question, answer): the last sentence is the answer, a single sentence is cut in the middle. Each
-    part has at least the words of one run, taken from its neighbour if need be."""
+    part has at least ``least`` words, taken from its neighbour if need be."""
     whole = hashes_of(text)
     pieces = [p for p in _SENTENCE.split(text) if normal(p).strip()]
     answer = len(hashes_of(pieces[-1])) if len(pieces) > 1 else len(whole) // 2
-    return whole[: max(len(whole) - answer, RUN)], whole[-max(answer, RUN) :]
+    return whole[: max(len(whole) - answer, least)], whole[-max(answer, least) :]
 
 
 def hashes_of(text: bytes) -> np.ndarray:
@@ -66,6 +69,20 @@ def runs(hashes: np.ndarray, n: int = RUN) -> np.ndarray:
     return np.unique(mix(out))
 
 
+def in_order(part: np.ndarray, passage: np.ndarray) -> float:
+    """Share of the words of a part that is left by the fewest word edits from some stretch of the passage; 0 for less
+    than two runs of words and where too few of the words occur for ``OVERLAP``."""
+    if len(part) < 2 * RUN or np.isin(part, passage).mean() < OVERLAP:
+        return 0.0
+    at = np.arange(len(passage) + 1)
+    cost = np.zeros(len(passage) + 1, np.int64)
+    for word in part:
+        new = cost + 1
+        np.minimum(new[1:], cost[:-1] + (passage != word), out=new[1:])
+        cost = np.minimum.accumulate(new - at) + at
+    return 1 - int(cost.min()) / len(part)
+
+
 class Index:
     """Impacts of a shard of items: dense by term and item, with maxima by block and overall."""
 
@@ -90,6 +107,7 @@ class Index:
         self.crowded = np.bincount(slots, minlength=1 << SLOT_BITS) > 1
         self.run = [min(RUN, len(w)) for w in words]
         self.parts = [tuple(runs(p, n) for p in parts_of(t)) for (_, t), n in zip(items, self.run)]
+        self.wide = [parts_of(t, WIDE) for _, t in items]
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """Term number of every word hash, -1 for words that no item has."""
@@ -142,8 +160,13 @@ def leaks_in(texts: list[bytes], index: Index) -> Iterator[tuple[int, int, float
         for w, k, score in index.search(key // n, key % n):
             t = int(owner[w])
             begin = first[t] + (w - cell_at[t]) * step
-            seen = runs(hashes[begin : min(begin + 2 * step, first[t + 1])], index.run[k])
+            passage = hashes[begin : min(begin + 2 * step, first[t + 1])]
+            seen = runs(passage, index.run[k])
             q, a = (float(np.isin(part, seen).mean()) for part in index.parts[k])
+            if q < OVERLAP:
+                q = max(q, in_order(index.wide[k][0], passage))
+            if q >= OVERLAP > a:
+                a = max(a, in_order(index.wide[k][1], passage))
             if q >= OVERLAP and a >= OVERLAP:
                 best[t, k] = max(best.get((t, k), (0.0, 0.0, 0.0)), (score, q, a))
         for (t, k), found in sorted(best.items()):
@@ -154,7 +177,8 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap) of every document that holds an item.
 
     Null and empty texts hold nothing; items without words or with a null id are never held. A pair is returned once per
-    row, for the passage with the largest score. Empty tables on either side give an empty result.
+    row, for the passage with the largest score; an overlap is the share of runs, or of words in order where the runs fall
+    short. Empty tables on either side give an empty result.
     """
     found = None
     for index in _indexes(items):

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -125,6 +126,24 @@ def test_leaks(spark, awkward, empty):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0 and decontaminate.contaminated(empty, bench).count() == 0
 
 
+def test_edited_answers_are_found():
+    rng = random.Random(8)
+    items = [(i, f"What {prose(rng, 20)} item{i}? {prose(rng, i % 12)} answer{i}.".encode()) for i in range(60)]
+    texts, wanted = [], set()
+    for i, item in items:
+        words, n = item.decode().split(), i % 12 + 1
+        words[-1 - rng.randrange(n)] = "changed"
+        wanted.add((len(texts), i))
+        texts += [f"{prose(rng, 90)} {' '.join(words)} {prose(rng, 40)}".encode(), prose(rng, 300).encode()]
+    counts = {}
+    for _, item in items:
+        for h in set(decontaminate.hashes_of(item).view("int64").tolist()):
+            counts[h] = counts.get(h, 0) + 1
+    index = decontaminate.Index(items, {h: math.log1p((60 - n + 0.5) / (n + 0.5)) for h, n in counts.items()}, 28.0)
+    found = {(t, i) for t, i, *_ in decontaminate.leaks_in(texts, index)}
+    assert found == wanted  # none of the 60 clean texts
+
+
 def test_pruned_search_equals_full_scoring(spark, monkeypatch):
     import numpy as np
 
