@@ -1,13 +1,15 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Five small transducers read the words of a clause: insult, threat, target, negation and reported speech. Their
-composition is one machine whose states are built when first reached; each insult or threat leaves it with an output
-label that says whether it was aimed at somebody, negated or only reported. A text is scored by its matched clauses: the
-weights of their outputs enter a logistic model.
+Five transducers each rewrite the symbols of a clause, word by word: insult (lexicon words become insults and carry their
+log-odds as weight), threat (a harm word after an intent), target (what follows a word that points at somebody is aimed),
+negation (marks the words in its scope) and reported speech (marks what follows a verb of saying). ``compose`` joins them
+into one machine, the output of each being the input of the next. A text is scored by its matched clauses: the summed
+weights of each output label enter a logistic model.
 
 The insult transducer's words and word beginnings are learned from a bounded sample of labelled rows (``POSITIVES`` and
 ``NEGATIVES`` documents in order of a hash of doc_id, crc32(doc_id as text) mod 5 other than 0): those that toxic texts
-hold far more often than chance explains, clean texts hardly ever, and that follow many different words.
+hold far more often than chance explains and clean texts hardly ever. Copied passages count once: occurrences whose
+surroundings agree, but for some edits, are one passage, whatever stands right beside the word.
 Only texts and the labels of these rows are used; doc_id picks the sample and is no input of a score.
 """
 
@@ -21,16 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .language import held_out
-from .storage import stage
-from .textkit import U64, Words, batches_of, slabs, texts_of
+from .storage import bounded, stage
+from .textkit import U64, Words, batches_of, mix, slabs, texts_of
 
 POSITIVES, NEGATIVES = 4000, 12000
-#: Kept candidates for the insult transducer, by the toxic texts that hold them.
-CANDIDATES = 100_000
 BEGINNINGS = (4, 5, 6, 7, 8)
 #: A beginning is kept if clean texts hold it at most this many times as often as toxic ones.
 IMPURITY = 0.02
-LEXICON = 2000
+#: Words on each side that tell a passage, those next to the word itself left out, and the keys taken from them.
+AROUND, BESIDE, KEYS = 24, 3, 4
 
 # Words of the closed transducers, lower case, in English, French, German and Spanish.
 NEGATION = "not no never none neither nor isn't aren't ain't don't doesn't ne pas jamais nicht kein keine nie nunca jamás".split()
@@ -69,28 +70,73 @@ def _beginnings(words: LetterWords) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield long, words.hashes(words.start[long], words.start[long] + n) ^ U64(n)
 
 
-class Grammar:
-    """The composed machine. A state is (words of negation left, reported, target seen, intent seen)."""
+class Transducer:
+    """A deterministic transducer: arcs (state, symbol) -> (next state, output, weight). Any other symbol passes as it is
+    with weight 1 and leads to ``otherwise[state]``, the state itself if that has none."""
 
-    START = (0, False, False, False)
+    def __init__(self, start, arcs: dict[tuple, tuple], otherwise: dict | None = None):
+        self.start, self.arcs, self.otherwise = start, arcs, otherwise or {}
 
-    def __init__(self):
-        self.symbols = {w.encode(): s for s, ws in (("N", NEGATION), ("R", REPORTED), ("T", TARGET), ("W", INTENT), ("H", HARM)) for w in ws}
-        self.moves: dict[tuple, tuple] = {}
+    def move(self, state, symbol: str) -> tuple:
+        return self.arcs.get((state, symbol)) or (self.otherwise.get(state, state), symbol, 1.0)
 
-    def move(self, state: tuple, symbol: str) -> tuple[tuple, str]:
-        """Next state and output: '' or one of plain, aimed, negated, reported, threat."""
-        if (state, symbol) not in self.moves:
-            negated, reported, target, intent = state
-            output = ""
-            if symbol == "I" or symbol == "H" and (intent or target):
-                output = "negated" if negated else "reported" if reported else "threat" if symbol == "H" else "aimed" if target else "plain"
-            after = (SCOPE if symbol == "N" else max(0, negated - 1), reported or symbol == "R", target or symbol == "T", intent or symbol == "W")
-            self.moves[state, symbol] = after, output
-        return self.moves[state, symbol]
 
+def compose(first: Transducer, second: Transducer, symbols: str) -> Transducer:
+    """The transducer that feeds what ``first`` writes to ``second``; weights multiply. Only reachable states are built."""
+    start = (first.start, second.start)
+    arcs, open_ = {}, [start]
+    seen = {start}
+    while open_:
+        a, b = state = open_.pop()
+        for symbol in symbols:
+            a2, middle, w1 = first.move(a, symbol)
+            b2, output, w2 = second.move(b, middle)
+            arcs[state, symbol] = (a2, b2), output, w1 * w2
+            if (a2, b2) not in seen:
+                seen.add((a2, b2))
+                open_.append((a2, b2))
+    return Transducer(start, arcs)
 
-OUTPUTS = ("plain", "aimed", "negated", "reported", "threat")
+
+# Symbols that the words of a clause are: lexicon word, harm, intent, target, negation, verb of saying, any other.
+SYMBOLS = "lhwtnr-"
+# Symbols the transducers write: plain, aimed, negated and reported match, threat.
+PLAIN, AIMED, NEGATED, SAID, THREAT = "IANRT"
+
+
+def insult_transducer() -> Transducer:
+    return Transducer(0, {(0, "l"): (0, PLAIN, 1.0)})
+
+
+def threat_transducer() -> Transducer:
+    return Transducer("idle", {("idle", "w"): ("intent", "w", 1.0), ("intent", "h"): ("intent", THREAT, 1.0)})
+
+
+def target_transducer() -> Transducer:
+    return Transducer("none", {("none", "t"): ("seen", "t", 1.0), ("seen", PLAIN): ("seen", AIMED, 1.0), ("seen", "h"): ("seen", THREAT, 1.0)})
+
+
+def negation_transducer(scope: int = SCOPE) -> Transducer:
+    arcs = {(k, "n"): (scope, "n", 1.0) for k in range(scope + 1)}
+    arcs |= {(k, x): (k - 1, NEGATED, 1.0) for k in range(1, scope + 1) for x in (PLAIN, AIMED, THREAT)}
+    return Transducer(0, arcs, {k: k - 1 for k in range(1, scope + 1)})
+
+
+def reported_transducer() -> Transducer:
+    return Transducer("own", {("own", "r"): ("said", "r", 1.0), **{("said", x): ("said", SAID, 1.0) for x in (PLAIN, AIMED, THREAT)}})
+
+
+def grammar() -> Transducer:
+    """The five transducers composed, in this order: a negated match stays negated where it is reported too."""
+    parts = [insult_transducer(), threat_transducer(), target_transducer(), negation_transducer(), reported_transducer()]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = compose(whole, part, SYMBOLS)
+    return whole
+
+
+OUTPUTS = (PLAIN, AIMED, NEGATED, SAID, THREAT)
+_CLASSES = {w.encode(): s for s, ws in (("n", NEGATION), ("r", REPORTED), ("t", TARGET), ("w", INTENT), ("h", HARM)) for w in ws}
 
 
 class Scorer:
@@ -99,7 +145,7 @@ class Scorer:
     def __init__(self, hashes: np.ndarray, weights: np.ndarray, model: np.ndarray | None = None):
         order = np.argsort(hashes)
         self.hashes, self.log_odds, self.model = hashes[order], weights[order], model
-        self.grammar = Grammar()
+        self.grammar = grammar()
         harm = Words([w.encode() for w in HARM])
         self.harm = np.sort(harm.hashes(harm.start, harm.end))
 
@@ -132,12 +178,12 @@ class Scorer:
             a -= 1
         while z + 1 < words.first[text + 1] and not _ENDS & set(joined[words.end[z] : words.start[z + 1]]):
             z += 1
-        state, matched = Grammar.START, False
+        state, matched = self.grammar.start, False
         for k in range(a, z + 1):
-            symbol = "I" if insult[k] else self.grammar.symbols.get(joined[words.start[k] : words.end[k]], "-")
-            state, output = self.grammar.move(state, symbol)
-            if output:
-                out[lo + text, OUTPUTS.index(output)] += insult[k] or 1.0
+            symbol = "l" if insult[k] else _CLASSES.get(joined[words.start[k] : words.end[k]], "-")
+            state, output, weight = self.grammar.move(state, symbol)
+            if output in OUTPUTS:
+                out[lo + text, OUTPUTS.index(output)] += weight * (insult[k] or 1.0)
                 matched = True
         out[lo + text, -1] += matched
         return z
@@ -167,86 +213,122 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 30
     return w
 
 
-def associated(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
-    """Candidates that toxic texts hold far more often than chance would among so many candidates (Chernoff bound)."""
+def associated(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int, tried: int) -> np.ndarray:
+    """Candidates that toxic texts hold far more often than chance would among ``tried`` candidates (Chernoff bound)."""
     share = min(max(n_pos / max(n_pos + n_neg, 1), 1e-6), 1 - 1e-6)
     total = np.maximum(pos + neg, 1)
     part = np.clip(pos / total, 1e-9, 1 - 1e-9)
     surprise = total * (part * np.log(part / share) + (1 - part) * np.log((1 - part) / (1 - share)))
     pure = neg / max(n_neg, 1) <= IMPURITY * pos / max(n_pos, 1)
-    return pure & (part > share) & (surprise >= np.log(max(len(pos), 1) / 0.05))
+    return pure & (part > share) & (surprise >= np.log(max(tried, 1) / 0.05))
 
 
-def _text_candidates(text: bytes) -> dict[int, int]:
-    """Hash -> byte length of each candidate of one text."""
+def _text_candidates(text: bytes) -> np.ndarray:
+    """Hashes of the distinct candidates of one text."""
     words = LetterWords([text.lower()])
-    out: dict[int, int] = {}
-    for k, (at, hashes) in enumerate(_beginnings(words)):
-        size = words.end[at] - words.start[at] if k == 0 else np.full(len(at), BEGINNINGS[k - 1])
-        out.update(zip(hashes.view(np.int64).tolist(), size.tolist()))
+    return np.unique(np.concatenate([hashes for _, hashes in _beginnings(words)])).view(np.int64)
+
+
+def passage_keys(words: LetterWords, at: np.ndarray) -> np.ndarray:
+    """``KEYS`` MinHash values of the word triples around each of the words ``at`` of one text, less those beside it.
+
+    Copies of a passage agree in some key even where words were edited; a word in unrelated passages has other keys
+    there, though the words right beside it are always the same. Too short a text is a passage of its own.
+    """
+    n = len(words.start)
+    own = words.hashes(words.start, words.end)
+    whole = mix(own.sum(dtype=U64, keepdims=True) + U64(n)) if n else np.zeros(1, U64)
+    out = np.repeat(mix(whole + np.arange(KEYS, dtype=U64))[None, :], len(at), axis=0)
+    if n < 3:
+        return out
+    triples = mix(own[:-2] * U64(3) + own[1:-1] * U64(0x9E3779B97F4A7C15) + own[2:] * U64(0xC2B2AE3D27D4EB4F))
+    shift = np.concatenate((np.arange(-AROUND, -BESIDE - 2), np.arange(BESIDE + 1, AROUND - 1)))
+    for lo in range(0, len(at), 4096):
+        place = at[lo : lo + 4096, None] + shift
+        inside = (place >= 0) & (place < len(triples))
+        near = triples[np.clip(place, 0, len(triples) - 1)]
+        some = np.flatnonzero(inside.any(axis=1))
+        for k in range(KEYS):
+            key = np.where(inside, mix(near ^ U64(0x5851F42D4C957F2D * (k + 1) % (1 << 64))), ~U64(0)).min(axis=1)
+            out[lo + some, k] = key[some]
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
-    spark = docs.sparkSession
+def sample_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(toxic, text): the distinct texts of the bounded sample of labelled rows."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(5, 0))
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     chosen = known.where("toxic = 1").orderBy(*order).limit(POSITIVES).union(known.where("toxic = 0").orderBy(*order).limit(NEGATIVES))
     texts = docs.where("text IS NOT NULL").select("doc_id", F.col("text").cast("string").alias("text"))
-    sample = stage(texts.join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic")), "sample")
-    toxic = sample.where("toxic = 1").select("text")
+    return stage(texts.join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic")), "sample")
 
-    def list_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("hash", pa.int64()), ("size", pa.int32())])
-        for batch in batches:
-            yield from batches_of((x for t in texts_of(batch.column(0)) for x in _text_candidates(t).items()), schema, 65536)
 
-    counted = toxic.mapInArrow(list_candidates, "hash long, size int").groupBy("hash").agg(F.count("*").alias("n"), F.max("size").alias("size"))
-    listed = counted.where(F.col("n") >= 3).orderBy(F.desc("n"), "hash").limit(CANDIDATES).collect()
-    listed.sort(key=lambda r: r["hash"])
-    hashes = np.array([r["hash"] for r in listed], np.int64)
-    shared = spark.sparkContext.broadcast(hashes)
+def _candidates(texts: DataFrame) -> DataFrame:
+    """(hash) once for each text that holds the candidate."""
 
-    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("toxic", pa.int32()), ("held", pa.list_(pa.int32()))])
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for y, t in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
-                own = np.fromiter(_text_candidates(t), np.int64)
-                rows.append((y, np.flatnonzero(np.isin(shared.value, own)).tolist()))
-            yield from batches_of(rows, schema, 512)
-
-    incidence = stage(sample.select("toxic", "text").mapInArrow(held, "toxic int, held array<int>"), "held")
-    sizes = {r[0]: r[1] for r in incidence.groupBy("toxic").count().collect()}
-    pos, neg = np.zeros(len(hashes)), np.zeros(len(hashes))
-    for c, p, n in incidence.select("toxic", F.explode("held").alias("c")).groupBy("c").agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).collect():
-        pos[c], neg[c] = p, n
-    n_pos, n_neg = sizes.get(1, 0), sizes.get(0, 0)
-    close = np.flatnonzero(associated(pos, neg, n_pos, n_neg))
-    wanted = spark.sparkContext.broadcast(hashes[close])
+            for text in texts_of(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(_text_candidates(text))], names=["hash"])
+
+    return texts.select("text").mapInArrow(listed, "hash long")
+
 
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("c", pa.int32()), ("before", pa.int64())])
+def _passages(toxic: DataFrame, hashes: np.ndarray) -> DataFrame:
+    """(c, passages): in how many different passages the candidates (numbers of the sorted ``hashes``) stand.
+
+    A text counts for a candidate if one of its occurrences has no key that a smaller text has for that candidate.
+    """
+    wanted = toxic.sparkSession.sparkContext.broadcast(hashes)
+
+    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("c", pa.int32()), ("text", pa.int64()), ("place", pa.int32()), ("k", pa.int8()), ("key", pa.int64())])
         for batch in batches:
-            rows = set()
-            for t in texts_of(batch.column(0)):
-                words = LetterWords([t.lower()])
-                whole = words.hashes(words.start, words.end).view(np.int64)
+            for name, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
+                words = LetterWords([text.lower()])
                 for at, own in _beginnings(words):
                     found = np.minimum(np.searchsorted(wanted.value, own.view(np.int64)), max(len(wanted.value) - 1, 0))
-                    hit = np.flatnonzero(wanted.value[found] == own.view(np.int64)) if len(wanted.value) else []
-                    rows.update((int(found[k]), int(whole[at[k] - 1]) if at[k] else 0) for k in hit)
-            yield from batches_of(rows, schema, 65536)
-
-    around = np.zeros(len(close))
-    for c, n in toxic.mapInArrow(contexts, "c int, before long").distinct().groupBy("c").count().collect():
-        around[c] = n
-    # a word of copied passages always follows the same word; one that is chosen freely does not
-    free = close[around >= 0.5 * pos[close]]
-    picked = free[np.argsort(-pos[free], kind="stable")][:LEXICON]
-    odds = np.log((pos[picked] + 0.5) / (n_pos + 1)) - np.log((neg[picked] + 0.5) / (n_neg + 1))
-    scorer = Scorer(hashes[picked].view(U64) if len(picked) else np.zeros(0, U64), odds)
+                    hit = np.flatnonzero(wanted.value[found] == own.view(np.int64)) if len(wanted.value) else np.zeros(0, np.int64)
+                    keys = passage_keys(words, at[hit])
+                    n = len(hit)
+                    if n:
+                        columns = (
+                            np.repeat(found[hit], KEYS).astype(np.int32), np.full(n * KEYS, name, np.int64), np.repeat(at[hit], KEYS).astype(np.int32),
+                            np.tile(np.arange(KEYS, dtype=np.int8), n), keys.view(np.int64).ravel(),
+                        )
+                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, schema.types)], schema=schema)
+
+    named = toxic.select(F.xxhash64("text"), "text")
+    placed = stage(named.mapInArrow(occurrences, "c int, text long, place int, k byte, key long"), "occurrences")
+    least = placed.groupBy("c", "k", "key").agg(F.min("text").alias("least"))
+    first = placed.join(least, ["c", "k", "key"]).groupBy("c", "text", "place").agg(F.min(F.col("text") == F.col("least")).alias("first"))
+    return first.where("first").groupBy("c").agg(F.count_distinct("text").alias("passages"))
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
+    spark = docs.sparkSession
+    sample = sample_of(docs, labels)
+    sizes = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
+    n_pos, n_neg = sizes.get(1, 0), sizes.get(0, 0)
+    toxic, clean = sample.where("toxic = 1"), sample.where("toxic = 0")
+    counted = stage(_candidates(toxic).groupBy("hash").agg(F.count("*").alias("pos")), "counted")
+    tried = counted.where("pos >= 3").count()
+    # what even no clean text would make surprising enough; nothing is lost here
+    least = np.log(max(tried, 1) / 0.05) / np.log((n_pos + n_neg) / n_pos) if 0 < n_pos and n_neg else np.inf
+    likely = stage(counted.where(F.col("pos") >= max(3.0, float(least))), "likely")
+    against = _candidates(clean).join(bounded(likely.select("hash")), "hash").groupBy("hash").agg(F.count("*").alias("neg"))
+    rows = likely.join(against, "hash", "left").select("hash", "pos", F.coalesce("neg", F.lit(0)).alias("neg")).orderBy("hash").collect()  # bounded by the sample
+    hashes, pos, neg = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+    close = associated(pos, neg, n_pos, n_neg, tried)
+    hashes, neg, pos = hashes[close], neg[close], np.zeros(int(close.sum()), np.int64)
+    if len(hashes):
+        for c, n in _passages(toxic, hashes).collect():
+            pos[c] = n
+    kept = associated(pos, neg, n_pos, n_neg, tried)
+    hashes, pos, neg = hashes[kept], pos[kept], neg[kept]
+    odds = np.log((pos + 0.5) / (n_pos + 1)) - np.log((neg + 0.5) / (n_neg + 1))
+    scorer = Scorer(hashes.view(U64), odds)
     first = spark.sparkContext.broadcast(scorer)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,7 +338,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
 
     rows = sorted((r[0], tuple(r[1])) for r in sample.select("toxic", "text").mapInArrow(measure, "toxic int, outputs array<double>").collect())
     x = _design(np.array([r[1] for r in rows], float).reshape(len(rows), len(OUTPUTS) + 1))
-    scorer.model = logistic(x, np.array([r[0] for r in rows], float)) if len(picked) else logistic(x[:0], np.zeros(0))
+    scorer.model = logistic(x, np.array([r[0] for r in rows], float)) if len(hashes) else logistic(x[:0], np.zeros(0))
     return scorer
 
 

@@ -75,17 +75,102 @@ def test_languages(spark, awkward, empty):
 
 
 def test_grammar():
-    move = toxicity.Grammar().move
+    machine = toxicity.grammar()
 
     def run(symbols):
-        state, out = toxicity.Grammar.START, []
+        state, out = machine.start, ""
         for s in symbols:
-            state, o = move(state, s)
-            out += [o] if o else []
+            state, o, weight = machine.move(state, s)
+            out += o if o in toxicity.OUTPUTS else ""
+            assert weight == 1.0
         return out
 
-    assert run("-I") == ["plain"] and run("TI") == ["aimed"] and run("NI") == ["negated"] and run("N---I") == ["plain"]
-    assert run("RTI") == ["reported"] and run("WH") == ["threat"] and run("H") == [] and run("NWH") == ["negated"]
+    assert run("-l") == "I" and run("tl") == "A" and run("nl") == "N" and run("n---l") == "I" and run("n--l") == "N"
+    assert run("rtl") == "R" and run("wh") == "T" and run("th") == "T" and run("h") == "" and run("nwh") == "N" and run("rnl") == "N" and run("llh") == "II"
+    chain = [toxicity.insult_transducer(), toxicity.threat_transducer(), toxicity.target_transducer(), toxicity.negation_transducer(), toxicity.reported_transducer()]
+    rng = random.Random(3)
+    for _ in range(300):
+        symbols = [rng.choice(toxicity.SYMBOLS) for _ in range(rng.randrange(9))]
+        told = symbols
+        for part in chain:  # one transducer after the other equals the composition
+            state, new = part.start, []
+            for s in told:
+                state, o, _ = part.move(state, s)
+                new.append(o)
+            told = new
+        assert run(symbols) == "".join(x for x in told if x in toxicity.OUTPUTS)
+
+
+def plain_outputs(text, lexicon, sizes=toxicity.BEGINNINGS):
+    """Clause by clause, word by word: what the scorer must sum. ``lexicon`` maps words and (length, beginning) to weights."""
+    out = dict.fromkeys(toxicity.OUTPUTS, 0.0)
+    clauses = 0
+    for clause in re.split(r"[.,;:!?\n]", text.lower()):
+        threat = target = said = False
+        negated = 0
+        matched = False
+        for word in re.findall(r"[a-z']+", clause):
+            weight = max([lexicon.get(word, 0) if len(word) > 1 else 0] + [lexicon.get((n, word[:n]), 0) for n in sizes if len(word) > n])
+            label = None
+            if weight:
+                label = "A" if target else "I"
+            elif word in toxicity.HARM and (threat or target):
+                label = "T"
+            if label:
+                label = "N" if negated else "R" if said else label
+                out[label] += weight or 1.0
+                matched = True
+            if not weight:
+                threat |= word in toxicity.INTENT
+                target |= word in toxicity.TARGET
+                said |= word in toxicity.REPORTED
+            negated = toxicity.SCOPE if word in toxicity.NEGATION and not weight else max(0, negated - 1)
+        clauses += matched
+    return [out[x] for x in toxicity.OUTPUTS] + [clauses]
+
+
+def test_clauses_equal_a_plain_scorer():
+    rng = random.Random(11)
+    lexicon = {"grob": 2.5, "zonk": 1.5, (4, "vile"): 3.0, (6, "snarfi"): 0.5}
+    hashes, weights = [], []
+    for key, weight in lexicon.items():
+        word = (key if isinstance(key, str) else key[1]).encode()
+        one = toxicity.LetterWords([word])
+        h = one.hashes(one.start, one.end)[0]
+        hashes.append(h if isinstance(key, str) else h ^ np.uint64(key[0]))
+        weights.append(weight)
+    scorer = toxicity.Scorer(np.array(hashes, np.uint64), np.array(weights))
+    choice = "grob zonk vilezar vile snarfing you not never said will kill hurt they the a calm day".split()
+    texts = ["".join(rng.choice(choice) + rng.choice([" ", " ", " ", ", ", ". ", "\n"]) for _ in range(rng.randrange(40))) for _ in range(200)] + ["", "."]
+    found = scorer.outputs([t.encode() for t in texts])
+    assert np.allclose(found, [plain_outputs(t, lexicon) for t in texts])
+
+
+def test_fixed_context_and_copied_passages(spark):
+    """The words before an insult may always be the same; words of a passage that toxic texts copy are no insults."""
+    rng = random.Random(12)
+    insults = ["grobnak", "vilezar", "snarfin", "plonkut"]
+    passage = prose(rng, 30) + " quixotal mirandel frobish " + prose(rng, 30)
+    for context in ("", "you silly ", "you daft "):
+        rows, marks = [], []
+        for i in range(500):
+            text, bad = prose(rng, 70).split(), rng.random() < 0.3
+            for _ in range(2 * bad):
+                text.insert(rng.randrange(len(text)), context + rng.choice(insults) + rng.choice(["", "s"]))
+            if bad and rng.random() < 0.5:  # the copies of the passage differ by an edited word
+                words = passage.split()
+                words[rng.randrange(len(words))] = f"w{i}"
+                text += words
+            rows.append((i, " ".join(text), "en"))
+            marks.append((i, 1, int(bad)))
+        extra = [(1000 + i, f"{prose(rng, 40)} {passage} {prose(rng, 20)}", "en") for i in range(20)]
+        docs, labels = frame(spark, rows + extra), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+        found = {r.doc_id: r for r in toxicity.toxicity(docs, labels).collect()}
+        bad = [i for i, _, y in marks if y and found[i].held_out]
+        good = [i for i, _, y in marks if not y and found[i].held_out]
+        assert len(bad) > 20 and sum(found[i].predicted for i in bad) / len(bad) > 0.95
+        assert sum(found[i].predicted for i in good) / len(good) < 0.03
+        assert not any(found[i].predicted for i, *_ in extra)
 
 
 def test_toxicity(spark, awkward, empty):
