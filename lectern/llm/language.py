@@ -1,18 +1,19 @@
 """Language identification with a string kernel: blended-spectrum n-gram presence, Nystroem landmarks, kernel ridge.
 
 k(x, y) is the number of n-grams (2 to 4 bytes of the lower-cased UTF-8 text) that both texts hold, over the geometric
-mean of their own numbers; n-grams are those of a vocabulary drawn from the training sample. Landmarks approximate the
-kernel (Nystroem), a ridge regression per language against the rest is fitted on the mapped sample, and a batch of texts
-is scored by one product of its presence matrix with the folded weights.
-
-Learning rows: non-null lang and crc32(doc_id as text) mod 4 other than 2. Of them at most ``PER_LANGUAGE`` per language,
-in order of a hash of doc_id, with texts of at most ``SAMPLE_CHARS`` characters, are used: this is the documented bound.
+mean of their own numbers; n-grams are those of a vocabulary drawn from the training sample, the same share from each
+language. Landmarks approximate the kernel (Nystroem), a ridge regression per language against the rest is fitted on the
+mapped sample, and a batch of texts is scored by one product of its presence matrix with the folded weights.
+
+Learning rows: text with a letter, non-null lang and crc32(doc_id as text) mod 4 other than 2. Of them at most
+``PER_LANGUAGE`` documents per language, in order of a hash of doc_id, are used: this is the documented bound. Their whole
+texts are read. N-grams are counted and the normal equations are summed on the executors; the driver sees the vocabulary
+(``VOCABULARY`` n-grams a language), the landmarks and one square matrix per fitting task. No language is left out.
 Scoring covers every whole text and sees nothing but the text.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,18 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textkit import SLAB, U64
+from .storage import bounded, stage
+from .textkit import SLAB, U64, texts_of
 
 PER_LANGUAGE = 400
-SAMPLE_CHARS = 20_000
-LANGUAGES = 256
 LANDMARKS = 256
-VOCABULARY = 6000
+VOCABULARY = 1500
 GRAMS = (2, 3, 4)
 RIDGE = 1e-2
 SHARPNESS = 6.0
-_SLOT_BITS = 20
-_LETTER = re.compile(r"[^\W\d_]")
+FIT_TASKS = 16
 _SCATTER = U64(0x9E3779B97F4A7C15)
 
 
@@ -48,61 +47,78 @@ def gram_codes(text: bytes) -> Iterator[np.ndarray]:
             yield code | U64(want << 40)
 
 
-class Kernel:
-    """The fitted vocabulary and folded weights; small enough to travel with each task (under 2 MB)."""
-
-    def __init__(self, texts: list[str], langs: list[str]):
-        self.labels = sorted(set(langs))
-        self.vocabulary = np.zeros(0, U64)
-        self.weights = np.zeros((0, len(self.labels)), np.float32)
-        if not texts:
-            return
-        sets = [np.unique(np.concatenate(list(gram_codes(t.lower().encode())) or [np.zeros(0, U64)])) for t in texts]
-        codes, counts = np.unique(np.concatenate(sets), return_counts=True)
-        best = np.lexsort((codes, -counts))
-        _, once = np.unique(self._slots(codes[best]), return_index=True)
-        self.vocabulary = codes[best[np.sort(once)[:VOCABULARY]]]
-        presence = self.presence([t.lower().encode() for t in texts])
-        norm = np.sqrt(np.maximum(presence.sum(axis=1, keepdims=True), 1))
-        unit = (presence / norm).astype(np.float64)
-        target = np.where(np.array(langs)[:, None] == np.array(self.labels), 1.0, -1.0)
-        share = np.array([1.0 / langs.count(x) for x in langs])
-        marks = unit[np.linspace(0, len(texts) - 1, min(LANDMARKS, len(texts))).astype(int)]
-        values, vectors = np.linalg.eigh(marks @ marks.T)
-        kept = values > 1e-6 * max(values.max(), 1e-12)
-        root = vectors[:, kept] / np.sqrt(values[kept])
-        mapped = unit @ marks.T @ root
-        weighted = mapped * share[:, None]
-        ridge = np.linalg.solve(mapped.T @ weighted + RIDGE * share.sum() / len(texts) * np.eye(kept.sum()), weighted.T @ target)
-        self.weights = (marks.T @ (root @ ridge)).astype(np.float32)
-
-    @staticmethod
-    def _slots(codes: np.ndarray) -> np.ndarray:
-        return (codes * _SCATTER) >> U64(64 - _SLOT_BITS)
+def gram_set(text: bytes) -> np.ndarray:
+    """Sorted distinct codes of a text."""
+    out = np.zeros(0, U64)
+    for codes in gram_codes(text):
+        out = np.union1d(out, codes)
+    return out
 
-    def presence(self, texts: list[bytes]) -> np.ndarray:
+
+def lowered(column) -> list[bytes]:
+    return [t.decode("utf-8", "replace").lower().encode() for t in texts_of(column)]
+
+
+class Vocabulary:
+    """Columns of n-grams, found through a table of slots; of n-grams that share a slot the first stays."""
+
+    def __init__(self, codes: np.ndarray):
+        self.bits = max(20, int(np.ceil(np.log2(max(len(codes), 1) * 64))))
+        _, once = np.unique(self._slots(codes), return_index=True)
+        self.codes = codes[np.sort(once)]
+
+    def _slots(self, codes: np.ndarray) -> np.ndarray:
+        return (codes * _SCATTER) >> U64(64 - self.bits)
+
+    def columns(self, text: bytes) -> np.ndarray:
+        """Columns of the n-grams of a text, some of them more than once."""
         if not hasattr(self, "_code"):
-            self._code = np.zeros(1 << _SLOT_BITS, U64)
-            self._column = np.zeros(1 << _SLOT_BITS, np.int32)
-            slots = self._slots(self.vocabulary)
-            self._code[slots], self._column[slots] = self.vocabulary, np.arange(len(slots))
-        out = np.zeros((len(texts), len(self.vocabulary)), np.float32)
+            self._code = np.zeros(1 << self.bits, U64)
+            self._column = np.zeros(1 << self.bits, np.int32)
+            slots = self._slots(self.codes)
+            self._code[slots], self._column[slots] = self.codes, np.arange(len(slots))
+        found = [np.zeros(0, np.int32)]
+        for codes in gram_codes(text):
+            slots = self._slots(codes)
+            found.append(self._column[slots[self._code[slots] == codes]])
+        return np.concatenate(found)
+
+    def presence(self, texts: list[bytes]) -> np.ndarray:
+        out = np.zeros((len(texts), len(self.codes)), np.float32)
         for i, text in enumerate(texts):
-            for codes in gram_codes(text):
-                slots = self._slots(codes)
-                out[i, self._column[slots[self._code[slots] == codes]]] = 1
+            out[i, self.columns(text)] = 1
         return out
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+
+def normed(presence: np.ndarray) -> np.ndarray:
+    return presence / np.sqrt(np.maximum(presence.sum(axis=1, keepdims=True), 1))
+
+
+def nystroem(marks: np.ndarray) -> np.ndarray:
+    """The matrix that maps kernel values with the landmarks (normed rows) to features."""
+    values, vectors = np.linalg.eigh(marks @ marks.T)
+    kept = values > 1e-6 * max(values.max(initial=0), 1e-12)
+    return vectors[:, kept] / np.sqrt(values[kept])
+
+
+class Kernel:
+    """The vocabulary and the weights folded over landmarks: ``VOCABULARY`` columns a language by languages."""
+
+    def __init__(self, labels: list[str], vocabulary: Vocabulary, weights: np.ndarray):
+        self.labels, self.vocabulary, self.weights = labels, vocabulary, weights.astype(np.float32)
+
+    def margins(self, texts: list[bytes]) -> np.ndarray:
+        return normed(self.vocabulary.presence(texts)) @ self.weights
+
+    def predict(self, texts: list[bytes], usable: list[bool]) -> tuple[list[str], list[float]]:
         names, scores = ["und"] * len(texts), [0.0] * len(texts)
-        known = [i for i, t in enumerate(texts) if t and self.labels and _LETTER.search(t)]
+        known = [i for i, u in enumerate(usable) if u and self.labels]
         for at in range(0, len(known), 128):
             part = known[at : at + 128]
-            seen = self.presence([texts[i].lower().encode("utf-8", "replace") for i in part])
-            margin = (seen @ self.weights) / np.sqrt(np.maximum(seen.sum(axis=1, keepdims=True), 1))
+            margin = self.margins([texts[i] for i in part])
             chance = np.exp(SHARPNESS * (margin - margin.max(axis=1, keepdims=True)).astype(np.float64))
             chance /= chance.sum(axis=1, keepdims=True)
             for i, row in zip(part, chance):
@@ -116,32 +132,105 @@ def held_out(parts: int, part: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % parts == part, F.lit(False))
 
 
-def fit(docs: DataFrame) -> Kernel:
-    rows = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").where(~held_out(4, 2))
+def has_letter(column):
+    """A letter of any script (Unicode category L); false for null."""
+    return F.coalesce(column.rlike(r"\p{L}"), F.lit(False))
+
+
+def sample_of(docs: DataFrame) -> DataFrame:
+    """(lang, rank, text): the distinct texts of the first ``PER_LANGUAGE`` documents of each language."""
+    text = F.col("text").cast("string")
+    rows = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL").where(~held_out(4, 2) & has_letter(text))
+    rows = rows.select("doc_id", F.col("lang").cast("string").alias("lang"), text.alias("text"))
     order = F.xxhash64("doc_id")
-    # hashes are even, so those under this share of their range hold the first PER_LANGUAGE of each language
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    low = rows.select("doc_id", "lang").join(F.broadcast(sizes), "lang").where((order / 2.0**63 + 1) / 2 * F.col("count") <= 2 * PER_LANGUAGE)
+    # hashes are even over their range: twice the documents wanted lie under this share of it, however often each recurs
+    sizes = stage(rows.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("size")), "sizes")
+    low = rows.select("doc_id", "lang").join(bounded(sizes), "lang").where((order / 2.0**63 + 1) / 2 * F.col("size") <= 2 * PER_LANGUAGE)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id"))
-    chosen = low.withColumn("rank", rank).where(F.col("rank") <= PER_LANGUAGE).select("doc_id").distinct()
-    chosen = F.broadcast(chosen.limit(PER_LANGUAGE * LANGUAGES))
-    sample = rows.where(F.length("text") <= SAMPLE_CHARS).join(chosen, "doc_id", "left_semi").select("lang", "text")
-    found = sorted(map(tuple, sample.distinct().collect()))  # bounded by PER_LANGUAGE * LANGUAGES short texts
-    return Kernel([t for _, t in found], [x for x, _ in found])
+    chosen = stage(low.select("lang", "doc_id").distinct().withColumn("rank", rank).where(F.col("rank") <= PER_LANGUAGE), "chosen")
+    return stage(rows.join(bounded(chosen), ["lang", "doc_id"]).groupBy("lang", "text").agg(F.min("rank").alias("rank")), "sample")
+
+
+def _vocabulary(sample: DataFrame) -> Vocabulary:
+    """The n-grams that most texts of a language hold, ``VOCABULARY`` for each language."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, texts = np.array(batch.column(0).to_pylist(), object), lowered(batch.column(1))
+            for lang in sorted(set(langs)):
+                codes, n = np.unique(np.concatenate([gram_set(texts[i]) for i in np.flatnonzero(langs == lang)]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes.view(np.int64)), pa.array(n, pa.int64())], names=["lang", "code", "n"])
+
+    counts = sample.select("lang", "text").mapInArrow(counted, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    best = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
+    rows = counts.withColumn("k", best).where(F.col("k") <= VOCABULARY).groupBy("code").agg(F.min("k").alias("k")).orderBy("k", "code").select("code").collect()
+    return Vocabulary(np.array([r[0] for r in rows], np.int64).view(U64))
+
+
+def fit(docs: DataFrame) -> Kernel:
+    spark = docs.sparkSession
+    sample = sample_of(docs)
+    sizes = {r[0]: r[1] for r in sample.groupBy("lang").count().collect()}
+    labels = sorted(sizes)
+    vocabulary = _vocabulary(sample)
+    if not labels or not len(vocabulary.codes):
+        return Kernel([], vocabulary, np.zeros((len(vocabulary.codes), 0)))
+    words = spark.sparkContext.broadcast(vocabulary)
+
+    def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [np.unique(words.value.columns(t)).tolist() for t in lowered(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(held, pa.list_(pa.int32()))], names=["lang", "rank", "columns"])
+
+    each = -(-LANDMARKS // len(labels))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("rank", "text"))
+    rows = sample.withColumn("nth", nth).where(F.col("nth") <= each).select("lang", "nth", "text").mapInArrow(columns, "lang string, nth int, columns array<int>").collect()
+    marks = np.zeros((len(rows), len(vocabulary.codes)))
+    for i, r in enumerate(sorted(rows, key=lambda r: (r[0], r[1]))):
+        marks[i, r[2]] = 1
+    marks = normed(marks)
+    root = nystroem(marks)
+    mapping = spark.sparkContext.broadcast((marks.T @ root).astype(np.float32))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per task: the weighted square matrix of features (lang null), and each language's sum of features."""
+        square, by_lang = np.zeros((root.shape[1],) * 2), {}
+        for batch in batches:
+            langs, texts = batch.column(0).to_pylist(), lowered(batch.column(1))
+            for at in range(0, len(texts), 128):
+                features = (normed(words.value.presence(texts[at : at + 128])) @ mapping.value).astype(np.float64)
+                share = np.array([1.0 / sizes[x] for x in langs[at : at + 128]])
+                square += (features * share[:, None]).T @ features
+                for lang, f, w in zip(langs[at : at + 128], features, share):
+                    by_lang[lang] = by_lang.get(lang, 0) + f * w
+        cells = [square.tobytes(), *(v.tobytes() for v in by_lang.values())]
+        yield pa.RecordBatch.from_arrays([pa.array([None, *by_lang], pa.string()), pa.array(cells, pa.binary())], names=["lang", "sums"])
+
+    square, by_lang = np.zeros((root.shape[1],) * 2), np.zeros((len(labels), root.shape[1]))
+    for lang, cell in sample.select("lang", "text").repartition(FIT_TASKS).mapInArrow(sums, "lang string, sums binary").collect():
+        if lang is None:
+            square += np.frombuffer(cell).reshape(square.shape)
+        else:
+            by_lang[labels.index(lang)] += np.frombuffer(cell)
+    target = 2 * by_lang - by_lang.sum(axis=0)  # +1 for the language, -1 for the rest
+    ridge = np.linalg.solve(square + RIDGE * len(labels) / sum(sizes.values()) * np.eye(len(square)), target.T)
+    return Kernel(labels, vocabulary, marks.T @ (root @ ridge))
 
 
 def languages(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document.
 
     A null text, or one without a letter, is ``und`` with score 0; so is all where nothing can be learned. Ties go to the
-    language that sorts first. Repeated rows are predicted alike; other columns are ignored.
+    language that sorts first. Repeated rows are predicted alike, and a repeated doc_id is one document of the sample;
+    other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")
-    def predict(text: pa.Array) -> pa.Array:
-        names, scores = shared.value.predict(text.to_pylist())
+    def predict(text: pa.Array, usable: pa.Array) -> pa.Array:
+        names, scores = shared.value.predict(lowered(text), usable.to_pylist())
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
 
-    out = docs.select("doc_id", held_out(4, 2).alias("held_out"), predict(F.col("text").cast("string")).alias("p"))
+    text = F.col("text").cast("string")
+    out = docs.select("doc_id", held_out(4, 2).alias("held_out"), predict(text, has_letter(text)).alias("p"))
     return out.select("doc_id", "held_out", "p.lang_pred", "p.score")

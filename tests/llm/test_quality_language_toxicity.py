@@ -74,6 +74,71 @@ def test_languages(spark, awkward, empty):
     assert {r.lang_pred for r in language.languages(frame(spark, [(1, "abc", None)])).collect()} == {"und"}
 
 
+def spoken(rng, k, n=40):
+    return " ".join(rng.choice(TONGUES[k].split()) + rng.choice(TONGUES[k].split()) for _ in range(n))
+
+
+def test_kernel_equals_brute_force(spark):
+    """Kernel values over n-gram sets, ridge by least squares: the margins of the fitted model."""
+    rng = random.Random(13)
+    docs = frame(spark, [(i, spoken(rng, k, 12), k) for i in range(90) for k in [list(TONGUES)[i % 3]]])
+    kernel = language.fit(docs)
+    sample = sorted((r.lang, r["rank"], r.text) for r in language.sample_of(docs).collect())
+    grams = lambda t: {t.encode()[i : i + n] for n in language.GRAMS for i in range(len(t.encode()) - n + 1)}
+    codes = {int(c) for c in kernel.vocabulary.codes}
+    code = lambda g: int.from_bytes(g, "big") | len(g) << 40
+    sets = [{g for g in grams(t) if code(g) in codes} for _, _, t in sample]
+    k = np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in sets] for a in sets])
+    each, seen, marks = -(-language.LANDMARKS // 3), collections.Counter(), []
+    for i, (lang, *_) in enumerate(sample):
+        seen[lang] += 1
+        if seen[lang] <= each:
+            marks.append(i)
+    share = np.array([1 / seen[lang] for lang, *_ in sample])
+    y = np.array([[1.0 if x == lang else -1.0 for x in kernel.labels] for lang, *_ in sample])
+    values, vectors = np.linalg.eigh(k[np.ix_(marks, marks)])
+    good = values > 1e-6 * values.max()
+    features = k[:, marks] @ (vectors[:, good] / np.sqrt(values[good]))
+    penalty = np.sqrt(language.RIDGE * 3 / len(sample)) * np.eye(features.shape[1])
+    weights, *_ = np.linalg.lstsq(np.vstack((features * np.sqrt(share)[:, None], penalty)), np.vstack((y * np.sqrt(share)[:, None], np.zeros((len(penalty), 3)))), rcond=None)
+    assert np.abs(kernel.margins([t.encode() for _, _, t in sample]) - features @ weights).max() < 2e-3
+
+
+def test_long_texts_are_learned(spark):
+    rng = random.Random(14)
+    rows = [(i, spoken(rng, "aa", 3000), "aa") for i in range(40)] + [(100 + i, spoken(rng, "bb", 40), "bb") for i in range(40)]
+    found = {r.doc_id: r.lang_pred for r in language.languages(frame(spark, rows)).collect()}
+    assert all(found[i] == x for i, _, x in rows)
+
+
+def test_repeated_ids_hide_no_language(spark, monkeypatch):
+    rng = random.Random(15)
+    monkeypatch.setattr(language, "PER_LANGUAGE", 20)
+    one = next(i for i in range(9) if zlib.crc32(str(i).encode()) % 4 != 2)
+    rows = [(one, spoken(rng, "aa"), "aa") for _ in range(400)] + [(100 + i, spoken(rng, "bb"), "bb") for i in range(200)]
+    found = language.languages(frame(spark, rows)).groupBy("doc_id", "lang_pred").count().collect()
+    assert {(r.doc_id, r.lang_pred) for r in found} == {(i, x) for i, _, x in rows}
+
+
+def test_many_small_languages(spark):
+    rng = random.Random(16)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    tongues = {f"l{k:03}": ["".join(rng.choice(letters) for _ in range(5)) for _ in range(12)] for k in range(300)}
+    rows = [(n * 10 + i, " ".join(rng.choice(w) for _ in range(30)), x) for n, (x, w) in enumerate(tongues.items()) for i in range(6)]
+    found = language.languages(frame(spark, rows)).collect()
+    real = {i: x for i, _, x in rows}
+    held = [r.lang_pred == real[r.doc_id] for r in found if r.held_out]
+    assert len(held) > 200 and sum(held) / len(held) > 0.95
+
+
+def test_what_is_no_letter(spark):
+    rng = random.Random(17)
+    odd = ["½² 1", "٣٤", "_ 9 ___", "①②", "!!"]
+    rows = [(i, spoken(rng, "aa"), "aa") for i in range(20)] + [(100 + i, t, "aa") for i, t in enumerate(odd)] + [(200, "漢", "aa"), (201, "𐐀", "aa"), (202, "ª", "aa")]
+    found = {r.doc_id: (r.lang_pred, r.score) for r in language.languages(frame(spark, rows)).collect()}
+    assert all(found[100 + i] == ("und", 0.0) for i in range(len(odd))) and all(found[i][0] == "aa" for i in (200, 201, 202))
+
+
 def test_grammar():
     machine = toxicity.grammar()
 
