@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 
 import duckdb
 import pytest
@@ -201,14 +202,63 @@ def test_archives_hold_the_payloads(spark, tmp_path):
         assert record.payload_digest == hashlib.sha1(payload).hexdigest() and record.payload_bytes == len(payload)
         assert record.record_type == "revisit" or bytes(record.payload) == payload
         assert record.warc_date == "2024-01-01T00:00:00Z" and record.record_id.startswith("<urn:uuid:")
-    versions = {archives.unzipped(bytes(r.content)).split(b"\n")[1][:1] for r in spark.read.format("binaryFile").load(arc).collect()}
-    assert versions == {b"1", b"2"}
+    files = [bytes(r.content) for r in spark.read.format("binaryFile").load(arc).collect()]
+    assert {archives.opened(f).read().split(b"\n")[1][:1] for f in files} == {b"1", b"2"}
+    ids = [r.record_id for r in archives.read_warcs(spark, warc).collect()]
+    assert len(set(ids)) == len(ids)
+    starts = [(at, d) for r in spark.read.format("binaryFile").load(warc).collect() for d in [bytes(r.content)] for at in range(len(d)) if d[at : at + 3] == b"\x1f\x8b\x08"]
+    readable = sum(zlib.decompressobj(31).decompress(d[at:], 5) == b"WARC/" for at, d in starts[:5])
+    assert readable and starts[0][0] == 0  # each record is a member of its own
+
+
+def read_back(spark, folder, files):
+    for name, data in files.items():
+        (folder / "arc").mkdir(exist_ok=True)
+        (folder / "arc" / name).write_bytes(data)
+    archives.arc_to_warc(spark, f"file://{folder}/arc", f"file://{folder}/warc")
+    return archives.read_warcs(spark, f"file://{folder}/warc").collect()
+
+
+def test_foreign_archives(spark, tmp_path):
+    """Latin-1 bytes, dns records, urls with spaces, no page id, members of gzip, an http record without a head."""
+    http = b"HTTP/1.1 200 OK\r\nServer: caf\xe9\r\n\r\n"
+    big, own = b"\xe9\xff\x00" * 700, b"no head at all"
+    records = [
+        archives.arc_head(1, "old.arc") + b"\n",
+        archives.arc_record(1, "dns:example.org", b"20240101\nexample.org. 1 IN A 10.0.0.1\n", "", 0, kind="text/dns") + b"\n",
+        archives.arc_record(1, "http://a.org/", http + big, "", 0, date="1999") + b"\n",
+        archives.arc_record(1, "http://b.org/a b", http + big, "", 0) + b"\n",
+        archives.arc_record(1, "http://c.org/", own, "", 0) + b"\n",
+        archives.arc_record(1, "http://d.org/", b"HTTP/1.0 200 OK\nX: y\n\n" + big, "", 0) + b"\n",
+        archives.arc_record(1, "http://e.org/", b"a: b\n", "", 0, kind="text/anvl") + b"\n",
+    ]
+    found = read_back(spark, tmp_path, {"plain.arc": b"".join(records), "packed.arc.gz": b"".join(map(archives.member, records))})
+    kinds = {}
+    for r in found:
+        kinds.setdefault(r.url, []).append(r.record_type)
+    assert sorted(kinds.pop("old.arc")) == ["warcinfo"] * 2 and kinds.pop("dns:example.org") == ["resource"] * 2
+    assert kinds.pop("http://c.org/") == ["resource"] * 2 and kinds.pop("http://e.org/") == ["metadata"] * 2
+    pages_ = [k for v in kinds.values() for k in v]
+    assert set(kinds) == {"http://a.org/", "http://b.org/a b", "http://d.org/"} and sorted(pages_) == ["response"] + ["revisit"] * 5
+    kept = [r for r in found if r.record_type == "response"]
+    assert bytes(kept[0].payload) == big and len({r.record_id for r in found}) == len(found)
+    assert all(r.refers_to_record == kept[0].record_id and r.payload_bytes == len(big) for r in found if r.record_type == "revisit")
+    assert {r.warc_date for r in found if r.url == "http://a.org/"} == {"1999-01-01T00:00:00Z"}
+    assert any(b"IN A" in bytes(r.payload) and r.content_type == "text/dns" for r in found if r.record_type == "resource")
+    assert all(bytes(r.payload).startswith(b"1 0 lectern") for r in found if r.record_type == "warcinfo")
+
+
+def test_repeated_and_long_pages(spark):
+    rows = [(1, "http://a.org", "x" * 3_000_000), (1, "http://a.org", "x" * 3_000_000), (0, None, "x" * 3_000_000), (None, "http://b.org", "x" * 3_000_000), (2, "", None), (2, "", None)]
+    docs = spark.createDataFrame([(*r, "page", 1, b"v") for r in rows], "page_id long, url string, html string, digest string, kind int, value binary")
+    found = sorted((str(r.page_id), r.record_type, str(r.refers_to), r.payload_bytes) for r in archives.archive_pages(docs).collect())
+    assert found == [("0", "revisit", "1", 3_000_000), ("1", "response", "None", 3_000_000), ("1", "response", "None", 3_000_000), ("2", "response", "None", 0), ("2", "response", "None", 0), ("None", "revisit", "1", 3_000_000)]
 
 
 def test_broken_archives_are_told():
     head = archives.arc_head(1, "n")
-    assert [b for _, b in archives.read_arc(head + b"\n" + archives.arc_record(1, "u", b"doc", "n", 0))] == [b"doc"]
-    assert [f["Result-code"] for f, _ in archives.read_arc(archives.arc_head(2, "n") + b"\n" + archives.arc_record(2, "u", b"doc", "n", 0))] == ["200"]
+    assert [b for _, b in archives.read_arc(head + b"\n" + archives.arc_record(1, "u", b"doc", "n", 0))][1:] == [b"doc"]
+    assert [f["Result-code"] for f, _ in archives.read_arc(archives.arc_head(2, "n") + b"\n" + archives.arc_record(2, "u", b"doc", "n", 0))] == ["200"] * 2
     for bad in (head + b"u 0.0.0.0 1 text/html 9\nabc", head + b"u 0.0.0.0 text/html 3\nabc", b"u 0.0.0.0 1 t 3\nabc", head + b"no length here at all\n"):
         with pytest.raises(ValueError):
             list(archives.read_arc(bad))
