@@ -136,33 +136,90 @@ def test_edited_answers_are_found():
         words[-1 - rng.randrange(n)] = "changed"
         wanted.add((len(texts), i))
         texts += [f"{prose(rng, 90)} {' '.join(words)} {prose(rng, 40)}".encode(), prose(rng, 300).encode()]
+    index, _ = index_of(items)
+    found = {(t, i) for t, i, *_ in decontaminate.leaks_in(texts, index)}
+    assert found == wanted  # none of the 60 clean texts
+
+
+def index_of(items):
     counts = {}
     for _, item in items:
         for h in set(decontaminate.hashes_of(item).view("int64").tolist()):
             counts[h] = counts.get(h, 0) + 1
-    index = decontaminate.Index(items, {h: math.log1p((60 - n + 0.5) / (n + 0.5)) for h, n in counts.items()}, 28.0)
-    found = {(t, i) for t, i, *_ in decontaminate.leaks_in(texts, index)}
-    assert found == wanted  # none of the 60 clean texts
+    n = len(items)
+    idf = {h: math.log1p((n - c + 0.5) / (c + 0.5)) for h, c in counts.items()}
+    return decontaminate.Index(items, idf, sum(len(t.split()) for _, t in items) / n), idf
 
 
-def test_pruned_search_equals_full_scoring(spark, monkeypatch):
+@pytest.mark.parametrize("block, cells", [(8, 1 << 20), (3, 50)])
+def test_pruned_search_equals_full_scoring(monkeypatch, block, cells):
+    """All scores of all windows with all items, computed from the formula; block maxima may only skip what is below."""
     import numpy as np
 
+    monkeypatch.setattr(decontaminate, "THRESHOLD", 0.4)
+    monkeypatch.setattr(decontaminate, "BLOCK", block)
+    monkeypatch.setattr(decontaminate, "CELLS", cells)
     rng = random.Random(4)
-    bench = spark.createDataFrame([(i, prose(rng, rng.randrange(5, 30))) for i in range(70)], "item_id long, text string")
-    index = next(decontaminate._indexes(bench))
+    items = [(i, prose(rng, rng.randrange(5, 90)).encode()) for i in range(70)]
+    index, idf = index_of(items)
+    mean = sum(len(t.split()) for _, t in items) / 70
     terms = [np.unique(np.array([rng.randrange(len(index.terms)) for _ in range(25)])) for _ in range(200)]
     window, term = np.repeat(np.arange(200), [len(t) for t in terms]), np.concatenate(terms)
-    monkeypatch.setattr(decontaminate, "THRESHOLD", 0.4)
-    found = {(w, k) for w, k, _ in index.search(window, term)}
-    assert found == {(w, k) for w, t in enumerate(terms) for k in range(70) if index.impact[t, k].sum() >= 0.4} and found
+    found = {(w, k): s for postings in index.classes for w, k, s in postings.search(window, term)}
+    wanted = {}
+    for k, (_, text) in enumerate(items):
+        words = decontaminate.hashes_of(text).view("int64").tolist()
+        part = {h: idf[h] * words.count(h) * 2.2 / (words.count(h) + 1.2 * (0.25 + 0.75 * len(words) / mean)) for h in set(words)}
+        for w, own in enumerate(terms):
+            score = sum(part.get(h, 0.0) for h in index.terms[own].view("int64").tolist()) / sum(part.values())
+            if score >= 0.4:
+                wanted[w, k] = score
+    assert {len(p.items) for p in index.classes} != {70} and wanted
+    assert {x for x in found if abs(found[x] - 0.4) > 1e-4} == {x for x in wanted if abs(wanted[x] - 0.4) > 1e-4}
+    assert all(abs(found[x] - wanted.get(x, 0.4)) < 1e-4 for x in found)
+
+
+def test_passages_do_not_depend_on_other_items(spark):
+    """An item's words spread over a document are no copy of it, whatever else the benchmark holds."""
+    rng = random.Random(9)
+    item = "Which tall grobnak kept seven vilezar lamps near old harbour gates? Only plonkut did."
+    spread = " ".join(w + " " + prose(rng, 150) for w in item.split())
+    docs = frame(spark, [(1, spread, "en"), (2, f"{prose(rng, 80)} {item}", "en")])
+    for more in ([], [(7, prose(rng, 400))]):
+        bench = spark.createDataFrame([(1, item), *more], "item_id long, text string")
+        assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()} == {(2, 1)}
+
+
+def test_long_items_and_repeated_ones(spark):
+    rng = random.Random(10)
+    long, short = prose(rng, 700) + ". " + prose(rng, 30), "What is a zanzibar lamp for? It lights plain roads well."
+    bench = spark.createDataFrame([(1, long, "x"), (2, short, "y"), (2, short, "z"), (2, prose(rng, 40), "w")], "item_id long, text string, doc_id string")
+    docs = frame(spark, [(1, f"{prose(rng, 500)} {long} {prose(rng, 900)}", "en"), (2, f"{short} {prose(rng, 30)}", "en"), (2, f"{short} {prose(rng, 30)}", "en"), (3, prose(rng, 2000), "en")])
+    found = sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect())
+    assert found == [(1, 1), (2, 2), (2, 2)]
+
+
+def test_large_benchmark_stays_small_and_quick():
+    """20,000 items: the index takes some ten times the items' text, and a search does not look at all of them."""
+    import time
+
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(8000)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=40)).encode()) for i in range(20_000)]
+    index, _ = index_of(items)
+    assert sum(p.bytes() for p in index.classes) < 10 * sum(len(t) for _, t in items)
+    texts = [" ".join(rng.choices(vocabulary, k=300)).encode() for _ in range(300)]
+    texts += [texts[k][:900] + b" " + items[k][1] + b" " + texts[k][900:] for k in range(50)]
+    began = time.time()
+    found = {(t, i) for t, i, *_ in decontaminate.leaks_in(texts, index)}
+    assert found == {(300 + k, k) for k in range(50)} and time.time() - began < 30
 
 
 def test_shards_find_the_same(spark, monkeypatch):
     rng = random.Random(5)
     bench = spark.createDataFrame([(i, prose(rng, 25)) for i in range(30)], "item_id long, text string")
     docs = frame(spark, [(r.item_id, f"{prose(rng, 80)} {r.text} {prose(rng, 10)}", "en") for r in bench.collect()])
-    monkeypatch.setattr(decontaminate, "SHARD_ITEMS", 7)
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 900)
     assert {(i, i) for i in range(30)} <= {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()}
 
 
