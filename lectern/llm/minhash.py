@@ -3,16 +3,20 @@
 1. Every text becomes its set of 5-word shingles (64-bit hashes) and ``TREES * DEPTH`` MinHash values. Texts with equal
    sets collapse to the smallest doc_id before anything is compared.
 2. Each tree orders the representatives by its own ``DEPTH`` values; the table is range-partitioned by that order, so a
-   crowded region is cut over many tasks. Rows that share the first ``SHALLOW`` values are a region. In a small region
-   all members are neighbours; a crowded one (over ``BLOCK`` members) is cut deeper in the order into blocks, so that
-   only rows with the longest common prefixes stay neighbours. A region proposes a maximum spanning forest of estimated
-   similarities, not its pairs.
+   crowded region is cut over many tasks. Rows that share the first ``SHALLOW`` values are a region. In a region of up to
+   ``BLOCK`` members all are neighbours. A crowded one goes deeper: it is cut where neighbours in the order have the
+   shortest common prefixes, one value more at a time, until its parts fit; each region so gets its own depth. A part
+   proposes a maximum spanning forest of estimated similarities, not its pairs.
 3. Proposals are confirmed on the full sets and joined to components.
-4. Whatever a forest left out is settled exactly: regions that still hold several components are packed with their
-   members' full sets, and blocks of a region are compared with the blocks that hold its minority components. Pairs
-   inside one component need no comparison; no pair, partner or region is capped.
-
-A pair of similarity 0.75 shares a region in at least one tree with probability 1 - (1 - 0.75^2)^14 > 0.99999.
+4. Whatever a forest left out is settled exactly, in regions that still hold several components. Sets whose similarity is
+   at least t share one of the n - ceil(t n) + 1 first shingles of any common order; the order here puts the shingles
+   that many members hold last, so shared boilerplate brings nobody together. Members none of whose first shingles
+   stands in another component are done. Of the others, packs of full sets (bounded by bytes) are compared: those of a
+   region with those that hold its minority components. Pairs inside one component need no comparison; no pair,
+   partner or region is capped.
+
+A pair of similarity 0.75 shares a region in at least one tree with probability 1 - (1 - 0.75^2)^14 > 0.99999, and its
+estimate is at least ``LEAST_ESTIMATE`` with probability over 0.9999999.
 """
 
 from __future__ import annotations
@@ -32,9 +36,12 @@ WORDS = 5
 PERCENT = 75
 TREES, DEPTH, SHALLOW = 14, 6, 2
 BLOCK = 2048
-PACK = 128
-#: Estimates below this are not confirmed; it is over four standard deviations under 0.75 for TREES * DEPTH values.
-LEAST_ESTIMATE = 0.55
+#: Bytes of shingle sets in a pack, on average; one very long text is a pack of its own.
+PACK_BYTES = 2 << 20
+#: Estimates below this are not confirmed; it is over six standard deviations under 0.75 for TREES * DEPTH values.
+LEAST_ESTIMATE = 0.45
+#: Counters of shingles that many members hold.
+BUCKET_BITS = 20
 #: Row count up to which a table of ids is broadcast; beyond it the join shuffles.
 BROADCAST_IDS = 500_000
 
@@ -130,12 +137,37 @@ def _scores(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np
 _FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("tree", pa.int8()), ("prefix", pa.int64()), ("rest", pa.bool_())])
 
 
+def depth_parts(deep: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Parts (from, to) of at most ``most`` rows of a sorted region, by the values beyond those that all rows share.
+
+    A part over the bound is cut where the next value changes, that is where common prefixes are shortest; small
+    neighbours are joined again up to the bound. Rows that agree in all values are cut by position.
+    """
+
+    def cut(lo: int, hi: int, depth: int) -> list[tuple[int, int]]:
+        if hi - lo <= most:
+            return [(lo, hi)]
+        if depth == deep.shape[1]:
+            return [(x, min(x + most, hi)) for x in range(lo, hi, most)]
+        edge = lo + 1 + np.flatnonzero(deep[lo + 1 : hi, depth] != deep[lo : hi - 1, depth])
+        parts = [p for x, y in zip([lo, *edge], [*edge, hi]) for p in cut(int(x), int(y), depth + 1)]
+        joined = parts[:1]
+        for x, y in parts[1:]:
+            if y - joined[-1][0] <= most:
+                joined[-1] = joined[-1][0], y
+            else:
+                joined.append((x, y))
+        return joined
+
+    return cut(0, len(deep), 0)
+
+
 def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in order -> proposed pairs (rest false) and the members of regions that are not settled by them (rest true)."""
 
-    def settle(tree, prefix, ids, n, sketches, whole):
-        for at in range(0, len(ids), BLOCK):
-            part = slice(at, at + BLOCK)
+    def settle(tree, prefix, deep, ids, n, sketches, whole):
+        for at, end in depth_parts(deep.astype(np.int32).view(np.uint8).reshape(len(ids), 4), BLOCK):
+            part = slice(at, end)
             block = ids[part]
             if len(block) > 1:
                 score = _scores(sketches[part], sketches[part], n[part], n[part])
@@ -156,7 +188,7 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = [batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 3, 4)]
+            new = [batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2, 3, 4)]
             new.append(np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(batch.num_rows, -1))
             held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
             tree, prefix = held[0], held[1]
@@ -177,7 +209,7 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from batches_of(rows(), _FOUND)
 
 
-_SETS = pa.schema([("id", pa.int64()), ("k1", pa.int64()), ("sig", pa.binary()), ("shingles", pa.binary())])
+_SETS = pa.schema([("id", pa.int64()), ("k1", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("shingles", pa.binary())])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +219,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for i, s in shingle_sets(texts_of(batch.column(2)), WORDS):
                 if len(s) and _content(s)[0] == keys[i]:
-                    yield ids[i], keys[i], signature(s).tobytes(), s.tobytes()
+                    yield ids[i], keys[i], len(s), signature(s).tobytes(), s.tobytes()
 
         yield from batches_of(rows(), _SETS, 256)
 
@@ -254,25 +286,74 @@ def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
+def heavy_counts(sets: DataFrame) -> np.ndarray:
+    """Counter by bucket of shingle hashes, as a power of two: 0 unless many more shingles fall there than on average."""
+    schema = pa.schema([("bucket", pa.int32()), ("n", pa.int64())])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << BUCKET_BITS, np.int64)
+        for batch in batches:
+            for cell in batch.column(0):
+                total += np.bincount((np.frombuffer(cell.as_py(), U64) >> U64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(total))
+        some = np.flatnonzero(total)
+        for at in range(0, len(some), 65536):
+            part = some[at : at + 65536]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(total[part])], schema=schema)
+
+    counts = stage(sets.select("shingles").mapInArrow(counted, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")), "buckets")
+    mean = (counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] >> BUCKET_BITS) + 1
+    out = np.zeros(1 << BUCKET_BITS, np.uint8)
+    for bucket, n in counts.where(F.col("n") >= 8 * mean).collect():  # at most an eighth of the buckets
+        out[bucket] = int(n).bit_length()
+    return out
+
+
+def first_shingles(shingles: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+    """The first n - ceil(0.75 n) + 1 shingles in the order (counter of the bucket, hash). Of two sets whose similarity is
+    at least 0.75 each has a shingle among these that the other has among its own."""
+    n = len(shingles)
+    order = np.lexsort((shingles, heavy[(shingles >> U64(64 - BUCKET_BITS)).astype(np.int64)]))
+    return shingles[order[: n - -(-PERCENT * n // 100) + 1]]
+
+
+def _open_members(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(id) of the members of which some first shingle is also one of a member of another component."""
+    comps = members.select("id", "comp").distinct()
+    held = stage(comps.join(sets.select("id", "shingles"), "id"), "member-sets")
+    heavy = sets.sparkSession.sparkContext.broadcast(heavy_counts(held))
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for id_, comp, cell in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                own = first_shingles(np.frombuffer(cell.as_py(), U64), heavy.value).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), id_)), pa.array(np.full(len(own), comp)), pa.array(own)], names=["id", "comp", "shingle"])
+
+    listed = stage(held.mapInArrow(firsts, "id long, comp long, shingle long"), "first-shingles")
+    shared = listed.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("shingle")
+    return stage(listed.join(_bounded(stage(shared, "shared-shingles")), "shingle", "left_semi").select("id").distinct(), "open-members")
+
+
 def _rest_links(rest: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between components that share a region, complete: (a, b) are labels."""
     placed = stage(
         rest.join(labels, rest.id == labels.node, "left").select("tree", "prefix", "id", F.coalesce("label", "id").alias("comp")), "placed"
     )
-    sizes = placed.groupBy("tree", "prefix", "comp").count().groupBy("tree", "prefix")
-    open_regions = stage(
-        sizes.agg(F.max_by("comp", "count").alias("major"), F.max("count").alias("majors"), F.sum("count").alias("members"), F.count("*").alias("comps"))
-        .where("comps > 1").drop("comps"),
-        "regions",
-    )
-    members = stage(placed.join(open_regions, ["tree", "prefix"]), "members")
+
+    def in_open_regions(rows: DataFrame) -> DataFrame:
+        sizes = rows.groupBy("tree", "prefix", "comp").agg(F.count("*").alias("n")).groupBy("tree", "prefix")
+        regions = stage(sizes.agg(F.max_by("comp", "n").alias("major"), F.count("*").alias("comps")).where("comps > 1").drop("comps"), "regions")
+        return stage(rows.join(regions, ["tree", "prefix"]), "members")
+
+    open_ids = _open_members(in_open_regions(placed), sets)
+    members = in_open_regions(placed.join(_bounded(open_ids), "id", "left_semi"))
     # members of the largest component are packed apart (negative numbers), so few packs meet all others
-    number = lambda n: F.pmod(F.xxhash64("id"), F.ceil(n / PACK))
-    part = F.when(F.col("comp") != F.col("major"), number(F.col("members") - F.col("majors"))).otherwise(-1 - number(F.col("majors")))
+    sized = members.join(sets.select("id", "n"), "id").withColumn("minor", F.col("comp") != F.col("major"))
+    room = sized.groupBy("tree", "prefix", "minor").agg(F.ceil(F.sum("n") * 8 / PACK_BYTES).alias("packs"))
+    number = F.pmod(F.xxhash64("id"), F.col("packs"))
+    numbered = sized.drop("n").join(stage(room, "rooms"), ["tree", "prefix", "minor"]).withColumn("part", F.when(F.col("minor"), number).otherwise(-1 - number))
     packs = stage(
-        members.join(sets, "id").withColumn("part", part).groupBy("tree", "prefix", "part")
-        .agg(F.collect_list(F.struct("id", "comp", "sig", "shingles")).alias("pack"))
-        .select("tree", "prefix", "part", (F.col("part") >= 0).alias("minor"), "pack"),
+        numbered.join(sets, "id").groupBy("tree", "prefix", "part", "minor")
+        .agg(F.collect_list(F.struct("id", "comp", "sig", "shingles")).alias("pack")),
         "packs",
     )
     left = packs.select("tree", "prefix", F.col("part").alias("p"), F.col("minor").alias("minor_p"), F.col("pack").alias("left"))
@@ -308,7 +389,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
     sets = stage(
         texts.join(_bounded(wanted), "rep").select("rep", "k1", "text")
-        .mapInArrow(_sets, "id long, k1 long, sig binary, shingles binary").dropDuplicates(["id"]).drop("k1"),
+        .mapInArrow(_sets, "id long, k1 long, n long, sig binary, shingles binary").dropDuplicates(["id"]).drop("k1"),
         "sets",
     )
     one, two = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 
 from lectern.llm import minhash, textkit
 from lectern.llm.components import components
@@ -66,10 +67,62 @@ def test_crowded_regions_are_settled(spark, monkeypatch):
     base = prose(rng, 100)
     rows = [(i, changed(rng, base, rng.randrange(5)), "en") for i in range(70)]
     monkeypatch.setattr(minhash, "BLOCK", 4)
-    monkeypatch.setattr(minhash, "PACK", 8)
+    monkeypatch.setattr(minhash, "PACK_BYTES", 4000)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(frame(spark, rows)).collect()} == brute(rows)
 
 
+def test_depth_follows_the_region():
+    deep = np.array([[0, 0]] * 3 + [[0, 1]] * 2 + [[1, 0]] * 6 + [[2, 5]] * 2 + [[3, 0]], np.uint8)
+    assert minhash.depth_parts(deep, 5) == [(0, 5), (5, 10), (10, 14)]
+    assert minhash.depth_parts(deep[:3], 5) == [(0, 3)] and minhash.depth_parts(deep[:0], 5) == [(0, 0)]
+    rng = np.random.default_rng(1)
+    rows = np.sort(rng.integers(0, 4, (500, 1)) * 64 + rng.integers(0, 3, (500, 1)), axis=0).astype(np.uint8)
+    parts = minhash.depth_parts(rows, 60)
+    assert [a for a, _ in parts[1:]] == [b for _, b in parts[:-1]] and parts[-1][1] == 500 and all(b - a <= 60 for a, b in parts)
+
+
+def test_first_shingles_meet():
+    """Sets that link share a first shingle, whatever the counters; sets that share only what many hold do not."""
+    rng = np.random.default_rng(2)
+    heavy = rng.integers(0, 3, 1 << minhash.BUCKET_BITS).astype(np.uint8)
+    for _ in range(200):
+        n = int(rng.integers(1, 60))
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64) * 2)
+        b = np.unique(np.concatenate((a[: len(a) - int(rng.integers(0, len(a) // 5 + 1))], rng.integers(0, 2**63, int(rng.integers(0, n // 6 + 1)), dtype=np.uint64))))
+        if len(a) and len(b) and minhash.linked(a, b):
+            assert len(np.intersect1d(minhash.first_shingles(a, heavy), minhash.first_shingles(b, heavy)))
+    common = np.unique(rng.integers(0, 2**63, 96, dtype=np.uint64) * 2)
+    heavy = np.zeros(1 << minhash.BUCKET_BITS, np.uint8)
+    heavy[(common >> np.uint64(64 - minhash.BUCKET_BITS)).astype(np.int64)] = 12
+    one, two = (np.unique(np.concatenate((common, rng.integers(0, 2**63, 60, dtype=np.uint64)))) for _ in range(2))
+    assert not len(np.intersect1d(minhash.first_shingles(one, heavy), minhash.first_shingles(two, heavy)))
+
+
+def test_boilerplate_leaves_nothing_to_compare(spark, monkeypatch):
+    """Documents that share most of their words, but too few to link, meet in crowded regions and need no pair of packs."""
+    rng = random.Random(6)
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    seen = []
+    monkeypatch.setattr(minhash, "_open_members", lambda m, s, real=minhash._open_members: seen.append(real(m, s)) or seen[-1])
+    boiler = prose(rng, 100)
+    rows = [(i, f"{boiler} {' '.join(f'w{rng.randrange(10**7)}' for _ in range(60))}", "en") for i in range(300)]
+    rows += [(1000 + i, changed(rng, t, 2), x) for i, t, x in rows[:20]]
+    found = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, rows)).collect()}
+    assert found == {i: i % 1000 for i, *_ in rows} and seen[0].count() <= 20
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs whose similarity is just over 0.75, measured."""
+    rng = random.Random(8)
+    rows, wanted = [], 0
+    for k in range(1500):
+        words = [f"v{rng.randrange(10**8)}" for _ in range(104)]
+        other = words[:-14] + [f"u{rng.randrange(10**8)}" for _ in range(14)]  # 86 of 114 shingles: 0.754
+        rows += [(2 * k, " ".join(words), "en"), (2 * k + 1, " ".join(other), "en")]
+    found = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, rows)).collect()}
+    assert sum(found[2 * k + 1] == 2 * k for k in range(1500)) == 1500
+
+
 def test_awkward(spark, awkward, empty):
     found = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in minhash.near_duplicates(awkward).collect()}
     assert found[2, 116] == (1, False) and found[1, 116] == (1, True) and found[3, 117] == (1, False)
