@@ -4,8 +4,9 @@ Base spans are protected entities: email and ip addresses, card and phone number
 an entity can give it away too. From all documents it is counted in how many texts a term stands together with an entity
 value and in how many it occurs at all; copies of a text count once. Pointwise mutual information over the information
 content of the entity says how much of the entity the term discloses. Terms over the threshold become spans wherever they
-stand in a document that holds that entity, and the sanitiser generalises base spans to their kind and removes disclosing
-terms. A term is a maximal run of letters of any length; scripts without spaces give runs as long as their clauses.
+stand in the corpus, whether the entity stands there too or not. The sanitiser generalises: a base span to its kind, a
+disclosing term to its class by its letters (``<NAME>`` with a capital first, ``<WORD>`` without, ``<LETTERS>`` in scripts
+without case). A term is a maximal run of letters of any length; scripts without spaces give runs as long as their clauses.
 
 Positions come from the lengths of the matches and of the gaps between them. The patterns run on texts in which single
 characters were replaced so that no repeated group is needed; such groups would overflow the stack on long runs.
@@ -126,7 +127,12 @@ def _distinct_texts(docs: DataFrame, measured: DataFrame) -> DataFrame:
 
 
 def disclosing_terms(docs: DataFrame) -> DataFrame:
-    """(h, terms): the terms of a text that give away an entity it holds. All counts are of distinct texts."""
+    """(term, entity) of all terms that give away an entity (its hash). All counts are of distinct texts."""
+    return _disclosing(docs)[0]
+
+
+def _disclosing(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The disclosing terms, and (h, text) of every distinct text."""
     measured = _measured(docs)
     n = F.lit(float(max(measured.select("h").distinct().count(), 1)))
     held = stage(measured.select("h", F.explode("entities").alias("entity")).distinct(), "held")
@@ -139,14 +145,22 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
     seen = stage(seen.where((F.col("term_texts") >= SUPPORT) & (PRECISION * F.col("term_texts") <= most)), "terms")
     words = texts.join(_bounded(held.select("h").distinct()), "h", "left_semi").select("h", F.explode(_words(F.col("text"))).alias("term"))
     possible = PRECISION * F.col("term_texts") <= F.col("entity_texts")
-    near = stage(words.join(_bounded(seen), "term").join(_bounded(held), "h").where(possible), "together")
+    near = words.join(_bounded(seen), "term").join(_bounded(held), "h").where(possible)
     told = near.groupBy("entity", "term", "entity_texts", "term_texts").agg(F.count("*").alias("together"))
     content = F.log(n / F.col("entity_texts"))
     shared = F.log(F.col("together") * n / (F.col("term_texts") * F.col("entity_texts")))
     told = told.where((F.col("together") >= SUPPORT) & (F.col("together") >= PRECISION * F.col("term_texts")) & (shared / content >= DISCLOSURE))
-    told = stage(told.select("entity", "term"), "disclosing")
-    terms = near.join(_bounded(told), ["entity", "term"], "left_semi").groupBy("h").agg(F.collect_set("term").alias("terms"))
-    return stage(terms, "extra")
+    return stage(told.select("term", "entity"), "disclosing"), texts
+
+
+def _holding_terms(docs: DataFrame) -> DataFrame:
+    """(h, terms): every text that holds disclosing terms, with these."""
+    told, texts = _disclosing(docs)
+    terms = stage(told.select("term").distinct(), "told")
+    if terms.isEmpty():
+        return docs.sparkSession.createDataFrame([], "h long, terms array<string>")
+    held = texts.select("h", F.explode(_words(F.col("text"))).alias("term")).join(_bounded(terms), "term")
+    return stage(held.groupBy("h").agg(F.collect_set("term").alias("terms")), "extra")
 
 
 def _term_spans(text: Column, spans: Column, terms: Column) -> Column:
@@ -162,7 +176,7 @@ def _term_spans(text: Column, spans: Column, terms: Column) -> Column:
 def _with_spans(docs: DataFrame, base: str, spans: str) -> DataFrame:
     """``docs`` with its base spans and all spans, both sorted."""
     h, key, terms = (with_row_key(docs, x) for x in ("_h", "_key", "_terms"))
-    extra = disclosing_terms(docs).select(F.col("h").alias(h), F.col("terms").alias(terms))
+    extra = _holding_terms(docs).select(F.col("h").alias(h), F.col("terms").alias(terms))
     listed = extra.agg(F.coalesce(F.sum(F.size(terms)), F.lit(0))).first()[0]
     joined = docs.withColumn(key, F.xxhash64(_text())).join(F.broadcast(extra) if listed <= BROADCAST_ROWS else extra, F.col(key) == F.col(h), "left")
     joined = joined.withColumn(base, base_spans(_text()))
@@ -173,7 +187,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, counts by base kind, base_sha256, spans (base and terms) and n_term of every document.
 
     A null text counts as empty: no spans. Repeated rows get the same spans. Other columns are ignored; an empty table
-    gives an empty result. Terms are found in documents that hold an entity only.
+    gives an empty result. Terms are learned from documents that hold an entity and found in all.
     """
     out = _with_spans(docs.select("doc_id", "text"), "base", "spans")
     count = lambda k: F.size(F.filter("spans", lambda s: s["rank"] == k)).cast("long").alias(f"n_{KINDS[k]}")
@@ -182,13 +196,19 @@ def personal_data(docs: DataFrame) -> DataFrame:
     )
 
 
+def _term_class(term: Column) -> Column:
+    return F.when(F.upper(term) == F.lower(term), "<LETTERS>").when(F.substring(term, 1, 1) != F.lower(F.substring(term, 1, 1)), "<NAME>").otherwise("<WORD>")
+
+
 def _replaced(text: Column, spans: Column) -> Column:
-    """The text with every span as ``<KIND>``, terms removed; overlapping spans become the first one's."""
-    tags = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS[:4]], F.lit(""))
+    """The text with every base span as ``<KIND>`` and every term as its class; overlapping spans become the first one's."""
+    tags = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS[:4]])
     state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
-        new = F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.element_at(tags, s["rank"] + 1))
+        own = F.substring(text, s["start"] + 1, s["end"] - s["start"])
+        tag = F.when(s["rank"] == KINDS.index("term"), _term_class(own)).otherwise(F.get(tags, s["rank"]))
+        new = F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), tag)
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], new)).otherwise(acc["out"]).alias("out"))
 
     return F.aggregate(spans, state, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))

@@ -75,6 +75,56 @@ def test_disclosing_terms_and_sanitising(spark, awkward, empty):
     assert pii.personal_data(empty).count() == 0 and pii.sanitize(empty).count() == 0
 
 
+def plain_terms(texts):
+    """{(term, entity value)} by counting over distinct texts."""
+    texts = sorted(set(texts))
+    words = [set(re.findall(r"[^\W\d_]+", t.lower())) for t in texts]
+    values = [{(k.split(":")[0], t[int(k.split(":")[1]) : int(k.split(":")[2])].lower()) for k in base(t).split(",") if k} for t in texts]
+    n, out = len(texts), set()
+    for entity in set().union(*values):
+        holders = [i for i in range(n) if entity in values[i]]
+        if not 3 <= len(holders) < n:
+            continue
+        for term in set().union(*(words[i] for i in holders)):
+            together, anywhere = sum(term in words[i] for i in holders), sum(term in w for w in words)
+            told = math.log(together * n / (anywhere * len(holders))) / math.log(n / len(holders))
+            if together >= 3 and together >= 0.5 * anywhere and told >= 0.8:
+                out.add((term, entity))
+    return out
+
+
+def test_terms_equal_brute_force(spark):
+    rng = random.Random(21)
+    names = [f"name{chr(97 + k)}" for k in range(12)]
+    texts = []
+    for i in range(160):
+        k = rng.randrange(12)
+        parts = [prose(rng, 12), names[k] if rng.random() < 0.9 else "", rng.choice([f"10.0.0.{k}"] * 4 + [f"+1 555 123 45{k:02}"]), rng.choice(names) if rng.random() < 0.04 else ""]
+        rng.shuffle(parts)
+        texts.append(" ".join(parts).replace("name", "Name" if i % 2 else "name"))
+    texts += rng.choices(texts, k=60)
+    docs = frame(spark, [(i, t, "en") for i, t in enumerate(texts)])
+    wanted = plain_terms(texts)
+    told = pii.disclosing_terms(docs).collect()
+    assert len(told) == len(wanted) > 3 and {r.term for r in told} == {t for t, _ in wanted}
+    terms = {t for t, _ in wanted}
+    clean = {r.doc_id: r for r in pii.sanitize(docs).collect()}
+    for i, t in enumerate(texts):  # wherever a term stands, beside an entity or alone
+        hit = terms & set(re.findall(r"[^\W\d_]+", t.lower()))
+        assert bool(hit) == ("<NAME>" in clean[i].text or "<WORD>" in clean[i].text)
+
+
+def test_terms_are_generalised_in_documents_without_the_entity(spark):
+    rng = random.Random(22)
+    rows = [(i, f"{prose(rng, 30)} Zanzibarov wrote from secret@host.org {prose(rng, 30)} {i}", "en") for i in range(8)]
+    rows += [(i, f"{prose(rng, 50)} other{i}@host.org", "en") for i in range(10, 40)]
+    rows += [(50, "We met Zanzibarov, ZANZIBAROV and zanzibarov there.", "en"), (51, None, None)]
+    clean = {r.doc_id: r.text for r in pii.sanitize(frame(spark, rows)).collect()}
+    assert clean[50] == "We met <NAME>, <NAME> and <WORD> there." and clean[51] is None
+    found = {r.doc_id: r for r in pii.personal_data(frame(spark, rows)).collect()}
+    assert found[50].spans == "term:7:17,term:19:29,term:34:44" and found[50].n_email == 0
+
+
 def test_copies_do_not_hide_disclosing_terms(spark):
     rng = random.Random(6)
     rows = [(i, f"{prose(rng, 30)} Zanzibarov wrote from secret@host.org {prose(rng, 30)} {i}", "en") for i in range(5)]
