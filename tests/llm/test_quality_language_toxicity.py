@@ -1,4 +1,5 @@
 import collections
+import math
 import random
 import re
 import zlib
@@ -54,10 +55,55 @@ def test_quality(spark, awkward, empty):
     assert found[99].base_failed and found[100].base_failed and not found[100].kept and found[100].n_words == 0
     left = weak_quality.filter_quality(docs)
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == set(range(60))
-    assert weak_quality.quality(awkward).count() == awkward.count()
+    out = weak_quality.quality(awkward).collect()
+    texts = {r.doc_id: r.text for r in awkward.collect()}
+    assert len(out) == awkward.count() and sum(r.doc_id == 2 for r in out) == 2
+    assert all((r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == measured(texts[r.doc_id] or "") for r in out)
+    assert all(r.kept == (not r.base_failed and r.score >= 0.5) and r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) for r in out)
     assert weak_quality.quality(empty).count() == 0 and weak_quality.filter_quality(empty).count() == 0
 
 
+def test_posterior_equals_brute_force(spark):
+    """EM over documents, one by one: the posteriors of the pattern counts."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(prose(rng, rng.randrange(20, 130)).upper() + rng.choice(["!", "###", ".", ". \n", ""]) for _ in range(rng.randrange(1, 4))) if i % 4 == 0 else
+             ". ".join(prose(rng, 30) for _ in range(rng.randrange(1, 6))), "en") for i in range(150)]
+    found = {r.doc_id: r for r in weak_quality.quality(frame(spark, rows)).collect()}
+
+    def votes(text):
+        n, chars, symbols, dup, repeat = measured(text)
+        lines = [x for x in text.split("\n") if x.split()]
+        upper, letters = len(re.findall("[A-Z]", text)), len(re.findall("[A-Za-z]", text))
+        known = set(weak_quality.FUNCTION_WORDS)
+        share = sum(w in known for w in re.findall(r"[^\x20\x09-\x0D]+", text))
+        stops, bangs = len(re.findall("[.?;:]", text)), text.count("!")
+        rule = lambda bad, good: -1 if bad else 1 if good else 0
+        return (
+            rule(n < 50, n >= 100), rule(10 * symbols > n, 100 * symbols <= n), rule(100 * repeat > 30 * n, 100 * repeat <= 5 * n),
+            rule(10 * dup > 3 * len(lines), dup == 0 and len(lines) > 1), rule(10 * upper > 4 * letters, 100 * upper <= 12 * letters),
+            rule(5 * bangs > n, 50 * bangs <= n), rule(stops == 0 and n >= 50, 100 * stops >= 2 * n), rule(False, 100 * share >= 8 * n),
+        )
+
+    told = [votes(t) for _, t, _ in rows]
+    weight = 0.1 * len(rows) + 1
+    prior = {1: {-1: 0.03, 0: 0.22, 1: 0.75}, 0: {-1: 0.4 / 9, 0: 0.2 / 9, 1: 0.4 / 9}}
+    good = [1 / (1 + math.exp(3.0 * sum(v == -1 for v in t) - 2)) for t in told]
+    for _ in range(200):
+        p = (sum(good) + 0.9 * weight) / (len(rows) + weight)
+        table = {}
+        for side in (1, 0):
+            mass = [g if side else 1 - g for g in good]
+            for r in range(8):
+                cells = {v: sum(m for m, t in zip(mass, told) if t[r] == v) + prior[side][v] * weight for v in (-1, 0, 1)}
+                table |= {(side, r, v): c / sum(cells.values()) for v, c in cells.items()}
+        new = [1 / (1 + math.exp(-max(-60, min(60, math.log(p / (1 - p)) + sum(math.log(table[1, r, v] / table[0, r, v]) for r, v in enumerate(t)))))) for t in told]
+        done = max(abs(a - b) for a, b in zip(new, good)) < 1e-9
+        good = new
+        if done:
+            break
+    assert all(abs(found[i].score - g) < 1e-5 for (i, *_), g in zip(rows, good)) and min(good) < 0.5 < max(good)
+
+
 TONGUES = {"aa": "kal mor tiv sen", "bb": "ousse quen lait pard", "cc": "schtz kerb vang dorf"}
 
 
