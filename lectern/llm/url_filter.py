@@ -1,18 +1,19 @@
 """URL filtering with a sorted digest array: 64-bit xxhash keys, memory-mapped, probed by vectorised binary search.
 
-A rule names a host (and all its subdomains) and a path prefix. Its key is ``host/path``; the array holds the sorted
-64-bit hashes of all keys, a second one the rule numbers, and the strings stand beside them. A url is looked up under
-each suffix of its host and each prefix of its path whose length some rule has. Every hash that is found is confirmed
-against the stored string, so a collision of hashes never decides. The files are shipped once per executor and mapped.
+An entry is a rule (it names a host with all its subdomains and a path prefix; key ``host/path``) or an unwanted host word
+(key ``?word``, which no host/path can be). The file holds the sorted 64-bit hashes of all keys, and in the same order
+the verdicts, the ends of the key strings and the strings. A url is looked up under each suffix of its host and each
+prefix of its path whose length some rule has; where no rule fits, under the words of its host. Every hash that is found
+is confirmed against the stored string, so a collision of hashes never decides.
+
+The file is written to the shared folder, fetched by each executor once and mapped there, so its strings are neither sent
+with tasks nor copied by workers. The driver builds it: bounded by the rules that a driver can hold (tens of millions).
 """
 
 from __future__ import annotations
 
-import json
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator, Sequence
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import new_folder
+
 # The rules (verdict, host, path prefix) of the registered query.
 RULES = (
     ("allow", "org", "/"),
@@ -29,21 +32,68 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-# Host words of unwanted sites. Where no rule fits, a host label that has one of them as a
+# Host words of unwanted sites. Where no rule fits, a host with a label that has one of them as a
 # hyphen-separated part is blocked, and any other host is allowed.
 UNWANTED = ("ads", "adult", "bets", "casino", "pills", "porn", "spam", "track", "warez", "xxx")
 
 
-def rule_key(host: str, path: str) -> str:
-    return host + path
-
-
-def build(rules: Sequence[tuple[str, str, str]]) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
-    """Sorted key hashes, the rule number of each, and the rules; of rules with equal host and path the first counts."""
-    rules = list({(h.lower(), p): (v, h.lower(), p) for v, h, p in reversed(list(rules))}.values())
-    hashes = np.array([xxhash.xxh64_intdigest(rule_key(h, p).encode()) for _, h, p in rules], np.uint64)
-    order = np.argsort(hashes, kind="stable").astype(np.int64)
-    return hashes[order], order, [list(r) for r in rules]
+_VERDICTS = ("allow", "block")
+
+
+class DigestArray:
+    """Sorted digests and their strings over a buffer or a mapped file; zero-copy views of ``build``'s bytes."""
+
+    def __init__(self, data: np.ndarray):
+        n, lengths, text = (int(x) for x in data[:24].view(np.int64))
+        at = np.cumsum([24, 8 * n, 8 * n, 8 * lengths, 8 * ((n + 7) // 8)])
+        self.keys, self.ends = data[at[0] : at[1]].view(np.uint64), data[at[1] : at[2]].view(np.int64)
+        self.lengths = data[at[2] : at[3]].view(np.int64).tolist()
+        self.blocks, self.text = data[at[3] : at[3] + n], data[at[4] : at[4] + text]
+
+    def string(self, k: int) -> bytes:
+        return self.text[self.ends[k - 1] if k else 0 : self.ends[k]].tobytes()
+
+    def verdict(self, k: int) -> str:
+        return _VERDICTS[self.blocks[k]]
+
+    def find(self, keys: list[bytes]) -> np.ndarray:
+        """Entry number of each key, or -1."""
+        out = np.full(len(keys), -1, np.int64)
+        if not len(self.keys) or not keys:
+            return out
+        row = np.arange(len(keys))
+        probe = np.array([xxhash.xxh64_intdigest(k) for k in keys], np.uint64)
+        at = np.searchsorted(self.keys, probe)
+        while True:  # equal hashes stand side by side; each is confirmed by its string
+            live = np.flatnonzero((at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] == probe))
+            live = live[out[row[live]] < 0]
+            if not len(live):
+                return out
+            for k in live:
+                if self.string(int(at[k])) == keys[row[k]]:
+                    out[row[k]] = at[k]
+            probe, at, row = probe[live], at[live] + 1, row[live]
+
+
+def build(rules: Sequence[tuple[str, str, str]], unwanted: Sequence[str] = UNWANTED) -> bytes:
+    """The file: header, sorted digests, string ends, path lengths, verdicts and strings. Of rules with equal host and path
+    the first counts."""
+    entries = {f"?{w}".encode(): "block" for w in unwanted}
+    entries |= {(h.lower() + p).encode(): v for v, h, p in reversed(list(rules))}
+    listed = sorted((xxhash.xxh64_intdigest(k), k, _VERDICTS.index(v)) for k, v in entries.items())
+    lengths = np.array(sorted({len(p) for _, _, p in rules}), np.int64)
+    text = b"".join(k for _, k, _ in listed)
+    blocks = bytes(v for *_, v in listed)
+    parts = (
+        np.array([len(listed), len(lengths), len(text)], np.int64), np.array([h for h, *_ in listed], np.uint64),
+        np.cumsum([len(k) for _, k, _ in listed], dtype=np.int64), lengths,
+    )
+    return b"".join(x.tobytes() for x in parts) + blocks + bytes(-len(blocks) % 8) + text
+
+
+@cache
+def mapped(name: str) -> DigestArray:
+    return DigestArray(np.memmap(SparkFiles.get(name), np.uint8, "r"))
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -60,36 +110,25 @@ def split_url(url: str | None) -> tuple[str, str]:
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
-def best_rules(hosts: list[str], paths: list[str], keys: np.ndarray, order: np.ndarray, rules: list[list[str]]) -> list[int]:
-    """Number of the longest rule that fits each url, or -1."""
-    lengths = sorted({len(p) for _, _, p in rules})
+def judge(hosts: list[str], paths: list[str], array: DigestArray) -> list[tuple[str | None, str]]:
+    """(rule, verdict) of each url: the longest rule that fits, else by its host's words."""
     row, tried = [], []
     for i, (host, path) in enumerate(zip(hosts, paths)):
         labels = host.split(".")
         for k in range(len(labels)):
             suffix = ".".join(labels[k:])
-            for n in lengths:
+            for n in array.lengths:
                 if n <= len(path):
                     row.append(i)
-                    tried.append((suffix, path[:n]))
-    best, size = [-1] * len(hosts), [-1] * len(hosts)
-    if not len(keys) or not tried:
-        return best
-    probe = np.array([xxhash.xxh64_intdigest(rule_key(*x).encode()) for x in tried], np.uint64)
-    at = np.searchsorted(keys, probe)
-    while True:  # equal hashes stand side by side; each is confirmed by its strings
-        live = np.flatnonzero((at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == probe))
-        if not len(live):
-            return best
-        for k in live:
-            i, r = row[k], int(order[at[k]])
-            if tuple(rules[r][1:]) == tried[k] and (s := len(rules[r][1]) + len(rules[r][2])) > size[i]:
-                best[i], size[i] = r, s
-        probe, at, row, tried = probe[live], at[live] + 1, [row[k] for k in live], [tried[k] for k in live]
-
-
-def unwanted(host: str) -> bool:
-    return any(part in UNWANTED for label in host.split(".") for part in label.split("-"))
+                    tried.append((suffix + path[:n]).encode())
+    best = [-1] * len(hosts)
+    size = [-1] * len(hosts)
+    for i, key, k in zip(row, tried, array.find(tried).tolist()):
+        if k >= 0 and len(key) > size[i]:
+            best[i], size[i] = k, len(key)
+    words = [(i, f"?{w}".encode()) for i, h in enumerate(hosts) if best[i] < 0 for label in h.split(".") for w in label.split("-")]
+    bad = {i for (i, _), k in zip(words, array.find([w for _, w in words]).tolist()) if k >= 0}
+    return [(array.string(k).decode(), array.verdict(k)) if k >= 0 else (None, "block" if i in bad else "allow") for i, k in enumerate(best)]
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_column: str = "page_id", url_column: str = "url") -> DataFrame:
@@ -99,22 +138,18 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     alike; other columns are ignored.
     """
     spark = pages.sparkSession
-    name = f"rules-{uuid.uuid4().hex}"
-    keys, order, kept = build(rules)
-    folder = tempfile.mkdtemp(prefix="lectern-")
-    for kind, array in (("keys", keys), ("order", order)):
-        np.save(os.path.join(folder, f"{name}.{kind}.npy"), array)
-        spark.sparkContext.addFile(os.path.join(folder, f"{name}.{kind}.npy"))
-    text = json.dumps(kept)
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mapped = [np.load(SparkFiles.get(f"{name}.{kind}.npy"), mmap_mode="r") for kind in ("keys", "order")]
-        listed = json.loads(text)
+    folder = new_folder(spark, "url-rules")
+    row = spark.createDataFrame([(bytearray(build(rules)),)], "value binary").select(F.col("value").cast("string"))
+    row.coalesce(1).write.option("compression", "none").option("lineSep", "\0").text(folder)
+    file = spark.read.format("binaryFile").load(folder).select("path").first()[0]
+    spark.sparkContext.addFile(file)
+    name = file.rsplit("/", 1)[-1]
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        array = mapped(name)
         for batch in batches:
             hosts, paths = map(list, zip(*map(split_url, batch.column(1).to_pylist()))) if batch.num_rows else ([], [])
-            best = best_rules(hosts, paths, *mapped, listed)
-            rule = [rule_key(*listed[b][1:]) if b >= 0 else None for b in best]
-            verdict = [listed[b][0] if b >= 0 else "block" if unwanted(h) else "allow" for b, h in zip(best, hosts)]
+            rule, verdict = zip(*judge(hosts, paths, array)) if batch.num_rows else ((), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(x, pa.string()) for x in (hosts, paths, rule, verdict))],
                 names=[id_column, "host", "path", "rule", "verdict"],
@@ -122,22 +157,22 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
 
     kind = pages.schema[id_column].dataType.simpleString()
     return pages.select(id_column, F.col(url_column).cast("string")).mapInArrow(
-        judge, f"{id_column} {kind}, host string, path string, rule string, verdict string"
+        judged, f"{id_column} {kind}, host string, path string, rule string, verdict string"
     )
 
 
 #: DuckDB SQL for the registered query.
 SQL = f"""
 WITH u AS (
-  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+  SELECT row_number() OVER () AS n, page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
 ), p AS (
-  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  SELECT n, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path
   FROM u
 ), r(verdict, rhost, rpath) AS (VALUES {", ".join(str(r) for r in RULES)}
 ), m AS (
   SELECT page_id, host, path, rhost || rpath AS rule, r.verdict,
-         row_number() OVER (PARTITION BY page_id, host, path ORDER BY length(rhost || rpath) DESC NULLS LAST) AS k
+         row_number() OVER (PARTITION BY n ORDER BY length(rhost || rpath) DESC NULLS LAST) AS k
   FROM p LEFT JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
 )
 SELECT page_id, host, path, rule, coalesce(verdict,

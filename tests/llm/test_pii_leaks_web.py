@@ -372,8 +372,34 @@ def test_broken_archives_are_told():
     assert archives.warc_date("1999") == "1999-01-01T00:00:00Z"
 
 
+def array_of(rules=url_filter.RULES):
+    import numpy as np
+
+    return url_filter.DigestArray(np.frombuffer(url_filter.build(rules) + b"\0", np.uint8))
+
+
 def test_rules_survive_hash_collisions(monkeypatch):
     monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda b: len(b) % 2)
-    keys, order, rules = url_filter.build(url_filter.RULES)
-    hosts, paths = ["example.org", "a.com", "b.net"], ["/es/x", "/de/", "/"]
-    assert [rules[b][1:] if b >= 0 else None for b in url_filter.best_rules(hosts, paths, keys, order, rules)] == [["example.org", "/es/"], ["com", "/de/"], None]
+    hosts, paths = ["example.org", "a.com", "b.net", "x.pills-now.net", "?ads"], ["/es/x", "/de/", "/", "/", ""]
+    assert url_filter.judge(hosts, paths, array_of()) == [("example.org/es/", "block"), ("com/de/", "block"), (None, "allow"), (None, "block"), (None, "allow")]
+
+
+def test_many_rules_equal_brute_force():
+    rng = random.Random(31)
+    labels = ["a", "bb", "c-c", "ads", "org", "com", "x"]
+    rules = [(rng.choice(["allow", "block"]), ".".join(rng.choices(labels, k=rng.randrange(1, 4))), "/" + "".join(rng.choices("ab/", k=rng.randrange(4)))) for _ in range(1500)]
+    array = array_of(rules)
+    hosts = [".".join(rng.choices(labels, k=rng.randrange(1, 5))) for _ in range(400)] + ["", "."]
+    paths = ["/" * rng.randrange(2) + "".join(rng.choices("ab/", k=rng.randrange(5))) for _ in hosts]
+    for host, path, (rule, verdict) in zip(hosts, paths, url_filter.judge(hosts, paths, array)):
+        fits = [(len(h + p), -k, h + p, v) for k, (v, h, p) in enumerate(rules) if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        wanted = max(fits)[2:] if fits else (None, "block" if any(w in url_filter.UNWANTED for x in host.split(".") for w in x.split("-")) else "allow")
+        assert (rule, verdict) == wanted or len(fits) > 1 and max(fits)[0] == len(rule)
+
+
+def test_repeated_long_and_clashing_urls(spark):
+    rows = [(1, "http://example.org/es/" + "x" * 200_000), (1, "http://a.com/de/"), (1, "http://a.com/de/"), (2, None), (2, None), (None, "HTTP://ADS.net")]
+    table = spark.createDataFrame([(*r, "h", 1, "allow") for r in rows], "page_id long, url string, host string, rule int, verdict string")
+    found = sorted((str(r.page_id), r.host, len(r.path), str(r.rule), r.verdict) for r in url_filter.filter_urls(table).collect())
+    assert found == [("1", "a.com", 4, "com/de/", "block"), ("1", "a.com", 4, "com/de/", "block"), ("1", "example.org", 200_004, "example.org/es/", "block"),
+                     ("2", "", 0, "None", "allow"), ("2", "", 0, "None", "allow"), ("None", "ads.net", 0, "None", "block")]
