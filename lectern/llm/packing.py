@@ -2,8 +2,9 @@
 
 A task packs its own documents in pools of about ``POOL_TOKENS`` tokens. Segments go in by falling length, each into the
 row with the least sufficient room; a segment tree over the possible rooms (0 to the row length) finds it. A packed row
-is binary: ids as little-endian unsigned 32- or 16-bit integers, padded to the row length. Beside it stand the cumulative
-segment lengths and the positions at which position ids start anew, and for each segment its document and its offset there.
+is binary: ids as little-endian unsigned 32- or 16-bit integers, padded to the row length with the first id that the
+vocabulary leaves free. Beside it stand the cumulative segment lengths and the positions at which position ids start anew,
+and for each segment its document, a number of the document's row (repeated and null ids differ in it) and its offset there. ``write_matrices`` writes rows as files, each with an id matrix.
 """
 
 from __future__ import annotations
@@ -16,15 +17,14 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .textkit import batches_of
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-# The vocabulary's splitting pattern and its free id, used as padding.
+# The vocabulary's splitting pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-PAD = 50256
 ROW_TOKENS = 2048
 POOL_TOKENS = 1 << 20
 
@@ -99,48 +99,53 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
         return np.concatenate([np.asarray(p, np.uint32) for p in parts])
 
     encode.decode_bytes = own.decode_bytes
+    encode.free_id = max(ranks.values(), default=-1) + 1
     return encode
 
 
 _FIELDS = [
-    ("pack_id", pa.int64()), ("n_tokens", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("doc_offsets", pa.list_(pa.int64())),
+    ("pack_id", pa.int64()), ("n_tokens", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("doc_rows", pa.list_(pa.int64())), ("doc_offsets", pa.list_(pa.int64())),
     ("cu_seqlens", pa.list_(pa.int32())), ("position_resets", pa.list_(pa.int32())), ("ids", pa.binary()),
 ]
-SCHEMA = "pack_id long, n_tokens int, doc_ids array<long>, doc_offsets array<long>, cu_seqlens array<int>, position_resets array<int>, ids binary"
+SCHEMA = "pack_id long, n_tokens int, doc_ids array<long>, doc_rows array<long>, doc_offsets array<long>, cu_seqlens array<int>, position_resets array<int>, ids binary"
 
 
 def pack(docs: DataFrame, path: str = VOCABULARY, row_tokens: int = ROW_TOKENS, pool_tokens: int = POOL_TOKENS, width: int = 2) -> DataFrame:
     """Packed rows of the whole table; see the module. ``width`` is the bytes of an id (2 or 4).
 
-    Null and empty texts have no tokens and no segment. A null doc_id stays null in doc_ids. Repeated rows are packed
+    Raises ValueError if the vocabulary and the padding do not fit the width. Null and empty texts have no tokens and no segment. A null doc_id stays null in doc_ids. Repeated rows are packed
     each. An empty table gives no rows. A retried task packs alike: order and pools follow its input.
     """
 
-    def rows_of(pool: list[tuple], serial: int) -> Iterator[tuple]:
+    def rows_of(pool: list[tuple], serial: int, pad: int) -> Iterator[tuple]:
         partition = TaskContext.get().partitionId()
-        for k, members in enumerate(best_fit_decreasing([len(s[2]) for s in pool], row_tokens)):
-            ends = np.cumsum([len(pool[m][2]) for m in members])
-            row = np.full(row_tokens, PAD, f"<u{width}")
-            row[: ends[-1]] = np.concatenate([pool[m][2] for m in members])
+        for k, members in enumerate(best_fit_decreasing([len(s[3]) for s in pool], row_tokens)):
+            ends = np.cumsum([len(pool[m][3]) for m in members])
+            row = np.full(row_tokens, pad, f"<u{width}")
+            row[: ends[-1]] = np.concatenate([pool[m][3] for m in members])
             edges = [0, *ends.tolist()]
-            yield ((partition << 36) | (serial + k), edges[-1], [pool[m][0] for m in members], [pool[m][1] for m in members], edges, edges[:-1], row.tobytes())
+            docs, numbers, offsets = ([pool[m][c] for m in members] for c in range(3))
+            yield ((partition << 36) | (serial + k), edges[-1], docs, [(partition << 36) | n for n in numbers], offsets, edges, edges[:-1], row.tobytes())
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
+        if encode.free_id >= 1 << 8 * width:
+            raise ValueError(f"ids up to {encode.free_id} do not fit {width} bytes")
 
         def rows():
-            pool, size, serial = [], 0, 0
+            pool, size, serial, number = [], 0, 0, 0
             for batch in batches:
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                     ids = encode(text.as_py()) if text.is_valid else ()
+                    number += 1
                     for at in range(0, len(ids), row_tokens):
-                        pool.append((doc, at, ids[at : at + row_tokens].astype(f"<u{width}")))
-                        size += len(pool[-1][2])
+                        pool.append((doc, number, at, ids[at : at + row_tokens].astype(f"<u{width}")))
+                        size += len(pool[-1][3])
                         if size >= pool_tokens:
-                            done = list(rows_of(pool, serial))
+                            done = list(rows_of(pool, serial, encode.free_id))
                             yield from done
                             pool, size, serial = [], 0, serial + len(done)
-            yield from rows_of(pool, serial)
+            yield from rows_of(pool, serial, encode.free_id)
 
         yield from batches_of(rows(), pa.schema(_FIELDS), 256)
 
@@ -148,19 +153,87 @@ def pack(docs: DataFrame, path: str = VOCABULARY, row_tokens: int = ROW_TOKENS,
 
 
 def unpack(packed: DataFrame, width: int = 2) -> DataFrame:
-    """(doc_id, ids) of every packed document, whole again; documents are told apart by doc_id."""
+    """(doc_id, ids) of every packed document row, whole again."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("offset", pa.int64()), ("part", pa.list_(pa.int64()))])
+        schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("offset", pa.int64()), ("part", pa.list_(pa.int64()))])
 
         def rows():
             for batch in batches:
                 for r in batch.to_pylist():
                     ids = np.frombuffer(r["ids"], f"<u{width}")
-                    for d, o, a, b in zip(r["doc_ids"], r["doc_offsets"], r["cu_seqlens"], r["cu_seqlens"][1:]):
-                        yield d, o, ids[a:b].tolist()
+                    for d, n, o, a, b in zip(r["doc_ids"], r["doc_rows"], r["doc_offsets"], r["cu_seqlens"], r["cu_seqlens"][1:]):
+                        yield d, n, o, ids[a:b].tolist()
 
         yield from batches_of(rows(), schema, 256)
 
-    parts = packed.mapInArrow(cut, "doc_id long, offset long, part array<long>").groupBy("doc_id")
-    return parts.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("offset", "part"))), lambda x: x["part"])).alias("ids"))
+    parts = packed.mapInArrow(cut, "doc_id long, row long, offset long, part array<long>").groupBy("row")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("offset", "part"))), lambda x: x["part"])
+    return parts.agg(F.max("doc_id").alias("doc_id"), F.flatten(ordered).alias("ids")).drop("row")
+
+
+MATRIX_BYTES = 64 << 20
+_MAGIC = b"IDMATRIX"
+
+
+def matrix_file(rows: list[dict], row_tokens: int, width: int) -> bytes:
+    """Magic, then as int64 the width, row length, rows and segments; the id matrix, padded to 8 bytes; per row its id and
+    number of segments; per segment its end in the row, document (and whether it has one), document row and offset. Little-endian."""
+    segments = [s for r in rows for s in zip(r["cu_seqlens"][1:], (d or 0 for d in r["doc_ids"]), (d is not None for d in r["doc_ids"]), r["doc_rows"], r["doc_offsets"])]
+    matrix = b"".join(r["ids"] for r in rows)
+    heads = np.array([width, row_tokens, len(rows), len(segments)], "<i8")
+    by_row = np.array([(r["pack_id"], len(r["doc_ids"])) for r in rows], "<i8")
+    return b"".join((_MAGIC, heads.tobytes(), matrix, bytes(-len(matrix) % 8), by_row.tobytes(), np.array(segments, "<i8").tobytes()))
+
+
+def matrix_rows(data: bytes) -> Iterator[tuple]:
+    """The packed rows of a file, as ``pack`` returns them."""
+    if data[:8] != _MAGIC:
+        raise ValueError("not a file of id matrices")
+    width, row_tokens, n_rows, n_segments = np.frombuffer(data, "<i8", 4, 8).tolist()
+    size = n_rows * row_tokens * width
+    at = 40 + size + -size % 8
+    by_row = np.frombuffer(data, "<i8", 2 * n_rows, at).reshape(n_rows, 2)
+    segments = np.frombuffer(data, "<i8", 5 * n_segments, at + by_row.nbytes).reshape(n_segments, 5).tolist()
+    done = 0
+    for k, (pack_id, n) in enumerate(by_row.tolist()):
+        own = segments[done : done + n]
+        done += n
+        edges = [0, *(s[0] for s in own)]
+        ids = data[40 + k * row_tokens * width : 40 + (k + 1) * row_tokens * width]
+        yield pack_id, edges[-1], [s[1] if s[2] else None for s in own], [s[3] for s in own], [s[4] for s in own], edges, edges[:-1], ids
+
+
+def write_matrices(packed: DataFrame, path: str, row_tokens: int = ROW_TOKENS, width: int = 2, file_bytes: int = MATRIX_BYTES) -> None:
+    """Write packed rows as files of about ``file_bytes``, readable by offset without Spark. A cast of bytes to a string
+    changes nothing; the zero byte that the writer puts at the end lies behind all that the header counts."""
+
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = max(1, file_bytes // (row_tokens * width))
+
+        def blobs():
+            held = []
+            for batch in batches:
+                for row in batch.to_pylist():
+                    held.append(row)
+                    if len(held) == most:
+                        yield (matrix_file(held, row_tokens, width),)
+                        held = []
+            if held:
+                yield (matrix_file(held, row_tokens, width),)
+
+        yield from batches_of(blobs(), pa.schema([("value", pa.binary())]), 1)
+
+    values = packed.select(*[n for n, _ in _FIELDS]).mapInArrow(files, "value binary").select(F.col("value").cast("string"))
+    values.write.option("maxRecordsPerFile", 1).option("compression", "none").option("lineSep", "\0").text(path)
+
+
+def read_matrices(spark: SparkSession, path: str) -> DataFrame:
+    """The packed rows of all matrix files under a folder."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cell in batch.column(0):
+                yield from batches_of(matrix_rows(cell.as_py()), pa.schema(_FIELDS), 256)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, SCHEMA)

@@ -1,3 +1,4 @@
+import base64
 import random
 
 import numpy as np
@@ -32,25 +33,35 @@ def test_best_fit_equals_naive():
             assert packing.best_fit_decreasing(lengths, size) == naive_fit(lengths, size)
 
 
-def test_packing_loses_nothing(spark, awkward, empty):
-    docs = awkward.where("doc_id <> 2")
-    packed = packing.pack(docs, row_tokens=128, pool_tokens=1000)
+def test_packing_loses_nothing(spark, awkward, empty, tmp_path):
+    """Every row comes back whole, repeated ones and those without an id too, also through matrix files."""
+    packed = packing.pack(awkward, row_tokens=128, pool_tokens=1000)
     rows = packed.collect()
+    encode = packing.encoder(packing.VOCABULARY)
     for r in rows:
         ids = np.frombuffer(r.ids, "<u2")
-        assert len(ids) == 128 and (ids[r.n_tokens :] == packing.PAD).all()
+        assert len(ids) == 128 and (ids[r.n_tokens :] == encode.free_id).all() and encode.free_id == 50256
         assert r.cu_seqlens[0] == 0 and r.cu_seqlens[-1] == r.n_tokens <= 128 and r.position_resets == r.cu_seqlens[:-1]
-        assert len(r.doc_ids) == len(r.doc_offsets) == len(r.cu_seqlens) - 1
+        assert len(r.doc_ids) == len(r.doc_rows) == len(r.doc_offsets) == len(r.cu_seqlens) - 1
     assert len({r.pack_id for r in rows}) == len(rows)
-    whole = {r.doc_id: r.ids for r in packing.unpack(packed).collect()}
-    encode = packing.encoder(packing.VOCABULARY)
-    texts = {r.doc_id: r.text for r in docs.collect() if r.text}
-    assert set(whole) == set(texts)
-    for i, text in texts.items():
-        assert encode.decode_bytes(whole[i]) == text.encode() and whole[i] == encode(text).tolist()
+    wanted = sorted((str(r.doc_id), encode(r.text).tolist()) for r in awkward.collect() if r.text)
+    assert sorted((str(r.doc_id), r.ids) for r in packing.unpack(packed).collect()) == wanted
+    assert all(encode.decode_bytes(ids) == r.text.encode() for r in awkward.collect() if r.text for ids in [encode(r.text).tolist()])
+    packing.write_matrices(packed, f"file://{tmp_path}/matrices", row_tokens=128, file_bytes=2000)
+    again = packing.read_matrices(spark, f"file://{tmp_path}/matrices")
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, rows)) and len(list(tmp_path.glob("matrices/part-*"))) > 2
     assert packing.pack(empty).count() == 0
 
 
+def test_ids_that_do_not_fit_are_told(spark, awkward, tmp_path):
+    path = tmp_path / "ranks"
+    with open(packing.VOCABULARY) as lines:
+        path.write_text(lines.read() + "".join(f"{base64.b64encode(f'~~{i}'.encode()).decode()} {70000 + i}\n" for i in range(3)))
+    with pytest.raises(Exception, match="do not fit"):
+        packing.pack(awkward, str(path)).collect()
+    assert packing.pack(awkward, str(path), width=4).count() > 0
+
+
 @pytest.fixture(scope="module")
 def model():
     return pieces.pieces(pieces.MODEL)
