@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 VIDEO_EXTENSIONS = ("mp4", "avi", "mkv", "mov", "wmv", "flv", "webm")
 IMAGE_EXTENSIONS = ("png", "jpg", "jpeg", "heic", "heif")
+CAPTURED_EXTENSIONS = ("jpg", "jpeg", "png", "gif", "webp")
 AUDIO_SUPPORTED = ("mp3", "mp4", "mpeg", "mpga", "m4a", "wav", "webm")
 AUDIO_COMPATIBLE = ("mp3", "wav", "m4a")
 AUDIO_IN_VIDEO = ("mp4", "mov", "avi", "mkv", "webm")
@@ -61,9 +62,14 @@ def slide_time_legacy(name: Column) -> Column:
 
 
 def natural_key(name: Column) -> Column:
-    """Sort key in which runs of digits compare as numbers and letters without case."""
+    """Sort key in which runs of digits compare as numbers, of any length, and letters without case."""
     runs = F.regexp_extract_all(F.lower(name), F.lit(r"\d+|\D+"), F.lit(0))
-    return F.array_join(F.transform(runs, lambda t: F.when(t.rlike(r"^\d"), F.lpad(t, 20, "0")).otherwise(t)), "")
+
+    def number(digits: Column) -> Column:
+        short = F.regexp_replace(digits, r"^0+(?=\d)", "")
+        return F.concat(F.lpad(F.length(short).cast("string"), 6, "0"), short)
+
+    return F.array_join(F.transform(runs, lambda t: F.when(t.rlike(r"^\d"), number(t)).otherwise(t)), "")
 
 
 def path_match_key(path: Column) -> Column:
@@ -86,16 +92,22 @@ def _tenths(seconds: Column) -> Column:
     return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
 
 
+def padded(number: Column, width: int) -> Column:
+    """A number with leading zeros; longer ones stay whole."""
+    text = number.cast("string")
+    return F.when(F.length(text) < width, F.lpad(text, width, "0")).otherwise(text)
+
+
 def slide_filename(number: Column, seconds: Column, phash_hex: Column, group: Column | None = None, subgroup: Column | None = None) -> Column:
-    """``slide_NNN_tMmS.Ss[_gGG[-SS]]_hXXXXXXXX.jpg``."""
+    """``slide_NNN_tMmS.Ss[_gGG[-SS]]_hXXXXXXXX.jpg``; numbers that need more digits get them."""
     minutes = F.floor(seconds / 60)
     tag = F.lit("")
     if group is not None:
-        tag = F.when(group >= 0, F.concat(F.lit("_g"), F.lpad(group.cast("string"), 2, "0"))).otherwise("")
+        tag = F.when(group >= 0, F.concat(F.lit("_g"), padded(group, 2))).otherwise("")
         if subgroup is not None:
-            tag = F.concat(tag, F.when((group >= 0) & (subgroup > 1), F.concat(F.lit("-"), F.lpad(subgroup.cast("string"), 2, "0"))).otherwise(""))
+            tag = F.concat(tag, F.when((group >= 0) & (subgroup > 1), F.concat(F.lit("-"), padded(subgroup, 2))).otherwise(""))
     return F.concat(
-        F.lit("slide_"), F.lpad(number.cast("string"), 3, "0"), F.lit("_t"), minutes.cast("string"), F.lit("m"),
+        F.lit("slide_"), padded(number, 3), F.lit("_t"), minutes.cast("string"), F.lit("m"),
         _tenths(seconds - minutes * 60), F.lit("s"), tag, F.lit("_h"), F.substring(phash_hex, 1, 8), F.lit(".jpg"),
     )
 

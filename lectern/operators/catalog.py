@@ -51,19 +51,25 @@ def without_slide_folder(catalog: DataFrame) -> DataFrame:
     return visible_files(catalog, P.VIDEO_EXTENSIONS).join(dirs, "dir", "left_anti").select("path")
 
 
-def capture_folders(stem: Column) -> list[Column]:
-    """Folders that may hold a video's slides, the likeliest first."""
-    return [F.concat(stem, F.lit(s)) for s in ("_slides", "_slide")] + [F.lit(s) for s in ("Slides", "slides", "Slide", "slide")]
+#: Folders that may hold a video's slides, by capture tool, the likeliest first; ``{}`` is the video's stem.
+CAPTURE_FOLDERS = {
+    "standard": ("{}_slides", "{}_slide", "slides", "slide", "Slides", "Slide"),
+    "improved": ("slides_improved_{}", "{}_slides_improved", "{}_slides", "{}_slide", "slides_improved", "slides", "slide", "Slides", "Slide"),
+}
 
 
-def already_captured(catalog: DataFrame, force: bool = False) -> DataFrame:
+def capture_folders(stem: Column, mode: str = "standard") -> list[Column]:
+    return [F.concat(F.lit(x.partition("{}")[0]), stem, F.lit(x.partition("{}")[2])) if "{}" in x else F.lit(x) for x in CAPTURE_FOLDERS[mode]]
+
+
+def already_captured(catalog: DataFrame, mode: str = "standard", force: bool = False) -> DataFrame:
     """(path, folder) of every video: the first candidate folder beside it that holds a visible image, else null."""
     videos = visible_files(catalog, P.VIDEO_EXTENSIONS).select("path", "dir", "stem")
     if force:
         return videos.select("path", F.lit(None).cast("string").alias("folder"))
-    ranked = F.posexplode(F.array(*[F.concat_ws("/", F.col("dir"), c) for c in capture_folders(F.col("stem"))]))
+    ranked = F.posexplode(F.array(*[F.concat_ws("/", F.col("dir"), c) for c in capture_folders(F.col("stem"), mode)]))
     candidates = videos.select("path", ranked.alias("rank", "folder"))
-    holding = visible_files(catalog, P.IMAGE_EXTENSIONS).select(F.col("dir").alias("folder")).distinct()
+    holding = visible_files(catalog, P.CAPTURED_EXTENSIONS).select(F.col("dir").alias("folder")).distinct()
     found = candidates.join(holding, "folder").groupBy("path").agg(F.min_by("folder", "rank").alias("folder"))
     return videos.select("path").join(found, "path", "left")
 

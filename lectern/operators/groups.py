@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.frames import hamming, hash_similarity
+from ..functions.frames import hamming
 
 
 def similar_pairs(rows: DataFrame, id_column: str, hash_column: str, max_distance: int, within: str | None = None) -> DataFrame:
@@ -34,28 +37,46 @@ def leader_groups(rows: DataFrame, policy: str, threshold: float, skip_threshold
     more than ``skip_threshold`` like it, else join the most similar leader of at least the threshold, the earliest on
     ties (ids from 1). Rows that join none lead a new group.
     """
-    kept_type = "array<struct<o:bigint,h:bigint,g:int,sub:int>>"
-    start = 0 if policy == "first" else 1
+    schema = T.StructType([rows.schema[key], T.StructField(order, T.LongType()), T.StructField("group_id", T.IntegerType()), T.StructField("subgroup_idx", T.IntegerType())])
+
+    def fold(name: tuple, batch: pa.Table) -> pa.Table:
+        order_of = batch.column("o").to_numpy()
+        places = np.argsort(order_of, kind="stable")
+        hashes = batch.column("h").to_numpy().view(np.uint64)[places]
+        led = lead(hashes, policy, threshold, skip_threshold)
+        kept = led[0] >= 0
+        columns = [pa.array([name[0].as_py()] * int(kept.sum()), batch.schema.field("k").type), pa.array(order_of[places][kept], pa.int64())]
+        return pa.Table.from_arrays([*columns, pa.array(led[0][kept], pa.int32()), pa.array(led[1][kept], pa.int32())], names=schema.names)
+
+    # two numbers a row are all that a sequence's group holds
+    slim = rows.select(F.col(key).alias("k"), F.col(order).cast("long").alias("o"), F.col(hash_column).alias("h"))
+    return slim.groupBy("k").applyInArrow(fold, schema)
 
-    def step(acc: Column, row: Column) -> Column:
-        leaders = F.filter(acc, lambda k: k["sub"] == 1)
-        near = lambda k: hash_similarity(k["h"], row["h"])
-        if policy == "first":
-            chosen = F.filter(leaders, lambda k: near(k) > threshold)
-        else:
-            fit = F.filter(leaders, lambda k: near(k) >= threshold)
-            best = F.array_max(F.transform(fit, near))
-            chosen = F.filter(fit, lambda k: near(k) == best)
-        group = F.coalesce(F.get(chosen, F.lit(0))["g"], F.size(leaders) + start)
-        size = F.size(F.filter(acc, lambda k: k["g"] == group))
-        grown = F.concat(acc, F.array(F.struct(row["o"].alias("o"), row["h"].alias("h"), group.cast("int").alias("g"), (size + 1).alias("sub"))))
-        if skip_threshold is None:
-            return grown
-        return F.when(F.exists(acc, lambda k: near(k) > skip_threshold), acc).otherwise(grown)
-
-    listed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("o"), F.col(hash_column).alias("h")))).alias("_rows"))
-    out = listed.select(key, F.explode(F.aggregate("_rows", F.array().cast(kept_type), step)).alias("m"))
-    return out.select(key, F.col("m.o").alias(order), F.col("m.g").alias("group_id"), F.col("m.sub").alias("subgroup_idx"))
+
+def lead(hashes: np.ndarray, policy: str, threshold: float, skip_threshold: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """Group and subgroup numbers of hashes in order, -1 for those left out; see ``leader_groups``."""
+    start = 0 if policy == "first" else 1
+    groups, subs = np.full(len(hashes), -1), np.zeros(len(hashes), np.int64)
+    leaders, kept = np.zeros(len(hashes), np.uint64), np.zeros(len(hashes), np.uint64)
+    sizes: list[int] = []
+    n_kept = 0
+    for i, h in enumerate(hashes):
+        if skip_threshold is not None and n_kept and (1 - np.bitwise_count(kept[:n_kept] ^ h).min() / 64.0) > skip_threshold:
+            continue
+        g = len(sizes)
+        if g:
+            like = 1 - np.bitwise_count(leaders[:g] ^ h) / 64.0
+            best = int(np.argmax(like > threshold)) if policy == "first" else int(np.argmax(like))
+            if like[best] > threshold or policy != "first" and like[best] >= threshold:
+                g = best
+        if g == len(sizes):
+            leaders[g] = h
+            sizes.append(0)
+        sizes[g] += 1
+        groups[i], subs[i] = g + start, sizes[g]
+        kept[n_kept] = h
+        n_kept += 1
+    return groups, subs
 
 
 def group_summary(slides: DataFrame, *keys: str) -> DataFrame:

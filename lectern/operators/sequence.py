@@ -44,13 +44,19 @@ def with_previous(frames: DataFrame, *columns: str, key: str = "video_id", order
     return frames.select("*", *[F.lag(c).over(w).alias(f"prev_{c}") for c in columns])
 
 
-def change_candidates(frames: DataFrame, videos: DataFrame, step: int, threshold: float = 0.95) -> DataFrame:
-    """(video_id, frame_idx) around every sampled frame whose histogram differs from the one before."""
+def change_candidates(frames: DataFrame, videos: DataFrame, step: int | str, threshold: float = 0.95) -> DataFrame:
+    """(video_id, frame_idx) around every frame (feed sampled ones) whose histogram differs from the one before.
+
+    ``step`` is the stride of sampling, or the column of ``videos`` that has it; offsets run from -step / 2, rounded down,
+    to step / 2 by fives.
+    """
     changed = with_previous(frames, "luma").where(M.histogram_corr(F.col("luma"), F.col("prev_luma")) < threshold)
-    offsets = F.sequence(F.lit(-step // 2), F.lit(step // 2), F.lit(5))
-    around = changed.select("video_id", F.explode(F.transform(offsets, lambda o: F.col("frame_idx") + o)).alias("frame_idx"))
-    total = videos.select("video_id", "total_frames")
-    return around.join(total, "video_id").where((F.col("frame_idx") >= 0) & (F.col("frame_idx") < F.col("total_frames"))).select("video_id", "frame_idx").distinct()
+    stride = F.col(step) if isinstance(step, str) else F.lit(step)
+    known = videos.select("video_id", "total_frames", stride.cast("int").alias("_stride"))
+    offsets = F.sequence(F.floor(-F.col("_stride") / 2).cast("int"), F.floor(F.col("_stride") / 2).cast("int"), F.lit(5))
+    around = changed.select("video_id", "frame_idx").join(known, "video_id")
+    around = around.select("video_id", "total_frames", F.explode(F.transform(offsets, lambda o: F.col("frame_idx") + o)).alias("frame_idx"))
+    return around.where((F.col("frame_idx") >= 0) & (F.col("frame_idx") < F.col("total_frames"))).select("video_id", "frame_idx").distinct()
 
 
 def fold_accepted(rows: DataFrame, key: str, order: str, columns: list[str], accept: Callable[[Column, Column, Column], Column], remember: list[str] | None = None) -> DataFrame:
@@ -76,26 +82,28 @@ def fold_accepted(rows: DataFrame, key: str, order: str, columns: list[str], acc
     return listed.select(key, F.explode(kept).alias(order))
 
 
-def accept_changes(frames: DataFrame, mode: str, fps: float = 1.0, threshold: float | None = None) -> DataFrame:
+def accept_changes(frames: DataFrame, mode: str, fps: float | str = 1.0, threshold: float | None = None) -> DataFrame:
     """Accepted frames of a capture mode, each compared with the last accepted one.
 
     improved: first, or structural similarity under the threshold, or edges less than 0.9 alike; and more than a second
     later. advanced: structural similarity only, more than half a second later. standard: at least two seconds later and
     under the threshold, then not within a Hamming distance under 5 of any accepted hash. range: mean difference over 5
     or correlation under 0.98. coarse: structural similarity under 0.5. main: mean-square similarity under 0.85.
+    ``fps`` is a number, or the column of ``frames`` that has each video's.
     """
     limit = threshold if threshold is not None else {"standard": 0.8, "coarse": 0.5, "main": 0.85}.get(mode, 0.85)
     first = lambda last: last["luma"].isNull()
+    rate = lambda row: row[fps] if isinstance(fps, str) else F.lit(fps)
 
     def improved(last, row, kept):
         new = (M.ssim(last["luma"], row["luma"]) < limit) | (1 - M.edge_change(last["luma"], row["luma"]) < 0.9)
-        return (first(last) | F.coalesce(new, F.lit(False))) & (row["frame_idx"] - last["frame_idx"] > fps)
+        return (first(last) | F.coalesce(new, F.lit(False))) & (row["frame_idx"] - last["frame_idx"] > rate(row))
 
     def advanced(last, row, kept):
-        return (first(last) | F.coalesce(M.ssim(last["luma"], row["luma"]) < limit, F.lit(False))) & (row["frame_idx"] - last["frame_idx"] > 0.5 * fps)
+        return (first(last) | F.coalesce(M.ssim(last["luma"], row["luma"]) < limit, F.lit(False))) & (row["frame_idx"] - last["frame_idx"] > 0.5 * rate(row))
 
     def standard(last, row, kept):
-        later = ((row["frame_idx"] - last["frame_idx"]) / fps >= 2.0) & (M.ssim(last["luma"], row["luma"]) < limit)
+        later = ((row["frame_idx"] - last["frame_idx"]) / rate(row) >= 2.0) & (M.ssim(last["luma"], row["luma"]) < limit)
         return (first(last) | F.coalesce(later, F.lit(False))) & ~F.exists(kept, lambda k: M.hamming(k["phash"], row["phash"]) < 5)
 
     def ranged(last, row, kept):
@@ -108,7 +116,7 @@ def accept_changes(frames: DataFrame, mode: str, fps: float = 1.0, threshold: fl
         return first(last) | F.coalesce(M.mse_similarity(last["luma"], row["luma"]) < limit, F.lit(False))
 
     rule = {"improved": improved, "advanced": advanced, "standard": standard, "range": ranged, "coarse": coarse, "main": main}[mode]
-    columns = ["luma", "phash"] if mode == "standard" else ["luma"]
+    columns = (["luma", "phash"] if mode == "standard" else ["luma"]) + ([fps] if isinstance(fps, str) else [])
     return fold_accepted(frames, "video_id", "frame_idx", columns, rule, ["phash"] if mode == "standard" else None)
 
 
@@ -191,13 +199,15 @@ def animation_states(frames: DataFrame, mains: DataFrame, fps: float = 1.0, span
     return states.select("_key.video_id", "_key.main_idx", "frame_idx").where("frame_idx > main_idx")
 
 
-def probe_gaps(slides: DataFrame, frames: DataFrame, fps: float = 1.0, gap: float = 30.0, every: float = 5.0, like: float = 0.95) -> DataFrame:
-    """(video_id, frame_idx) of probes in long gaps between slides that are like none of the slides around."""
+def probe_gaps(slides: DataFrame, frames: DataFrame, fps: float | str = 1.0, gap: float = 30.0, every: float = 5.0, like: float = 0.95) -> DataFrame:
+    """(video_id, frame_idx) of probes in long gaps between slides that are like none of the slides around. ``fps`` is a
+    number, or the column of ``slides`` that has each video's."""
     w = Window.partitionBy("video_id").orderBy("frame_idx")
-    step = int(fps * every)
-    placed = slides.select("video_id", "frame_idx", "luma", F.row_number().over(w).alias("pos"), F.lead("frame_idx").over(w).alias("next_idx"))
-    long = placed.where(F.col("next_idx") - F.col("frame_idx") > fps * gap)
-    probes = long.select("video_id", "pos", F.explode(F.sequence(F.col("frame_idx") + step, F.col("next_idx") - 1, F.lit(step))).alias("frame_idx"))
+    rate = F.col(fps) if isinstance(fps, str) else F.lit(float(fps))
+    step = F.floor(F.col("_rate") * every).cast("long")
+    placed = slides.select("video_id", "frame_idx", "luma", rate.alias("_rate"), F.row_number().over(w).alias("pos"), F.lead("frame_idx").over(w).alias("next_idx"))
+    long = placed.where((F.col("next_idx") - F.col("frame_idx") > F.col("_rate") * gap) & (step > 0) & (F.col("frame_idx") + step < F.col("next_idx")))
+    probes = long.select("video_id", "pos", F.explode(F.sequence(F.col("frame_idx") + step, F.col("next_idx") - 1, step)).alias("frame_idx"))
     seen = probes.join(frames.select("video_id", "frame_idx", F.col("luma").alias("probe")), ["video_id", "frame_idx"])
     near = seen.select("*", F.explode(F.sequence(F.col("pos") - 2, F.col("pos") + 2)).alias("near")).join(
         placed.select("video_id", F.col("pos").alias("near"), "luma"), ["video_id", "near"]

@@ -10,25 +10,36 @@ from ..operators import groups as G
 from ..operators import sequence as S
 
 
-def capture_pipeline(frames: DataFrame, videos: DataFrame, mode: str, step: int = 30, change: float = 0.95, threshold: float = 0.85, group: float | None = None) -> DataFrame:
+def capture_pipeline(
+    frames: DataFrame, videos: DataFrame, mode: str, step: int | None = None, change: float = 0.95, threshold: float = 0.85, group: float | None = None,
+    skip: float = 0.98, like: float = 0.95,
+) -> DataFrame:
     """(video_id, frame_idx, group_id, subgroup_idx, filename) of the slides of a mode.
 
-    improved: accepted by structure and edges, probes in long gaps, groups of the first like leader (over 0.9). advanced:
-    accepted by structure, near-copies left out (over 0.98), groups of the best leader (from 0.88). Only candidates enter
-    the folds. ``frames`` needs luma and phash, ``videos`` total_frames and fps.
+    Frames on the stride of their video (``step``, or by its length) are compared with the sampled one before; the frames
+    around a change are candidates, and only these enter the folds. improved: accepted by structure and edges, probes in
+    long gaps, groups of the first like leader (over 0.9), of each the sharpest slide; a slide alone has group -1.
+    advanced: accepted by structure, near-copies left out (over 0.98), groups of the best leader (from 0.88), all kept.
+    Times follow each video's frame rate. ``frames`` needs luma, phash and (for improved) sharpness, ``videos``
+    total_frames and fps.
     """
-    near = S.change_candidates(frames, videos, step, change)
-    candidates = frames.join(near, ["video_id", "frame_idx"], "left_semi")
-    accepted = S.accept_changes(candidates, mode, threshold=threshold)
-    slides = frames.join(accepted, ["video_id", "frame_idx"], "left_semi")
+    stride = F.lit(step) if step else S.sample_step("improved", F.col("fps"), F.col("total_frames"))
+    paced = videos.select("video_id", "total_frames", F.col("fps").alias("_fps"), stride.alias("_step"))
+    timed = frames.join(paced.select("video_id", "_fps", "_step"), "video_id")
+    near = S.change_candidates(timed.where(F.col("frame_idx") % F.col("_step") == 0), paced, "_step", change)
+    candidates = timed.join(near, ["video_id", "frame_idx"], "left_semi")
+    slides = timed.join(S.accept_changes(candidates, mode, "_fps", threshold), ["video_id", "frame_idx"], "left_semi")
     if mode == "improved":
-        slides = slides.unionByName(frames.join(S.probe_gaps(slides, frames), ["video_id", "frame_idx"], "left_semi"))
+        slides = slides.unionByName(timed.join(S.probe_gaps(slides, timed, "_fps", like=like), ["video_id", "frame_idx"], "left_semi"))
         groups = G.leader_groups(slides, "first", 0.9 if group is None else group)
     else:
-        groups = G.leader_groups(slides, "best", 0.88 if group is None else group, 0.98)
-    named = groups.join(frames.select("video_id", "frame_idx", "timestamp", "phash"), ["video_id", "frame_idx"])
+        groups = G.leader_groups(slides, "best", 0.88 if group is None else group, skip)
+    named = groups.join(timed, ["video_id", "frame_idx"])
+    if mode == "improved":
+        sizes = groups.groupBy("video_id", "group_id").agg(F.count("*").alias("_size"))
+        best = G.select_best(named, "sharpest", ["video_id", "group_id"]).join(sizes, ["video_id", "group_id"])
+        named = best.withColumn("group_id", F.when(F.col("_size") > 1, F.col("group_id")).otherwise(-1)).withColumn("subgroup_idx", F.lit(1))
     number = F.row_number().over(Window.partitionBy("video_id").orderBy("frame_idx"))
     hexed = F.lower(F.lpad(F.hex("phash"), 16, "0"))
-    return named.select("video_id", "frame_idx", "group_id", "subgroup_idx", P.slide_filename(number, F.col("timestamp"), hexed, F.col("group_id"), F.col("subgroup_idx")).alias("filename"))
-
-
+    name = P.slide_filename(number, F.col("frame_idx") / F.col("_fps"), hexed, F.col("group_id"), F.col("subgroup_idx"))
+    return named.select("video_id", "frame_idx", "group_id", "subgroup_idx", name.alias("filename"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import frames as M
@@ -31,6 +31,19 @@ def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames(spark, sf_dir).groupBy("video_id").agg((F.max("frame_idx") + 1).alias("total_frames"), F.lit(1.0).alias("fps"))
 
 
+def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hashed frames numbered without gaps, two (even videos) or four a second, with their sharpness."""
+    number = F.row_number().over(Window.partitionBy("video_id").orderBy("frame_idx")) - 1
+    rate = F.when(F.col("video_id") % 2 == 0, 2.0).otherwise(4.0)
+    shown = hashed(spark, sf_dir).withColumn("frame_idx", number.cast("long")).withColumn("fps", rate)
+    return shown.withColumn("sharpness", F.round(M.sharpness(F.col("luma")), 6))
+
+
+def dense_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = table(spark, sf_dir, "embeddings").groupBy(F.col("label").cast("long").alias("video_id")).agg(F.count("*").alias("total_frames"))
+    return base.withColumn("fps", F.when(F.col("video_id") % 2 == 0, 2.0).otherwise(4.0))
+
+
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """key, event_id, t (seconds of 2024) and v, from events."""
     t = (F.unix_micros(F.col("ts").cast("timestamp")) - 1704067200000000) / 1e6

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import functions as F
 
@@ -12,12 +13,13 @@ from ..operators import catalog as C
 from ..operators import groups as G
 from ..operators import reports as R
 from ..operators import transcripts as T
+from ..sources import files as S
 from ..streaming import progress as Z
 from . import fixtures as X
 from . import metric_sql as Q
 from .capture import capture_pipeline
 from .fixtures import sql_with
-from .library import query
+from .library import _SIDES, query
 
 _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
@@ -39,7 +41,8 @@ _NAMES = """names AS (SELECT doc_id, source AS dir, n_chars::DOUBLE AS mtime, CA
   WHEN 1 THEN 'Slide' || doc_id || '_T' || doc_id || '.25s.JPG' WHEN 2 THEN 'img' || doc_id || '_12s.png' ELSE 'page' || doc_id || 'T7.png' END AS name FROM documents)"""
 _SLIDE_TIME = r"""coalesce(try_cast(regexp_extract(name, '(?i)_t(\d+)m(\d+(?:\.\d+)?)s', 1) AS DOUBLE) * 60 + try_cast(regexp_extract(name, '(?i)_t(\d+)m(\d+(?:\.\d+)?)s', 2) AS DOUBLE),
   try_cast(regexp_extract(name, '(?i)_t(\d+(?:\.\d+)?)s(?:[^a-z]|$)', 1) AS DOUBLE))"""
-_NATURAL = r"array_to_string(list_transform(regexp_extract_all(lower(name), '\d+|\D+'), lambda t: CASE WHEN regexp_matches(t, '^\d') THEN lpad(t, 20, '0') ELSE t END), '')"
+_NATURAL = r"""array_to_string(list_transform(regexp_extract_all(lower(name), '\d+|\D+'), lambda t: CASE WHEN regexp_matches(t, '^\d')
+  THEN lpad(length(regexp_replace(t, '^0+(\d)', '\1'))::VARCHAR, 6, '0') || regexp_replace(t, '^0+(\d)', '\1') ELSE t END), '')"""
 
 
 @query(f"WITH {_NAMES} SELECT name, {_SLIDE_TIME} AS seconds FROM names")
@@ -72,35 +75,35 @@ def p6_min_length(spark, sf_dir):
     return X.documents(spark, sf_dir).where(F.length("text") >= 100).select("doc_id")
 
 
-@query(r"""SELECT doc_id, array_to_string(list_transform(string_split(regexp_replace(left(text, 120), '[.]', ';/ ', 'g'), '/'), lambda p: trim(regexp_replace(replace(p, ';', ''), '\s+', ' ', 'g'))), '/') AS k FROM documents""")
+@query(r"""SELECT doc_id, array_to_string(list_transform(string_split(regexp_replace(text, '[.]', ';/ ', 'g'), '/'), lambda p: trim(regexp_replace(replace(p, ';', ''), '\s+', ' ', 'g'))), '/') AS k FROM documents""")
 def p7_path_match_key(spark, sf_dir):
-    raw = F.regexp_replace(F.substring("text", 1, 120), "[.]", ";/ ")
+    raw = F.regexp_replace("text", "[.]", ";/ ")
     return X.documents(spark, sf_dir).select("doc_id", P.path_match_key(raw).alias("k"))
 
 
 @query(
-    r"""WITH f AS (SELECT doc_id, string_split(left(text, 40), ' ')[1] || ' ' || source || ' ' || CASE WHEN doc_id % 3 = 0 THEN 'Saint University' WHEN doc_id % 3 = 1 THEN 'City hospital' ELSE 'x' END AS folder FROM documents),
+    r"""WITH f AS (SELECT doc_id, string_split(text, ' ')[1] || ' ' || source || ' ' || CASE WHEN doc_id % 3 = 0 THEN 'Saint University' WHEN doc_id % 3 = 1 THEN 'City hospital' ELSE 'x' END AS folder FROM documents),
     w AS (SELECT doc_id, folder, list_filter(regexp_split_to_array(trim(folder), '\s+'), lambda x: x <> '') AS words FROM f),
     m AS (SELECT *, list_position(list_transform(words, lambda x: regexp_matches(lower(x), 'university|center|hospital|association')), true) AS k FROM w)
     SELECT doc_id, CASE WHEN k > 2 THEN array_to_string(words[1:k - 2], ' ') ELSE folder END AS title FROM m"""
 )
 def p8_speaker_title(spark, sf_dir):
     place = F.when(F.col("doc_id") % 3 == 0, "Saint University").when(F.col("doc_id") % 3 == 1, "City hospital").otherwise("x")
-    folder = F.concat_ws(" ", F.get(F.split(F.substring("text", 1, 40), " "), F.lit(0)), F.col("source"), place)
+    folder = F.concat_ws(" ", F.get(F.split("text", " "), F.lit(0)), F.col("source"), place)
     return X.table(spark, sf_dir, "documents").select("doc_id", P.speaker_title(folder).alias("title"))
 
 
-_FILENAME = """'slide_' || lpad(n::VARCHAR, 3, '0') || '_t' || floor(s / 60)::BIGINT || 'm' || (floor((s - floor(s / 60) * 60) * 10 + 0.5)::BIGINT // 10) || '.' || (floor((s - floor(s / 60) * 60) * 10 + 0.5)::BIGINT % 10) || 's'"""
+_FILENAME = """'slide_' || printf('%03d', n::BIGINT) || '_t' || floor(s / 60)::BIGINT || 'm' || (floor((s - floor(s / 60) * 60) * 10 + 0.5)::BIGINT // 10) || '.' || (floor((s - floor(s / 60) * 60) * 10 + 0.5)::BIGINT % 10) || 's'"""
 
 
 @query(
-    f"""SELECT doc_id, {_FILENAME} || '_g' || lpad((doc_id % 7)::VARCHAR, 2, '0') || CASE WHEN doc_id % 3 > 1 THEN '-' || lpad((doc_id % 3)::VARCHAR, 2, '0') ELSE '' END || '_h' || left(md5(doc_id::VARCHAR), 8) || '.jpg' AS filename
-    FROM (SELECT doc_id, doc_id % 1000 AS n, n_chars / 7.0::DOUBLE AS s FROM documents)"""
+    f"""SELECT doc_id, {_FILENAME} || '_g' || printf('%02d', doc_id % 150) || CASE WHEN doc_id % 120 > 1 THEN '-' || printf('%02d', doc_id % 120) ELSE '' END || '_h' || left(md5(doc_id::VARCHAR), 8) || '.jpg' AS filename
+    FROM (SELECT doc_id, doc_id * 7 AS n, n_chars / 7.0::DOUBLE AS s FROM documents)"""
 )
 def p9_slide_filename(spark, sf_dir):
     d = X.table(spark, sf_dir, "documents")
     tag = F.md5(F.col("doc_id").cast("string").cast("binary"))
-    return d.select("doc_id", P.slide_filename(F.col("doc_id") % 1000, F.col("n_chars") / 7.0, tag, F.col("doc_id") % 7, F.col("doc_id") % 3).alias("filename"))
+    return d.select("doc_id", P.slide_filename(F.col("doc_id") * 7, F.col("n_chars") / 7.0, tag, F.col("doc_id") % 150, F.col("doc_id") % 120).alias("filename"))
 
 
 @query("SELECT doc_id, length(left(text, 3000)) AS kept, length(text) > 3000 AS truncated FROM documents")
@@ -170,14 +173,37 @@ def j2_without_slide_folder(spark, sf_dir):
     return C.without_slide_folder(X.catalog(spark, sf_dir))
 
 
-@query(
-    sql_with("catalog")
-    + f""", {_VIDEOS}, i AS (SELECT DISTINCT dir FROM catalog WHERE NOT is_dir AND NOT hidden AND ext IN ('png', 'jpg', 'jpeg', 'heic', 'heif')),
-    c AS (SELECT path, dir, unnest(range(0, 6)) AS r, unnest([stem || '_slides', stem || '_slide', 'Slides', 'slides', 'Slide', 'slide']) AS n FROM v)
-    SELECT v.path, arg_min(i.dir, c.r) AS folder FROM v LEFT JOIN c USING (path) LEFT JOIN i ON i.dir = c.dir || '/' || c.n GROUP BY v.path"""
-)
+# Image folders beside the videos of the catalog, for the order of candidates.
+_IMAGE_FOLDERS = (("slides", "a.jpg", 3), ("Slides", "b.webp", 5), ("slide", "c.gif", 7), ("Slide", "._d.png", 2), ("slides_improved", "e.PNG", 11))
+
+
+def _with_images(spark, sf_dir):
+    """The catalog of each document in a folder of its own, with image folders of all names."""
+    d = X.table(spark, sf_dir, "documents")
+    folder = F.concat(F.lit("/corpus/"), F.col("doc_id").cast("string"))
+    entry = lambda when, path: F.when(when, path)
+    n = F.col("doc_id")
+    files = [entry(n % k == 0, F.concat(folder, F.lit(f"/{name}/{file}"))) for name, file, k in _IMAGE_FOLDERS]
+    own = [entry(n % 13 == 0, F.concat(folder, F.lit("/talk_slide/x.jpeg"))), entry(n % 17 == 0, F.concat(folder, F.lit("/slides_improved_talk/y.png")))]
+    listed = d.select(F.explode(F.filter(F.array(F.concat(folder, F.lit("/talk.mp4")), *files, *own), lambda p: p.isNotNull())).alias("path"))
+    return C.with_parts(listed.withColumn("is_dir", F.lit(False)))
+
+
+def _captured_sql(names: tuple[str, ...]) -> str:
+    """The first folder in order that holds a visible image, case by case."""
+    held = {name: f"(doc_id % {k} = 0)" for name, file, k in _IMAGE_FOLDERS if not file.startswith("._")} | {"talk_slide": "(doc_id % 13 = 0)", "slides_improved_talk": "(doc_id % 17 = 0)"}
+    cases = " ".join(f"WHEN {held[x]} THEN '{x}'" for x in names if x in held)
+    return f"SELECT '/corpus/' || doc_id || '/talk.mp4' AS path, '/corpus/' || doc_id || '/' || CASE {cases} END AS folder FROM documents"
+
+
+@query(_captured_sql(("talk_slides", "talk_slide", "slides", "slide", "Slides", "Slide")))
 def j3_already_captured(spark, sf_dir):
-    return C.already_captured(X.catalog(spark, sf_dir))
+    return C.already_captured(_with_images(spark, sf_dir))
+
+
+@query(_captured_sql(("slides_improved_talk", "talk_slides_improved", "talk_slides", "talk_slide", "slides_improved", "slides", "slide", "Slides", "Slide")))
+def j3_already_captured_improved(spark, sf_dir):
+    return C.already_captured(_with_images(spark, sf_dir), "improved")
 
 
 @query(sql_with("progress") + "SELECT doc_id AS item FROM documents WHERE doc_id NOT IN (SELECT item FROM progress WHERE status IN ('processed', 'failed')) AND doc_id % 7 <> 0")
@@ -384,10 +410,72 @@ def t13_merge_transcript(spark, sf_dir):
     return T.merge_transcript(X.segments(spark, sf_dir))
 
 
-@query("SELECT source AS doc, '# ' || source || chr(10) || chr(10) || string_agg('## ' || doc_id || chr(10) || chr(10) || '![](' || doc_id || '.png)' || chr(10) || chr(10) || text || chr(10) || chr(10) || '---' || chr(10), chr(10) ORDER BY doc_id) AS body FROM documents GROUP BY source")
+_MARKDOWN = "SELECT doc_id AS doc, '# Talk ' || doc_id || chr(10) || chr(10) || string_agg('## ' || seg_no || chr(10) || chr(10) || '![](' || seg_no || '.png)' || chr(10) || chr(10) || text || chr(10) || chr(10) || '---' || chr(10), chr(10) ORDER BY seg_no) AS body FROM (SELECT doc_id, seg_no, min(text) AS text FROM segments GROUP BY ALL) GROUP BY doc_id"
+
+
+def _slide_documents(spark, sf_dir):
+    s = X.segments(spark, sf_dir).groupBy(F.col("doc_id").alias("doc"), F.col("seg_no").alias("number")).agg(F.min("text").alias("text"))
+    return T.render_markdown(s.select("doc", F.concat(F.lit("Talk "), F.col("doc").cast("string")).alias("title"), "number", F.concat(F.col("number").cast("string"), F.lit(".png")).alias("image"), "text"))
+
+
+@query(sql_with("segments") + _MARKDOWN)
 def t13_render_markdown(spark, sf_dir):
-    d = X.table(spark, sf_dir, "documents")
-    return T.render_markdown(d.select(F.col("source").alias("doc"), F.col("source").alias("title"), F.col("doc_id").alias("number"), F.concat(F.col("doc_id").cast("string"), F.lit(".png")).alias("image"), "text"))
+    return _slide_documents(spark, sf_dir)
+
+
+@query(sql_with("segments") + _MARKDOWN)
+def s7_write_markdown(spark, sf_dir):
+    """Written as one file per document and read back."""
+    path = _folder(spark, "markdown")
+    S.write_documents(_slide_documents(spark, sf_dir), path, "doc", "body")
+    return spark.read.text(path, wholetext=True).select(F.col("doc").cast("long").alias("doc"), F.left("value", F.length("value") - 1).alias("body"))
+
+
+@query(sql_with("segments") + "SELECT doc_id % 2 = 0 AS even, count(*) AS segments, count(DISTINCT doc_id) AS documents, sum(length(text))::BIGINT AS characters FROM segments GROUP BY ALL")
+def s8_write_report(spark, sf_dir):
+    """A report written as JSON and read back."""
+    path = _folder(spark, "report")
+    report = X.segments(spark, sf_dir).groupBy((F.col("doc_id") % 2 == 0).alias("even")).agg(
+        F.count("*").alias("segments"), F.count_distinct("doc_id").alias("documents"), F.sum(F.length("text")).alias("characters")
+    )
+    S.write_report(report, path)
+    return spark.read.schema(report.schema).json(path)
+
+
+_LANGS = "langs AS (SELECT * FROM segments, (VALUES ('en'), ('de')) AS l(lang))"
+
+
+@query(sql_with("segments") + f", {_LANGS} SELECT lang, doc_id || '_' || lang AS name, string_agg(lang || ' ' || text, chr(10) ORDER BY seg_no, text) AS body FROM langs GROUP BY ALL")
+def s9_write_srt(spark, sf_dir):
+    """One text a document and language, named stem_lang below its language, written and read back."""
+    path = _folder(spark, "srt")
+    s = X.segments(spark, sf_dir).withColumn("lang", F.explode(F.array(F.lit("en"), F.lit("de"))))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("seg_no", "text"))), lambda x: x["text"])
+    texts = s.groupBy("lang", "doc_id").agg(lines.alias("lines"))
+    texts = texts.select(F.col("doc_id").cast("string").alias("stem"), "lang", F.array_join(F.transform("lines", lambda t: F.concat_ws(" ", "lang", t)), "\n").alias("body"))
+    S.write_by_language(texts, path)
+    back = spark.read.text(path, wholetext=True)
+    return back.select("lang", "name", F.left("value", F.length("value") - 1).alias("body"))
+
+
+@query(sql_with("frames") + "SELECT video_id, frame_idx, ts AS timestamp, CASE WHEN frame_idx % 3 = 0 THEN -1 ELSE frame_idx % 5 END::INTEGER AS group_id, 1 + video_id % 3 AS shape FROM frames")
+def s3_read_slide_metadata(spark, sf_dir):
+    """Metadata of all three shapes written as JSON, a file or more a video, and read into one table."""
+    path = _folder(spark, "metadata")
+    f = X.frames(spark, sf_dir).select("video_id", "frame_idx", "timestamp", F.concat(F.lit("v"), F.col("video_id").cast("string")).alias("video"))
+    group = F.when(F.col("frame_idx") % 3 != 0, F.col("frame_idx") % 5).cast("int")
+    key = F.when(F.col("video_id") % 3 == 2, "frame_idx").otherwise("frame_index")
+    slide = F.struct(F.when(key == "frame_index", F.col("frame_idx")).alias("frame_index"), F.when(key == "frame_idx", F.col("frame_idx")).alias("frame_idx"), "timestamp", group.alias("group_id"))
+    videos = f.withColumn("part", F.floor(F.col("frame_idx") / 500)).groupBy("video_id", "part", "video").agg(F.collect_list(slide).alias("slides"))
+    kind = F.col("video_id") % 3
+    body = F.struct(
+        F.when(kind < 2, F.col("video")).alias("video_path"), F.when(kind == 2, F.struct(F.col("video").alias("path"))).alias("video_info"), "slides",
+        F.when(kind == 1, F.create_map(F.lit("0"), F.array(F.array(F.lit("1"), F.lit("h"))))).alias("similarity_groups"),
+        F.when(kind == 2, F.create_map(F.lit("group_1"), F.struct(F.lit(1).alias("slide_count")))).alias("groups"),
+    )
+    videos.select(F.to_json(body).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    out = S.read_slide_metadata(spark, path)
+    return out.select(F.regexp_extract("video_path", r"(\d+)$", 1).cast("long").alias("video_id"), "frame_idx", "timestamp", "group_id", F.col("shape").cast("long").alias("shape"))
 
 
 @query(sql_with("segments") + "SELECT doc_id, seg_no, CASE WHEN seg_no % 3 = 0 THEN 'cues' WHEN seg_no % 3 = 1 THEN 'text' ELSE 'pending' END AS status, CASE WHEN seg_no % 3 < 2 THEN text END AS text FROM segments")
@@ -487,9 +575,11 @@ def s5_latest_status(spark, sf_dir):
 
 
 def _folder(spark, tag):
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lectern-")
-    from uuid import uuid4
-
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="lectern-")
     return f"{root.rstrip('/')}/{tag}-{uuid4().hex}"
 
 
@@ -580,31 +670,65 @@ def s6_resize_area(spark, sf_dir):
     return _wide(spark, sf_dir).select("frame_idx", F.array_join(F.transform(small, lambda x: F.round(x, 4).cast("string")), ",").alias("grid"))
 
 
-def _capture_sql() -> str:
-    """The advanced pipeline, put together from the texts of its steps."""
-    near = f"""near AS (SELECT DISTINCT video_id, idx AS frame_idx FROM (SELECT video_id, unnest(list_transform(range(-15, 16, 5), lambda o: frame_idx + o)) AS idx FROM pairs WHERE {Q.histogram_corr('luma', 'prev_luma')} < 0.1)),
-    cand AS (SELECT h.* FROM hashed h JOIN near USING (video_id, frame_idx))"""
-    accept = f"(L.luma IS NULL OR coalesce({Q.ssim('L.luma', 'X.luma')} < 0.2, false)) AND X.frame_idx - L.frame_idx > 0.5"
-    taken = f"taken AS (SELECT h.* FROM hashed h JOIN {Q.fold('cand', 'video_id', 'frame_idx', {'luma': 'DOUBLE[]'}, accept)} USING (video_id, frame_idx))"
-    like = lambda k: f"(1 - {Q.hamming(f'{k}.bits', 'x[1].bits')} / 64.0)"
-    fit = f"list_filter(acc, lambda k: k.sub = 1 AND {like('k')} >= 0.6)"
-    group = f"coalesce(list_filter({fit}, lambda k: {like('k')} = list_max(list_transform({fit}, lambda k: {like('k')})))[1].g, len(list_filter(acc, lambda k: k.sub = 1)) + 1)"
+_DENSE = f"""rate AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY frame_idx) - 1 AS frame_idx, CASE WHEN video_id % 2 = 0 THEN 2.0::DOUBLE ELSE 4.0 END AS fps, luma, bits FROM hashed),
+    paced AS (SELECT video_id, count(*) AS total_frames FROM rate GROUP BY ALL),
+    sampled AS (SELECT *, lag(luma) OVER (PARTITION BY video_id ORDER BY frame_idx) AS prev_luma FROM rate WHERE frame_idx % 3 = 0),
+    near AS (SELECT DISTINCT video_id, idx AS frame_idx FROM (SELECT video_id, unnest(list_transform([-2], lambda o: frame_idx + o)) AS idx FROM sampled WHERE {Q.histogram_corr('luma', 'prev_luma')} < 0.3)
+      JOIN paced USING (video_id) WHERE idx >= 0 AND idx < total_frames),
+    cand AS (SELECT r.* FROM rate r JOIN near USING (video_id, frame_idx))"""
+_LIKE = lambda k: f"(1 - {Q.hamming(f'{k}.bits', 'x[1].bits')} / 64.0)"
+
+
+def _capture_taken(accept: str) -> str:
+    return f"taken AS (SELECT h.* FROM rate h JOIN {Q.fold('cand', 'video_id', 'frame_idx', {'luma': 'DOUBLE[]', 'fps': 'DOUBLE'}, accept)} USING (video_id, frame_idx))"
+
+
+def _capture_led(source: str, group: str, keep: str) -> str:
     new = f"[{{frame_idx: x[1].frame_idx, bits: x[1].bits, g: ({group})::BIGINT, sub: (len(list_filter(acc, lambda k: k.sub > 0 AND k.g = ({group}))) + 1)::BIGINT}}]"
-    return (
-        sql_with("frames", "pairs", "hashed")
-        + f""", {near}, {taken} SELECT video_id, m.frame_idx AS frame_idx, m.g::INTEGER AS group_id, m.sub::INTEGER AS subgroup_idx FROM (
+    return f"""led AS (SELECT video_id, m.frame_idx AS frame_idx, m.g::INTEGER AS group_id, m.sub::INTEGER AS subgroup_idx FROM (
       SELECT video_id, unnest(list_reduce(list_concat([[{{frame_idx: (-1)::BIGINT, bits: repeat('0', 64), g: (-1)::BIGINT, sub: 0::BIGINT}}]], items),
-        lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: k.sub > 0 AND {like('k')} > 0.98)) = 0 THEN list_concat(acc, {new}) ELSE acc END)) AS m
-      FROM (SELECT video_id, list([{{frame_idx: frame_idx, bits: bits, g: 0::BIGINT, sub: 0::BIGINT}}] ORDER BY frame_idx) AS items FROM taken GROUP BY video_id)) WHERE m.frame_idx >= 0"""
+        lambda acc, x: CASE WHEN {keep} THEN list_concat(acc, {new}) ELSE acc END)) AS m
+      FROM (SELECT video_id, list([{{frame_idx: frame_idx, bits: bits, g: 0::BIGINT, sub: 0::BIGINT}}] ORDER BY frame_idx) AS items FROM {source} GROUP BY video_id)) WHERE m.frame_idx >= 0)"""
+
+
+def _capture_name(tag: str) -> str:
+    shown = _FILENAME.replace("n::BIGINT", "row_number() OVER (PARTITION BY video_id ORDER BY frame_idx)").replace("s /", "(frame_idx / fps) /").replace("((s -", "(((frame_idx / fps) -")
+    return f"{shown} || {tag} || '_h' || lower(lpad(printf('%x', bits::BIT::BIGINT), 16, '0'))[1:8] || '.jpg' AS filename"
+
+
+def _advanced_sql() -> str:
+    accept = f"(L.luma IS NULL OR coalesce({Q.ssim('L.luma', 'X.luma')} < 0.2, false)) AND X.frame_idx - L.frame_idx > 0.5 * X.fps"
+    fit = f"list_filter(acc, lambda k: k.sub = 1 AND {_LIKE('k')} >= 0.55)"
+    group = f"coalesce(list_filter({fit}, lambda k: {_LIKE('k')} = list_max(list_transform({fit}, lambda k: {_LIKE('k')})))[1].g, len(list_filter(acc, lambda k: k.sub = 1)) + 1)"
+    led = _capture_led("taken", group, f"len(list_filter(acc, lambda k: k.sub > 0 AND {_LIKE('k')} > 0.7)) = 0")
+    tag = "'_g' || printf('%02d', group_id::BIGINT) || CASE WHEN subgroup_idx > 1 THEN '-' || printf('%02d', subgroup_idx::BIGINT) ELSE '' END"
+    return sql_with("frames", "hashed") + f", {_DENSE}, {_capture_taken(accept)}, {led} SELECT video_id, frame_idx, group_id, subgroup_idx, {_capture_name(tag)} FROM led JOIN rate USING (video_id, frame_idx)"
+
+
+def _improved_sql() -> str:
+    accept = f"(L.luma IS NULL OR coalesce({Q.ssim('L.luma', 'X.luma')} < 0.0 OR 1 - {Q.edge_change('L.luma', 'X.luma')} < 0.9, false)) AND X.frame_idx - L.frame_idx > X.fps"
+    group = f"coalesce(list_filter(acc, lambda k: k.sub = 1 AND {_LIKE('k')} > 0.6)[1].g, len(list_filter(acc, lambda k: k.sub = 1)))"
+    return (
+        sql_with("frames", "hashed")
+        + f""", {_DENSE}, {_capture_taken(accept)},
+    placed AS (SELECT *, row_number() OVER w AS pos, lead(frame_idx) OVER w AS nxt FROM taken WINDOW w AS (PARTITION BY video_id ORDER BY frame_idx)),
+    probes AS (SELECT video_id, pos, unnest(range(frame_idx + (fps * 5)::BIGINT, nxt, (fps * 5)::BIGINT)) AS frame_idx FROM placed WHERE nxt - frame_idx > 30 * fps),
+    seen AS (SELECT p.pos, r.* FROM probes p JOIN rate r USING (video_id, frame_idx)),
+    more AS (SELECT * EXCLUDE (pos) FROM seen s WHERE NOT EXISTS (SELECT 1 FROM placed k WHERE k.video_id = s.video_id AND k.pos BETWEEN s.pos - 2 AND s.pos + 2 AND {Q.ssim('k.luma', 's.luma')} > 0.3)),
+    slides AS (SELECT * FROM taken UNION ALL SELECT * FROM more),
+    {_capture_led("slides", group, "true")},
+    sharp AS (SELECT video_id, frame_idx, group_id, fps, bits, count(*) OVER (PARTITION BY video_id, group_id) AS size,
+      row_number() OVER (PARTITION BY video_id, group_id ORDER BY round(list_sum(list_transform(l, lambda v: v * v)) / 64 - (list_sum(l) / 64) * (list_sum(l) / 64), 6) DESC, frame_idx) AS k
+      FROM (SELECT *, list_transform(range(0, 64), lambda p: {_SIDES} - 4 * luma[p + 1]) AS l FROM led JOIN rate USING (video_id, frame_idx)))
+    SELECT video_id, frame_idx, CASE WHEN size > 1 THEN group_id ELSE -1 END AS group_id, 1 AS subgroup_idx, {_capture_name("CASE WHEN size > 1 THEN '_g' || printf('%02d', group_id::BIGINT) ELSE '' END")} FROM sharp WHERE k = 1"""
     )
 
 
-@query(_capture_sql())
+@query(_advanced_sql())
 def w21_capture_advanced(spark, sf_dir):
-    out = capture_pipeline(X.hashed(spark, sf_dir), X.videos(spark, sf_dir), "advanced", change=0.1, threshold=0.2, group=0.6)
-    return out.drop("filename")
+    return capture_pipeline(X.dense(spark, sf_dir), X.dense_videos(spark, sf_dir), "advanced", step=3, change=0.3, threshold=0.2, group=0.55, skip=0.7)
 
 
-@query(None)
+@query(_improved_sql())
 def w21_capture_improved(spark, sf_dir):
-    return capture_pipeline(X.hashed(spark, sf_dir), X.videos(spark, sf_dir), "improved", change=0.1, group=0.6)
+    return capture_pipeline(X.dense(spark, sf_dir), X.dense_videos(spark, sf_dir), "improved", step=3, change=0.3, threshold=0.0, group=0.6, like=0.3)

@@ -80,6 +80,13 @@ def write_documents(docs: DataFrame, path: str, key: str, body: str) -> None:
     docs.select(key, F.col(body).alias("value")).write.partitionBy(key).text(path)
 
 
+def write_by_language(texts: DataFrame, path: str) -> None:
+    """(stem, lang, body) as one file per text: a folder per language, and in it one named ``stem_lang``, or ``stem`` for
+    a text without a language."""
+    name = F.concat_ws("_", "stem", "lang")
+    texts.select("lang", name.alias("name"), F.col("body").alias("value")).write.partitionBy("lang", "name").text(path)
+
+
 def write_report(report: DataFrame, path: str) -> None:
     """Report rows as JSON lines."""
     report.write.json(path)

@@ -4,6 +4,7 @@ import random
 import struct
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -229,3 +230,48 @@ def test_stream_accepts_like_batch(spark, tmp_path):
                 last = (t, v)
                 wanted.add((k, i))
     assert {(r.key, r.order_id) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == wanted
+
+
+def test_long_numbers_keep_their_digits(spark):
+    row = spark.range(1).select(
+        P.slide_filename(F.lit(1000), F.lit(61.25), F.lit("abcdef0123"), F.lit(123), F.lit(100)).alias("a"),
+        P.slide_filename(F.lit(7), F.lit(0.0), F.lit("abcdef0123"), F.lit(3), F.lit(1)).alias("b"),
+        (P.natural_key(F.lit("a" + "9" * 25)) < P.natural_key(F.lit("a1" + "0" * 25))).alias("c"), (P.natural_key(F.lit("p007")) == P.natural_key(F.lit("P7"))).alias("d"),
+    ).first()
+    assert tuple(row) == ("slide_1000_t1m1.3s_g123-100_habcdef01.jpg", "slide_007_t0m0.0s_g03_habcdef01.jpg", True, True)
+
+
+def test_captured_folder_order(spark):
+    paths = ["/d/v.mp4", "/d/slides/a.jpg", "/d/Slides/b.webp", "/e/w.mkv", "/e/Slide/c.gif", "/e/slides_improved/x.png", "/e/slide/._d.png", "/f/u.mov", "/f/slides/notes.txt"]
+    catalog = C.with_parts(spark.createDataFrame([(p, False) for p in paths], "path string, is_dir boolean"))
+    assert dict(map(tuple, C.already_captured(catalog).collect())) == {"/d/v.mp4": "/d/slides", "/e/w.mkv": "/e/Slide", "/f/u.mov": None}
+    assert dict(map(tuple, C.already_captured(catalog, "improved").collect()))["/e/w.mkv"] == "/e/slides_improved"
+    assert set(dict(map(tuple, C.already_captured(catalog, force=True).collect())).values()) == {None}
+
+
+def test_leaders_equal_a_plain_fold():
+    rng = random.Random(16)
+    for policy, threshold, skip in (("first", 0.55, None), ("best", 0.6, 0.7), ("best", 0.55, None)):
+        hashes = [rng.getrandbits(64) for _ in range(12)]
+        hashes += [h ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(20))) & (1 << 64) - 1 for h in rng.choices(hashes, k=60)]
+        found = G.lead(np.array(hashes, np.uint64), policy, threshold, skip)
+        kept, wanted = [], []
+        like = lambda a, b: 1 - (a ^ b).bit_count() / 64
+        for h in hashes:
+            leaders = [k for k in kept if k[2] == 1]
+            if skip is not None and any(like(h, k[0]) > skip for k in kept):
+                wanted.append((-1, 0))
+                continue
+            fit = [k for k in leaders if (like(h, k[0]) > threshold if policy == "first" else like(h, k[0]) >= threshold)]
+            best = fit[0] if fit and policy == "first" else max(fit, key=lambda k: (like(h, k[0]), -k[1]), default=None)
+            g = best[1] if best else len(leaders) + (policy == "best")
+            kept.append((h, g, sum(k[1] == g for k in kept) + 1))
+            wanted.append(kept[-1][1:])
+        assert list(zip(*(x.tolist() for x in found))) == wanted
+
+
+def test_stride_of_each_video(spark):
+    frames = spark.createDataFrame([("a", i, [float(i == 90) * 200] * 64) for i in range(0, 200, 30)] + [("b", i, [float(i >= 45) * 9] * 64) for i in range(0, 200, 45)], "video_id string, frame_idx long, luma array<double>")
+    videos = spark.createDataFrame([("a", 95, 30), ("b", 60, 45)], "video_id string, total_frames long, step int")
+    found = sorted((r.video_id, r.frame_idx) for r in S.change_candidates(frames, videos, "step", 0.95).collect())
+    assert found == [("a", x) for x in range(75, 95, 5)] + [("b", x) for x in range(22, 60, 5)]
