@@ -620,8 +620,7 @@ def x2_stream_gap_groups(spark, sf_dir):
     return out.select("user_id", F.unix_micros("start").alias("start_us"), "n")
 
 
-def _x4_state(spark):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
 @query(
@@ -633,10 +632,17 @@ def _x4_state(spark):
       FROM (SELECT key, list([{k: k, e: event_id, t: t, v: v}] ORDER BY k) AS items FROM o GROUP BY key))"""
 )
 def x4_stream_accept_changes(spark, sf_dir):
-    _x4_state(spark)
     t = (F.unix_micros(F.col("ts").cast("timestamp")) - 1704067200000000) / 1e6
     events = _stream(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("order_id"), t.alias("t"), F.col("value").alias("v"))
-    return _finished(spark, Z.stream_accept_changes(events, 20.0, 36000.0), "x4").select("key", "order_id")
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return _finished(spark, Z.stream_accept_changes(events, 20.0, 36000.0), "x4").select("key", "order_id")
+    finally:  # the stream has ended; other streams of the session keep their own store
+        if before is None:
+            spark.conf.unset(STATE_STORE)
+        else:
+            spark.conf.set(STATE_STORE, before)
 
 
 def _wide(spark, sf_dir):
