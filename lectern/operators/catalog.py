@@ -31,18 +31,22 @@ def find_slide_folders(catalog: DataFrame) -> DataFrame:
 
 def match_slide_folders(catalog: DataFrame) -> DataFrame:
     """(path, status, matches) of every video: specific if a folder beside it carries its name, else generic if one is
-    just called slides, else none. Matches of the winning kind are listed in order."""
+    just called slides, else none. Matches of the winning kind are listed in order.
+
+    A folder is joined on its name's parts of the lengths that the stems beside it have, not with every video.
+    """
     videos = visible_files(catalog, P.VIDEO_EXTENSIONS).select("path", "dir", F.lower("stem").alias("_stem"))
     dirs = catalog.where(F.col("is_dir") & F.contains(F.lower("name"), F.lit("slide"))).select("dir", F.col("name").alias("folder"), F.lower("name").alias("_low")).distinct()
     plain = F.col("_low").isin("slide", "slides")
-    named = ~plain & F.contains(F.col("_low"), F.col("_stem"))
-    found = videos.join(dirs, "dir", "left").select("path", F.when(named, "specific").when(plain, "generic").alias("_kind"), "folder")
-    listed = found.groupBy("path").agg(
-        F.array_sort(F.collect_set(F.when(F.col("_kind") == "specific", F.col("folder")))).alias("_s"),
-        F.array_sort(F.collect_set(F.when(F.col("_kind") == "generic", F.col("folder")))).alias("_g"),
-    )
-    status = F.when(F.size("_s") > 0, "specific").when(F.size("_g") > 0, "generic").otherwise("none")
-    return listed.select("path", status.alias("status"), F.when(F.size("_s") > 0, F.col("_s")).otherwise(F.col("_g")).alias("matches"))
+    generic = dirs.where(plain).groupBy("dir").agg(F.array_sort(F.collect_set("folder")).alias("_g"))
+    lengths = videos.groupBy("dir").agg(F.collect_set(F.length("_stem")).alias("_lengths"))
+    starts = lambda n: F.transform(F.sequence(F.lit(1), F.length("_low") - n + 1), lambda i: F.substring(F.col("_low"), i, n))
+    fitting = F.filter("_lengths", lambda n: n <= F.length("_low"))
+    parts = dirs.where(~plain).join(lengths, "dir").select("dir", "folder", F.explode(F.array_distinct(F.flatten(F.transform(fitting, starts)))).alias("_stem"))
+    specific = videos.join(parts, ["dir", "_stem"]).groupBy("path").agg(F.array_sort(F.collect_set("folder")).alias("_s"))
+    found = videos.select("path", "dir").join(specific, "path", "left").join(generic, "dir", "left")
+    status = F.when(F.col("_s").isNotNull(), "specific").when(F.col("_g").isNotNull(), "generic").otherwise("none")
+    return found.select("path", status.alias("status"), F.coalesce("_s", "_g", F.array().cast("array<string>")).alias("matches"))
 
 
 def without_slide_folder(catalog: DataFrame) -> DataFrame:

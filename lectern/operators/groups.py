@@ -12,22 +12,28 @@ from ..functions.frames import hamming
 
 
 def similar_pairs(rows: DataFrame, id_column: str, hash_column: str, max_distance: int, within: str | None = None) -> DataFrame:
-    """(id_a, id_b, distance) of all pairs of 64-bit hashes at most ``max_distance`` apart, exact.
+    """(id_a, id_b, distance) of hashes at most ``max_distance`` apart, exact; null hashes have no partner.
 
+    Equal hashes stand for one: the row of the smallest id is paired with the others' smallest, and each copy with its
+    own smallest at distance 0, so a blank picture that comes again a million times gives a million rows, not their square.
     The bits are cut into ``max_distance + 1`` bands; two hashes that near each other agree in at least one, so pairs
     come from an equi-join on (band, value). A pair is kept in the first band that it shares, which needs no distinct.
     """
     bands = min(max_distance + 1, 64)
     edges = [64 * k // bands for k in range(bands + 1)]
     value = lambda h, a, b: F.shiftrightunsigned(h, a).bitwiseAND(F.lit((1 << (b - a)) - 1 if b - a < 64 else -1))
-    cut = F.array(*[F.struct(F.lit(k).alias("band"), value(F.col(hash_column), a, b).alias("v")) for k, (a, b) in enumerate(zip(edges, edges[1:]))])
     scope = F.col(within) if within else F.lit(0)
-    keyed = rows.select(F.col(id_column).alias("id"), F.col(hash_column).alias("h"), scope.alias("scope"), F.explode(cut).alias("c")).select("id", "h", "scope", "c.band", "c.v")
+    slim = rows.select(F.col(id_column).alias("id"), F.col(hash_column).alias("h"), scope.alias("scope")).where("h IS NOT NULL")
+    least = slim.groupBy("scope", "h").agg(F.min("id").alias("id"))
+    copies = slim.join(least.withColumnRenamed("id", "id_a"), ["scope", "h"]).where("id > id_a").select("id_a", F.col("id").alias("id_b"), F.lit(0).alias("distance"))
+    cut = F.array(*[F.struct(F.lit(k).alias("band"), value(F.col("h"), a, b).alias("v")) for k, (a, b) in enumerate(zip(edges, edges[1:]))])
+    keyed = least.select("id", "h", "scope", F.explode(cut).alias("c")).select("id", "h", "scope", "c.band", "c.v")
     left, right = keyed.select(F.col("id").alias("id_a"), F.col("h").alias("ha"), "scope", "band", "v"), keyed.select(F.col("id").alias("id_b"), F.col("h").alias("hb"), "scope", "band", "v")
     pairs = left.join(right, ["scope", "band", "v"]).where("id_a < id_b")
     differ = F.col("ha").bitwiseXOR(F.col("hb"))
     first = F.coalesce(*[F.when(value(differ, a, b) == 0, k) for k, (a, b) in enumerate(zip(edges, edges[1:]))])
-    return pairs.where(first == F.col("band")).select("id_a", "id_b", hamming(F.col("ha"), F.col("hb")).alias("distance")).where(F.col("distance") <= max_distance)
+    near = pairs.where(F.bit_count(differ) <= max_distance).where(first == F.col("band"))
+    return near.select("id_a", "id_b", hamming(F.col("ha"), F.col("hb")).alias("distance")).unionByName(copies)
 
 
 def leader_groups(rows: DataFrame, policy: str, threshold: float, skip_threshold: float | None = None, key: str = "video_id", order: str = "frame_idx", hash_column: str = "phash") -> DataFrame:

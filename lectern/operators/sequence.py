@@ -1,17 +1,23 @@
 """Operators over ordered sequences: sampling, change candidates, folds against the last accepted row, gap groups.
 
-``keys`` names the sequence, ``frame_idx`` its order. A fold carries the last accepted row and the numbers of all
-accepted ones through one sequence; sequences are the unit of parallelism, so feed folds with candidates only.
+``frame_idx`` orders a sequence. A fold streams the sorted rows of a sequence in Arrow batches and carries only the last
+accepted row (and, in standard mode, the accepted hashes); sequences are the unit of parallelism, so feed folds with
+candidates only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from array import array
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import frames as M
+from ..functions import grids as N
 
 
 def sample_step(mode: str, fps: Column, total: Column) -> Column:
@@ -59,65 +65,94 @@ def change_candidates(frames: DataFrame, videos: DataFrame, step: int | str, thr
     return around.where((F.col("frame_idx") >= 0) & (F.col("frame_idx") < F.col("total_frames"))).select("video_id", "frame_idx").distinct()
 
 
-def fold_accepted(rows: DataFrame, key: str, order: str, columns: list[str], accept: Callable[[Column, Column, Column], Column], remember: list[str] | None = None) -> DataFrame:
-    """(key, order) of the rows that ``accept(last, row, kept)`` takes, one after the other.
+#: ``accept(last, row)``: rows are tuples of the order column and the fold's columns, ``last`` is None before the first.
+Accept = Callable[[tuple | None, tuple], bool]
 
-    ``last`` is the last accepted row, its order column -1 and its others null before the first; ``kept`` are the
-    ``remember`` columns of all accepted rows.
+
+def fold_accepted(rows: DataFrame, key: str, order: str, columns: list[str], accept: Callable[[], Accept]) -> DataFrame:
+    """(key, order) of the rows that are accepted, one after the other; ``accept`` makes a fresh rule for each sequence.
+
+    Sequences are hashed to partitions and sorted there, so that batches of a sequence come in its order and no sequence
+    is ever held as a whole.
     """
-    remember = [order, *(remember or [])]
-    types = dict(rows.dtypes)
-    row_type = f"struct<{','.join(f'{c}:{types[c]}' for c in [order, *columns])}>"
-    kept_type = f"array<struct<{','.join(f'{c}:{types[c]}' for c in remember)}>>"
-    first = F.struct(F.lit(-1).cast(types[order]).alias(order), *[F.lit(None).cast(types[c]).alias(c) for c in columns]).cast(row_type)
-    state = F.struct(first.alias("last"), F.array().cast(kept_type).alias("kept"))
+    slim = rows.select(F.col(key).alias("k"), F.col(order).cast("long").alias("o"), *columns)
+    schema = T.StructType([T.StructField(key, slim.schema["k"].dataType), T.StructField(order, T.LongType())])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        takes, last = accept(), None
+        for batch in batches:
+            orders = batch.column("o").to_pylist()
+            if any(a > b for a, b in zip(orders, orders[1:])) or last and orders and orders[0] < last[0]:
+                raise ValueError(f"rows of a sequence are not in the order of {order}")
+            taken = np.zeros(len(orders), bool)
+            for i, row in enumerate(zip(orders, *[cells(batch.column(c)) for c in columns])):
+                if takes(last, row):
+                    taken[i], last = True, row
+            mask = pa.array(taken)
+            yield pa.RecordBatch.from_arrays([batch.column("k").filter(mask), batch.column("o").filter(mask)], schema=pa.schema([(key, batch.schema.field("k").type), (order, pa.int64())]))
+
+    return slim.repartition("k").sortWithinPartitions("k", "o").groupBy("k").applyInArrow(fold, schema)
+
+
+def cells(column: pa.Array) -> Iterator:
+    """Values of a column; lists of numbers as arrays, which share the batch's memory."""
+    if not pa.types.is_list(column.type):
+        yield from column.to_pylist()
+        return
+    flat, bounds = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    for i, missing in enumerate(column.is_null().to_pylist()):
+        yield None if missing else flat[bounds[i] : bounds[i + 1]]
+
+
+def acceptance(mode: str, fps: float | None = 1.0, threshold: float | None = None) -> Callable[[], Accept]:
+    """Rules over rows of order, luma, hash (standard mode), and the frame rate if ``fps`` is None; see ``accept_changes``."""
+    limit = threshold if threshold is not None else {"standard": 0.8, "coarse": 0.5, "main": 0.85}.get(mode, 0.85)
+
+    def ranged(a: np.ndarray, b: np.ndarray) -> bool:
+        like = N.pixel_corr(a, b)
+        return N.mean_abs_diff(a, b) > 5 or like is not None and like < 0.98
 
-    def step(acc: Column, row: Column) -> Column:
-        taken = accept(acc["last"], row, acc["kept"])
-        more = F.concat(acc["kept"], F.array(F.struct(*[row[c].alias(c) for c in remember])))
-        return F.struct(F.when(taken, row).otherwise(acc["last"]).alias("last"), F.when(taken, more).otherwise(acc["kept"]).alias("kept"))
+    alike = lambda a, b: N.ssim(a, b) < limit
+    unlike = {
+        "improved": lambda a, b: N.ssim(a, b) < limit or 1 - N.edge_change(a, b) < 0.9,
+        "advanced": alike, "standard": alike, "coarse": alike, "range": ranged, "main": lambda a, b: N.mse_similarity(a, b) < limit,
+    }[mode]
+    least = {"improved": 1.0, "advanced": 0.5}.get(mode)
 
-    listed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, *columns))).alias("_rows"))
-    kept = F.aggregate("_rows", state, step, lambda acc: F.transform(acc["kept"], lambda k: k[order]))
-    return listed.select(key, F.explode(kept).alias(order))
+    def fresh() -> Accept:
+        hashes = array("q")
+
+        def accept(last: tuple | None, row: tuple) -> bool:
+            at, luma, rate = row[0], row[1], row[-1] if fps is None else fps
+            if least is not None and not at - (last[0] if last else -1) > least * rate:
+                return False
+            first = last is None or last[1] is None
+            if not first and (luma is None or mode == "standard" and (at - last[0]) / rate < 2.0 or not unlike(last[1], luma)):
+                return False
+            if mode == "standard" and row[2] is not None:
+                if hashes and int(np.bitwise_count(np.frombuffer(hashes, np.int64) ^ row[2]).min()) < 5:
+                    return False
+                hashes.append(row[2])
+            return True
+
+        return accept
+
+    return fresh
 
 
 def accept_changes(frames: DataFrame, mode: str, fps: float | str = 1.0, threshold: float | None = None) -> DataFrame:
-    """Accepted frames of a capture mode, each compared with the last accepted one.
+    """(video_id, frame_idx) of the accepted frames of a capture mode, each compared with the last accepted one.
 
     improved: first, or structural similarity under the threshold, or edges less than 0.9 alike; and more than a second
     later. advanced: structural similarity only, more than half a second later. standard: at least two seconds later and
     under the threshold, then not within a Hamming distance under 5 of any accepted hash. range: mean difference over 5
     or correlation under 0.98. coarse: structural similarity under 0.5. main: mean-square similarity under 0.85.
-    ``fps`` is a number, or the column of ``frames`` that has each video's.
+    ``fps`` is a number, or the column of ``frames`` that has each video's. A frame without luma is accepted only where
+    a first one would be.
     """
-    limit = threshold if threshold is not None else {"standard": 0.8, "coarse": 0.5, "main": 0.85}.get(mode, 0.85)
-    first = lambda last: last["luma"].isNull()
-    rate = lambda row: row[fps] if isinstance(fps, str) else F.lit(fps)
-
-    def improved(last, row, kept):
-        new = (M.ssim(last["luma"], row["luma"]) < limit) | (1 - M.edge_change(last["luma"], row["luma"]) < 0.9)
-        return (first(last) | F.coalesce(new, F.lit(False))) & (row["frame_idx"] - last["frame_idx"] > rate(row))
-
-    def advanced(last, row, kept):
-        return (first(last) | F.coalesce(M.ssim(last["luma"], row["luma"]) < limit, F.lit(False))) & (row["frame_idx"] - last["frame_idx"] > 0.5 * rate(row))
-
-    def standard(last, row, kept):
-        later = ((row["frame_idx"] - last["frame_idx"]) / rate(row) >= 2.0) & (M.ssim(last["luma"], row["luma"]) < limit)
-        return (first(last) | F.coalesce(later, F.lit(False))) & ~F.exists(kept, lambda k: M.hamming(k["phash"], row["phash"]) < 5)
-
-    def ranged(last, row, kept):
-        return first(last) | F.coalesce((M.mean_abs_diff(last["luma"], row["luma"]) > 5) | (M.pixel_corr(last["luma"], row["luma"]) < 0.98), F.lit(False))
-
-    def coarse(last, row, kept):
-        return first(last) | F.coalesce(M.ssim(last["luma"], row["luma"]) < limit, F.lit(False))
-
-    def main(last, row, kept):
-        return first(last) | F.coalesce(M.mse_similarity(last["luma"], row["luma"]) < limit, F.lit(False))
-
-    rule = {"improved": improved, "advanced": advanced, "standard": standard, "range": ranged, "coarse": coarse, "main": main}[mode]
-    columns = (["luma", "phash"] if mode == "standard" else ["luma"]) + ([fps] if isinstance(fps, str) else [])
-    return fold_accepted(frames, "video_id", "frame_idx", columns, rule, ["phash"] if mode == "standard" else None)
+    named = isinstance(fps, str)
+    columns = (["luma", "phash"] if mode == "standard" else ["luma"]) + ([fps] if named else [])
+    return fold_accepted(frames, "video_id", "frame_idx", columns, acceptance(mode, None if named else fps, threshold))
 
 
 def dense_candidates(frames: DataFrame, threshold: float = 0.85, fps: float = 1.0) -> DataFrame:
@@ -131,7 +166,7 @@ def dense_candidates(frames: DataFrame, threshold: float = 0.85, fps: float = 1.
     )
     return fold_accepted(
         flags, "video_id", "frame_idx", ["start", "unlike", "partly"],
-        lambda last, row, kept: row["start"] | row["unlike"] | (row["partly"] & (row["frame_idx"] - last["frame_idx"] > 2 * fps)),
+        lambda: lambda last, row: row[1] or row[2] or (row[3] and row[0] - (last[0] if last else -1) > 2 * fps),
     )
 
 
@@ -169,18 +204,18 @@ def key_frames(frames: DataFrame, group: str = "group_no", least: float = 0.01)
     keyed = frames.withColumn("_key", F.struct("video_id", group))
     kept = fold_accepted(
         keyed, "_key", "frame_idx", ["luma"],
-        lambda last, row, kept: last["luma"].isNull() | F.coalesce(M.edge_change(last["luma"], row["luma"]) > least, F.lit(False)),
+        lambda: lambda last, row: last is None or last[1] is None or row[1] is not None and N.edge_change(last[1], row[1]) > least,
     )
     last = keyed.groupBy("_key").agg(F.max("frame_idx").alias("frame_idx"))
     lonely = kept.groupBy("_key").agg(F.count("*").alias("n")).where("n = 1").join(last, "_key").select("_key", "frame_idx")
     return kept.union(lonely).distinct().select("_key.video_id", F.col(f"_key.{group}").alias(group), "frame_idx")
 
 
-def animation_states(frames: DataFrame, mains: DataFrame, fps: float = 1.0, span: float = 60.0, least_gap: float = 1.0, stop: float = 0.7, cells: int = 4) -> DataFrame:
+def animation_states(frames: DataFrame, mains: DataFrame, fps: float = 1.0, span: float = 60.0, least_gap: float = 1.0, stop: float = 0.7, most_cells: int = 4) -> DataFrame:
     """(video_id, main_idx, frame_idx): animation states after each main slide.
 
     Frames after a main slide and before the next (or ``span`` seconds on) are read until one is under ``stop`` like the
-    main slide; a frame counts if one to ``cells`` grid cells differ from the last state and the gap is long enough.
+    main slide; a frame counts if one to ``most_cells`` grid cells differ from the last state and the gap is long enough.
     """
     w = Window.partitionBy("video_id").orderBy("frame_idx")
     spans = mains.select("video_id", F.col("frame_idx").alias("main_idx"), F.col("luma").alias("base"), F.lead("frame_idx").over(w).alias("next_idx"))
@@ -193,8 +228,8 @@ def animation_states(frames: DataFrame, mains: DataFrame, fps: float = 1.0, span
     keyed = read.unionByName(seeds).withColumn("_key", F.struct("video_id", "main_idx"))
     states = fold_accepted(
         keyed, "_key", "frame_idx", ["luma"],
-        lambda last, row, kept: last["luma"].isNull()
-        | (F.coalesce(M.grid_change(last["luma"], row["luma"], cells=cells)["is_animation"], F.lit(False)) & ((row["frame_idx"] - last["frame_idx"]) / fps >= least_gap)),
+        lambda: lambda last, row: last is None or last[1] is None
+        or row[1] is not None and 1 <= N.changed_cells(last[1], row[1]) <= most_cells and (row[0] - last[0]) / fps >= least_gap,
     )
     return states.select("_key.video_id", "_key.main_idx", "frame_idx").where("frame_idx > main_idx")
 

@@ -195,22 +195,22 @@ LOOP = T.StructType([
 
 
 def repetition_loops(docs: DataFrame, text: str = "text", min_len: int = 15, max_repeat: int = 3) -> DataFrame:
-    """Adds loop: has_repetition, clean_text, ratio, phrase (100 characters) and count. Texts that are too short never
-    leave the JVM; of the others only those in which a run comes again nearby are searched."""
+    """Adds loop: has_repetition, clean_text, ratio, phrase (100 characters) and count. Only texts in which a run of fit
+    length comes as often in a row, found by a back-reference in the JVM, go to Python."""
 
     @F.pandas_udf(LOOP)
     def loops(values: pd.Series) -> pd.DataFrame:
         rows = []
         for value in values:
-            found = find_loop(value, min_len, max_repeat)
+            found = None if value is None else find_loop(value, min_len, max_repeat)
             if found is None:
-                rows.append((False, value, 0.0, None, 0))
+                rows.append((None,) * len(LOOP.names))
             else:
                 start, size, count = found
                 rows.append((True, value[: start + size].rstrip(), count * size / len(value), value[start : start + size][:100], count))
-        return pd.DataFrame(rows, columns=LOOP.names)
+        return pd.DataFrame(rows, columns=LOOP.names).astype({"has_repetition": "boolean", "count": "Int32"})
 
-    likely = F.length(text) >= 3 * min_len
-    hits = docs.where(likely).withColumn("loop", loops(F.col(text)))
+    likely = F.col(text).rlike(f"(?s)(.{{{min_len},80}})" + r"\1" * (max_repeat - 1))
     none = F.struct(F.lit(False).alias("has_repetition"), F.col(text).alias("clean_text"), F.lit(0.0).alias("ratio"), F.lit(None).cast("string").alias("phrase"), F.lit(0).alias("count"))
-    return hits.unionByName(docs.where(~F.coalesce(likely, F.lit(False))).withColumn("loop", none.cast(LOOP)))
+    searched = docs.withColumn("loop", loops(F.when(likely, F.col(text))))
+    return searched.withColumn("loop", F.when(F.col("loop.has_repetition"), F.col("loop")).otherwise(none.cast(LOOP)))

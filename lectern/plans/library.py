@@ -246,9 +246,13 @@ def w12_leader_groups_best(spark, sf_dir):
     return G.leader_groups(X.hashed(spark, sf_dir), "best", SIMILAR, 0.75)
 
 
+#: Main slides and slides that the next two queries start from, by the folds of W13 and W4.
+_MAINS = f"(SELECT * FROM {Q.fold('frames', 'video_id', 'frame_idx', {'luma': 'DOUBLE[]'}, f'L.luma IS NULL OR coalesce({Q.mse(*_LX)} < 0.8, false)')})"
+
+
 @query(
     sql_with("frames")
-    + f""", mains AS (SELECT video_id, frame_idx AS main_idx, luma AS base, lead(frame_idx) OVER (PARTITION BY video_id ORDER BY frame_idx) AS nxt FROM frames WHERE frame_idx % 100 < 10),
+    + f""", mains AS (SELECT video_id, frame_idx AS main_idx, luma AS base, lead(frame_idx) OVER (PARTITION BY video_id ORDER BY frame_idx) AS nxt FROM frames JOIN {_MAINS} USING (video_id, frame_idx)),
     near AS (SELECT f.video_id, main_idx, frame_idx, luma, min(CASE WHEN {Q.mse('base', 'luma')} >= 0.75 THEN 1 ELSE 0 END) OVER (PARTITION BY f.video_id, main_idx ORDER BY frame_idx) AS open
       FROM frames f JOIN mains m ON f.video_id = m.video_id AND frame_idx > main_idx AND frame_idx < coalesce(nxt, main_idx + 60)),
     keyed AS (SELECT video_id * 10000000 + main_idx AS key, frame_idx, luma FROM near WHERE open = 1 UNION ALL SELECT video_id * 10000000 + main_idx, main_idx, base FROM mains)
@@ -257,7 +261,8 @@ def w12_leader_groups_best(spark, sf_dir):
 )
 def w14_animation_states(spark, sf_dir):
     frames = X.frames(spark, sf_dir)
-    return S.animation_states(frames, frames.where("frame_idx % 100 < 10"), stop=0.75, cells=8)
+    mains = frames.join(S.accept_changes(frames, "main", threshold=0.8), ["video_id", "frame_idx"], "left_semi")
+    return S.animation_states(frames, mains, stop=0.75, most_cells=8)
 
 
 @query(
@@ -271,8 +276,10 @@ def w16_gap_groups(spark, sf_dir):
 
 @query(
     sql_with("frames", "hashed")
-    + f"""SELECT a.frame_idx AS id_a, b.frame_idx AS id_b, {Q.hamming('a.bits', 'b.bits')}::INTEGER AS distance
-    FROM hashed a JOIN hashed b ON a.video_id = b.video_id AND a.frame_idx < b.frame_idx WHERE {Q.hamming('a.bits', 'b.bits')} <= 19"""
+    + f""", r AS (SELECT *, min(frame_idx) OVER (PARTITION BY video_id, bits) AS rep FROM hashed)
+    SELECT a.frame_idx AS id_a, b.frame_idx AS id_b, {Q.hamming('a.bits', 'b.bits')}::INTEGER AS distance
+    FROM r a JOIN r b ON a.video_id = b.video_id AND a.frame_idx < b.frame_idx WHERE a.frame_idx = a.rep AND b.frame_idx = b.rep AND {Q.hamming('a.bits', 'b.bits')} <= 19
+    UNION ALL SELECT rep, frame_idx, 0 FROM r WHERE frame_idx > rep"""
 )
 def j9_similar_pairs(spark, sf_dir):
     return G.similar_pairs(X.hashed(spark, sf_dir), "frame_idx", "phash", 19, "video_id")
@@ -280,14 +287,15 @@ def j9_similar_pairs(spark, sf_dir):
 
 @query(
     sql_with("frames")
-    + f""", slides AS (SELECT *, row_number() OVER w AS pos, lead(frame_idx) OVER w AS nxt FROM frames WHERE frame_idx % 100 < 10 WINDOW w AS (PARTITION BY video_id ORDER BY frame_idx)),
+    + f""", taken AS ({ORACLES['w4_accept_advanced']}), slides AS (SELECT *, row_number() OVER w AS pos, lead(frame_idx) OVER w AS nxt FROM frames JOIN taken USING (video_id, frame_idx) WINDOW w AS (PARTITION BY video_id ORDER BY frame_idx)),
     probes AS (SELECT video_id, pos, unnest(range(frame_idx + 5, nxt, 5)) AS frame_idx FROM slides WHERE nxt - frame_idx > 30),
     seen AS (SELECT p.*, f.luma FROM probes p JOIN frames f USING (video_id, frame_idx))
     SELECT video_id, frame_idx FROM seen s WHERE NOT EXISTS (SELECT 1 FROM slides k WHERE k.video_id = s.video_id AND k.pos BETWEEN s.pos - 2 AND s.pos + 2 AND {Q.ssim('k.luma', 's.luma')} > 0.15)"""
 )
 def j10_probe_gaps(spark, sf_dir):
     frames = X.frames(spark, sf_dir)
-    return S.probe_gaps(frames.where("frame_idx % 100 < 10"), frames, like=0.15)
+    slides = frames.join(S.accept_changes(frames, "advanced", threshold=0.0), ["video_id", "frame_idx"], "left_semi")
+    return S.probe_gaps(slides, frames, like=0.15)
 
 
 _LED = "led AS (" + _leaders("first") + ")"

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import frames as M
+from lectern.functions import grids as N
 from lectern.functions import paths as P
 from lectern.operators import catalog as C
 from lectern.operators import groups as G
@@ -88,7 +89,9 @@ def test_similar_pairs_equal_brute_force(spark):
     signed = [h - (1 << 64) if h >> 63 else h for h in hashes]
     rows = spark.createDataFrame(list(enumerate(signed)), "id int, h long")
     for most in (0, 4, 7):
-        wanted = {(i, j) for i in range(len(hashes)) for j in range(i + 1, len(hashes)) if (hashes[i] ^ hashes[j]).bit_count() <= most}
+        least = {i: hashes.index(h) for i, h in enumerate(hashes)}
+        wanted = {(i, j) for i in set(least.values()) for j in set(least.values()) if i < j and (hashes[i] ^ hashes[j]).bit_count() <= most}
+        wanted |= {(least[i], i) for i in least if least[i] < i}
         pairs = G.similar_pairs(rows, "id", "h", most)
         found = [(r.id_a, r.id_b) for r in pairs.collect()]
         assert len(found) == len(set(found)) and set(found) == wanted
@@ -275,3 +278,40 @@ def test_stride_of_each_video(spark):
     videos = spark.createDataFrame([("a", 95, 30), ("b", 60, 45)], "video_id string, total_frames long, step int")
     found = sorted((r.video_id, r.frame_idx) for r in S.change_candidates(frames, videos, "step", 0.95).collect())
     assert found == [("a", x) for x in range(75, 95, 5)] + [("b", x) for x in range(22, 60, 5)]
+
+
+def test_numpy_metrics_equal_the_columns(spark):
+    rng = random.Random(11)
+    grids = [[float(rng.randrange(256)) for _ in range(64)] for _ in range(12)]
+    grids += [[v if rng.random() < 0.9 else float(rng.randrange(256)) for v in g] for g in grids]
+    rows = spark.createDataFrame([(a, b) for a in grids for b in grids[::3]], "a array<double>, b array<double>")
+    a, b = F.col("a"), F.col("b")
+    forms = [(M.ssim, N.ssim), (M.pixel_corr, N.pixel_corr), (M.mse_similarity, N.mse_similarity), (M.mean_abs_diff, N.mean_abs_diff), (M.edge_change, N.edge_change)]
+    cells = M.grid_change(a, b, cells=4)["is_animation"].alias("moved")
+    for row in rows.select("a", "b", cells, *[column(a, b).alias(column.__name__) for column, _ in forms]).collect():
+        x, y = np.array(row.a), np.array(row.b)
+        assert [row[column.__name__] for column, _ in forms] == pytest.approx([twin(x, y) for _, twin in forms], abs=1e-12)
+        assert row.moved == (1 <= N.changed_cells(x, y) <= 4)
+    assert N.pixel_corr(np.ones(64), np.ones(64)) is None
+
+
+def test_fold_streams_a_sequence_in_order(spark):
+    """One long sequence beside a short one, in batches of a few rows and from many partitions."""
+    rng = random.Random(12)
+    rows = [(k, i, [float(rng.randrange(256))] * 64) for k, n in ((1, 900), (2, 5)) for i in range(n)] + [(3, 4, None), (3, 9, [7.0] * 64), (3, 12, None)]
+    frames = spark.createDataFrame(rng.sample(rows, len(rows)), "video_id long, frame_idx long, luma array<double>").repartition(7)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    try:
+        found = {(r.video_id, r.frame_idx) for r in S.accept_changes(frames, "main", threshold=0.9).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    wanted = {(3, 4), (3, 9)}
+    for k in (1, 2):
+        last = None
+        for _, i, luma in (r for r in rows if r[0] == k):
+            if last is None or 1 - (last - luma[0]) ** 2 / 65025.0 < 0.9:
+                last = luma[0]
+                wanted.add((k, i))
+    assert found == wanted
+    assert S.accept_changes(frames.where("false"), "advanced").count() == 0
