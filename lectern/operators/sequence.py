@@ -65,8 +65,8 @@ def change_candidates(frames: DataFrame, videos: DataFrame, step: int | str, thr
     return around.where((F.col("frame_idx") >= 0) & (F.col("frame_idx") < F.col("total_frames"))).select("video_id", "frame_idx").distinct()
 
 
-#: ``accept(last, row)``: rows are tuples of the order column and the fold's columns, ``last`` is None before the first.
-Accept = Callable[[tuple | None, tuple], bool]
+#: ``accept(last, row)``: rows are lists of the order column and the fold's columns, ``last`` is None before the first.
+Accept = Callable[[list | None, list], bool]
 
 
 def fold_accepted(rows: DataFrame, key: str, order: str, columns: list[str], accept: Callable[[], Accept]) -> DataFrame:
@@ -79,19 +79,18 @@ def fold_accepted(rows: DataFrame, key: str, order: str, columns: list[str], acc
     schema = T.StructType([T.StructField(key, slim.schema["k"].dataType), T.StructField(order, T.LongType())])
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        takes, last = accept(), None
+        name = last = takes = None
         for batch in batches:
-            orders = batch.column("o").to_pylist()
-            if any(a > b for a, b in zip(orders, orders[1:])) or last and orders and orders[0] < last[0]:
-                raise ValueError(f"rows of a sequence are not in the order of {order}")
-            taken = np.zeros(len(orders), bool)
-            for i, row in enumerate(zip(orders, *[cells(batch.column(c)) for c in columns])):
+            keys, taken = batch.column("k").to_pylist(), np.zeros(batch.num_rows, bool)
+            for i, (k, *row) in enumerate(zip(keys, batch.column("o").to_pylist(), *[cells(batch.column(c)) for c in columns])):
+                if takes is None or k != name:
+                    name, last, takes = k, None, accept()
                 if takes(last, row):
                     taken[i], last = True, row
             mask = pa.array(taken)
             yield pa.RecordBatch.from_arrays([batch.column("k").filter(mask), batch.column("o").filter(mask)], schema=pa.schema([(key, batch.schema.field("k").type), (order, pa.int64())]))
 
-    return slim.repartition("k").sortWithinPartitions("k", "o").groupBy("k").applyInArrow(fold, schema)
+    return slim.repartition("k").sortWithinPartitions("k", "o").mapInArrow(fold, schema)
 
 
 def cells(column: pa.Array) -> Iterator:
@@ -122,7 +121,7 @@ def acceptance(mode: str, fps: float | None = 1.0, threshold: float | None = Non
     def fresh() -> Accept:
         hashes = array("q")
 
-        def accept(last: tuple | None, row: tuple) -> bool:
+        def accept(last: list | None, row: list) -> bool:
             at, luma, rate = row[0], row[1], row[-1] if fps is None else fps
             if least is not None and not at - (last[0] if last else -1) > least * rate:
                 return False

@@ -253,7 +253,7 @@ _MAINS = f"(SELECT * FROM {Q.fold('frames', 'video_id', 'frame_idx', {'luma': 'D
 @query(
     sql_with("frames")
     + f""", mains AS (SELECT video_id, frame_idx AS main_idx, luma AS base, lead(frame_idx) OVER (PARTITION BY video_id ORDER BY frame_idx) AS nxt FROM frames JOIN {_MAINS} USING (video_id, frame_idx)),
-    near AS (SELECT f.video_id, main_idx, frame_idx, luma, min(CASE WHEN {Q.mse('base', 'luma')} >= 0.75 THEN 1 ELSE 0 END) OVER (PARTITION BY f.video_id, main_idx ORDER BY frame_idx) AS open
+    near AS (SELECT f.video_id, main_idx, frame_idx, luma, min(CASE WHEN {Q.mse('base', 'luma')} >= 0.7 THEN 1 ELSE 0 END) OVER (PARTITION BY f.video_id, main_idx ORDER BY frame_idx) AS open
       FROM frames f JOIN mains m ON f.video_id = m.video_id AND frame_idx > main_idx AND frame_idx < coalesce(nxt, main_idx + 60)),
     keyed AS (SELECT video_id * 10000000 + main_idx AS key, frame_idx, luma FROM near WHERE open = 1 UNION ALL SELECT video_id * 10000000 + main_idx, main_idx, base FROM mains)
     SELECT key // 10000000 AS video_id, key % 10000000 AS main_idx, frame_idx
@@ -262,7 +262,7 @@ _MAINS = f"(SELECT * FROM {Q.fold('frames', 'video_id', 'frame_idx', {'luma': 'D
 def w14_animation_states(spark, sf_dir):
     frames = X.frames(spark, sf_dir)
     mains = frames.join(S.accept_changes(frames, "main", threshold=0.8), ["video_id", "frame_idx"], "left_semi")
-    return S.animation_states(frames, mains, stop=0.75, most_cells=8)
+    return S.animation_states(frames, mains, most_cells=8)
 
 
 @query(
