@@ -13,15 +13,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+def frames_of(embeddings: DataFrame) -> DataFrame:
     """video_id, frame_idx, fps, timestamp, g and luma (0..255) of 8x8 frames, from embeddings."""
     g = F.transform("embedding", lambda x: x.cast("double"))
-    base = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("video_id"), F.col("vec_id").alias("frame_idx"), g.alias("g"))
+    base = embeddings.select(F.col("label").cast("long").alias("video_id"), F.col("vec_id").alias("frame_idx"), g.alias("g"))
     low, high = F.array_min("g"), F.array_max("g")
     luma = F.transform("g", lambda x: F.floor((x - low) / (high - low) * 255).cast("double"))
     return base.select("video_id", "frame_idx", F.lit(1.0).alias("fps"), F.col("frame_idx").cast("double").alias("timestamp"), "g", luma.alias("luma"))
 
 
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames_of(table(spark, sf_dir, "embeddings"))
+
+
 def hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
     bits = M.phash_bits(F.col("g"))
     return frames(spark, sf_dir).withColumn("bits", bits).withColumn("phash", M.bits_to_long(F.col("bits")))

@@ -19,7 +19,7 @@ from . import fixtures as X
 from . import metric_sql as Q
 from .capture import capture_pipeline
 from .fixtures import sql_with
-from .library import _SIDES, query
+from .library import _SIDES, ORACLES, query
 
 _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
@@ -595,6 +595,18 @@ def _finished(spark, stream, tag):
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def _stateful(spark, stream, tag):
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return _finished(spark, stream, tag)
+    finally:  # the stream has ended; other streams of the session keep their own store
+        if before is None:
+            spark.conf.unset(STATE_STORE)
+        else:
+            spark.conf.set(STATE_STORE, before)
+
+
 @query(sql_with("progress") + "SELECT doc_id AS item, 'processed' AS status FROM documents WHERE doc_id NOT IN (SELECT item FROM progress WHERE status IN ('processed', 'failed'))")
 def x1_stream_new_items(spark, sf_dir):
     items = _stream(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"))
@@ -634,15 +646,13 @@ STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 def x4_stream_accept_changes(spark, sf_dir):
     t = (F.unix_micros(F.col("ts").cast("timestamp")) - 1704067200000000) / 1e6
     events = _stream(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("order_id"), t.alias("t"), F.col("value").alias("v"))
-    before = spark.conf.get(STATE_STORE, None)
-    spark.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        return _finished(spark, Z.stream_accept_changes(events, 20.0, 36000.0), "x4").select("key", "order_id")
-    finally:  # the stream has ended; other streams of the session keep their own store
-        if before is None:
-            spark.conf.unset(STATE_STORE)
-        else:
-            spark.conf.set(STATE_STORE, before)
+    return _stateful(spark, Z.stream_accept_changes(events, 20.0, 36000.0), "x4").select("key", "order_id")
+
+
+@query(ORACLES["w4_accept_advanced"])
+def x4_stream_accept_frames(spark, sf_dir):
+    frames = X.frames_of(_stream(spark, sf_dir, "embeddings"))
+    return _stateful(spark, Z.stream_accept_frames(frames, "advanced", threshold=0.0), "x4f")
 
 
 def _wide(spark, sf_dir):

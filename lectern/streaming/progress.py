@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.sequence import acceptance
+
 
 def stream_new_items(items: DataFrame, progress_path: str, checkpoint: str, process=None):
     """Process each new item once and append it to the progress table; returns the started query."""
@@ -63,6 +66,43 @@ def stream_accept_changes(series: DataFrame, least: float, gap: float) -> DataFr
     )
 
 
+class LastAcceptedFrame(StatefulProcessor):
+    """The batch fold's rule over frames; the state is the last accepted frame's number and grid."""
+
+    def __init__(self, mode: str, fps: float, threshold: float | None):
+        self.rule = acceptance(mode, fps, threshold)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("last", "frame_idx long, luma array<double>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        grid = lambda values: None if values is None else np.asarray(values, float)
+        last = [self.state.get()[0], grid(self.state.get()[1])] if self.state.exists() else None
+        takes, kept = self.rule(), []
+        batch = pd.concat(list(rows)).sort_values("frame_idx")
+        for at, luma in zip(batch.frame_idx, batch.luma):
+            row = [int(at), grid(luma)]
+            if takes(last, row):
+                last = row
+                kept.append((key[0], row[0]))
+        if kept:
+            self.state.update((last[0], None if last[1] is None else last[1].tolist()))
+        yield pd.DataFrame(kept, columns=["video_id", "frame_idx"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_accept_frames(frames: DataFrame, mode: str, fps: float = 1.0, threshold: float | None = None) -> DataFrame:
+    """(video_id, frame_idx) of the accepted frames of a capture mode other than standard, as ``accept_changes`` has them;
+    frames of a video are ordered within a batch, and later batches bring later frames."""
+    if mode == "standard":
+        raise ValueError("standard mode compares with all accepted hashes, which a stream does not keep")
+    return frames.select("video_id", "frame_idx", "luma").groupBy("video_id").transformWithStateInPandas(
+        statefulProcessor=LastAcceptedFrame(mode, fps, threshold), outputStructType="video_id long, frame_idx long", outputMode="Append", timeMode="None"
+    )
+
+
 def run_available(spark: SparkSession, stream: DataFrame, path: str, checkpoint: str) -> None:
     """Run a stream over what is there and append its rows to a table."""
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
