@@ -141,6 +141,13 @@ def retain_existing(slides: DataFrame, files: DataFrame, name: str = "filename")
     return slides.join(files.select(name).distinct(), name, "left_semi")
 
 
+def recount_groups(groups: DataFrame, slides: DataFrame, *keys: str) -> DataFrame:
+    """Groups with slide_count recounted over the slides that are left, 0 for an emptied one; time ranges stay."""
+    left = slides.groupBy(*keys).agg(F.count("*").alias("_n"))
+    joined = groups.join(left, list(keys), "left")
+    return joined.select(*[F.coalesce("_n", F.lit(0)).cast("long").alias(c) if c == "slide_count" else F.col(c) for c in groups.columns])
+
+
 def apply_rename(slides: DataFrame, plan: DataFrame) -> DataFrame:
     """New index and file name where ``plan(old_name, new_name, new_index)`` has the old one."""
     joined = slides.join(plan, slides.filename == plan.old_name, "left")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 ANALYSIS_KINDS = ("selected", "full", "selected_gemini", "full_gemini")
 PRICE_PER_MILLION = 7.5
+#: What a folder without an analysis is reckoned to need.
+IMAGES_PER_FOLDER, SECONDS_PER_IMAGE = 30, 6
 
 
 def status_flags(analyses: DataFrame, folder: str = "folder", kind: str = "kind") -> DataFrame:
@@ -48,6 +50,18 @@ def run_summary(runs: DataFrame, *by: str) -> DataFrame:
     return out.withColumn("avg_units", F.try_divide(F.col("units"), F.col("processed"))).withColumn("avg_seconds", F.try_divide(F.col("seconds"), F.col("processed")))
 
 
+def analysis_summary(runs: DataFrame, *by: str) -> DataFrame:
+    """Totals of ``runs(status, images, api_calls, seconds)`` of slide analyses: images and calls of processed folders, the
+    time of all, and averages per processed folder (null without one)."""
+    ok = F.col("status") == "success"
+    out = runs.groupBy(*by).agg(
+        F.count("*").alias("total"), F.count_if(ok).alias("processed"), F.count_if(F.col("status") == "failed").alias("failed"),
+        F.count_if(F.col("status") == "skipped").alias("skipped"), F.sum(F.when(ok, F.col("images")).otherwise(0)).alias("images"),
+        F.sum(F.when(ok, F.col("api_calls")).otherwise(0)).alias("api_calls"), F.sum("seconds").alias("seconds"),
+    )
+    return out.withColumn("avg_seconds", F.try_divide(F.col("seconds"), F.col("processed"))).withColumn("avg_images", F.try_divide(F.col("images"), F.col("processed")))
+
+
 def token_cost(requests: DataFrame, *by: str) -> DataFrame:
     """Tokens (characters of request and response) and their cost."""
     tokens = F.sum(F.length("request") + F.length("response"))
@@ -76,6 +90,12 @@ def eta(runs: DataFrame, key: str, order: str, seconds: str = "seconds") -> Data
     return numbered.withColumn("eta", F.col("elapsed") / F.col("done") * (total - F.col("done")))
 
 
+def static_estimate(flags: DataFrame, done: str, images: int = IMAGES_PER_FOLDER, seconds: int = SECONDS_PER_IMAGE) -> DataFrame:
+    """remaining folders (``done`` does not hold) and the minutes and hours that they take at fixed averages."""
+    out = flags.agg(F.count_if(~F.coalesce(F.col(done), F.lit(False))).alias("remaining"))
+    return out.withColumn("minutes", F.col("remaining") * images * seconds / 60.0).withColumn("hours", F.col("minutes") / 60.0)
+
+
 def folder_listing(items: DataFrame, key: str, name: str) -> DataFrame:
     """Names per folder in order."""
     return items.groupBy(key).agg(F.array_sort(F.collect_list(name)).alias("names"), F.count_distinct(name).alias("n_distinct"))
@@ -93,6 +113,14 @@ def latest_status(progress: DataFrame) -> DataFrame:
     return progress.groupBy("job", "item").agg(F.max_by("status", F.struct("ts", "status")).alias("status"))
 
 
+def compare_speed(runs: DataFrame, modes: tuple[str, str], *by: str) -> DataFrame:
+    """Seconds of two modes from ``runs(mode, seconds)``, how many times faster the second is (0 if it took no time) and
+    the seconds that it saves."""
+    a, b = (F.sum(F.when(F.col("mode") == m, F.col("seconds")).otherwise(0.0)).alias(f"{m}_seconds") for m in modes)
+    first, second = (F.col(f"{m}_seconds") for m in modes)
+    return runs.groupBy(*by).agg(a, b).withColumn("speed_ratio", F.coalesce(F.try_divide(first, second), F.lit(0.0))).withColumn("saved", first - second)
+
+
 def compare_modes(slides: DataFrame, modes: tuple[str, str]) -> DataFrame:
     """Slides per mode and their difference, per video."""
     out = slides.groupBy("video_id").pivot("mode", list(modes)).count().na.fill(0, list(modes))

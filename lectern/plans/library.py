@@ -342,3 +342,25 @@ def _two_modes(spark, sf_dir):
 )
 def w22_compare_modes(spark, sf_dir):
     return R.compare_modes(_two_modes(spark, sf_dir), ("advanced", "main"))
+
+
+@query(
+    f"""WITH {_LED}, kept AS ({ORACLES['w4_accept_advanced']})
+    SELECT video_id, group_id, count(k.frame_idx) AS slide_count, min(led.frame_idx::DOUBLE) AS "start", max(led.frame_idx::DOUBLE) AS "end"
+    FROM led LEFT JOIN kept k USING (video_id, frame_idx) GROUP BY ALL"""
+)
+def j14_recount_groups(spark, sf_dir):
+    led = w11_leader_groups_first(spark, sf_dir).withColumn("timestamp", F.col("frame_idx").cast("double"))
+    left = G.retain_existing(led.withColumn("filename", F.struct("video_id", "frame_idx")), QUERIES["w4_accept_advanced"](spark, sf_dir).select(F.struct("video_id", "frame_idx").alias("filename")))
+    return G.recount_groups(G.group_summary(led, "video_id", "group_id").drop("members"), left, "video_id", "group_id")
+
+
+@query(
+    sql_with("runs")
+    + """SELECT job, round(a, 6) AS standard_seconds, round(b, 6) AS improved_seconds, round(coalesce(a / nullif(b, 0), 0), 6) AS speed_ratio, round(a - b, 6) AS saved
+    FROM (SELECT job, sum(CASE WHEN status = 'failed' THEN seconds ELSE 0 END) AS a, sum(CASE WHEN status = 'success' THEN seconds ELSE 0 END) AS b FROM runs GROUP BY job)"""
+)
+def w22_compare_speed(spark, sf_dir):
+    runs = X.runs(spark, sf_dir).withColumn("mode", F.when(F.col("status") == "failed", "standard").when(F.col("status") == "success", "improved"))
+    out = R.compare_speed(runs, ("standard", "improved"), "job")
+    return out.withColumns({c: F.round(c, 6) for c in ("standard_seconds", "improved_seconds", "speed_ratio", "saved")})

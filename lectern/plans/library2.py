@@ -528,6 +528,19 @@ def a7_run_summary(spark, sf_dir):
     return R.run_summary(X.runs(spark, sf_dir), "job").withColumns({c: F.round(c, 6) for c in ("seconds", "avg_units", "avg_seconds")})
 
 
+@query(sql_with("runs") + """SELECT job, total, processed, failed, skipped, images, api_calls, round(seconds, 6) AS seconds, round(seconds / nullif(processed, 0), 6) AS avg_seconds, round(images / nullif(processed, 0), 6) AS avg_images FROM (
+    SELECT job, count(*) AS total, count(*) FILTER (status = 'success') AS processed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'skipped') AS skipped,
+    sum(CASE WHEN status = 'success' THEN n_units ELSE 0 END)::BIGINT AS images, sum(CASE WHEN status = 'success' THEN (n_units + 9) // 10 ELSE 0 END)::BIGINT AS api_calls, sum(seconds) AS seconds FROM runs GROUP BY job)""")
+def a7_analysis_summary(spark, sf_dir):
+    runs = X.runs(spark, sf_dir).withColumn("images", F.col("n_units")).withColumn("api_calls", F.expr("(n_units + 9) div 10"))
+    return R.analysis_summary(runs, "job").withColumns({c: F.round(c, 6) for c in ("seconds", "avg_seconds", "avg_images")})
+
+
+@query(f"WITH {_ANALYSES}, fl AS ({_FLAGS}) SELECT n AS remaining, n * 3.0::DOUBLE AS minutes, n / 20.0::DOUBLE AS hours FROM (SELECT count(*) FILTER (NOT has_selected_gemini) AS n FROM fl)")
+def a11_static_estimate(spark, sf_dir):
+    return R.static_estimate(R.status_flags(_analyses(spark, sf_dir)), "has_selected_gemini")
+
+
 @query("SELECT source, sum(length(text) + length(lang))::BIGINT AS tokens, round(sum(length(text) + length(lang)) / 1e6 * 7.5, 2) AS cost FROM documents GROUP BY source")
 def a8_token_cost(spark, sf_dir):
     return R.token_cost(X.table(spark, sf_dir, "documents").select("source", F.col("text").alias("request"), F.col("lang").alias("response")), "source")
