@@ -112,6 +112,19 @@ def slide_filename(number: Column, seconds: Column, phash_hex: Column, group: Co
     )
 
 
+def animation_filename(number: Column, seconds: Column, group: Column, state: Column, states: Column) -> Column:
+    """``slide_NNN_tMmS.Ss[_animG-K].jpg``: the tag only where a group has more states than one."""
+    minutes = F.floor(seconds / 60)
+    tag = F.when(states > 1, F.concat(F.lit("_anim"), group.cast("string"), F.lit("-"), state.cast("string"))).otherwise("")
+    return F.concat(F.lit("slide_"), padded(number, 3), F.lit("_t"), minutes.cast("string"), F.lit("m"), _tenths(seconds - minutes * 60), F.lit("s"), tag, F.lit(".jpg"))
+
+
+def state_filename(number: Column, seconds: Column, state: Column) -> Column:
+    """``slide_NNN[_K]_tS.Ss.jpg``: K from the second state of a slide on."""
+    tag = F.when(state > 1, F.concat(F.lit("_"), state.cast("string"))).otherwise("")
+    return F.concat(F.lit("slide_"), padded(number, 3), tag, F.lit("_t"), _tenths(seconds), F.lit("s.jpg"))
+
+
 def media_triage(ext: Column, length: Column, duration: Column) -> Column:
     """Supported, too_large, needs_convert, needs_split and extract_audio of a media file."""
     supported, compatible = ext.isin(*AUDIO_SUPPORTED), ext.isin(*AUDIO_COMPATIBLE)

@@ -57,12 +57,24 @@ def change_candidates(frames: DataFrame, videos: DataFrame, step: int | str, thr
     to step / 2 by fives.
     """
     changed = with_previous(frames, "luma").where(M.histogram_corr(F.col("luma"), F.col("prev_luma")) < threshold)
+    return around(changed, videos, step, 5)
+
+
+def around(picked: DataFrame, videos: DataFrame, step: int | str, every: int, alone: Column | None = None) -> DataFrame:
+    """(video_id, frame_idx) from -step / 2, rounded down, to step / 2 around the picked frames, in steps of ``every``;
+    the picked frame only where ``alone`` holds."""
     stride = F.col(step) if isinstance(step, str) else F.lit(step)
     known = videos.select("video_id", "total_frames", stride.cast("int").alias("_stride"))
-    offsets = F.sequence(F.floor(-F.col("_stride") / 2).cast("int"), F.floor(F.col("_stride") / 2).cast("int"), F.lit(5))
-    around = changed.select("video_id", "frame_idx").join(known, "video_id")
-    around = around.select("video_id", "total_frames", F.explode(F.transform(offsets, lambda o: F.col("frame_idx") + o)).alias("frame_idx"))
-    return around.where((F.col("frame_idx") >= 0) & (F.col("frame_idx") < F.col("total_frames"))).select("video_id", "frame_idx").distinct()
+    offsets = F.sequence(F.floor(-F.col("_stride") / 2).cast("int"), F.floor(F.col("_stride") / 2).cast("int"), F.lit(every))
+    placed = picked.select("video_id", "frame_idx", (F.lit(False) if alone is None else alone).alias("_alone")).join(known, "video_id")
+    offsets = F.when(F.col("_alone"), F.array(F.lit(0))).otherwise(offsets)
+    near = placed.select("video_id", "total_frames", F.explode(F.transform(offsets, lambda o: F.col("frame_idx") + o)).alias("frame_idx"))
+    return near.where((F.col("frame_idx") >= 0) & (F.col("frame_idx") < F.col("total_frames"))).select("video_id", "frame_idx").distinct()
+
+
+def rate_of(fps: float | str) -> Column:
+    """A frame rate given as a number, or as the column that has each video's."""
+    return F.col(fps) if isinstance(fps, str) else F.lit(float(fps))
 
 
 #: ``accept(last, row)``: rows are lists of the order column and the fold's columns, ``last`` is None before the first.
@@ -154,18 +166,18 @@ def accept_changes(frames: DataFrame, mode: str, fps: float | str = 1.0, thresho
     return fold_accepted(frames, "video_id", "frame_idx", columns, acceptance(mode, None if named else fps, threshold))
 
 
-def dense_candidates(frames: DataFrame, threshold: float = 0.85, fps: float = 1.0) -> DataFrame:
+def dense_candidates(frames: DataFrame, threshold: float = 0.85, fps: float | str = 1.0) -> DataFrame:
     """(video_id, frame_idx): first sample, samples unlike the one before, and partial changes over two seconds after
-    the last emitted sample."""
+    the last emitted sample. ``fps`` is a number, or the column of ``frames`` that has each video's."""
     pairs = with_previous(frames, "luma")
     flags = pairs.select(
         "video_id", "frame_idx", F.col("prev_luma").isNull().alias("start"),
         F.coalesce(M.ssim(F.col("luma"), F.col("prev_luma")) < threshold, F.lit(False)).alias("unlike"),
-        F.coalesce(M.has_change(F.col("luma"), F.col("prev_luma")), F.lit(False)).alias("partly"),
+        F.coalesce(M.has_change(F.col("luma"), F.col("prev_luma")), F.lit(False)).alias("partly"), rate_of(fps).alias("rate"),
     )
     return fold_accepted(
-        flags, "video_id", "frame_idx", ["start", "unlike", "partly"],
-        lambda: lambda last, row: row[1] or row[2] or (row[3] and row[0] - (last[0] if last else -1) > 2 * fps),
+        flags, "video_id", "frame_idx", ["start", "unlike", "partly", "rate"],
+        lambda: lambda last, row: row[1] or row[2] or (row[3] and row[0] - (last[0] if last else -1) > 2 * row[4]),
     )
 
 
@@ -181,11 +193,12 @@ def islands(rows: DataFrame, key: str, order: str, starts: Column, name: str = "
     return rows.withColumn("_new", F.coalesce(starts, F.lit(True)).cast("int")).withColumn(name, F.sum("_new").over(w)).drop("_new")
 
 
-def animation_groups(frames: DataFrame, high: float = 0.95, low: float = 0.85, max_gap: float = 10.0, fps: float = 1.0) -> DataFrame:
-    """Adds group_no: a frame stays with the one before if alike, or fairly alike, partly changed and soon after."""
+def animation_groups(frames: DataFrame, high: float = 0.95, low: float = 0.85, max_gap: float = 10.0, fps: float | str = 1.0) -> DataFrame:
+    """Adds group_no: a frame stays with the one before if alike, or fairly alike, partly changed and soon after. ``fps``
+    is a number, or the column of ``frames`` that has each video's."""
     pairs = with_previous(frames, "luma", "frame_idx")
     like = M.ssim(F.col("luma"), F.col("prev_luma"))
-    soon = (F.col("frame_idx") - F.col("prev_frame_idx")) / fps < max_gap
+    soon = (F.col("frame_idx") - F.col("prev_frame_idx")) / rate_of(fps) < max_gap
     same = (like > high) | ((like > low) & M.has_change(F.col("luma"), F.col("prev_luma")) & soon)
     return islands(pairs, "video_id", "frame_idx", ~same).drop("prev_luma", "prev_frame_idx")
 
@@ -210,25 +223,34 @@ def key_frames(frames: DataFrame, group: str = "group_no", least: float = 0.01)
     return kept.union(lonely).distinct().select("_key.video_id", F.col(f"_key.{group}").alias(group), "frame_idx")
 
 
-def animation_states(frames: DataFrame, mains: DataFrame, fps: float = 1.0, span: float = 60.0, least_gap: float = 1.0, stop: float = 0.7, most_cells: int = 4) -> DataFrame:
+def animation_states(
+    frames: DataFrame, mains: DataFrame, fps: float | str = 1.0, span: float = 60.0, least_gap: float = 1.0, stop: float = 0.7, most_cells: int = 4, step: int | str = 1,
+) -> DataFrame:
     """(video_id, main_idx, frame_idx): animation states after each main slide.
 
-    Frames after a main slide and before the next (or ``span`` seconds on) are read until one is under ``stop`` like the
-    main slide; a frame counts if one to ``most_cells`` grid cells differ from the last state and the gap is long enough.
+    Every ``step``-th frame after a main slide and before the next (or ``span`` seconds on) is read until one is under
+    ``stop`` like the main slide; a frame counts if one to ``most_cells`` grid cells differ from the last state and the
+    gap is long enough. ``fps`` and ``step`` are numbers, or columns of ``mains`` that have each video's.
     """
     w = Window.partitionBy("video_id").orderBy("frame_idx")
-    spans = mains.select("video_id", F.col("frame_idx").alias("main_idx"), F.col("luma").alias("base"), F.lead("frame_idx").over(w).alias("next_idx"))
-    ends = F.coalesce("next_idx", F.col("main_idx") + F.lit(int(span * fps)))
-    pairs = frames.join(spans.withColumn("end_idx", ends).drop("next_idx"), "video_id").where("frame_idx > main_idx AND frame_idx < end_idx")
+    stride = F.col(step) if isinstance(step, str) else F.lit(step)
+    mains = mains.select("video_id", "frame_idx", "luma", rate_of(fps).alias("_rate"), stride.alias("_every"))
+    ends = F.coalesce(F.lead("frame_idx").over(w), F.col("frame_idx") + F.floor(F.lit(float(span)) * F.col("_rate")).cast("long"))
+    opened = F.struct(F.col("frame_idx").alias("main_idx"), F.col("luma").alias("base"), ends.alias("end_idx"), "_rate", "_every")
+    # spans do not overlap, so the last main slide up to a frame is the only one that it can belong to
+    lines = frames.select("video_id", "frame_idx", "luma").unionByName(mains.select("video_id", "frame_idx", opened.alias("_main")), allowMissingColumns=True)
+    placed = lines.withColumn("_main", F.last("_main", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    read = placed.select("video_id", "frame_idx", "luma", "_main.*")
+    pairs = read.where("frame_idx > main_idx AND frame_idx < end_idx AND (frame_idx - main_idx) % _every = 0")
     near = pairs.withColumn("_ok", (M.mse_similarity(F.col("base"), F.col("luma")) >= stop).cast("int"))
     run = Window.partitionBy("video_id", "main_idx").orderBy("frame_idx")
-    read = near.withColumn("_open", F.min("_ok").over(run)).where("_open = 1").select("video_id", "main_idx", "frame_idx", "luma")
-    seeds = mains.select("video_id", F.col("frame_idx").alias("main_idx"), "frame_idx", "luma")
+    read = near.withColumn("_open", F.min("_ok").over(run)).where("_open = 1").select("video_id", "main_idx", "frame_idx", "luma", "_rate")
+    seeds = mains.select("video_id", F.col("frame_idx").alias("main_idx"), "frame_idx", "luma", "_rate")
     keyed = read.unionByName(seeds).withColumn("_key", F.struct("video_id", "main_idx"))
     states = fold_accepted(
-        keyed, "_key", "frame_idx", ["luma"],
+        keyed, "_key", "frame_idx", ["luma", "_rate"],
         lambda: lambda last, row: last is None or last[1] is None
-        or row[1] is not None and 1 <= N.changed_cells(last[1], row[1]) <= most_cells and (row[0] - last[0]) / fps >= least_gap,
+        or row[1] is not None and 1 <= N.changed_cells(last[1], row[1]) <= most_cells and (row[0] - last[0]) / row[2] >= least_gap,
     )
     return states.select("_key.video_id", "_key.main_idx", "frame_idx").where("frame_idx > main_idx")
 
@@ -237,9 +259,8 @@ def probe_gaps(slides: DataFrame, frames: DataFrame, fps: float | str = 1.0, gap
     """(video_id, frame_idx) of probes in long gaps between slides that are like none of the slides around. ``fps`` is a
     number, or the column of ``slides`` that has each video's."""
     w = Window.partitionBy("video_id").orderBy("frame_idx")
-    rate = F.col(fps) if isinstance(fps, str) else F.lit(float(fps))
     step = F.floor(F.col("_rate") * every).cast("long")
-    placed = slides.select("video_id", "frame_idx", "luma", rate.alias("_rate"), F.row_number().over(w).alias("pos"), F.lead("frame_idx").over(w).alias("next_idx"))
+    placed = slides.select("video_id", "frame_idx", "luma", rate_of(fps).alias("_rate"), F.row_number().over(w).alias("pos"), F.lead("frame_idx").over(w).alias("next_idx"))
     long = placed.where((F.col("next_idx") - F.col("frame_idx") > F.col("_rate") * gap) & (step > 0) & (F.col("frame_idx") + step < F.col("next_idx")))
     probes = long.select("video_id", "pos", F.explode(F.sequence(F.col("frame_idx") + step, F.col("next_idx") - 1, step)).alias("frame_idx"))
     seen = probes.join(frames.select("video_id", "frame_idx", F.col("luma").alias("probe")), ["video_id", "frame_idx"])

@@ -17,7 +17,7 @@ from ..sources import files as S
 from ..streaming import progress as Z
 from . import fixtures as X
 from . import metric_sql as Q
-from .capture import capture_pipeline
+from .capture import capture_animation, capture_pipeline, capture_standard, capture_ultra
 from .fixtures import sql_with
 from .library import _SIDES, ORACLES, query
 
@@ -489,7 +489,17 @@ def w20_context_tail(spark, sf_dir):
     return T.context_tail(X.segments(spark, sf_dir)).select("doc_id", "seg_no", "context")
 
 
-@query(None)
+@query(
+    r"""WITH grams AS (SELECT doc_id, s, substr(text, s, 15) AS gram FROM (SELECT doc_id, text, unnest(range(1, length(text) - 13)) AS s FROM documents)),
+    near AS (SELECT a.doc_id, a.s, b.s - a.s AS size FROM grams a JOIN grams b ON a.doc_id = b.doc_id AND a.gram = b.gram AND b.s - a.s BETWEEN 15 AND 80),
+    runs AS (SELECT *, s - row_number() OVER (PARTITION BY doc_id, size ORDER BY s) AS run FROM near),
+    counted AS (SELECT doc_id, s, size, 1 + (max(s) OVER (PARTITION BY doc_id, size, run) - s + 15) // size AS times FROM runs),
+    said AS (SELECT c.*, substr(text, s, size) AS said FROM counted c JOIN documents USING (doc_id) WHERE times >= 3),
+    best AS (SELECT * FROM said WHERE regexp_matches(said, '\S') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY size DESC, times DESC, s) = 1)
+    SELECT doc_id, times IS NOT NULL AS has_repetition, coalesce(times * size / length(d.text)::DOUBLE, 0.0) AS ratio, left(said, 100) AS phrase, coalesce(times, 0)::INTEGER AS count,
+      CASE WHEN times IS NULL THEN length(d.text) ELSE length(regexp_replace(left(d.text, s - 1 + size), '\s+$', '')) END::INTEGER AS clean_length
+    FROM documents d LEFT JOIN best USING (doc_id)"""
+)
 def t1_repetition_loops(spark, sf_dir):
     return T.repetition_loops(X.documents(spark, sf_dir)).select("doc_id", "loop.has_repetition", "loop.ratio", "loop.phrase", "loop.count", F.length("loop.clean_text").alias("clean_length"))
 
@@ -761,3 +771,61 @@ def w21_capture_advanced(spark, sf_dir):
 @query(_improved_sql())
 def w21_capture_improved(spark, sf_dir):
     return capture_pipeline(X.dense(spark, sf_dir), X.dense_videos(spark, sf_dir), "improved", step=3, change=0.3, threshold=0.0, group=0.6, like=0.3)
+
+
+_RATE = _DENSE[: _DENSE.index("paced AS")]
+_NUMBERED = lambda n: _FILENAME.replace("n::BIGINT", n).replace("s /", "(frame_idx / fps) /").replace("((s -", "(((frame_idx / fps) -")
+_ROW = "row_number() OVER (PARTITION BY video_id ORDER BY frame_idx)"
+
+
+@query(
+    sql_with("frames", "hashed")
+    + f""", {_RATE} sampled AS (SELECT * FROM rate WHERE frame_idx % 3 = 0),
+    taken AS (SELECT r.* FROM rate r JOIN {Q.fold('sampled', 'video_id', 'frame_idx', {'luma': 'DOUBLE[]', 'bits': 'VARCHAR', 'fps': 'DOUBLE'},
+      f"(L.luma IS NULL OR coalesce((X.frame_idx - L.frame_idx) / X.fps >= 2.0 AND {Q.ssim('L.luma', 'X.luma')} < 0.1, false)) AND len(list_filter(acc, lambda k: k.frame_idx >= 0 AND {Q.hamming('k.bits', 'X.bits')} < 5)) = 0")} USING (video_id, frame_idx))
+    SELECT video_id, frame_idx, ({_ROW} - 1)::INTEGER AS slide_index, {_NUMBERED(f'({_ROW} - 1)::BIGINT')} || '_h' || lower(lpad(printf('%x', bits::BIT::BIGINT), 16, '0'))[1:8] || '.jpg' AS filename FROM taken"""
+)
+def w21_capture_standard(spark, sf_dir):
+    return capture_standard(X.dense(spark, sf_dir), X.dense_videos(spark, sf_dir), step=3, threshold=0.1)
+
+
+@query(
+    sql_with("frames", "hashed")
+    + f""", {_RATE} paced AS (SELECT video_id, count(*) AS total_frames FROM rate GROUP BY ALL),
+    sampled AS (SELECT *, lag(luma) OVER (PARTITION BY video_id ORDER BY frame_idx) AS prev_luma FROM rate WHERE frame_idx % 3 = 0),
+    flags AS (SELECT video_id, frame_idx, fps, prev_luma IS NULL AS start, coalesce({Q.ssim('prev_luma', 'luma')} < -0.2, false) AS unlike, coalesce({Q.has_change('prev_luma', 'luma')}, false) AS partly FROM sampled),
+    hits AS (SELECT video_id, frame_idx, start FROM flags JOIN {Q.fold('flags', 'video_id', 'frame_idx', {'start': 'BOOLEAN', 'unlike': 'BOOLEAN', 'partly': 'BOOLEAN', 'fps': 'DOUBLE'},
+      'X.start OR X.unlike OR (X.partly AND X.frame_idx - L.frame_idx > 2.0 * X.fps)')} USING (video_id, frame_idx)),
+    near AS (SELECT DISTINCT video_id, idx AS frame_idx FROM (SELECT video_id, unnest(CASE WHEN start THEN [frame_idx] ELSE [frame_idx - 2, frame_idx + 1] END) AS idx FROM hits) JOIN paced USING (video_id) WHERE idx >= 0 AND idx < total_frames),
+    cand AS (SELECT * FROM rate JOIN near USING (video_id, frame_idx) QUALIFY row_number() OVER (PARTITION BY video_id, luma ORDER BY frame_idx) = 1),
+    pairs AS (SELECT *, lag(luma) OVER w AS prev_luma, lag(frame_idx) OVER w AS prev_idx FROM cand WINDOW w AS (PARTITION BY video_id ORDER BY frame_idx)),
+    grouped AS (SELECT *, sum(CASE WHEN coalesce({Q.ssim('prev_luma', 'luma')} > 0.05 OR ({Q.ssim('prev_luma', 'luma')} > -0.05 AND {Q.has_change('prev_luma', 'luma')} AND (frame_idx - prev_idx) / fps < 10.0), false) THEN 0 ELSE 1 END)
+      OVER (PARTITION BY video_id ORDER BY frame_idx)::BIGINT AS group_no FROM pairs),
+    keyed AS (SELECT video_id * 100000000 + group_no AS key, frame_idx, luma FROM grouped),
+    kept AS (SELECT key, frame_idx FROM {Q.fold('keyed', 'key', 'frame_idx', {'luma': 'DOUBLE[]'}, f"L.luma IS NULL OR coalesce({Q.edge_change('L.luma', 'X.luma')} > 0.35, false)")}),
+    lonely AS (SELECT key, max(k.frame_idx) AS frame_idx FROM keyed k WHERE key IN (SELECT key FROM kept GROUP BY key HAVING count(*) = 1) GROUP BY key),
+    slides AS (SELECT DISTINCT key // 100000000 AS video_id, key % 100000000 AS group_id, frame_idx FROM (SELECT * FROM kept UNION ALL SELECT * FROM lonely)),
+    placed AS (SELECT s.*, fps, row_number() OVER (PARTITION BY video_id, group_id ORDER BY frame_idx)::INTEGER AS subgroup_idx, count(*) OVER (PARTITION BY video_id, group_id) AS size FROM slides s JOIN rate USING (video_id, frame_idx))
+    SELECT video_id, frame_idx, group_id, subgroup_idx, {_NUMBERED(_ROW)} || CASE WHEN size > 1 THEN '_anim' || group_id || '-' || subgroup_idx ELSE '' END || '.jpg' AS filename FROM placed"""
+)
+def w21_capture_ultra(spark, sf_dir):
+    return capture_ultra(X.dense(spark, sf_dir), X.dense_videos(spark, sf_dir), step=3, threshold=-0.2, high=0.05, low=-0.05, least=0.35)
+
+
+@query(
+    sql_with("frames", "hashed")
+    + f""", {_RATE} sampled AS (SELECT * FROM rate WHERE frame_idx % 5 = 0),
+    mains AS (SELECT video_id, frame_idx AS main_idx, luma AS base, fps, lead(frame_idx) OVER (PARTITION BY video_id ORDER BY frame_idx) AS nxt
+      FROM rate JOIN {Q.fold('sampled', 'video_id', 'frame_idx', {'luma': 'DOUBLE[]'}, f"L.luma IS NULL OR coalesce({Q.mse('L.luma', 'X.luma')} < 0.85, false)")} USING (video_id, frame_idx)),
+    near AS (SELECT f.video_id, main_idx, frame_idx, luma, f.fps, min(CASE WHEN {Q.mse('base', 'luma')} >= 0.7 THEN 1 ELSE 0 END) OVER (PARTITION BY f.video_id, main_idx ORDER BY frame_idx) AS open
+      FROM rate f JOIN mains m ON f.video_id = m.video_id AND frame_idx > main_idx AND frame_idx < coalesce(nxt, main_idx + floor(60 * m.fps)) AND (frame_idx - main_idx) % 2 = 0),
+    keyed AS (SELECT video_id * 10000000 + main_idx AS key, frame_idx, luma, fps FROM near WHERE open = 1 UNION ALL SELECT video_id * 10000000 + main_idx, main_idx, base, fps FROM mains),
+    states AS (SELECT key // 10000000 AS video_id, key % 10000000 AS main_idx, frame_idx
+      FROM {Q.fold('keyed', 'key', 'frame_idx', {'luma': 'DOUBLE[]', 'fps': 'DOUBLE'}, f"L.luma IS NULL OR (coalesce({Q.is_animation('L.luma', 'X.luma', 8)}, false) AND (X.frame_idx - L.frame_idx) / X.fps >= 1.0)")}),
+    placed AS (SELECT s.*, fps, dense_rank() OVER (PARTITION BY video_id ORDER BY main_idx)::INTEGER AS group_id, row_number() OVER (PARTITION BY video_id, main_idx ORDER BY frame_idx)::INTEGER AS subgroup_idx
+      FROM states s JOIN rate USING (video_id, frame_idx)),
+    tenths AS (SELECT *, floor(frame_idx / fps * 10 + 0.5)::BIGINT AS t FROM placed)
+    SELECT video_id, frame_idx, group_id, subgroup_idx, 'slide_' || printf('%03d', group_id) || CASE WHEN subgroup_idx > 1 THEN '_' || subgroup_idx ELSE '' END || '_t' || t // 10 || '.' || t % 10 || 's.jpg' AS filename FROM tenths"""
+)
+def w21_capture_animation(spark, sf_dir):
+    return capture_animation(X.dense(spark, sf_dir), X.dense_videos(spark, sf_dir), step=5, fine=2, threshold=0.85, most_cells=8)

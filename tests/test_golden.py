@@ -16,6 +16,7 @@ from lectern.operators import groups as G
 from lectern.operators import reports as R
 from lectern.operators import sequence as S
 from lectern.operators import transcripts as T
+from lectern.plans import capture as K
 from lectern.sources import files as files_io
 from lectern.streaming import progress as Z
 
@@ -315,3 +316,26 @@ def test_fold_streams_a_sequence_in_order(spark):
                 wanted.add((k, i))
     assert found == wanted
     assert S.accept_changes(frames.where("false"), "advanced").count() == 0
+
+
+def test_capture_modes_at_ten_frames_a_second(spark):
+    """A state after 2 s, another slide after 9 s, a state of it after 15 s; the frame at 12 s has no grid."""
+
+    def grid(i):
+        base = [0.0 if i < 90 else 200.0] * 64
+        for p in (0, 1, 8, 9) if 20 <= i < 90 or i >= 150 else ():
+            base[p] = 100.0
+        return None if i == 120 else base
+
+    hashes = lambda i: (0 if i < 20 else 0xFF if i < 90 else 0xFFFF if i < 150 else 0xFFFE) << 32
+    frames = spark.createDataFrame([("v", i, grid(i), hashes(i)) for i in range(200)], "video_id string, frame_idx long, luma array<double>, phash long")
+    videos = spark.createDataFrame([("v", 200, 10.0), ("without frames", 0, 10.0)], "video_id string, total_frames long, fps double")
+    names = lambda rows: [r.filename for r in rows.orderBy("frame_idx").collect()]
+    assert names(K.capture_animation(frames, videos)) == ["slide_001_t0.0s.jpg", "slide_001_2_t2.0s.jpg", "slide_002_t9.0s.jpg", "slide_002_2_t15.0s.jpg"]
+    assert names(K.capture_standard(frames, videos)) == ["slide_000_t0m0.0s_h00000000.jpg", "slide_001_t0m2.0s_h000000ff.jpg", "slide_002_t0m9.0s_h0000ffff.jpg"]
+    alone = ["slide_001_t0m0.0s.jpg", "slide_002_t0m2.1s.jpg", "slide_003_t0m9.1s.jpg", "slide_004_t0m15.1s.jpg"]
+    assert names(K.capture_ultra(frames, videos)) == alone
+    grouped = alone[:2] + ["slide_003_t0m9.1s_anim3-1.jpg", "slide_004_t0m15.1s_anim3-2.jpg"]
+    assert names(K.capture_ultra(frames, videos, low=0.05)) == grouped
+    for capture in (K.capture_animation, K.capture_standard, K.capture_ultra):
+        assert capture(frames.where("false"), videos).count() == 0
