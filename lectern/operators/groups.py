@@ -2,87 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.frames import hamming
-
-
-def similar_pairs(rows: DataFrame, id_column: str, hash_column: str, max_distance: int, within: str | None = None) -> DataFrame:
-    """(id_a, id_b, distance) of hashes at most ``max_distance`` apart, exact; null hashes have no partner.
-
-    Equal hashes stand for one: the row of the smallest id is paired with the others' smallest, and each copy with its
-    own smallest at distance 0, so a blank picture that comes again a million times gives a million rows, not their square.
-    The bits are cut into ``max_distance + 1`` bands; two hashes that near each other agree in at least one, so pairs
-    come from an equi-join on (band, value). A pair is kept in the first band that it shares, which needs no distinct.
-    """
-    bands = min(max_distance + 1, 64)
-    edges = [64 * k // bands for k in range(bands + 1)]
-    value = lambda h, a, b: F.shiftrightunsigned(h, a).bitwiseAND(F.lit((1 << (b - a)) - 1 if b - a < 64 else -1))
-    scope = F.col(within) if within else F.lit(0)
-    slim = rows.select(F.col(id_column).alias("id"), F.col(hash_column).alias("h"), scope.alias("scope")).where("h IS NOT NULL")
-    least = slim.groupBy("scope", "h").agg(F.min("id").alias("id"))
-    copies = slim.join(least.withColumnRenamed("id", "id_a"), ["scope", "h"]).where("id > id_a").select("id_a", F.col("id").alias("id_b"), F.lit(0).alias("distance"))
-    cut = F.array(*[F.struct(F.lit(k).alias("band"), value(F.col("h"), a, b).alias("v")) for k, (a, b) in enumerate(zip(edges, edges[1:]))])
-    keyed = least.select("id", "h", "scope", F.explode(cut).alias("c")).select("id", "h", "scope", "c.band", "c.v")
-    left, right = keyed.select(F.col("id").alias("id_a"), F.col("h").alias("ha"), "scope", "band", "v"), keyed.select(F.col("id").alias("id_b"), F.col("h").alias("hb"), "scope", "band", "v")
-    pairs = left.join(right, ["scope", "band", "v"]).where("id_a < id_b")
-    differ = F.col("ha").bitwiseXOR(F.col("hb"))
-    first = F.coalesce(*[F.when(value(differ, a, b) == 0, k) for k, (a, b) in enumerate(zip(edges, edges[1:]))])
-    near = pairs.where(F.bit_count(differ) <= max_distance).where(first == F.col("band"))
-    return near.select("id_a", "id_b", hamming(F.col("ha"), F.col("hb")).alias("distance")).unionByName(copies)
-
-
-def leader_groups(rows: DataFrame, policy: str, threshold: float, skip_threshold: float | None = None, key: str = "video_id", order: str = "frame_idx", hash_column: str = "phash") -> DataFrame:
-    """(key, order, group_id, subgroup_idx) in sequence order.
-
-    first: join the first leader with similarity over the threshold (ids from 0). best: leave a row out if a kept hash is
-    more than ``skip_threshold`` like it, else join the most similar leader of at least the threshold, the earliest on
-    ties (ids from 1). Rows that join none lead a new group.
-    """
-    schema = T.StructType([rows.schema[key], T.StructField(order, T.LongType()), T.StructField("group_id", T.IntegerType()), T.StructField("subgroup_idx", T.IntegerType())])
-
-    def fold(name: tuple, batch: pa.Table) -> pa.Table:
-        order_of = batch.column("o").to_numpy()
-        places = np.argsort(order_of, kind="stable")
-        hashes = batch.column("h").to_numpy().view(np.uint64)[places]
-        led = lead(hashes, policy, threshold, skip_threshold)
-        kept = led[0] >= 0
-        columns = [pa.array([name[0].as_py()] * int(kept.sum()), batch.schema.field("k").type), pa.array(order_of[places][kept], pa.int64())]
-        return pa.Table.from_arrays([*columns, pa.array(led[0][kept], pa.int32()), pa.array(led[1][kept], pa.int32())], names=schema.names)
-
-    # two numbers a row are all that a sequence's group holds
-    slim = rows.select(F.col(key).alias("k"), F.col(order).cast("long").alias("o"), F.col(hash_column).alias("h"))
-    return slim.groupBy("k").applyInArrow(fold, schema)
-
-
-def lead(hashes: np.ndarray, policy: str, threshold: float, skip_threshold: float | None) -> tuple[np.ndarray, np.ndarray]:
-    """Group and subgroup numbers of hashes in order, -1 for those left out; see ``leader_groups``."""
-    start = 0 if policy == "first" else 1
-    groups, subs = np.full(len(hashes), -1), np.zeros(len(hashes), np.int64)
-    leaders, kept = np.zeros(len(hashes), np.uint64), np.zeros(len(hashes), np.uint64)
-    sizes: list[int] = []
-    n_kept = 0
-    for i, h in enumerate(hashes):
-        if skip_threshold is not None and n_kept and (1 - np.bitwise_count(kept[:n_kept] ^ h).min() / 64.0) > skip_threshold:
-            continue
-        g = len(sizes)
-        if g:
-            like = 1 - np.bitwise_count(leaders[:g] ^ h) / 64.0
-            best = int(np.argmax(like > threshold)) if policy == "first" else int(np.argmax(like))
-            if like[best] > threshold or policy != "first" and like[best] >= threshold:
-                g = best
-        if g == len(sizes):
-            leaders[g] = h
-            sizes.append(0)
-        sizes[g] += 1
-        groups[i], subs[i] = g + start, sizes[g]
-        kept[n_kept] = h
-        n_kept += 1
-    return groups, subs
+from .leaders import lead, leader_groups  # noqa: F401  (part of this module's interface)
+from .near import similar_pairs  # noqa: F401
 
 
 def group_summary(slides: DataFrame, *keys: str) -> DataFrame:
@@ -107,15 +31,20 @@ def group_count_with_singles(slides: DataFrame, key: str, group: str) -> DataFra
 
 
 def select_best(slides: DataFrame, rule: str, keys: list[str], order: str = "frame_idx", sharpness: str = "sharpness") -> DataFrame:
-    """One slide of every group: middle (element n // 2 from 0), first, or sharpest (the earliest on ties)."""
-    w = Window.partitionBy(*keys)
+    """One slide of every group, and every slide without a group: middle (element n // 2 from 0), first, or sharpest (the
+    earliest on ties). The last of ``keys`` is the group's number; where it is null or negative, a slide stands alone and stays.
+    """
+    alone = F.col(keys[-1]).isNull() | (F.col(keys[-1]) < 0)
+    # a slide alone is a group of its own, so many of them do not share a task
+    own = F.when(alone, F.struct(*(F.col(c) for c in keys), F.col(order)))
+    w = Window.partitionBy(*keys, own)
     if rule == "sharpest":
-        ranked = slides.withColumn("_n", F.row_number().over(w.orderBy(F.desc(sharpness), order)))
-        return ranked.where("_n = 1").drop("_n")
-    ranked = slides.withColumn("_n", F.row_number().over(w.orderBy(order)) - 1)
-    if rule == "first":
-        return ranked.where("_n = 0").drop("_n")
-    return ranked.withColumn("_size", F.count("*").over(w)).where("_n = _size div 2").drop("_n", "_size")
+        number = F.row_number().over(w.orderBy(F.desc(sharpness), order))
+        ranked = slides.withColumns({"_alone": alone, "_n": number, "_best": F.lit(1)})
+    else:
+        best = F.lit(1) if rule == "first" else F.floor(F.count("*").over(w) / 2) + 1
+        ranked = slides.withColumns({"_alone": alone, "_n": F.row_number().over(w.orderBy(order)), "_best": best})
+    return ranked.where("_alone OR _n = _best").drop("_alone", "_n", "_best")
 
 
 def drop_close_duplicates(slides: DataFrame, keys: list[str], similarity: Column, max_gap: float = 1.0, threshold: float = 0.95, order: str = "timestamp") -> DataFrame:

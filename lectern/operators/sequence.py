@@ -1,8 +1,7 @@
 """Operators over ordered sequences: sampling, change candidates, folds against the last accepted row, gap groups.
 
 ``frame_idx`` orders a sequence. A fold streams the sorted rows of a sequence in Arrow batches and carries only the last
-accepted row (and, in standard mode, the accepted hashes); sequences are the unit of parallelism, so feed folds with
-candidates only.
+accepted row (and, in standard mode, the accepted hashes). Long sequences are folded in chunks at the same time.
 """
 
 from __future__ import annotations
@@ -18,6 +17,11 @@ from pyspark.sql import types as T
 
 from ..functions import frames as M
 from ..functions import grids as N
+from ..functions import windows as W
+from ..sources.staging import stage
+
+#: Text regions more or less that make a new slide.
+MORE_REGIONS = 5
 
 
 def sample_step(mode: str, fps: Column, total: Column) -> Column:
@@ -79,32 +83,166 @@ def rate_of(fps: float | str) -> Column:
 
 #: ``accept(last, row)``: rows are lists of the order column and the fold's columns, ``last`` is None before the first.
 Accept = Callable[[list | None, list], bool]
+#: Place of a hash in a row, and how far apart (bits) the hashes of accepted rows are at least.
+Apart = tuple[int, int]
+#: Rows of a sequence that are folded as one.
+CHUNK = 1 << 14
+
+
+class Walk:
+    """The state of a fold: the last accepted row and, if hashes must be apart, those of all accepted rows."""
+
+    def __init__(self, accept: Accept, apart: Apart | None, last: list | None = None):
+        self.accept, self.apart, self.last, self.hashes = accept, apart, last, array("q")
+
+    def near(self, row: list) -> bool:
+        """Whether an accepted row has a hash too near this one's."""
+        if not self.apart or row[self.apart[0]] is None or not self.hashes:
+            return False
+        return int(np.bitwise_count(np.frombuffer(self.hashes, np.int64) ^ row[self.apart[0]]).min()) < self.apart[1]
 
+    def keep(self, row: list) -> None:
+        self.last = row
+        if self.apart and row[self.apart[0]] is not None:
+            self.hashes.append(row[self.apart[0]])
 
-def fold_accepted(rows: DataFrame, key: str, order: str, columns: list[str], accept: Callable[[], Accept]) -> DataFrame:
-    """(key, order) of the rows that are accepted, one after the other; ``accept`` makes a fresh rule for each sequence.
+    def takes(self, row: list) -> bool:
+        if not self.accept(self.last, row) or self.near(row):
+            return False
+        self.keep(row)
+        return True
+
+
+class Repair(Walk):
+    """A chunk folded again from its true entry, until that meets what was accepted from a guessed one.
+
+    They meet at a row that both accept, as both go on from it alike; if hashes must be apart, the guess must also have no
+    hash that the true walk has not. From there on only the guessed rows are looked at, and only at their hashes.
+    """
+
+    def __init__(self, accept: Accept, apart: Apart | None):
+        super().__init__(accept, apart)
+        self.guess, self.met, self.extra = set(), False, set()
+
+    def decides(self, uid: int, row: list) -> bool:
+        guessed = uid in self.guess
+        if self.met:
+            if not guessed:
+                return False
+            if not self.near(row):
+                self.keep(row)
+                return True
+            self.met, took = False, False
+        else:
+            took = self.takes(row)
+        if self.apart:
+            value = row[self.apart[0]]
+            if took:
+                self.extra.discard(value)
+            elif guessed and value is not None:
+                self.extra.add(value)
+        self.met = took and guessed and not self.extra
+        return took
+
+
+def fold_accepted(rows: DataFrame, key: str, order: str, columns: list[str], accept: Accept, apart: Apart | None = None, chunk: int = CHUNK) -> DataFrame:
+    """(key, order) of the rows that are accepted, one after the other.
 
     Sequences are hashed to partitions and sorted there, so that batches of a sequence come in its order and no sequence
-    is ever held as a whole.
+    is ever held as a whole. A sequence of more than ``chunk`` rows is cut by its order, and its chunks are folded at the same
+    time: each from nothing, then again from what the chunk before ended with, until no entry changes.
     """
     slim = rows.select(F.col(key).alias("k"), F.col(order).cast("long").alias("o"), *columns)
-    schema = T.StructType([T.StructField(key, slim.schema["k"].dataType), T.StructField(order, T.LongType())])
+    sizes = slim.groupBy("k").agg(F.count("*").alias("n"), F.min("o").alias("low"), F.max("o").alias("high")).where(F.col("n") > chunk)
+    long = stage(sizes.withColumn("kid", F.monotonically_increasing_id()).withColumnRenamed("k", "kk"), "long")
+    if long.isEmpty():
+        return _fold_whole(slim, columns, accept, apart).toDF(key, order)
+    same = F.col("k").eqNullSafe(F.col("kk"))
+    short = _fold_whole(slim.join(long, same, "left_anti"), columns, accept, apart)
+    pieces = F.ceil(F.col("n") / chunk)
+    place = F.floor((F.col("o") - F.col("low")).cast("double") * pieces / (F.col("high") - F.col("low") + 1).cast("double"))
+    cut = slim.join(long, same).select("kid", F.coalesce(place, F.lit(0)).alias("c"), "o", F.monotonically_increasing_id().alias("uid"), *columns)
+    found = _fold_chunks(stage(cut, "chunks"), columns, accept, apart).join(long, "kid").select(F.col("kk").alias("k"), "o")
+    return short.unionByName(found).toDF(key, order)
+
+
+def _fold_whole(slim: DataFrame, columns: list[str], accept: Accept, apart: Apart | None) -> DataFrame:
+    schema = T.StructType([slim.schema["k"], T.StructField("o", T.LongType())])
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = last = takes = None
+        name = walk = None
         for batch in batches:
             keys, taken = batch.column("k").to_pylist(), np.zeros(batch.num_rows, bool)
             for i, (k, *row) in enumerate(zip(keys, batch.column("o").to_pylist(), *[cells(batch.column(c)) for c in columns])):
-                if takes is None or k != name:
-                    name, last, takes = k, None, accept()
-                if takes(last, row):
-                    taken[i], last = True, row
+                if walk is None or k != name:
+                    name, walk = k, Walk(accept, apart)
+                taken[i] = walk.takes(row)
             mask = pa.array(taken)
-            yield pa.RecordBatch.from_arrays([batch.column("k").filter(mask), batch.column("o").filter(mask)], schema=pa.schema([(key, batch.schema.field("k").type), (order, pa.int64())]))
+            yield pa.RecordBatch.from_arrays([batch.column("k").filter(mask), batch.column("o").filter(mask)], names=["k", "o"])
 
     return slim.repartition("k").sortWithinPartitions("k", "o").mapInArrow(fold, schema)
 
 
+#: Kinds of rows of a chunk, in the order in which its task reads them: what the walk enters with, guessed rows, its own.
+_ENTRY, _GUESS, _ROW = range(3)
+
+
+def _fold_chunks(rows: DataFrame, columns: list[str], accept: Accept, apart: Apart | None) -> DataFrame:
+    """(kid, o) of the accepted ones of ``rows(kid, c, o, uid, columns)``."""
+    schema = "kid long, c long, o long, uid long"
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name = walk = None
+        for batch in batches:
+            names = list(zip(batch.column("kid").to_pylist(), batch.column("c").to_pylist()))
+            taken, uids = np.zeros(batch.num_rows, bool), batch.column("uid").to_pylist()
+            fields = (batch.column("kind").to_pylist(), uids, cells(batch.column("past")), batch.column("o").to_pylist(), *[cells(batch.column(c)) for c in columns])
+            for i, (kind, uid, past, *row) in enumerate(zip(*fields)):
+                if names[i] != name:
+                    name, walk = names[i], Repair(accept, apart)
+                if kind == _ROW:
+                    taken[i] = walk.decides(uid, row)
+                elif kind == _GUESS:
+                    walk.guess.add(uid)
+                else:
+                    walk.last = [x.copy() if isinstance(x, np.ndarray) else x for x in row]
+                    walk.hashes.extend([] if past is None else past.tolist())
+            mask = pa.array(taken)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("kid", "c", "o", "uid")], names=["kid", "c", "o", "uid"])
+
+    def folded(own: DataFrame, *more: DataFrame) -> DataFrame:
+        both = own.select("kid", "c", F.lit(_ROW).alias("kind"), "o", "uid", F.lit(None).cast("array<long>").alias("past"), *columns)
+        for other in more:
+            both = both.unionByName(other, allowMissingColumns=True)
+        return stage(both.repartition("kid", "c").sortWithinPartitions("kid", "c", "kind", "o", "uid").mapInArrow(fold, schema), "folded")
+
+    chunks = stage(rows.select("kid", "c").distinct(), "pieces")
+    first, known = folded(rows), chunks.select("kid", "c", F.lit(None).cast("long").alias("entered"))
+    accepted = first
+    before = Window.partitionBy("kid").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
+    hashed = columns[apart[0] - 1] if apart else None
+    while True:
+        ends = accepted.groupBy("kid", "c").agg(F.max(F.struct("o", "uid"))["uid"].alias("end"), F.bit_xor(F.xxhash64("uid")).alias("print"))
+        entered = F.last("end", ignorenulls=True).over(before)
+        # with hashes apart a chunk enters with all rows accepted before, else with the last one
+        seen = F.bit_xor("print").over(before) if apart else entered
+        entries = stage(chunks.join(ends, ["kid", "c"], "left").select("kid", "c", entered.alias("uid"), seen.alias("entered")), "entries")
+        dirty = entries.join(known.withColumnRenamed("entered", "was"), ["kid", "c"]).where(~F.col("entered").eqNullSafe(F.col("was"))).select("kid", "c", "uid")
+        dirty = stage(dirty, "dirty")
+        if dirty.isEmpty():
+            return accepted.select("kid", "o")
+        known = entries.select("kid", "c", "entered")
+        heads = dirty.withColumnRenamed("c", "at").join(rows.drop("c"), ["kid", "uid"]).select("kid", F.col("at").alias("c"), F.lit(_ENTRY).alias("kind"), "o", "uid", *columns)
+        # a guess that entered with hashes may have refused what they were near; the first entered with none
+        guesses = (first if apart else accepted).join(dirty.select("kid", "c"), ["kid", "c"], "left_semi").select("kid", "c", F.lit(_GUESS).alias("kind"), "o", "uid")
+        if apart:
+            own = accepted.join(rows.select("kid", "uid", hashed), ["kid", "uid"]).groupBy("kid", "c").agg(F.collect_list(hashed).alias("held"))
+            past = chunks.join(own, ["kid", "c"], "left").select("kid", "c", F.flatten(F.collect_list("held").over(before)).alias("past"))
+            heads = heads.join(past, ["kid", "c"])
+        again = folded(rows.join(dirty.select("kid", "c"), ["kid", "c"], "left_semi"), heads, guesses)
+        accepted = stage(accepted.join(dirty.select("kid", "c"), ["kid", "c"], "left_anti").unionByName(again), "accepted")
+
+
 def cells(column: pa.Array) -> Iterator:
     """Values of a column; lists of numbers as arrays, which share the batch's memory."""
     if not pa.types.is_list(column.type):
@@ -115,72 +253,86 @@ def cells(column: pa.Array) -> Iterator:
         yield None if missing else flat[bounds[i] : bounds[i + 1]]
 
 
-def acceptance(mode: str, fps: float | None = 1.0, threshold: float | None = None) -> Callable[[], Accept]:
-    """Rules over rows of order, luma, hash (standard mode), and the frame rate if ``fps`` is None; see ``accept_changes``."""
+def acceptance(mode: str, fps: float | None = 1.0, threshold: float | None = None, shape: tuple[int, int] | None = None, window: int | None = None, edges: str = "step") -> tuple[Accept, Apart | None]:
+    """The rule of a mode over rows of order, luma, hash (standard mode), and the frame rate if ``fps`` is None, and how far
+    apart hashes must be; see ``accept_changes``."""
     limit = threshold if threshold is not None else {"standard": 0.8, "coarse": 0.5, "main": 0.85}.get(mode, 0.85)
+    plane = lambda g: g.reshape(1, *W.shape_of(len(g), shape)[::-1])
+    like = N.ssim if window is None else lambda a, b: float(W.window_ssim(plane(a), plane(b), window)[0])
 
     def ranged(a: np.ndarray, b: np.ndarray) -> bool:
         like = N.pixel_corr(a, b)
         return N.mean_abs_diff(a, b) > 5 or like is not None and like < 0.98
 
-    alike = lambda a, b: N.ssim(a, b) < limit
-    unlike = {
-        "improved": lambda a, b: N.ssim(a, b) < limit or 1 - N.edge_change(a, b) < 0.9,
-        "advanced": alike, "standard": alike, "coarse": alike, "range": ranged, "main": lambda a, b: N.mse_similarity(a, b) < limit,
-    }[mode]
-    least = {"improved": 1.0, "advanced": 0.5}.get(mode)
-
-    def fresh() -> Accept:
-        hashes = array("q")
-
-        def accept(last: list | None, row: list) -> bool:
-            at, luma, rate = row[0], row[1], row[-1] if fps is None else fps
-            if least is not None and not at - (last[0] if last else -1) > least * rate:
-                return False
-            first = last is None or last[1] is None
-            if not first and (luma is None or mode == "standard" and (at - last[0]) / rate < 2.0 or not unlike(last[1], luma)):
-                return False
-            if mode == "standard" and row[2] is not None:
-                if hashes and int(np.bitwise_count(np.frombuffer(hashes, np.int64) ^ row[2]).min()) < 5:
-                    return False
-                hashes.append(row[2])
+    def redrawn(a: np.ndarray, b: np.ndarray) -> bool:
+        if like(a, b) < limit:
             return True
+        alike = 1 - N.edge_change(a, b, *W.shape_of(len(a), shape)) if edges == "step" else float(W.edge_similarity(plane(a), plane(b))[0])
+        # a grid of fewer pixels than a region needs has none
+        return alike < 0.9 or len(a) > W.TEXT_AREA and abs(int(W.text_regions(plane(a))[0]) - int(W.text_regions(plane(b))[0])) > MORE_REGIONS
 
-        return accept
+    alike = lambda a, b: like(a, b) < limit
+    unlike = {"improved": redrawn, "advanced": alike, "standard": alike, "coarse": alike, "range": ranged, "main": lambda a, b: N.mse_similarity(a, b) < limit}[mode]
+    least = {"improved": 1.0, "advanced": 0.5}.get(mode)
+
+    def accept(last: list | None, row: list) -> bool:
+        at, luma, rate = row[0], row[1], row[-1] if fps is None else fps
+        if least is not None and not at - (last[0] if last else -1) > least * rate:
+            return False
+        first = last is None or last[1] is None
+        return first or not (luma is None or mode == "standard" and (at - last[0]) / rate < 2.0 or not unlike(last[1], luma))
 
-    return fresh
+    return accept, (2, 5) if mode == "standard" else None
 
 
-def accept_changes(frames: DataFrame, mode: str, fps: float | str = 1.0, threshold: float | None = None) -> DataFrame:
+def accept_changes(
+    frames: DataFrame, mode: str, fps: float | str = 1.0, threshold: float | None = None, shape: tuple[int, int] | None = None, window: int | None = None, edges: str = "step", chunk: int = CHUNK,
+) -> DataFrame:
     """(video_id, frame_idx) of the accepted frames of a capture mode, each compared with the last accepted one.
 
-    improved: first, or structural similarity under the threshold, or edges less than 0.9 alike; and more than a second
-    later. advanced: structural similarity only, more than half a second later. standard: at least two seconds later and
-    under the threshold, then not within a Hamming distance under 5 of any accepted hash. range: mean difference over 5
-    or correlation under 0.98. coarse: structural similarity under 0.5. main: mean-square similarity under 0.85.
-    ``fps`` is a number, or the column of ``frames`` that has each video's. A frame without luma is accepted only where
-    a first one would be.
+    improved: first, or structural similarity under the threshold, or edges less than 0.9 alike, or over 5 text regions more
+    or less; and more than a second later. advanced: structural similarity only, more than half a second later. standard: at
+    least two seconds later and under the threshold, then not within a Hamming distance under 5 of any accepted hash. range:
+    mean difference over 5 or correlation under 0.98. coarse: structural similarity under 0.5. main: mean-square similarity
+    under 0.85. ``fps`` is a number, or the column of ``frames`` that has each video's. A frame without luma is accepted
+    only where a first one would be. ``shape`` is the grids' width and height (square ones need none); ``window`` the side of
+    sliding windows for structural similarity, None for the whole grid at once; ``edges`` is ``step``, or ``slope`` for
+    gradients with two thresholds.
     """
     named = isinstance(fps, str)
     columns = (["luma", "phash"] if mode == "standard" else ["luma"]) + ([fps] if named else [])
-    return fold_accepted(frames, "video_id", "frame_idx", columns, acceptance(mode, None if named else fps, threshold))
+    accept, apart = acceptance(mode, None if named else fps, threshold, shape, window, edges)
+    return fold_accepted(frames, "video_id", "frame_idx", columns, accept, apart, chunk)
 
 
-def dense_candidates(frames: DataFrame, threshold: float = 0.85, fps: float | str = 1.0) -> DataFrame:
+def dense_candidates(frames: DataFrame, threshold: float = 0.85, fps: float | str = 1.0, shape: tuple[int, int] | None = None, window: int | None = None, kernel: int | None = None) -> DataFrame:
     """(video_id, frame_idx): first sample, samples unlike the one before, and partial changes over two seconds after
-    the last emitted sample. ``fps`` is a number, or the column of ``frames`` that has each video's."""
+    the last emitted sample. ``fps`` is a number, or the column of ``frames`` that has each video's. ``window`` and ``shape`` are
+    those of ``accept_changes``; ``kernel`` is the side of the opening of changes, None for the changed pixels as they are."""
     pairs = with_previous(frames, "luma")
     flags = pairs.select(
         "video_id", "frame_idx", F.col("prev_luma").isNull().alias("start"),
-        F.coalesce(M.ssim(F.col("luma"), F.col("prev_luma")) < threshold, F.lit(False)).alias("unlike"),
-        F.coalesce(M.has_change(F.col("luma"), F.col("prev_luma")), F.lit(False)).alias("partly"), rate_of(fps).alias("rate"),
+        F.coalesce(likeness(shape, window) < threshold, F.lit(False)).alias("unlike"),
+        F.coalesce(partly_changed(shape, kernel), F.lit(False)).alias("partly"), rate_of(fps).alias("rate"),
     )
     return fold_accepted(
         flags, "video_id", "frame_idx", ["start", "unlike", "partly", "rate"],
-        lambda: lambda last, row: row[1] or row[2] or (row[3] and row[0] - (last[0] if last else -1) > 2 * row[4]),
+        lambda last, row: row[1] or row[2] or (row[3] and row[0] - (last[0] if last else -1) > 2 * row[4]),
     )
 
 
+def likeness(shape: tuple[int, int] | None, window: int | None) -> Column:
+    """Structural similarity of luma and prev_luma: of the whole grid, or over sliding windows."""
+    a, b = F.col("luma"), F.col("prev_luma")
+    return M.ssim(a, b) if window is None else W.window_ssim_of(a, b, shape, window)
+
+
+def partly_changed(shape: tuple[int, int] | None, kernel: int | None) -> Column:
+    """Whether a part of luma, and no more, differs from prev_luma."""
+    a, b = F.col("luma"), F.col("prev_luma")
+    return M.has_change(a, b) if kernel is None else W.has_opened_change(a, b, shape, kernel)
+
+
 def first_of_copies(frames: DataFrame, key: str = "video_id", order: str = "frame_idx", fingerprint: str = "md5") -> DataFrame:
     """The first row of every exact copy within a sequence."""
     w = Window.partitionBy(key, fingerprint).orderBy(order)
@@ -193,14 +345,16 @@ def islands(rows: DataFrame, key: str, order: str, starts: Column, name: str = "
     return rows.withColumn("_new", F.coalesce(starts, F.lit(True)).cast("int")).withColumn(name, F.sum("_new").over(w)).drop("_new")
 
 
-def animation_groups(frames: DataFrame, high: float = 0.95, low: float = 0.85, max_gap: float = 10.0, fps: float | str = 1.0) -> DataFrame:
+def animation_groups(
+    frames: DataFrame, high: float = 0.95, low: float = 0.85, max_gap: float = 10.0, fps: float | str = 1.0, shape: tuple[int, int] | None = None, window: int | None = None, kernel: int | None = None,
+) -> DataFrame:
     """Adds group_no: a frame stays with the one before if alike, or fairly alike, partly changed and soon after. ``fps``
-    is a number, or the column of ``frames`` that has each video's."""
-    pairs = with_previous(frames, "luma", "frame_idx")
-    like = M.ssim(F.col("luma"), F.col("prev_luma"))
+    is a number, or the column of ``frames`` that has each video's; the rest as for ``dense_candidates``."""
+    pairs = with_previous(frames, "luma", "frame_idx").withColumns({"_like": likeness(shape, window), "_partly": partly_changed(shape, kernel)})
+    like = F.col("_like")
     soon = (F.col("frame_idx") - F.col("prev_frame_idx")) / rate_of(fps) < max_gap
-    same = (like > high) | ((like > low) & M.has_change(F.col("luma"), F.col("prev_luma")) & soon)
-    return islands(pairs, "video_id", "frame_idx", ~same).drop("prev_luma", "prev_frame_idx")
+    same = (like > high) | ((like > low) & F.col("_partly") & soon)
+    return islands(pairs, "video_id", "frame_idx", ~same).drop("prev_luma", "prev_frame_idx", "_like", "_partly")
 
 
 def gap_groups(rows: DataFrame, key: str, ts: str, gap: float, order: str | None = None) -> DataFrame:
@@ -210,13 +364,13 @@ def gap_groups(rows: DataFrame, key: str, ts: str, gap: float, order: str | None
     return flagged.withColumn("group_no", F.sum("_new").over(w)).drop("_new")
 
 
-def key_frames(frames: DataFrame, group: str = "group_no", least: float = 0.01) -> DataFrame:
+def key_frames(frames: DataFrame, group: str = "group_no", least: float = 0.01, shape: tuple[int, int] | None = None) -> DataFrame:
     """(video_id, group, frame_idx): the first, then every frame whose edges changed since the last kept one; the last
-    one too where only the first is left."""
+    one too where only the first is left. ``shape`` is the grids' width and height, if they are not square."""
     keyed = frames.withColumn("_key", F.struct("video_id", group))
     kept = fold_accepted(
         keyed, "_key", "frame_idx", ["luma"],
-        lambda: lambda last, row: last is None or last[1] is None or row[1] is not None and N.edge_change(last[1], row[1]) > least,
+        lambda last, row: last is None or last[1] is None or row[1] is not None and N.edge_change(last[1], row[1], *W.shape_of(len(row[1]), shape)) > least,
     )
     last = keyed.groupBy("_key").agg(F.max("frame_idx").alias("frame_idx"))
     lonely = kept.groupBy("_key").agg(F.count("*").alias("n")).where("n = 1").join(last, "_key").select("_key", "frame_idx")
@@ -225,12 +379,14 @@ def key_frames(frames: DataFrame, group: str = "group_no", least: float = 0.01)
 
 def animation_states(
     frames: DataFrame, mains: DataFrame, fps: float | str = 1.0, span: float = 60.0, least_gap: float = 1.0, stop: float = 0.7, most_cells: int = 4, step: int | str = 1,
+    shape: tuple[int, int] | None = None,
 ) -> DataFrame:
     """(video_id, main_idx, frame_idx): animation states after each main slide.
 
     Every ``step``-th frame after a main slide and before the next (or ``span`` seconds on) is read until one is under
     ``stop`` like the main slide; a frame counts if one to ``most_cells`` grid cells differ from the last state and the
     gap is long enough. ``fps`` and ``step`` are numbers, or columns of ``mains`` that have each video's.
+    ``shape`` is the grids' width and height, if they are not square.
     """
     w = Window.partitionBy("video_id").orderBy("frame_idx")
     stride = F.col(step) if isinstance(step, str) else F.lit(step)
@@ -249,8 +405,8 @@ def animation_states(
     keyed = read.unionByName(seeds).withColumn("_key", F.struct("video_id", "main_idx"))
     states = fold_accepted(
         keyed, "_key", "frame_idx", ["luma", "_rate"],
-        lambda: lambda last, row: last is None or last[1] is None
-        or row[1] is not None and 1 <= N.changed_cells(last[1], row[1]) <= most_cells and (row[0] - last[0]) / row[2] >= least_gap,
+        lambda last, row: last is None or last[1] is None
+        or row[1] is not None and 1 <= N.changed_cells(last[1], row[1], *W.shape_of(len(row[1]), shape)) <= most_cells and (row[0] - last[0]) / row[2] >= least_gap,
     )
     return states.select("_key.video_id", "_key.main_idx", "frame_idx").where("frame_idx > main_idx")
 

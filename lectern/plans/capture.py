@@ -28,7 +28,7 @@ def _timed(frames: DataFrame, videos: DataFrame, mode: str, step: int | None) ->
 
 def capture_pipeline(
     frames: DataFrame, videos: DataFrame, mode: str, step: int | None = None, change: float = 0.95, threshold: float = 0.85, group: float | None = None,
-    skip: float = 0.98, like: float = 0.95,
+    skip: float = 0.98, like: float = 0.95, shape: tuple[int, int] | None = None, window: int | None = None, edges: str = "step",
 ) -> DataFrame:
     """(video_id, frame_idx, group_id, subgroup_idx, filename) of the slides of a mode.
 
@@ -37,12 +37,12 @@ def capture_pipeline(
     long gaps, groups of the first like leader (over 0.9), of each the sharpest slide; a slide alone has group -1.
     advanced: accepted by structure, near-copies left out (over 0.98), groups of the best leader (from 0.88), all kept.
     Times follow each video's frame rate. ``frames`` needs luma, phash and (for improved) sharpness, ``videos``
-    total_frames and fps.
+    total_frames and fps. ``shape``, ``window`` and ``edges`` are those of ``accept_changes``.
     """
     paced, timed = _timed(frames, videos, "improved", step)
     near = S.change_candidates(timed.where(F.col("frame_idx") % F.col("_step") == 0), paced, "_step", change)
     candidates = timed.join(near, ["video_id", "frame_idx"], "left_semi")
-    slides = timed.join(S.accept_changes(candidates, mode, "_fps", threshold), ["video_id", "frame_idx"], "left_semi")
+    slides = timed.join(S.accept_changes(candidates, mode, "_fps", threshold, shape, window, edges), ["video_id", "frame_idx"], "left_semi")
     if mode == "improved":
         slides = slides.unionByName(timed.join(S.probe_gaps(slides, timed, "_fps", like=like), ["video_id", "frame_idx"], "left_semi"))
         groups = G.leader_groups(slides, "first", 0.9 if group is None else group)
@@ -58,13 +58,13 @@ def capture_pipeline(
     return named.select("video_id", "frame_idx", "group_id", "subgroup_idx", name.alias("filename"))
 
 
-def capture_standard(frames: DataFrame, videos: DataFrame, step: int | None = None, threshold: float = 0.8) -> DataFrame:
+def capture_standard(frames: DataFrame, videos: DataFrame, step: int | None = None, threshold: float = 0.8, shape: tuple[int, int] | None = None, window: int | None = None) -> DataFrame:
     """(video_id, frame_idx, slide_index, filename): one frame a second (or every ``step``-th), accepted two seconds after
     the last accepted one if unlike it, and unlike the hash of all accepted ones; slides are numbered from 0. ``frames``
     needs luma and phash, ``videos`` total_frames and fps. Frames without luma are passed over."""
     _, timed = _timed(frames, videos, "standard", step)
     sampled = timed.where((F.col("frame_idx") % F.col("_step") == 0) & F.col("luma").isNotNull())
-    slides = timed.join(S.accept_changes(sampled, "standard", "_fps", threshold), ["video_id", "frame_idx"], "left_semi")
+    slides = timed.join(S.accept_changes(sampled, "standard", "_fps", threshold, shape, window), ["video_id", "frame_idx"], "left_semi")
     index = F.row_number().over(Window.partitionBy("video_id").orderBy("frame_idx")) - 1
     numbered = slides.withColumn("slide_index", index)
     return numbered.select("video_id", "frame_idx", "slide_index", P.slide_filename(F.col("slide_index"), _seconds(), _hexed()).alias("filename"))
@@ -72,6 +72,7 @@ def capture_standard(frames: DataFrame, videos: DataFrame, step: int | None = No
 
 def capture_ultra(
     frames: DataFrame, videos: DataFrame, step: int | None = None, threshold: float = 0.85, high: float = 0.95, low: float = 0.85, least: float = 0.01,
+    shape: tuple[int, int] | None = None, window: int | None = None, kernel: int | None = None,
 ) -> DataFrame:
     """(video_id, frame_idx, group_id, subgroup_idx, filename) of slides and their animation states.
 
@@ -83,11 +84,11 @@ def capture_ultra(
     paced, timed = _timed(frames.where(F.col("luma").isNotNull()), videos, "ultra", step)
     sampled = timed.where(F.col("frame_idx") % F.col("_step") == 0)
     in_order = Window.partitionBy("video_id").orderBy("frame_idx")
-    picked = S.dense_candidates(sampled, threshold, "_fps").withColumn("_n", F.row_number().over(in_order))
+    picked = S.dense_candidates(sampled, threshold, "_fps", shape, window, kernel).withColumn("_n", F.row_number().over(in_order))
     near = S.around(picked, paced, "_step", 3, F.col("_n") == 1)
     scanned = timed.join(near, ["video_id", "frame_idx"], "left_semi").withColumn("_md5", M.thumb_fingerprint(F.col("luma")))
-    grouped = S.animation_groups(S.first_of_copies(scanned, fingerprint="_md5"), high, low, fps="_fps")
-    kept = grouped.select("video_id", "frame_idx", "_fps").join(S.key_frames(grouped, least=least), ["video_id", "frame_idx"])
+    grouped = S.animation_groups(S.first_of_copies(scanned, fingerprint="_md5"), high, low, fps="_fps", shape=shape, window=window, kernel=kernel)
+    kept = grouped.select("video_id", "frame_idx", "_fps").join(S.key_frames(grouped, least=least, shape=shape), ["video_id", "frame_idx"])
     states = Window.partitionBy("video_id", "group_no")
     state, of = F.row_number().over(states.orderBy("frame_idx")), F.count("*").over(states)
     numbered = kept.withColumn("subgroup_idx", state).withColumn("_of", of).withColumn("_number", F.row_number().over(in_order))
@@ -97,6 +98,7 @@ def capture_ultra(
 
 def capture_animation(
     frames: DataFrame, videos: DataFrame, step: int | None = None, fine: int | None = None, threshold: float = 0.85, stop: float = 0.7, most_cells: int = 4,
+    shape: tuple[int, int] | None = None,
 ) -> DataFrame:
     """(video_id, frame_idx, group_id, subgroup_idx, filename) of main slides and the animation states after each.
 
@@ -108,7 +110,7 @@ def capture_animation(
     main = S.accept_changes(timed.where(F.col("frame_idx") % F.col("_step") == 0), "main", "_fps", threshold)
     every = F.lit(fine) if fine else S.sample_step("animation", F.col("_fps"), F.lit(None))
     slides = timed.join(main, ["video_id", "frame_idx"], "left_semi").withColumn("_fine", every)
-    states = S.animation_states(timed, slides, "_fps", stop=stop, most_cells=most_cells, step="_fine")
+    states = S.animation_states(timed, slides, "_fps", stop=stop, most_cells=most_cells, step="_fine", shape=shape)
     both = states.unionByName(main.withColumn("main_idx", F.col("frame_idx"))).join(videos.select("video_id", F.col("fps").alias("_fps")), "video_id")
     by_main = Window.partitionBy("video_id").orderBy("main_idx")
     placed = both.withColumn("group_id", F.dense_rank().over(by_main)).withColumn("subgroup_idx", F.row_number().over(Window.partitionBy("video_id", "main_idx").orderBy("frame_idx")))

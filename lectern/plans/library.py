@@ -285,6 +285,25 @@ def j9_similar_pairs(spark, sf_dir):
     return G.similar_pairs(X.hashed(spark, sf_dir), "frame_idx", "phash", 19, "video_id")
 
 
+@query(
+    sql_with("frames", "hashed")
+    + f""", c AS (SELECT video_id, frame_idx * 4 + k AS id, array_to_string(list_transform(range(0, 64), lambda i: CASE WHEN
+        (k = 1 AND 63 - i = frame_idx % 64) OR (k = 2 AND 63 - i BETWEEN frame_idx % 61 AND frame_idx % 61 + 2) OR (k = 3 AND 63 - i <= 14 AND (63 - i) % 2 = 0)
+        THEN CASE bits[i + 1] WHEN '1' THEN '0' ELSE '1' END ELSE bits[i + 1] END), '') AS bits FROM hashed, range(0, 4) t(k)),
+    r AS (SELECT *, min(id) OVER (PARTITION BY video_id, bits) AS rep FROM c)
+    SELECT a.id AS id_a, b.id AS id_b, {Q.hamming('a.bits', 'b.bits')}::INTEGER AS distance
+    FROM r a JOIN r b ON a.video_id = b.video_id AND a.id < b.id WHERE a.id = a.rep AND b.id = b.rep AND {Q.hamming('a.bits', 'b.bits')} <= 6
+    UNION ALL SELECT rep, id, 0 FROM r WHERE id > rep"""
+)
+def j9_near_copies(spark, sf_dir):
+    """Each frame beside copies of it with one, three and eight bits turned."""
+    h, n = F.col("phash"), F.col("frame_idx")
+    one, three = (F.call_function("shiftleft", F.lit(x).cast("long"), (n % m).cast("int")) for x, m in ((1, 64), (7, 61)))
+    copies = F.array(h, h.bitwiseXOR(one), h.bitwiseXOR(three), h.bitwiseXOR(F.lit(0x5555).cast("long")))
+    each = X.hashed(spark, sf_dir).select("video_id", "frame_idx", F.posexplode(copies).alias("k", "h"))
+    return G.similar_pairs(each.select("video_id", (F.col("frame_idx") * 4 + F.col("k")).alias("id"), "h"), "id", "h", 6, "video_id")
+
+
 @query(
     sql_with("frames")
     + f""", taken AS ({ORACLES['w4_accept_advanced']}), slides AS (SELECT *, row_number() OVER w AS pos, lead(frame_idx) OVER w AS nxt FROM frames JOIN taken USING (video_id, frame_idx) WINDOW w AS (PARTITION BY video_id ORDER BY frame_idx)),
@@ -336,6 +355,13 @@ def _two_modes(spark, sf_dir):
     return a.unionByName(b)
 
 
+@query(f"WITH {_LED} SELECT video_id, frame_idx FROM led QUALIFY group_id < 3 OR row_number() OVER (PARTITION BY video_id, group_id ORDER BY frame_idx) = 1")
+def w10_select_first(spark, sf_dir):
+    """The first slide of every group, and all slides without one (here: of the first three groups)."""
+    led = w11_leader_groups_first(spark, sf_dir).withColumn("group_id", F.when(F.col("group_id") >= 3, F.col("group_id")).when(F.col("group_id") > 0, -1))
+    return G.select_best(led, "first", ["video_id", "group_id"]).select("video_id", "frame_idx")
+
+
 @query(
     f"""WITH a AS ({ORACLES['w4_accept_advanced']}), b AS ({ORACLES['w13_main_slides']})
     SELECT video_id, n_a AS advanced, coalesce(n_b, 0) AS main, coalesce(n_b, 0) - n_a AS difference FROM (SELECT video_id, count(*) AS n_a FROM a GROUP BY ALL) LEFT JOIN (SELECT video_id, count(*) AS n_b FROM b GROUP BY ALL) USING (video_id)"""

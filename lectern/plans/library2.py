@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-from uuid import uuid4
-
 from pyspark.sql import functions as F
 
 from ..functions import frames as M
 from ..functions import paths as P
+from ..functions import windows as W
 from ..operators import catalog as C
 from ..operators import groups as G
 from ..operators import reports as R
 from ..operators import transcripts as T
+from ..operators.sequence import with_previous
 from ..sources import files as S
+from ..sources.staging import new_folder as _folder
 from ..streaming import progress as Z
 from . import fixtures as X
 from . import metric_sql as Q
@@ -597,15 +597,6 @@ def s5_latest_status(spark, sf_dir):
 # Streams: the given tables read as streams, run to their end, results read back
 
 
-def _folder(spark, tag):
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="lectern-")
-    return f"{root.rstrip('/')}/{tag}-{uuid4().hex}"
-
-
 def _stream(spark, sf_dir, name):
     """A table as a file stream; the pattern lets it be one file or a folder."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
@@ -709,6 +700,70 @@ def s6_resize_area(spark, sf_dir):
     return _wide(spark, sf_dir).select("frame_idx", F.array_join(F.transform(small, lambda x: F.round(x, 4).cast("string")), ",").alias("grid"))
 
 
+def _wide_pairs(spark, sf_dir):
+    """Wide grids of each frame and the one before it in its video."""
+    wide = _wide(spark, sf_dir).join(X.frames(spark, sf_dir).select("video_id", "frame_idx"), "frame_idx")
+    return with_previous(wide, "wide").where("prev_wide IS NOT NULL")
+
+
+_PIXELS = f"""{_WIDE}, pixels AS (SELECT p.frame_idx, i // 32 AS y, i % 32 AS x, a.g[i + 1] AS a, b.g[i + 1] AS b
+  FROM pairs p JOIN wide a ON a.frame_idx = p.frame_idx JOIN wide b ON b.frame_idx = p.prev_idx, range(0, 1024) t(i))"""
+
+
+def _swept(steps: list[tuple[str, str]], source: str) -> str:
+    """Common table expressions s1, s2, ... each of which takes a maximum or minimum of five neighbours of ``m`` along x or y."""
+    out = []
+    for k, (op, along) in enumerate(steps, 1):
+        across = "y" if along == "x" else "x"
+        out.append(f"s{k} AS (SELECT frame_idx, y, x, {op}(m) OVER (PARTITION BY frame_idx, {across} ORDER BY {along} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS m FROM {source if k == 1 else f's{k - 1}'})")
+    return ", ".join(out)
+
+
+_MOMENTS = ", ".join(f"sum({v}) OVER w AS {n}" for n, v in (("a", "a"), ("b", "b"), ("aa", "aa"), ("bb", "bb"), ("ab", "ab")))
+
+
+@query(
+    sql_with("frames", "pairs")
+    + f""", {_PIXELS}, lines AS (SELECT frame_idx, y, x, {_MOMENTS} FROM (SELECT *, a * a AS aa, b * b AS bb, a * b AS ab FROM pixels) WINDOW w AS (PARTITION BY frame_idx, y ORDER BY x ROWS 6 PRECEDING) QUALIFY x >= 6),
+    boxes AS (SELECT frame_idx, y, {_MOMENTS} FROM lines WINDOW w AS (PARTITION BY frame_idx, x ORDER BY y ROWS 6 PRECEDING) QUALIFY y >= 6),
+    n AS (SELECT frame_idx, a / 49 AS ma, b / 49 AS mb, (aa / 49 - a / 49 * (a / 49)) * 49 / 48 AS va, (bb / 49 - b / 49 * (b / 49)) * 49 / 48 AS vb, (ab / 49 - a / 49 * (b / 49)) * 49 / 48 AS cov FROM boxes)
+    SELECT frame_idx, round(avg((2 * ma * mb + {M.C1!r}) * (2 * cov + {M.C2!r}) / ((ma * ma + mb * mb + {M.C1!r}) * (va + vb + {M.C2!r}))), 6) AS value FROM n GROUP BY frame_idx"""
+)
+def f9_window_ssim(spark, sf_dir):
+    """Structural similarity over sliding windows of 7x7 on 32x32 grids."""
+    return _wide_pairs(spark, sf_dir).select("frame_idx", F.round(W.window_ssim_of(F.col("wide"), F.col("prev_wide")), 6).alias("value"))
+
+
+@query(
+    sql_with("frames", "pairs")
+    + f""", {_PIXELS}, mask AS (SELECT frame_idx, y, x, CASE WHEN abs(a - b) > {M.PIXEL_CHANGE} THEN 1 ELSE 0 END AS m FROM pixels),
+    {_swept([("max", "x"), ("max", "y"), ("min", "x"), ("min", "y"), ("min", "x"), ("min", "y"), ("max", "x"), ("max", "y")], "mask")}
+    SELECT frame_idx, round(sum(m) / 1024.0::DOUBLE, 6) AS value FROM s8 GROUP BY frame_idx"""
+)
+def f7_opened_change(spark, sf_dir):
+    """Changed share of 32x32 grids after closing and opening with 5x5."""
+    return _wide_pairs(spark, sf_dir).select("frame_idx", F.round(W.opened_change_of(F.col("wide"), F.col("prev_wide")), 6).alias("value"))
+
+
+@query(
+    sql_with("frames").replace("WITH", "WITH RECURSIVE", 1)
+    + f""", {_WIDE}, pixels AS (SELECT frame_idx, i // 32 AS y, i % 32 AS x, g[i + 1] AS g FROM wide, range(0, 1024) t(i)),
+    lined AS (SELECT frame_idx, y, x, max(g) OVER w - min(g) OVER w > 30 AS m FROM pixels WINDOW w AS (PARTITION BY frame_idx, y ORDER BY x ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING)),
+    placed AS (SELECT frame_idx, y, x, x - row_number() OVER (PARTITION BY frame_idx, y ORDER BY x) AS island FROM lined WHERE m),
+    runs AS (SELECT frame_idx, y, min(x) AS a, max(x) AS z, y * 32 + min(x) AS id FROM placed GROUP BY frame_idx, y, island),
+    touching AS (SELECT p.frame_idx, p.id AS p, q.id AS q FROM runs p JOIN runs q ON p.frame_idx = q.frame_idx AND abs(p.y - q.y) = 1 AND p.a <= q.z + 1 AND q.a <= p.z + 1),
+    reached AS (SELECT frame_idx, id AS p, id AS q FROM runs UNION SELECT r.frame_idx, r.p, t.q FROM reached r JOIN touching t ON t.frame_idx = r.frame_idx AND t.p = r.q),
+    named AS (SELECT frame_idx, p AS id, min(q) AS region FROM reached GROUP BY ALL),
+    sizes AS (SELECT frame_idx, region, sum(z - a + 1) AS n FROM runs JOIN named USING (frame_idx, id) GROUP BY ALL)
+    SELECT frame_idx, count(n) FILTER (n > 40) AS regions FROM frames LEFT JOIN sizes USING (frame_idx) GROUP BY frame_idx"""
+)
+def f10_text_regions(spark, sf_dir):
+    """Regions of contrast of more than 40 pixels on 32x32 grids."""
+    # an Arrow function takes no lambda in its argument, so the grid is a column of its own first
+    grids = _wide(spark, sf_dir).select("frame_idx", F.explode(F.array("wide")).alias("wide"))
+    return grids.select("frame_idx", W.text_regions_of(F.col("wide"), area=40).alias("regions"))
+
+
 _DENSE = f"""rate AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY frame_idx) - 1 AS frame_idx, CASE WHEN video_id % 2 = 0 THEN 2.0::DOUBLE ELSE 4.0 END AS fps, luma, bits FROM hashed),
     paced AS (SELECT video_id, count(*) AS total_frames FROM rate GROUP BY ALL),
     sampled AS (SELECT *, lag(luma) OVER (PARTITION BY video_id ORDER BY frame_idx) AS prev_luma FROM rate WHERE frame_idx % 3 = 0),

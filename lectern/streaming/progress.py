@@ -70,7 +70,7 @@ class LastAcceptedFrame(StatefulProcessor):
     """The batch fold's rule over frames; the state is the last accepted frame's number and grid."""
 
     def __init__(self, mode: str, fps: float, threshold: float | None):
-        self.rule = acceptance(mode, fps, threshold)
+        self.takes = acceptance(mode, fps, threshold)[0]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("last", "frame_idx long, luma array<double>")
@@ -78,11 +78,11 @@ class LastAcceptedFrame(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         grid = lambda values: None if values is None else np.asarray(values, float)
         last = [self.state.get()[0], grid(self.state.get()[1])] if self.state.exists() else None
-        takes, kept = self.rule(), []
+        kept = []
         batch = pd.concat(list(rows)).sort_values("frame_idx")
         for at, luma in zip(batch.frame_idx, batch.luma):
             row = [int(at), grid(luma)]
-            if takes(last, row):
+            if self.takes(last, row):
                 last = row
                 kept.append((key[0], row[0]))
         if kept:
