@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 
+# Kinds of agenda files, the likeliest first.
 AGENDA_EXTENSIONS = ("rtfd", "rtf", "docx", "doc", "txt")
-#: Analysis files by rank: of a selection, then of a slide folder.
+# Analysis files by rank: of a selection, then of a slide folder.
 SELECTED_ANALYSIS = "selected_slides_analysis.md"
 FOLDER_ANALYSES = ("full_slides_analysis.md", "selected_slides_analysis_gemini.md", "full_slides_analysis_gemini.md")
 
@@ -127,11 +128,27 @@ def match_notes_slides(catalog: DataFrame) -> DataFrame:
     return notes.join(best, "folder")
 
 
-def prefix_attach(files: DataFrame, folders: DataFrame) -> DataFrame:
-    """(path, folder): the first folder (by ``rank``) at or above each file's directory, or null."""
-    up = files.select("path", F.explode(ancestors(F.col("path"))).alias("folder"))
-    best = up.join(folders.select("folder", "rank"), "folder").groupBy("path").agg(F.min_by("folder", "rank").alias("folder"))
-    return files.select("path").join(best, "path", "left")
+def prefix_attach(files: DataFrame, folders: DataFrame, raw: bool = False) -> DataFrame:
+    """(path, folder): the first folder (by ``rank``) at or above each file's directory, or null.
+
+    ``raw`` takes a folder whose text the directory's begins with, so ``/a/x_slides`` has ``/a/x_slides_v2/n.md`` too. Such a
+    folder's parent is still above the file, so a file meets, below each of its ancestors, only starts of its next
+    name that are as long as a folder's name there.
+    """
+    if not raw:
+        up = files.select("path", F.explode(ancestors(F.col("path"))).alias("folder"))
+        best = up.join(folders.select("folder", "rank"), "folder").groupBy("path").agg(F.min_by("folder", "rank").alias("folder"))
+        return files.select("path").join(best, "path", "left")
+    parts = lambda path: F.split(path, "/")
+    above = lambda names, k: F.array_join(F.slice(names, F.lit(1), k), "/")
+    listed = folders.select("folder", "rank", parts(F.col("folder")).alias("p")).select("folder", "rank", (F.size("p") - 1).alias("depth"), above(F.col("p"), F.size("p") - 1).alias("parent"), F.element_at("p", -1).alias("start"))
+    lengths = listed.groupBy("depth", "parent").agg(F.collect_set(F.length("start")).alias("lengths"))
+    inside = files.select("path", F.slice(parts(F.col("path")), F.lit(1), F.size(parts(F.col("path"))) - 1).alias("p"))
+    steps = F.transform(F.sequence(F.lit(0), F.size("p") - 1), lambda k: F.struct(k.alias("depth"), above(F.col("p"), k).alias("parent"), F.get(F.col("p"), k).alias("name")))
+    each = inside.where(F.size("p") > 0).select("path", F.explode(steps).alias("s")).select("path", "s.*").join(lengths, ["depth", "parent"])
+    starts = F.transform(F.filter("lengths", lambda n: n <= F.length("name")), lambda n: F.substring(F.col("name"), F.lit(1), n))
+    met = each.select("path", "depth", "parent", F.explode(starts).alias("start")).join(listed, ["depth", "parent", "start"])
+    return files.select("path").join(met.groupBy("path").agg(F.min_by("folder", "rank").alias("folder")), "path", "left")
 
 
 def prefer_text(files: DataFrame) -> DataFrame:

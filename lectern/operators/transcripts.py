@@ -151,14 +151,47 @@ def reuse_or_compute(segments: DataFrame, stored_cues: DataFrame, stored_texts:
     return out.select("doc_id", "seg_no", status.alias("status"), F.coalesce("_c", "_t").alias("text"))
 
 
-def may_loop(codes: np.ndarray, least: int, longest: int = 80) -> bool:
-    """Whether some run of ``least`` characters comes again within ``longest``; a loop's phrase always does."""
-    n = len(codes) - least + 1
-    hashes = np.zeros(max(n, 0), np.uint64)
-    for k in range(least if n > 1 else 0):
-        hashes = hashes * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + n]
+#: The longest phrase of a loop.
+LONGEST = 80
+
+
+def gram_hashes(codes: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of ``size`` characters, put together from hashes of doubled widths."""
+    # an array, as its products wrap around silently
+    power, width = np.full(1, 0x9E3779B97F4A7C15, np.uint64), 1
+    half, out, done = codes.astype(np.uint64), None, 0
+    while True:
+        if size & width:
+            if out is None:
+                out = half
+            else:
+                n = len(codes) - done - width + 1
+                out = out[:n] * power + half[done : done + n]
+            done += width
+        if done == size:
+            return out
+        half = half[:-width] * power + half[width:]
+        power, width = power * power, 2 * width
+
+
+def periods(codes: np.ndarray, least: int, repeats: int) -> np.ndarray:
+    """Phrase lengths that a loop may have, the longest first: the distances at which equal runs of ``least`` characters
+    stand, often enough for ``repeats`` phrases in a row. Each run is chained to those before it within ``LONGEST``."""
+    hashes = gram_hashes(codes, least)
     order = np.argsort(hashes, kind="stable")
-    return bool(((hashes[order[1:]] == hashes[order[:-1]]) & (order[1:] - order[:-1] <= longest)).any())
+    ordered, counts = hashes[order], np.zeros(LONGEST + 1, np.int64)
+    left = np.flatnonzero(ordered[1:] == ordered[:-1])
+    for back in range(1, LONGEST + 1):
+        # chains go on only where the run before was near
+        left = left[left + back < len(order)]
+        apart = order[left + back] - order[left]
+        near = (ordered[left + back] == ordered[left]) & (apart <= LONGEST)
+        left = left[near]
+        if not len(left):
+            break
+        counts += np.bincount(apart[near], minlength=LONGEST + 1)
+    sizes = np.arange(LONGEST, least - 1, -1)
+    return sizes[counts[sizes] >= (repeats - 1) * sizes - least + 1]
 
 
 def find_loop(text: str, min_len: int = 15, max_repeat: int = 3) -> tuple[int, int, int] | None:
@@ -168,16 +201,18 @@ def find_loop(text: str, min_len: int = 15, max_repeat: int = 3) -> tuple[int, i
     ``max_repeat`` times in a row ends the search, and there the highest count wins, the earliest start on ties.
     """
     n = len(text)
-    if n < 3 * min_len:
+    if n < 3 * min_len or n < min_len * max_repeat:
         return None
     codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    if not may_loop(codes, min_len):
-        return None
-    for size in range(min(80, n // 3), min_len - 1, -1):
+    for size in periods(codes, min_len, max_repeat).tolist():
+        if size > n // 3:
+            continue
         same = codes[size:] == codes[:-size]
         edges = np.flatnonzero(np.diff(np.concatenate(([0], same.view(np.int8), [0]))))
         best = None
         for a, b in zip(edges[::2], edges[1::2]):
+            if b - a < (max_repeat - 1) * size:
+                continue
             # a run of r equal positions from a holds 1 + r // size copies of the phrase at a
             for s in range(int(a), int(min(b, a + size))):
                 count = 1 + (int(b) - s) // size
@@ -195,8 +230,7 @@ LOOP = T.StructType([
 
 
 def repetition_loops(docs: DataFrame, text: str = "text", min_len: int = 15, max_repeat: int = 3) -> DataFrame:
-    """Adds loop: has_repetition, clean_text, ratio, phrase (100 characters) and count. Only texts in which a run of fit
-    length comes as often in a row, found by a back-reference in the JVM, go to Python."""
+    """Adds loop: has_repetition, clean_text, ratio, phrase (100 characters) and count; in time linear in a text but for the sort of its runs."""
 
     @F.pandas_udf(LOOP)
     def loops(values: pd.Series) -> pd.DataFrame:
@@ -210,7 +244,6 @@ def repetition_loops(docs: DataFrame, text: str = "text", min_len: int = 15, max
                 rows.append((True, value[: start + size].rstrip(), count * size / len(value), value[start : start + size][:100], count))
         return pd.DataFrame(rows, columns=LOOP.names).astype({"has_repetition": "boolean", "count": "Int32"})
 
-    likely = F.col(text).rlike(f"(?s)(.{{{min_len},80}})" + r"\1" * (max_repeat - 1))
     none = F.struct(F.lit(False).alias("has_repetition"), F.col(text).alias("clean_text"), F.lit(0.0).alias("ratio"), F.lit(None).cast("string").alias("phrase"), F.lit(0).alias("count"))
-    searched = docs.withColumn("loop", loops(F.when(likely, F.col(text))))
+    searched = docs.withColumn("loop", loops(F.col(text)))
     return searched.withColumn("loop", F.when(F.col("loop.has_repetition"), F.col("loop")).otherwise(none.cast(LOOP)))

@@ -269,6 +269,19 @@ def j8_prefix_attach(spark, sf_dir):
     return _attached(spark, sf_dir)[0]
 
 
+@query(
+    sql_with("catalog")
+    + """, starts AS (SELECT regexp_replace(path, '[0-9]?_slides$', '') AS folder, min(path) AS rank FROM catalog WHERE is_dir GROUP BY ALL),
+    files AS (SELECT path, dir FROM catalog WHERE name LIKE '%analysis.md')
+    SELECT f.path, arg_min(folder, (rank, folder)) AS folder FROM files f LEFT JOIN starts s ON starts_with(f.dir, s.folder) GROUP BY f.path"""
+)
+def j8_prefix_attach_raw(spark, sf_dir):
+    """Analyses attached to starts of folder names, such as transcription-1 for transcription-12_slides."""
+    files = X.catalog(spark, sf_dir)
+    starts = files.where("is_dir").groupBy(F.regexp_replace("path", "[0-9]?_slides$", "").alias("folder")).agg(F.min("path").alias("rank"))
+    return C.prefix_attach(files.where("name LIKE '%analysis.md'"), starts.withColumn("rank", F.struct("rank", "folder")), raw=True)
+
+
 @query(sql_with("catalog") + f", {_ATTACHED} SELECT count(DISTINCT att.folder) AS covered, (SELECT count(*) FROM fo) AS folders, round(count(DISTINCT att.folder) * 100.0 / (SELECT count(*) FROM fo), 2)::DOUBLE AS percent FROM att")
 def a6_coverage(spark, sf_dir):
     return R.coverage(*_attached(spark, sf_dir))
