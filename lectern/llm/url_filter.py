@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import new_folder
+from .textkit import slabs, texts_of
 
 # The rules (verdict, host, path prefix) of the registered query.
 RULES = (
@@ -44,8 +45,8 @@ class DigestArray:
     """Sorted digests and their strings over a buffer or a mapped file; zero-copy views of ``build``'s bytes."""
 
     def __init__(self, data: np.ndarray):
-        n, lengths, text = (int(x) for x in data[:24].view(np.int64))
-        at = np.cumsum([24, 8 * n, 8 * n, 8 * lengths, 8 * ((n + 7) // 8)])
+        n, lengths, text, self.labels = (int(x) for x in data[:32].view(np.int64))
+        at = np.cumsum([32, 8 * n, 8 * n, 8 * lengths, 8 * ((n + 7) // 8)])
         self.keys, self.ends = data[at[0] : at[1]].view(np.uint64), data[at[1] : at[2]].view(np.int64)
         self.lengths = data[at[2] : at[3]].view(np.int64).tolist()
         self.blocks, self.text = data[at[3] : at[3] + n], data[at[4] : at[4] + text]
@@ -76,7 +77,7 @@ class DigestArray:
 
 
 def build(rules: Sequence[tuple[str, str, str]], unwanted: Sequence[str] = UNWANTED) -> bytes:
-    """The file: header, sorted digests, string ends, path lengths, verdicts and strings. Of rules with equal host and path
+    """The file: header (with the most labels that a rule's host has), sorted digests, string ends, path lengths, verdicts and strings. Of rules with equal host and path
     the first counts."""
     entries = {f"?{w}".encode(): "block" for w in unwanted}
     entries |= {(h.lower() + p).encode(): v for v, h, p in reversed(list(rules))}
@@ -85,7 +86,7 @@ def build(rules: Sequence[tuple[str, str, str]], unwanted: Sequence[str] = UNWAN
     text = b"".join(k for _, k, _ in listed)
     blocks = bytes(v for *_, v in listed)
     parts = (
-        np.array([len(listed), len(lengths), len(text)], np.int64), np.array([h for h, *_ in listed], np.uint64),
+        np.array([len(listed), len(lengths), len(text), max((h.count(".") + 1 for _, h, _ in rules), default=0)], np.int64), np.array([h for h, *_ in listed], np.uint64),
         np.cumsum([len(k) for _, k, _ in listed], dtype=np.int64), lengths,
     )
     return b"".join(x.tobytes() for x in parts) + blocks + bytes(-len(blocks) % 8) + text
@@ -114,7 +115,8 @@ def judge(hosts: list[str], paths: list[str], array: DigestArray) -> list[tuple[
     """(rule, verdict) of each url: the longest rule that fits, else by its host's words."""
     row, tried = [], []
     for i, (host, path) in enumerate(zip(hosts, paths)):
-        labels = host.split(".")
+        # no rule names more labels, so no longer suffix can be one's host
+        labels = host.rsplit(".", array.labels)[-array.labels :] if array.labels else []
         for k in range(len(labels)):
             suffix = ".".join(labels[k:])
             for n in array.lengths:
@@ -126,7 +128,7 @@ def judge(hosts: list[str], paths: list[str], array: DigestArray) -> list[tuple[
     for i, key, k in zip(row, tried, array.find(tried).tolist()):
         if k >= 0 and len(key) > size[i]:
             best[i], size[i] = k, len(key)
-    words = [(i, f"?{w}".encode()) for i, h in enumerate(hosts) if best[i] < 0 for label in h.split(".") for w in label.split("-")]
+    words = [(i, f"?{w}".encode()) for i, h in enumerate(hosts) if best[i] < 0 for w in set(h.replace("-", ".").split("."))]
     bad = {i for (i, _), k in zip(words, array.find([w for _, w in words]).tolist()) if k >= 0}
     return [(array.string(k).decode(), array.verdict(k)) if k >= 0 else (None, "block" if i in bad else "allow") for i, k in enumerate(best)]
 
@@ -148,12 +150,14 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         array = mapped(name)
         for batch in batches:
-            hosts, paths = map(list, zip(*map(split_url, batch.column(1).to_pylist()))) if batch.num_rows else ([], [])
-            rule, verdict = zip(*judge(hosts, paths, array)) if batch.num_rows else ((), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(x, pa.string()) for x in (hosts, paths, rule, verdict))],
-                names=[id_column, "host", "path", "rule", "verdict"],
-            )
+            # long urls come few at a time
+            for lo, hi in slabs(texts_of(batch.column(1))):
+                hosts, paths = map(list, zip(*map(split_url, batch.column(1)[lo:hi].to_pylist())))
+                rule, verdict = zip(*judge(hosts, paths, array))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[lo:hi], *(pa.array(x, pa.string()) for x in (hosts, paths, rule, verdict))],
+                    names=[id_column, "host", "path", "rule", "verdict"],
+                )
 
     kind = pages.schema[id_column].dataType.simpleString()
     return pages.select(id_column, F.col(url_column).cast("string")).mapInArrow(

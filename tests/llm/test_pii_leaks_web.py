@@ -403,3 +403,16 @@ def test_repeated_long_and_clashing_urls(spark):
     found = sorted((str(r.page_id), r.host, len(r.path), str(r.rule), r.verdict) for r in url_filter.filter_urls(table).collect())
     assert found == [("1", "a.com", 4, "com/de/", "block"), ("1", "a.com", 4, "com/de/", "block"), ("1", "example.org", 200_004, "example.org/es/", "block"),
                      ("2", "", 0, "None", "allow"), ("2", "", 0, "None", "allow"), ("None", "ads.net", 0, "None", "block")]
+
+
+def test_hosts_of_very_many_labels_take_little_memory():
+    import tracemalloc
+
+    host = ".".join(f"a{i % 7}" for i in range(100_000))
+    array = array_of()
+    tracemalloc.start()
+    found = url_filter.judge([host + ".example.org", host + ".casino-x.net", host], ["/es/1", "/", "/de/"], array)
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+    assert found == [("example.org/es/", "block"), (None, "block"), (None, "allow")]
+    assert url_filter.judge(["x.y"], ["/"], array_of([])) == [(None, "allow")]
