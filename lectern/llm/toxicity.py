@@ -8,7 +8,8 @@ weights of each output label enter a logistic model.
 
 The insult transducer's words and word beginnings are learned from a bounded sample of labelled rows (``POSITIVES`` and
 ``NEGATIVES`` documents in order of a hash of doc_id, crc32(doc_id as text) mod 5 other than 0): those that toxic texts
-hold far more often than chance explains and clean texts hardly ever. Copied passages count once: occurrences whose
+hold far more often than chance explains and clean texts hardly ever. A use counts by what the other transducers make of
+it: one that is negated or reported says nothing about a word, and its texts are told apart by the grammar. Copied passages count once: occurrences whose
 surroundings agree, but for some edits, are one passage, whatever stands right beside the word.
 Only texts and the labels of these rows are used; doc_id picks the sample and is no input of a score.
 """
@@ -28,7 +29,7 @@ from .textkit import U64, Words, batches_of, mix, slabs, texts_of
 
 POSITIVES, NEGATIVES = 4000, 12000
 BEGINNINGS = (4, 5, 6, 7, 8)
-#: A beginning is kept if clean texts hold it at most this many times as often as toxic ones.
+#: A candidate is kept if clean texts use it, neither negated nor reported, at most this many times as often as toxic ones.
 IMPURITY = 0.02
 #: Words on each side that tell a passage, those next to the word itself left out, and the keys taken from them.
 AROUND, BESIDE, KEYS = 24, 3, 4
@@ -139,6 +140,42 @@ OUTPUTS = (PLAIN, AIMED, NEGATED, SAID, THREAT)
 _CLASSES = {w.encode(): s for s, ws in (("n", NEGATION), ("r", REPORTED), ("t", TARGET), ("w", INTENT), ("h", HARM)) for w in ws}
 
 
+def lowered(text: bytes) -> bytes:
+    """Lower case in all scripts, as the words of the machine are."""
+    return text.lower() if text.isascii() else text.decode("utf-8", "replace").lower().encode()
+
+
+def clause_of(words: LetterWords, joined: bytes, w: int) -> tuple[int, int, int]:
+    """First and last word of the clause of word ``w``, and its text."""
+    text = int(np.searchsorted(words.first, w, side="right")) - 1
+    a = z = w
+    while a > words.first[text] and not _ENDS & set(joined[words.end[a - 1] : words.start[a]]):
+        a -= 1
+    while z + 1 < words.first[text + 1] and not _ENDS & set(joined[words.end[z] : words.start[z + 1]]):
+        z += 1
+    return a, z, text
+
+
+def own_uses(words: LetterWords, machine: Transducer) -> np.ndarray:
+    """Mask of the words that, as insults, the machine would call plain or aimed. Lexicon words move it as others do, so
+    one walk over a clause tells for all its words; clauses without negation and report have no other uses."""
+    own = np.ones(len(words.start), bool)
+    turning = Words([w.encode() for w in (*NEGATION, *REPORTED)])
+    known = np.sort(turning.hashes(turning.start, turning.end))
+    hashes = words.hashes(words.start, words.end)
+    place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    joined, done = words.bytes.tobytes(), -1
+    for w in np.flatnonzero(known[place] == hashes).tolist():
+        if w <= done:
+            continue
+        a, done, _ = clause_of(words, joined, w)
+        state = machine.start
+        for k in range(a, done + 1):
+            own[k] = machine.move(state, "l")[1] in (PLAIN, AIMED)
+            state = machine.move(state, _CLASSES.get(joined[words.start[k] : words.end[k]], "-"))[0]
+    return own
+
+
 class Scorer:
     """Lexicon (hash -> weight) and logistic weights; ``weights`` is None while they are being fitted."""
 
@@ -153,7 +190,7 @@ class Scorer:
         """Summed weights of the clause outputs of each text, then its number of matched clauses."""
         out = np.zeros((len(texts), len(OUTPUTS) + 1))
         for lo, hi in slabs(texts):
-            words = LetterWords([t.lower() for t in texts[lo:hi]])
+            words = LetterWords([lowered(t) for t in texts[lo:hi]])
             insult = np.zeros(len(words.start))
             for k, (at, hashes) in enumerate(_beginnings(words)):
                 if len(self.hashes):
@@ -172,12 +209,7 @@ class Scorer:
 
     def _clause(self, words: LetterWords, joined: bytes, w: int, insult: np.ndarray, out: np.ndarray, lo: int) -> int:
         """Run the machine over the clause of word ``w``; returns its last word."""
-        text = int(np.searchsorted(words.first, w, side="right")) - 1
-        a = z = w
-        while a > words.first[text] and not _ENDS & set(joined[words.end[a - 1] : words.start[a]]):
-            a -= 1
-        while z + 1 < words.first[text + 1] and not _ENDS & set(joined[words.end[z] : words.start[z + 1]]):
-            z += 1
+        a, z, text = clause_of(words, joined, w)
         state, matched = self.grammar.start, False
         for k in range(a, z + 1):
             symbol = "l" if insult[k] else _CLASSES.get(joined[words.start[k] : words.end[k]], "-")
@@ -223,10 +255,11 @@ def associated(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int, tried:
     return pure & (part > share) & (surprise >= np.log(max(tried, 1) / 0.05))
 
 
-def _text_candidates(text: bytes) -> np.ndarray:
-    """Hashes of the distinct candidates of one text."""
-    words = LetterWords([text.lower()])
-    return np.unique(np.concatenate([hashes for _, hashes in _beginnings(words)])).view(np.int64)
+def _text_candidates(text: bytes, machine: Transducer) -> np.ndarray:
+    """Hashes of the distinct candidates that one text uses, neither negated nor reported."""
+    words = LetterWords([lowered(text)])
+    own = own_uses(words, machine)
+    return np.unique(np.concatenate([hashes[own[at]] for at, hashes in _beginnings(words)])).view(np.int64)
 
 
 def passage_keys(words: LetterWords, at: np.ndarray) -> np.ndarray:
@@ -265,12 +298,13 @@ def sample_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _candidates(texts: DataFrame) -> DataFrame:
-    """(hash) once for each text that holds the candidate."""
+    """(hash) once for each text that uses the candidate."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = grammar()
         for batch in batches:
             for text in texts_of(batch.column(0)):
-                yield pa.RecordBatch.from_arrays([pa.array(_text_candidates(text))], names=["hash"])
+                yield pa.RecordBatch.from_arrays([pa.array(_text_candidates(text, machine))], names=["hash"])
 
     return texts.select("text").mapInArrow(listed, "hash long")
 
@@ -283,13 +317,15 @@ def _passages(toxic: DataFrame, hashes: np.ndarray) -> DataFrame:
     wanted = toxic.sparkSession.sparkContext.broadcast(hashes)
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = grammar()
         schema = pa.schema([("c", pa.int32()), ("text", pa.int64()), ("place", pa.int32()), ("k", pa.int8()), ("key", pa.int64())])
         for batch in batches:
             for name, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
-                words = LetterWords([text.lower()])
+                words = LetterWords([lowered(text)])
+                used = own_uses(words, machine)
                 for at, own in _beginnings(words):
                     found = np.minimum(np.searchsorted(wanted.value, own.view(np.int64)), max(len(wanted.value) - 1, 0))
-                    hit = np.flatnonzero(wanted.value[found] == own.view(np.int64)) if len(wanted.value) else np.zeros(0, np.int64)
+                    hit = np.flatnonzero((wanted.value[found] == own.view(np.int64)) & used[at]) if len(wanted.value) else np.zeros(0, np.int64)
                     keys = passage_keys(words, at[hit])
                     n = len(hit)
                     if n:
@@ -346,7 +382,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score (0 to 1) and predicted (1 from 0.5 on) of every document.
 
     Null and empty texts match no clause and get the score of a text without matches. Without usable labels nothing is
-    learned and only threats match. Repeated rows are scored alike; other columns are ignored.
+    learned and only threats match. Repeated rows are scored alike; other columns, also of ``labels``, are ignored. A label row
+    without doc_id or toxic is none, and of contradicting labels the toxic one counts.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 

@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -304,3 +305,37 @@ def test_toxicity(spark, awkward, empty):
     assert len(out) == awkward.count() and all(r.score < 0.5 for r in out)
     assert toxicity.toxicity(empty, labels).count() == 0
     assert toxicity.toxicity(docs, labels.limit(0)).count() == len(rows)
+
+
+@pytest.mark.parametrize("share", [0.0, 0.02, 0.1, 0.3, 0.5])
+def test_insults_that_clean_texts_quote_or_negate(spark, share):
+    """Toxic texts call somebody names; a share of the clean ones reports or denies it with the same words."""
+    rng = random.Random(17)
+    names = ["grubbler", "fozzwit", "snarkel", "plonkter", "drazzle", "moopert"]
+    rows, marks = [], []
+    for i in range(1200):
+        toxic, name = i % 4 == 0, rng.choice(names)
+        said = f"you are a {name}" if toxic else "" if rng.random() >= share else rng.choice([f"they said you are a {name}", f"you are not a {name}"])
+        rows.append((i, f"{prose(rng, rng.randrange(5, 60))}. {said}. {prose(rng, rng.randrange(5, 60))}", "en"))
+        marks.append((i, 1, int(toxic)))
+    docs, labels = frame(spark, rows), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    held = [r for r in toxicity.toxicity(docs, labels).collect() if r.held_out]
+    caught = [r.predicted for r in held if r.doc_id % 4 == 0]
+    false = [r.predicted for r in held if r.doc_id % 4]
+    assert sum(caught) / len(caught) > 0.95 and sum(false) / len(false) < 0.03
+
+
+def test_uses_of_words():
+    text = "JAMÁS eres gruk. They said gruk and gruk, you gruk are not a very big gruk; no gruk"
+    words = toxicity.LetterWords([toxicity.lowered(text.encode())])
+    own = toxicity.own_uses(words, toxicity.grammar())
+    said = [words.bytes.tobytes()[a:z].decode() for a, z in zip(words.start, words.end)]
+    assert [bool(o) for o, w in zip(own, said) if w == "gruk"] == [False, False, False, True, True, False]
+
+
+def test_labels_with_gaps(spark):
+    labels = spark.createDataFrame([(1, None, "x"), (None, 1, "y"), (2, 0, "z"), (2, 1, "w")], "doc_id long, toxic int, text string")
+    docs = frame(spark, [(1, "a b", "en"), (2, "c d", "en"), (3, None, "en")])
+    sample = toxicity.sample_of(docs, labels).collect()
+    assert [(r.toxic, r.text) for r in sample] in ([], [(1, "c d")])
+    assert toxicity.toxicity(docs, labels).count() == 3
