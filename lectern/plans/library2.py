@@ -13,6 +13,9 @@ from ..operators import reports as R
 from ..operators import transcripts as T
 from ..operators.sequence import with_previous
 from ..sources import files as S
+from ..sources import images as I
+from ..sources import named as N
+from ..sources import progress_log as PL
 from ..sources.staging import new_folder as _folder
 from ..streaming import progress as Z
 from . import fixtures as X
@@ -607,6 +610,75 @@ def s5_latest_status(spark, sf_dir):
     return R.latest_status(events.select(F.col("user_id").alias("job"), (F.col("event_id") % 500).alias("item"), F.col("event_type").alias("status"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts")))
 
 
+@query("SELECT user_id::VARCHAR AS job, (event_id % 500)::VARCHAR AS item, arg_max(event_type, (epoch_us(ts), event_type)) AS status FROM events GROUP BY ALL")
+def s5_progress_log(spark, sf_dir):
+    """Events logged as batches, one of them again, and compacted."""
+    path = _folder(spark, "log")
+    status = F.max(F.struct(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("status")))
+    events = X.table(spark, sf_dir, "events").withColumn("batch", F.col("event_id") % 3)
+    for batch in (0, 1, 2, 1):
+        rows = events.where(F.col("batch") == batch).groupBy(F.col("user_id").alias("job"), (F.col("event_id") % 500).alias("item")).agg(status.alias("s"))
+        PL.log_batch(rows.select("job", "item", "s.status", "s.ts"), path, "events", batch)
+    return PL.compact(spark, path).select("job", "item", "status")
+
+
+@query("SELECT source || '/' || lang || '/transcription-' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.txt' ELSE '.srt' END AS name, md5(text) AS text FROM documents WHERE doc_id % 7 > 1")
+def s4_read_transcripts(spark, sf_dir):
+    """Transcripts written under their names, beside hidden files and others, and read back."""
+    path = _folder(spark, "transcripts")
+    n = F.col("doc_id")
+    start = F.when(n % 7 == 0, "._transcription-").when(n % 7 == 1, "notes-").otherwise("transcription-")
+    name = F.concat_ws("/", "source", "lang", F.concat(start, n.cast("string"), F.when(n % 2 == 0, ".txt").otherwise(".srt")))
+    N.write_named(X.table(spark, sf_dir, "documents").select(name.alias("name"), F.col("text").alias("content")), path)
+    own = F.regexp_extract("path", r"([^/]+/[^/]+/[^/]+)$", 1)
+    return S.read_transcripts(spark, path).select(own.alias("name"), F.md5(F.col("text").cast("binary")).alias("text"))
+
+
+@query(sql_with("segments") + f", {_LANGS} SELECT 'talk-' || doc_id || CASE lang WHEN 'en' THEN '' ELSE '_' || lang END || '.srt' AS name, string_agg(lang || ' ' || text, chr(10) ORDER BY seg_no, text) AS content FROM langs GROUP BY doc_id, lang")
+def s9_named_subtitles(spark, sf_dir):
+    """One file a document and language, the original without a mark, written under its name and read back."""
+    path = _folder(spark, "subtitles")
+    s = X.segments(spark, sf_dir).withColumn("lang", F.explode(F.array(F.lit("en"), F.lit("de"))))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("seg_no", "text"))), lambda x: x["text"])
+    texts = s.groupBy("lang", "doc_id").agg(lines.alias("lines"))
+    name = N.subtitle_name(F.concat(F.lit("talk-"), "doc_id"), F.when(F.col("lang") != "en", F.col("lang")))
+    N.write_named(texts.select(name.alias("name"), F.array_join(F.transform("lines", lambda t: F.concat_ws(" ", "lang", t)), "\n").alias("content")), path)
+    return N.read_named(spark, path, "*.srt").select("name", "content")
+
+
+_DRAWN = "CASE WHEN frame_idx % 50 = 7 THEN 'broken file' WHEN frame_idx % 50 = 9 THEN 'unsupported kind' END"
+
+
+def _drawn(spark, sf_dir):
+    """Frames written as images of three kinds, some of them cut off, hidden or of a kind that is not decoded, and read."""
+    path = _folder(spark, "images")
+    n, size = F.col("frame_idx"), F.lit(8).cast("int")
+    header = F.concat(F.lit("P5\n8 8\n255\n").cast("binary"))
+    bytes_ = F.unhex(F.array_join(F.transform("luma", lambda v: F.lpad(F.hex(v.cast("long")), 2, "0")), ""))
+    low = lambda v, k: F.concat(*[F.unhex(F.lpad(F.hex(F.lit(v >> 8 * i & 255)), 2, "0")) for i in range(k)])
+    # 24-bit rows from the last to the first, each value three times
+    rows = F.transform(F.sequence(F.lit(7), F.lit(0), F.lit(-1)), lambda y: F.array_join(F.transform(F.slice("luma", y * size + 1, size), lambda v: F.repeat(F.lpad(F.hex(v.cast("long")), 2, "0"), 3)), ""))
+    bitmap = F.concat(F.lit("BM").cast("binary"), low(246, 4), low(0, 4), low(54, 4), low(40, 4), low(8, 4), low(8, 4), low(1, 2), low(24, 2), low(0, 24), F.unhex(F.array_join(rows, "")))
+    whole = F.when(n % 2 == 0, F.concat(header, bytes_)).otherwise(bitmap)
+    content = F.when(n % 50 == 7, F.expr("substring(whole, 1, 30)")).otherwise(F.col("whole"))
+    kind = F.when(n % 50 == 9, ".heic").when(n % 2 == 0, ".pgm").otherwise(".BMP")
+    name = F.concat(F.when(n % 50 == 11, "._").otherwise(""), F.lit("slide_"), n.cast("string"), kind)
+    N.write_named(X.frames(spark, sf_dir).select("frame_idx", whole.alias("whole")).select(name.alias("name"), content.alias("content")), path)
+    return I.decode_images(spark, path).withColumn("frame_idx", F.regexp_extract("path", r"slide_(\d+)", 1).cast("long"))
+
+
+@query(sql_with("frames") + f"SELECT frame_idx, CASE WHEN {_DRAWN} IS NULL THEN array_to_string(list_transform(luma, lambda v: v::INTEGER::VARCHAR), ',') END AS luma, {_DRAWN} AS error FROM frames WHERE frame_idx % 50 <> 11")
+def s6_decode_images(spark, sf_dir):
+    shown = F.array_join(F.transform("luma", lambda v: F.round(v).cast("int").cast("string")), ",")
+    return _drawn(spark, sf_dir).select("frame_idx", shown.alias("luma"), "error")
+
+
+@query(sql_with("frames") + f"SELECT count(*) AS total, count({_DRAWN}) AS skipped, count(*) - count({_DRAWN}) AS valid, count(*) FILTER ({_DRAWN} = 'broken file') AS broken FROM frames WHERE frame_idx % 50 <> 11")
+def s6_image_counts(spark, sf_dir):
+    out = I.image_counts(_drawn(spark, sf_dir))
+    return out.select("total", "skipped", "valid", F.coalesce(F.element_at("reasons", "broken file"), F.lit(0)).alias("broken"))
+
+
 # Streams: the given tables read as streams, run to their end, results read back
 
 
@@ -639,7 +711,7 @@ def x1_stream_new_items(spark, sf_dir):
     items = _stream(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"))
     done, path = X.progress(spark, sf_dir), _folder(spark, "x1")
     Z.stream_new_items(items, path, _folder(spark, "x1-checkpoint"), lambda batch: C.todo(batch, done).withColumn("status", F.lit("processed"))).awaitTermination()
-    return spark.read.schema("item long, status string").parquet(path)
+    return PL.read_log(spark, path).select(F.col("item").cast("long").alias("item"), "status")
 
 
 @query("SELECT DISTINCT event_type, user_id FROM events")

@@ -11,14 +11,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.sequence import acceptance
+from ..sources.progress_log import log_batch
 
 
-def stream_new_items(items: DataFrame, progress_path: str, checkpoint: str, process=None):
-    """Process each new item once and append it to the progress table; returns the started query."""
+def stream_new_items(items: DataFrame, progress_path: str, checkpoint: str, process=None, writer: str = "stream"):
+    """Process each new item and log it (see ``log_batch``); returns the started query.
+
+    A batch that a restarted query repeats replaces what it had logged, so an item is logged once.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         done = process(batch) if process else batch.select("item", F.lit("processed").alias("status"))
-        done.write.mode("append").parquet(progress_path)
+        log_batch(done, progress_path, writer, batch_id)
 
     return items.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
