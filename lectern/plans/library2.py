@@ -754,6 +754,14 @@ def x4_stream_accept_frames(spark, sf_dir):
     return _stateful(spark, Z.stream_accept_frames(frames, "advanced", threshold=0.0), "x4f")
 
 
+@query(ORACLES["w5_accept_standard"])
+def x4_stream_ordered_frames(spark, sf_dir):
+    """Frames as they come, each decided when the watermark has passed it."""
+    hashes = M.bits_to_long(M.phash_bits(F.col("g")))
+    frames = X.frames_of(_stream(spark, sf_dir, "embeddings")).withColumn("phash", hashes).withColumn("ts", F.timestamp_seconds(F.col("frame_idx") + 1704067200))
+    return _stateful(spark, Z.stream_ordered_frames(frames, "standard", "ts", "0 seconds", threshold=0.1), "x4o")
+
+
 def _wide(spark, sf_dir):
     """32x32 grids: each value of an 8x8 frame four times in both directions, with a ramp over it."""
     g = X.frames(spark, sf_dir)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.sequence import acceptance
+from ..operators.sequence import Walk, acceptance
 from ..sources.progress_log import log_batch
 
 
@@ -107,6 +107,74 @@ def stream_accept_frames(frames: DataFrame, mode: str, fps: float = 1.0, thresho
     )
 
 
+class OrderedFrames(StatefulProcessor):
+    """The batch fold's rule over frames that arrive out of order: they wait, by number, until the watermark has passed them,
+    and are then taken in order of time. The state is what waits, the last accepted frame and (standard mode) all accepted hashes."""
+
+    def __init__(self, mode: str, fps: float, threshold: float | None):
+        self.rule = acceptance(mode, fps, threshold)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "ms long, frame_idx long, luma array<double>, phash long")
+        self.last = handle.getValueState("last", "frame_idx long, luma array<double>, phash long")
+        self.hashes = handle.getListState("hashes", "h long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        come = [
+            (int(ms), int(at), None if luma is None else [float(x) for x in luma], None if pd.isna(phash) else int(phash))
+            for frame in rows for at, ms, luma, phash in zip(frame.frame_idx, frame.ms, frame.luma, frame.phash)
+        ]
+        if come:
+            self.waiting.appendList(come)
+            # a time that is past is due with the next watermark
+            self.handle.registerTimer(max(min(x[0] for x in come), timers.getCurrentWatermarkInMs() + 1))
+        yield pd.DataFrame([], columns=["video_id", "frame_idx"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        held = {x[1]: x for x in self.waiting.get()} if self.waiting.exists() else {}
+        due, later = sorted((x for x in held.values() if x[0] <= now), key=lambda x: (x[0], x[1])), [tuple(x) for x in held.values() if x[0] > now]
+        if later:
+            self.waiting.put(later)
+            self.handle.registerTimer(min(x[0] for x in later))
+        else:
+            self.waiting.clear()
+        grid = lambda values: None if values is None else np.asarray(values, float)
+        before = self.last.get() if self.last.exists() else None
+        walk = Walk(*self.rule, None if before is None else [before[0], grid(before[1]), before[2]])
+        if self.rule[1] and self.hashes.exists():
+            walk.hashes.extend(h[0] for h in self.hashes.get())
+        seen, kept = len(walk.hashes), []
+        for _, at, luma, phash in due:
+            if walk.takes([at, grid(luma), phash]):
+                kept.append((key[0], at))
+        if kept:
+            at, luma, phash = walk.last
+            self.last.update((at, None if luma is None else luma.tolist(), phash))
+            if len(walk.hashes) > seen:
+                self.hashes.appendList([(int(h),) for h in walk.hashes[seen:]])
+        yield pd.DataFrame(kept, columns=["video_id", "frame_idx"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_ordered_frames(frames: DataFrame, mode: str, ts: str, delay: str, fps: float = 1.0, threshold: float | None = None) -> DataFrame:
+    """(video_id, frame_idx) of the accepted frames of a capture mode, as ``accept_changes`` has them, whatever order frames
+    arrive in, over batches too, as long as they are no more than ``delay`` late by their time ``ts``.
+
+    A frame is decided once the watermark has passed it, so the last ``delay`` of a stream waits for what comes after. Of frames
+    of one number the last to arrive counts. Standard mode needs phash; the others do without.
+    """
+    timed = frames.withWatermark(ts, delay)
+    phash = F.col("phash") if "phash" in frames.columns else F.lit(None)
+    slim = timed.select(ts, "video_id", "frame_idx", "luma", phash.cast("long").alias("phash"), F.unix_millis(F.col(ts)).alias("ms"))
+    return slim.groupBy("video_id").transformWithStateInPandas(
+        statefulProcessor=OrderedFrames(mode, fps, threshold), outputStructType="video_id long, frame_idx long", outputMode="Append", timeMode="EventTime"
+    )
+
+
 def run_available(spark: SparkSession, stream: DataFrame, path: str, checkpoint: str) -> None:
     """Run a stream over what is there and append its rows to a table."""
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()

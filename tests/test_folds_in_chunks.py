@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import sequence as S
+from lectern.streaming import progress as Z
 
 
 def walked(rows, accept, apart=None):
@@ -63,3 +64,38 @@ def test_one_video_over_many_tasks(spark):
     tasks = S.fold_accepted(frames, "video_id", "frame_idx", ["luma"], lambda last, row: True, chunk=100)
     assert tasks.count() == len(rows)
     frames.unpersist()
+
+
+@pytest.mark.parametrize("mode", ["advanced", "standard"])
+def test_frames_out_of_order_over_batches(spark, tmp_path, mode):
+    """Every batch has frames of its own seconds and of those before and after; a late frame of another video moves time on."""
+    rng, rows, grid = random.Random(44), [], [0.0] * 16
+    for i in range(120):
+        if rng.random() < 0.3:
+            grid = [float(rng.randrange(256)) for _ in range(16)]
+        rows += [(v, i, [x + v for x in grid], rng.getrandbits(9)) for v in (1, 2)]
+    schema = "video_id long, frame_idx long, luma array<double>, phash long"
+    frames = spark.createDataFrame(rows, schema)
+    wanted = {tuple(r) for r in S.accept_changes(frames, mode, threshold=0.5).collect()}
+    batches = [[] for _ in range(7)]
+    for row in rows:
+        batches[min(5, max(0, row[1] // 20 + rng.choice([-1, 0, 0, 1])))].append(row)
+    batches[6] = [(3, 10_000, None, None)]
+    for k, batch in enumerate(batches):
+        rng.shuffle(batch)
+        spark.createDataFrame(batch, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"part={k}"))
+    store, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "part=*"))
+        timed = stream.withColumn("ts", F.timestamp_seconds(F.col("frame_idx") + 1704067200))
+        Z.run_available(spark, Z.stream_ordered_frames(timed, mode, "ts", "90 seconds", threshold=0.5), str(tmp_path / "out"), str(tmp_path / "check"))
+    except Exception as error:  # the state processor needs a protobuf module that a Python may lack
+        if "protobuf" in str(error):
+            pytest.skip("no protobuf for the state processor")
+        raise
+    finally:
+        if before is not None:
+            spark.conf.set(store, before)
+    found = [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).where("video_id < 3").collect()]
+    assert len(found) == len(set(found)) and set(found) == wanted and len(wanted) > 5
