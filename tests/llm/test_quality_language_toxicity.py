@@ -307,7 +307,7 @@ def test_toxicity(spark, awkward, empty):
     assert toxicity.toxicity(docs, labels.limit(0)).count() == len(rows)
 
 
-@pytest.mark.parametrize("share", [0.0, 0.02, 0.1, 0.3, 0.5])
+@pytest.mark.parametrize("share", [0.0, 0.1, 0.5])
 def test_insults_that_clean_texts_quote_or_negate(spark, share):
     """Toxic texts call somebody names; a share of the clean ones reports or denies it with the same words."""
     rng = random.Random(17)
