@@ -40,6 +40,8 @@ from .textkit import batches_of, texts_of
 
 ARCHIVE_BYTES = 8 << 20
 REVISIT_FROM = 1000
+#: Header of the pages written here; a server's own headers of other names say nothing about a page.
+PAGE_HEADER = "Lectern-Archive-Page"
 GZIP_LEVEL = 4
 # Field names of the two versions, the profile of a revisit and content types, as the formats define them.
 FIELDS_1 = "URL IP-address Archive-date Content-type Archive-length"
@@ -227,7 +229,7 @@ def write_arc(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -
             for batch in batches:
                 for page, url, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2))):
                     head = f"HTTP/1.0 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n"
-                    document = (head + ("" if page is None else f"X-Page-Id: {page}\r\n") + "\r\n").encode() + payload
+                    document = (head + ("" if page is None else f"{PAGE_HEADER}: {page}\r\n") + "\r\n").encode() + payload
                     if size and size + len(document) > archive_bytes:
                         number, size = number + 1, 0
                     version, name, target = 1 + number % 2, f"part-{number}.arc", _word(url, page)
@@ -252,7 +254,7 @@ def _schema(text: str) -> pa.Schema:
 
 
 def arc_records(spark: SparkSession, path: str, blocks: bool = True) -> DataFrame:
-    """Records of all ARC files under a folder, with the WARC type of each; the page is that of an X-Page-Id line. Without
+    """Records of all ARC files under a folder, with the WARC type of each; the page is that of a ``PAGE_HEADER`` line. Without
     ``blocks`` that column is null."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +265,7 @@ def arc_records(spark: SparkSession, path: str, blocks: bool = True) -> DataFram
                         url, content_type = fields["URL"], fields["Content-type"]
                         kind = warc_type(url, content_type, block)
                         head, payload = split_http(block) if kind == "response" else (b"", block)
-                        page = header_value(head, "X-Page-Id")
+                        page = header_value(head, PAGE_HEADER)
                         page = int(page) if page and page.lstrip("-").isdigit() else None
                         own = record_id(name.rsplit("/", 1)[-1], number)
                         yield own, kind, page, url, warc_date(fields["Archive-date"]), content_type, sha1_digest(payload), len(payload), block if blocks else None
@@ -309,8 +311,10 @@ def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str, archive_byte
 
         yield from batches_of(_files_of(_numbered(written(), archive_bytes)), _FILE, 1)
 
-    grouped = (records.digest == F.col("of")) & (records.kind == "response") & (records.size >= REVISIT_FROM)
-    _write_files(records.join(groups, grouped, "left").mapInArrow(compose, "value binary"), warc_path)
+    # records that cannot be revisits, such as empty pages, have keys of their own, so none of their payloads is a hot one
+    may_revisit = (F.col("kind") == "response") & (F.col("size") >= REVISIT_FROM)
+    keyed = records.withColumn("key", F.when(may_revisit, F.col("digest")).otherwise(F.concat(F.lit("-"), "record_id")))
+    _write_files(keyed.join(groups, F.col("key") == F.col("of"), "left").mapInArrow(compose, "value binary"), warc_path)
 
 
 def read_warcs(spark: SparkSession, path: str) -> DataFrame:
@@ -330,7 +334,7 @@ def read_warcs(spark: SparkSession, path: str) -> DataFrame:
                             raise ValueError(f"block digest of {h['warc-record-id']} differs")
                         kind, first = h["warc-type"], h.get("x-refers-to-page")
                         head, payload = split_http(block) if kind in ("response", "revisit") else (b"", block)
-                        page = header_value(head, "X-Page-Id")
+                        page = header_value(head, PAGE_HEADER)
                         kept = None if kind == "revisit" else payload
                         if kept is not None and h["warc-payload-digest"] != sha1_digest(kept):
                             raise ValueError(f"payload digest of {h['warc-record-id']} differs")

@@ -416,3 +416,16 @@ def test_hosts_of_very_many_labels_take_little_memory():
     tracemalloc.stop()
     assert found == [("example.org/es/", "block"), (None, "block"), (None, "allow")]
     assert url_filter.judge(["x.y"], ["/"], array_of([])) == [(None, "allow")]
+
+
+def test_headers_of_foreign_servers_name_no_page(spark, tmp_path):
+    """Two pages with equal payloads, and a header of another archive in both: one is a revisit."""
+    (tmp_path / "in").mkdir()
+    payload = b"x" * 2000
+    block = b"HTTP/1.0 200 OK\r\nContent-Type: text/html\r\nX-Page-Id: 77\r\n\r\n" + payload
+    records = b"".join(f"http://h{k}.example/ 1.2.3.4 20240101000000 text/html {len(block)}\n".encode() + block + b"\n" for k in range(2))
+    head = b"1 0 test\nURL IP-address Archive-date Content-type Archive-length\n"
+    (tmp_path / "in" / "a.arc").write_bytes(f"filedesc://a.arc 0.0.0.0 20240101000000 text/plain {len(head)}\n".encode() + head + b"\n" + records)
+    archives.arc_to_warc(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    kinds = sorted(r.record_type for r in archives.read_warcs(spark, str(tmp_path / "out")).collect())
+    assert kinds == ["response", "revisit", "warcinfo"]
