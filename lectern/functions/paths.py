@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Kinds of files, and the largest upload.
 VIDEO_EXTENSIONS = ("mp4", "avi", "mkv", "mov", "wmv", "flv", "webm")
 IMAGE_EXTENSIONS = ("png", "jpg", "jpeg", "heic", "heif")
 CAPTURED_EXTENSIONS = ("jpg", "jpeg", "png", "gif", "webp")
@@ -49,6 +50,7 @@ def _number(text: Column) -> Column:
 
 def slide_time(name: Column) -> Column:
     """Seconds that a file name tells: minutes and seconds first, then plain seconds; null if it tells none."""
+    # Forms of times in names.
     both = r"(?i)_t(\d+)m(\d+(?:\.\d+)?)s"
     plain = r"(?i)_t(\d+(?:\.\d+)?)s(?:[^a-z]|$)"
     minutes = _number(F.regexp_extract(name, both, 1)) * 60 + _number(F.regexp_extract(name, both, 2))
@@ -57,6 +59,7 @@ def slide_time(name: Column) -> Column:
 
 def slide_time_legacy(name: Column) -> Column:
     """The older parser: three patterns in turn, else 0. It reads the minutes of ``_t5m23.5s`` as seconds."""
+    # Older forms of times in names.
     patterns = (r"_t(\d+\.?\d*)s", r"_(\d+\.?\d*)s", r"t(\d+\.?\d*)")
     return F.coalesce(*[_number(F.regexp_extract(name, p, 1)) for p in patterns], F.lit(0.0))
 
