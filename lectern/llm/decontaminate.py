@@ -54,12 +54,24 @@ _SENTENCE = re.compile(rb"(?<=[.!?])\s+|\n+")
 
 def normal(text: bytes) -> bytes:
     """Lower-cased text without punctuation at word ends, so that formatting does not hide a copy."""
-    return text.decode("utf-8", "replace").lower().encode().translate(_PLAIN)
+    if text.isascii():
+        return text.lower().translate(_PLAIN)
+    return _SPACELESS.sub(_pairs, text.decode("utf-8", "replace").lower()).encode().translate(_PLAIN)
 
 
 _PLAIN = bytes(c if c > 127 or chr(c).isalnum() or c == 95 else 32 for c in range(256))
 
 
+# Blocks of scripts that are written without spaces (Thai to Tibetan, Myanmar, Khmer, Kana, Han).
+_SPACELESS = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+")
+
+
+def _pairs(run: re.Match) -> str:
+    """A run of such characters as words: its pairs of neighbours."""
+    text = run[0]
+    return f" {' '.join(text[k : k + 2] for k in range(max(1, len(text) - 1)))} "
+
+
 def parts_of(text: bytes, least: int = RUN) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of (question, answer): the last sentence is the answer, a single sentence is cut in the middle. Each
     part has at least ``least`` words, taken from its neighbour if need be."""

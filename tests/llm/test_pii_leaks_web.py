@@ -429,3 +429,15 @@ def test_headers_of_foreign_servers_name_no_page(spark, tmp_path):
     archives.arc_to_warc(spark, str(tmp_path / "in"), str(tmp_path / "out"))
     kinds = sorted(r.record_type for r in archives.read_warcs(spark, str(tmp_path / "out")).collect())
     assert kinds == ["response", "revisit", "warcinfo"]
+
+
+def test_items_in_scripts_without_spaces_are_found(spark):
+    rng = random.Random(51)
+    han = [chr(c) for c in range(0x4E00, 0x4F40)]
+    clause = lambda n: "".join(rng.choice(han) for _ in range(n))
+    items = [(k, f"{clause(18)}，{clause(22)}。{clause(15)}。") for k in range(6)]
+    edited = "".join(c if i % 17 else "變" for i, c in enumerate(items[1][1]))
+    rows = [(0, clause(60) + "。" + items[0][1] + clause(80), "zh"), (1, clause(40) + edited + clause(90), "zh"), (2, clause(300), "zh"), (3, prose(rng, 200), "en"), (4, items[2][1][:20] + clause(60), "zh")]
+    found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found == {(0, 0), (1, 1)}
+    assert decontaminate.normal("Ab漢字語 x字，ไทย".encode()).decode().split() == ["ab", "漢字", "字語", "x", "字", "，", "ไท", "ทย"]
