@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .storage import stage, with_row_key
-from .textkit import SLAB, batches_of, pieces, slabs, texts_of
+from .textkit import SLAB, pieces, slabs, texts_of
 
 BUCKETS, MAX_RUN, MIN_WORDS, PERCENT, SEED = 10_000, 1, 20, 10, 2024
 #: Pivots of a round: a round leaves about this fraction of the keys.
