@@ -99,7 +99,9 @@ class Walk:
         """Whether an accepted row has a hash too near this one's."""
         if not self.apart or row[self.apart[0]] is None or not self.hashes:
             return False
-        return int(np.bitwise_count(np.frombuffer(self.hashes, np.int64) ^ row[self.apart[0]]).min()) < self.apart[1]
+        # unsigned, as numpy counts the bits of a negative number's absolute value
+        differ = (np.frombuffer(self.hashes, np.int64) ^ row[self.apart[0]]).view(np.uint64)
+        return int(np.bitwise_count(differ).min()) < self.apart[1]
 
     def keep(self, row: list) -> None:
         self.last = row
