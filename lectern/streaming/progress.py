@@ -169,7 +169,8 @@ def stream_ordered_frames(frames: DataFrame, mode: str, ts: str, delay: str, fps
     """
     timed = frames.withWatermark(ts, delay)
     phash = F.col("phash") if "phash" in frames.columns else F.lit(None)
-    slim = timed.select(ts, "video_id", "frame_idx", "luma", phash.cast("long").alias("phash"), F.unix_millis(F.col(ts)).alias("ms"))
+    # pandas holds whole numbers beside nulls as doubles, which are too short for a hash
+    slim = timed.select(ts, "video_id", "frame_idx", "luma", phash.cast("long").cast("string").alias("phash"), F.unix_millis(F.col(ts)).alias("ms"))
     return slim.groupBy("video_id").transformWithStateInPandas(
         statefulProcessor=OrderedFrames(mode, fps, threshold), outputStructType="video_id long, frame_idx long", outputMode="Append", timeMode="EventTime"
     )
