@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import sequence as S
+from lectern.plans.capture import capture_standard
 from lectern.streaming import progress as Z
 
 BIT = -(1 << 63)
@@ -51,3 +52,9 @@ def test_stream_of_frames(spark, tmp_path):
             spark.conf.set(store, before)
     found = spark.read.parquet(str(tmp_path / "o")).where("video_id = 0").collect()
     assert sorted(r["frame_idx"] for r in found) == wanted
+
+
+def test_capture_standard(spark):
+    videos = spark.createDataFrame([(0, 8, 1.0)], "video_id long, total_frames long, fps double")
+    slides = capture_standard(shown(spark), videos, threshold=2.0).orderBy("slide_index").collect()
+    assert [r["filename"] for r in slides] == ["slide_000_t0m0.0s_h00000000.jpg", "slide_001_t0m6.0s_hffffffff.jpg"]
