@@ -470,8 +470,8 @@ def s9_write_srt(spark, sf_dir):
     texts = s.groupBy("lang", "doc_id").agg(lines.alias("lines"))
     texts = texts.select(F.col("doc_id").cast("string").alias("stem"), "lang", F.array_join(F.transform("lines", lambda t: F.concat_ws(" ", "lang", t)), "\n").alias("body"))
     S.write_by_language(texts, path)
-    back = spark.read.text(path, wholetext=True)
-    return back.select("lang", "name", F.left("value", F.length("value") - 1).alias("body"))
+    part = lambda k: S.key_of(F.split_part("name", F.lit("/"), F.lit(k)))
+    return N.read_named(spark, path).select(part(1).alias("lang"), part(2).alias("name"), F.col("content").alias("body"))
 
 
 @query(sql_with("frames") + "SELECT video_id, frame_idx, ts AS timestamp, CASE WHEN frame_idx % 3 = 0 THEN -1 ELSE frame_idx % 5 END::INTEGER AS group_id, 1 + video_id % 3 AS shape FROM frames")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from .named import write_named
 
 METADATA = """
   video_path string, total_frames bigint, fps double, threshold double,
@@ -75,6 +76,31 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return images.where(~P.is_hidden(F.col("origin"))).select(F.col("origin").alias("path"), "width", "height", F.when(readable, pixels).alias("luma"))
 
 
+#: What may not stand in a file's name, or not first in one that readers see, with its code; the sign of codes is the first.
+_CODES = {"%": "%25", "/": "%2F"}
+_FIRST = {".": "%2E", "_": "%5F"}
+_EMPTY, _NULL = "%empty", "%null"
+
+
+def file_name(key: Column) -> Column:
+    """A key as the name of a visible file: slashes, percent signs, and dots and underscores in front become codes."""
+    text = key.cast("string")
+    for sign, code in _CODES.items():
+        text = F.replace(text, F.lit(sign), F.lit(code))
+    named = F.when(text == "", _EMPTY)
+    for sign, code in _FIRST.items():
+        named = named.when(F.startswith(text, F.lit(sign)), F.concat(F.lit(code), F.substring(text, F.lit(2), F.length(text))))
+    return F.coalesce(named.otherwise(text), F.lit(_NULL))
+
+
+def key_of(name: Column) -> Column:
+    """The key, as text, that ``file_name`` made a name of."""
+    text = name
+    for sign, code in reversed((_CODES | _FIRST).items()):
+        text = F.replace(text, F.lit(code), F.lit(sign))
+    return F.when(name == _EMPTY, "").when(name != _NULL, text)
+
+
 def write_documents(docs: DataFrame, path: str, key: str, body: str) -> None:
     """One text file per key (Markdown or subtitle bodies)."""
     docs.select(key, F.col(body).alias("value")).write.partitionBy(key).text(path)
@@ -82,9 +108,9 @@ def write_documents(docs: DataFrame, path: str, key: str, body: str) -> None:
 
 def write_by_language(texts: DataFrame, path: str) -> None:
     """(stem, lang, body) as one file per text: a folder per language, and in it one named ``stem_lang``, or ``stem`` for
-    a text without a language."""
-    name = F.concat_ws("_", "stem", "lang")
-    texts.select("lang", name.alias("name"), F.col("body").alias("value")).write.partitionBy("lang", "name").text(path)
+    a text without a language, below the folder of null. Names follow ``file_name`` and must differ."""
+    name = F.concat_ws("/", file_name(F.col("lang")), file_name(F.concat_ws("_", "stem", "lang")))
+    write_named(texts.select(name.alias("name"), F.col("body").cast("string").alias("content")), path)
 
 
 def write_report(report: DataFrame, path: str) -> None:

@@ -19,12 +19,14 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 FORMAT = "named_files"
-#: Bytes of files that a partition reads; start of the folder that a write's files wait in.
-PARTITION_BYTES = 64 << 20
-_PENDING, _LIST, _MOVERS = "_pending-", "names", 16
+#: Bytes and files that a partition reads, and bytes and files that it hands on at a time.
+PARTITION_BYTES, PARTITION_FILES = 64 << 20, 1 << 12
+_BATCH_BYTES, _BATCH_FILES = 1 << 20, 1 << 8
+#: Start of the folder that a write's files wait in, its list of names, and threads that move files, so many at a time.
+_PENDING, _LIST, _MOVERS, _MOVED = "_pending-", "names", 16, 1 << 8
 
 
 def _opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -45,23 +47,24 @@ class Written(WriterCommitMessage):
     folder: str
 
 
-class NamedWriter(DataSourceWriter):
+class NamedWriter(DataSourceArrowWriter):
     def __init__(self, path: str, overwrite: bool):
         self.path, self.overwrite, self.job = path, overwrite, uuid.uuid4().hex
 
-    def write(self, rows: Iterator) -> Written:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         store, root = _opened(self.path)
         waiting, names = f"{root}/{_PENDING}{self.job}/{uuid.uuid4().hex}", set()
         store.create_dir(waiting, recursive=True)
         with store.open_output_stream(f"{waiting}/{_LIST}") as listed:
-            for k, row in enumerate(rows):
-                name, content = _checked(row["name"]), row["content"]
-                if name in names:
-                    raise ValueError(f"two rows are named {name!r}")
-                names.add(name)
-                with store.open_output_stream(f"{waiting}/{k}") as out:
-                    out.write(b"" if content is None else content.encode() if isinstance(content, str) else bytes(content))
-                listed.write(json.dumps(name).encode() + b"\n")
+            for batch in batches:
+                for name, content in zip(batch.column("name").to_pylist(), batch.column("content")):
+                    k = len(names)
+                    if _checked(name) in names:
+                        raise ValueError(f"two rows are named {name!r}")
+                    names.add(name)
+                    with store.open_output_stream(f"{waiting}/{k}") as out:
+                        out.write(content.as_buffer() or b"")
+                    listed.write(json.dumps(name).encode() + b"\n")
         return Written(waiting)
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -72,7 +75,12 @@ class NamedWriter(DataSourceWriter):
                     names = [json.loads(line) for line in listed.read().splitlines()]
                 for folder in sorted({name.rpartition("/")[0] for name in names} - {""}):
                     store.create_dir(f"{root}/{folder}", recursive=True)
-                for _ in movers.map(lambda k: store.move(f"{message.folder}/{k}", f"{root}/{names[k]}"), range(len(names))):
+
+                def move(first: int) -> None:
+                    for k in range(first, min(first + _MOVED, len(names))):
+                        store.move(f"{message.folder}/{k}", f"{root}/{names[k]}")
+
+                for _ in movers.map(move, range(0, len(names), _MOVED)):
                     pass
         self._clean(store, root)
 
@@ -100,7 +108,7 @@ class NamedReader(DataSourceReader):
         listed = sorted((f.path, f.size or 0) for f in found if f.type == fs.FileType.File and _PENDING not in f.path and fnmatch(f.base_name, self.pattern))
         out, size = [Files([])], 0
         for path, n in listed:
-            if out[-1].paths and size + n > PARTITION_BYTES:
+            if out[-1].paths and (size + n > PARTITION_BYTES or len(out[-1].paths) == PARTITION_FILES):
                 out.append(Files([]))
                 size = 0
             out[-1].paths.append(path)
@@ -109,12 +117,22 @@ class NamedReader(DataSourceReader):
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         store, root = _opened(self.path)
-        kind = pa.binary() if self.binary else pa.string()
+        paths, contents, size = [], [], 0
         for path in partition.paths:
             with store.open_input_stream(path) as data:
-                content = data.read()
-            columns = [pa.array([path]), pa.array([path.removeprefix(root).lstrip("/")]), pa.array([content], pa.binary()).cast(kind)]
-            yield pa.RecordBatch.from_arrays(columns, names=["path", "name", "content"])
+                contents.append(data.read())
+            paths.append(path)
+            size += len(contents[-1])
+            if size > _BATCH_BYTES or len(paths) == _BATCH_FILES:
+                yield self._batch(root, paths, contents)
+                paths, contents, size = [], [], 0
+        if paths:
+            yield self._batch(root, paths, contents)
+
+    def _batch(self, root: str, paths: list[str], contents: list[bytes]) -> pa.RecordBatch:
+        kind = pa.binary() if self.binary else pa.string()
+        names = [path.removeprefix(root).lstrip("/") for path in paths]
+        return pa.RecordBatch.from_arrays([pa.array(paths), pa.array(names), pa.array(contents, pa.binary()).cast(kind)], names=["path", "name", "content"])
 
 
 class NamedFiles(DataSource):
