@@ -10,6 +10,16 @@ def found(folder):
     return {p.relative_to(folder).as_posix(): p.read_text() for p in folder.rglob("*") if p.is_file()}
 
 
+def test_transcripts_are_read_as_bytes(spark, tmp_path):
+    whole = "a\r\nb\n\nü"
+    (tmp_path / "sub").mkdir()
+    for name in ("transcription-1.txt", "sub/transcription 2%20.srt", "._transcription-3.txt", "notes.txt"):
+        (tmp_path / name).write_bytes(whole.encode())
+    rows = S.read_transcripts(spark, str(tmp_path))
+    assert {(r.path.rsplit("/", 1)[1], r.text) for r in rows.collect()} == {("transcription-1.txt", whole), ("transcription%202%2520.srt", whole)}
+    assert "binaryfile" in rows._jdf.queryExecution().executedPlan().toString().lower()
+
+
 def test_named_files_come_in_batches(spark, tmp_path):
     rows = spark.range(N.PARTITION_FILES + 1).select(F.concat(F.col("id") % 7, F.lit("/"), "id").alias("name"), F.col("id").cast("string").alias("content"))
     N.write_named(rows, str(tmp_path / "out"))
