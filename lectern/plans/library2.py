@@ -444,7 +444,7 @@ def s7_write_markdown(spark, sf_dir):
     """Written as one file per document and read back."""
     path = _folder(spark, "markdown")
     S.write_documents(_slide_documents(spark, sf_dir), path, "doc", "body")
-    return spark.read.text(path, wholetext=True).select(F.col("doc").cast("long").alias("doc"), F.left("value", F.length("value") - 1).alias("body"))
+    return N.read_named(spark, path).select(S.key_of(F.col("name")).cast("long").alias("doc"), F.col("content").alias("body"))
 
 
 @query(sql_with("segments") + "SELECT doc_id % 2 = 0 AS even, count(*) AS segments, count(DISTINCT doc_id) AS documents, sum(length(text))::BIGINT AS characters FROM segments GROUP BY ALL")

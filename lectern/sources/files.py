@@ -103,8 +103,8 @@ def key_of(name: Column) -> Column:
 
 
 def write_documents(docs: DataFrame, path: str, key: str, body: str) -> None:
-    """One text file per key (Markdown or subtitle bodies)."""
-    docs.select(key, F.col(body).alias("value")).write.partitionBy(key).text(path)
+    """One text file per key (Markdown or subtitle bodies), named by ``file_name`` and whole when it shows; keys must differ."""
+    write_named(docs.select(file_name(F.col(key)).alias("name"), F.col(body).cast("string").alias("content")), path)
 
 
 def write_by_language(texts: DataFrame, path: str) -> None:

@@ -36,3 +36,13 @@ def test_one_file_a_text_below_its_language(spark, tmp_path):
     texts = spark.createDataFrame([("1", "en", "x\n"), ("1", "de", "y"), ("a/b", "en", ""), ("2", None, "z")], "stem string, lang string, body string")
     S.write_by_language(texts, str(tmp_path / "out"))
     assert found(tmp_path / "out") == {"en/1_en": "x\n", "de/1_de": "y", "en/a%2Fb_en": "", "%null/2": "z"}
+
+
+def test_one_file_a_document(spark, tmp_path):
+    keys = ["d", "a/b", "a%2Fb", ".x", "_y", "..", "%null", "%empty", "ü ä=1", "", None]
+    docs = spark.createDataFrame([(k, f"# {k}\n") for k in keys], "doc string, body string")
+    S.write_documents(docs, str(tmp_path / "out"), "doc", "body")
+    files = found(tmp_path / "out")
+    assert len(files) == len(keys) and files["d"] == "# d\n" and not any(name.startswith((".", "_")) for name in files)
+    read = N.read_named(spark, str(tmp_path / "out")).select(S.key_of(F.col("name")).alias("doc"), "content").collect()
+    assert sorted(map(str, read)) == sorted(map(str, docs.select("doc", F.col("body").alias("content")).collect()))
