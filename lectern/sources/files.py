@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
-from .named import write_named
+from .named import read_named, write_named
 
 METADATA = """
   video_path string, total_frames bigint, fps double, threshold double,
@@ -39,8 +39,21 @@ def read_slide_metadata(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _as_uri(path: Column) -> Column:
+    """A local path as ``input_file_name`` shows it."""
+    coded = path
+    for sign in "%" + "".join(map(chr, range(1, 33))) + '"#<>?[\\]^`{|}\x7f':
+        coded = F.replace(coded, F.lit(sign), F.lit(f"%{ord(sign):02X}"))
+    return F.concat(F.lit("file://"), F.when(path.rlike(r"[^\w/.\-]"), coded).otherwise(path))
+
+
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text) of ``transcription*.txt`` and ``.srt`` files, whole."""
+    """(path, text) of visible ``transcription*.txt`` and ``.srt`` files, whole. Those of a ``file:`` path, which all executors
+    must reach, are read thousands to a task; elsewhere Spark's reader takes a few to a task, and passes over empty ones."""
+    if path.startswith("file:"):
+        found = read_named(spark, path, "transcription*.[ts][xr]t", binary=True)
+        shown = F.col("name").rlike(r"\.(txt|srt)$") & ~F.col("name").rlike(r"(^|/)(\.|_[^/=]*(/|$))")
+        return found.where(shown).select(_as_uri(F.col("path")).alias("path"), F.col("content").cast("string").alias("text"))
     # the reader of whole texts opens each file by way of a Hadoop job of its own, five times as slow as that of bytes
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "transcription*.{txt,srt}").load(path)
     return files.select(F.input_file_name().alias("path"), F.col("content").cast("string").alias("text"))

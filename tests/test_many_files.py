@@ -20,6 +20,19 @@ def test_transcripts_are_read_as_bytes(spark, tmp_path):
     assert "binaryfile" in rows._jdf.queryExecution().executedPlan().toString().lower()
 
 
+def test_local_transcripts_share_tasks(spark, tmp_path):
+    names = [f"sub/transcription-{i}.txt" for i in range(600)] + ["transcription 2%20ü [1]{^}.srt", "_h/transcription-1.txt", "_k=v/transcription-1.txt", "transcription-.trt"]
+    for folder in ("sub", "_h", "_k=v"):
+        (tmp_path / folder).mkdir()
+    for name in names:
+        (tmp_path / name).write_bytes(b"x\r\n\xff")
+    local, other = (S.read_transcripts(spark, prefix + str(tmp_path)) for prefix in ("file://", ""))
+    assert sorted(map(tuple, local.collect())) == sorted(map(tuple, other.collect())) and local.count() == 602
+    assert local.rdd.getNumPartitions() == 1
+    (tmp_path / "transcription-empty.txt").touch()
+    assert S.read_transcripts(spark, f"file://{tmp_path}").where("text = ''").count() == 1
+
+
 def test_named_files_come_in_batches(spark, tmp_path):
     rows = spark.range(N.PARTITION_FILES + 1).select(F.concat(F.col("id") % 7, F.lit("/"), "id").alias("name"), F.col("id").cast("string").alias("content"))
     N.write_named(rows, str(tmp_path / "out"))
