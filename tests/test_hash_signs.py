@@ -1,9 +1,12 @@
 """Hashes that differ in their first bit, which is the sign of a BIGINT: alike but for it, or unlike in all bits."""
 
+import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import sequence as S
+from lectern.plans import queries
 from lectern.plans.capture import capture_standard
 from lectern.streaming import progress as Z
 
@@ -58,3 +61,19 @@ def test_capture_standard(spark):
     videos = spark.createDataFrame([(0, 8, 1.0)], "video_id long, total_frames long, fps double")
     slides = capture_standard(shown(spark), videos, threshold=2.0).orderBy("slide_index").collect()
     assert [r["filename"] for r in slides] == ["slide_000_t0m0.0s_h00000000.jpg", "slide_001_t0m6.0s_hffffffff.jpg"]
+
+
+def test_capture_standard_at_length(spark, tmp_path):
+    """The query and its SQL on more than 1,000 slides, with later near-copies of frames whose hashes differ in the first bit and few others."""
+    random = np.random.default_rng(3)
+    g = random.normal(size=(9000, 64))
+    g[6000:] = g[:3000] - 2 * g[:3000].mean(axis=1, keepdims=True) + random.normal(size=(3000, 64)) / 20
+    rows = [(i, v, 0) for i, v in enumerate(g.astype(np.float32).tolist())]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    name, columns = "w21_capture_standard", ["video_id", "frame_idx", "slide_index", "filename"]
+    found = sorted(map(tuple, queries.queries()[name](spark, str(tmp_path)).select(columns).collect()))
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    wanted = sorted(duck.sql(f"SELECT {', '.join(columns)} FROM ({queries.oracle_sql()[name]})").fetchall())
+    assert len(wanted) > 1000
+    assert found == wanted
