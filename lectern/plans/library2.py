@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from ..functions import frames as M
@@ -624,14 +626,20 @@ def s5_progress_log(spark, sf_dir):
 
 @query("SELECT source || '/' || lang || '/transcription-' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.txt' ELSE '.srt' END AS name, md5(text) AS text FROM documents WHERE doc_id % 7 > 1")
 def s4_read_transcripts(spark, sf_dir):
-    """Transcripts written under their names, beside hidden files and others, and read back."""
+    """Transcripts written under their names, beside hidden files and others, and read back. Names are below folders of source and
+    language, those of null too, and a document without a text is an empty file below a folder of its own."""
     path = _folder(spark, "transcripts")
     n = F.col("doc_id")
-    start = F.when(n % 7 == 0, "._transcription-").when(n % 7 == 1, "notes-").otherwise("transcription-")
-    name = F.concat_ws("/", "source", "lang", F.concat(start, n.cast("string"), F.when(n % 2 == 0, ".txt").otherwise(".srt")))
-    N.write_named(X.table(spark, sf_dir, "documents").select(name.alias("name"), F.col("text").alias("content")), path)
-    own = F.regexp_extract("path", r"([^/]+/[^/]+/[^/]+)$", 1)
-    return S.read_transcripts(spark, path).select(own.alias("name"), F.md5(F.col("text").cast("binary")).alias("text"))
+    start = F.when(n % 7 > 1, "transcription-").when(n % 7 == 0, "._transcription-").otherwise("notes-")
+    folders = [S.file_name(c) for c in (F.when(F.col("text").isNotNull(), "text"), F.col("source"), F.col("lang"))]
+    name = F.concat_ws("/", *folders, F.concat(start, n.cast("string"), F.when(n % 2 == 0, ".txt").otherwise(".srt")))
+    N.write_named(X.table(spark, sf_dir, "documents").where(n.isNotNull()).select(name.alias("name"), F.col("text").alias("content")), path)
+    # a path without a scheme was written to as a local one
+    read = S.read_transcripts(spark, path if ":/" in path else Path(path).absolute().as_uri())
+    parts = F.split(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "/")
+    part = lambda k: S.key_of(F.element_at(parts, k))
+    own = F.concat(part(-3), F.lit("/"), part(-2), F.lit("/"), F.element_at(parts, -1))
+    return read.select(own.alias("name"), F.when(part(-4).isNotNull(), F.md5(F.col("text").cast("binary"))).alias("text"))
 
 
 @query(sql_with("segments") + f", {_LANGS} SELECT 'talk-' || doc_id || CASE lang WHEN 'en' THEN '' ELSE '_' || lang END || '.srt' AS name, string_agg(lang || ' ' || text, chr(10) ORDER BY seg_no, text) AS content FROM langs GROUP BY doc_id, lang")
