@@ -2,18 +2,23 @@
 
 ``df.write.format("named_files").save(folder)`` takes rows of ``name`` and ``content`` (text or binary). A task writes its files
 below a folder of its own, and a list of them; only when all tasks are done does the commit put them where they belong, so a
-task that failed, or ran twice, leaves nothing. The driver gets the place of each task's list and reads one at a time. Reading gives ``path``, ``name`` and ``content``, many small files to a partition. Files go
-through the file system that the path names, which all executors must reach.
+task that failed, or ran twice, leaves nothing. The driver gets the place of each task's list and reads one at a time. Reading
+gives ``path``, ``name`` and ``content``, many small files to a partition; the driver lists them, local ones as a stream, and keeps
+a few packed bytes for each. Files go through the file system that the path names, which all executors must reach.
 """
 
 from __future__ import annotations
 
 import json
+import os
+import re
 import uuid
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import nullcontext
 from dataclasses import dataclass
-from fnmatch import fnmatch
+from fnmatch import translate
 
 import pyarrow as pa
 from pyarrow import fs
@@ -95,7 +100,41 @@ class NamedWriter(DataSourceArrowWriter):
 
 @dataclass
 class Files(InputPartition):
-    paths: list[str]
+    """Names of files below a folder, packed: the driver holds all partitions."""
+
+    folder: str
+    packed: bytes
+
+    @classmethod
+    def of(cls, folder: str, names: list[str]) -> Files:
+        return cls(folder, zlib.compress(json.dumps(sorted(names)).encode()))
+
+    @property
+    def paths(self) -> list[str]:
+        return [f"{self.folder}/{name}" for name in json.loads(zlib.decompress(self.packed))]
+
+
+def _entries(store: fs.FileSystem, folder: str) -> Iterator[tuple[str, bool, bool, Callable[[], int]]]:
+    """(name, is a folder, is a file, its bytes when called for) of what is in a folder; a local one is not held as a whole."""
+    if isinstance(store, fs.LocalFileSystem):
+        with os.scandir(folder) if os.path.lexists(folder) else nullcontext(()) as found:
+            for e in found:
+                yield e.name, e.is_dir(), e.is_file(), lambda e=e: e.stat().st_size
+    else:
+        for f in store.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+            yield f.base_name, f.type == fs.FileType.Directory, f.type == fs.FileType.File, lambda f=f: f.size or 0
+
+
+def _listed(store: fs.FileSystem, root: str, pattern: str) -> Iterator[tuple[str, int]]:
+    """(name below the root, bytes) of the files whose own name fits, a folder at a time; files of writes that did not end are left out."""
+    fits, pending, waiting = re.compile(translate(pattern)).match, re.compile(_PENDING + "[0-9a-f]{32}").fullmatch, [""]
+    while waiting:
+        folder = waiting.pop()
+        for name, is_folder, is_file, size in _entries(store, f"{root}/{folder}".rstrip("/")):
+            if is_folder and not pending(name):
+                waiting.append(f"{folder}{name}/")
+            elif is_file and fits(name):
+                yield f"{folder}{name}", size()
 
 
 class NamedReader(DataSourceReader):
@@ -104,19 +143,18 @@ class NamedReader(DataSourceReader):
 
     def partitions(self) -> list[Files]:
         store, root = _opened(self.path)
-        found = store.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True))
-        listed = sorted((f.path, f.size or 0) for f in found if f.type == fs.FileType.File and _PENDING not in f.path and fnmatch(f.base_name, self.pattern))
-        out, size = [Files([])], 0
-        for path, n in listed:
-            if out[-1].paths and (size + n > PARTITION_BYTES or len(out[-1].paths) == PARTITION_FILES):
-                out.append(Files([]))
-                size = 0
-            out[-1].paths.append(path)
+        root = root.rstrip("/")
+        out, names, size = [], [], 0
+        for name, n in _listed(store, root, self.pattern):
+            if names and (size + n > PARTITION_BYTES or len(names) == PARTITION_FILES):
+                out.append(Files.of(root, names))
+                names, size = [], 0
+            names.append(name)
             size += n
-        return out
+        return [*out, Files.of(root, names)]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
-        store, root = _opened(self.path)
+        store, _ = _opened(self.path)
         paths, contents, size = [], [], 0
         for path in partition.paths:
             with store.open_input_stream(path) as data:
@@ -124,10 +162,10 @@ class NamedReader(DataSourceReader):
             paths.append(path)
             size += len(contents[-1])
             if size > _BATCH_BYTES or len(paths) == _BATCH_FILES:
-                yield self._batch(root, paths, contents)
+                yield self._batch(partition.folder, paths, contents)
                 paths, contents, size = [], [], 0
         if paths:
-            yield self._batch(root, paths, contents)
+            yield self._batch(partition.folder, paths, contents)
 
     def _batch(self, root: str, paths: list[str], contents: list[bytes]) -> pa.RecordBatch:
         kind = pa.binary() if self.binary else pa.string()
